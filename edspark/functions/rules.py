@@ -13,6 +13,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def round_half_away(x, digits: int) -> Column:
+    """Round the binary double value half away from zero (C ``round`` of
+    ``x * 10^d``), which is what Python's ``round`` and DuckDB give for
+    values such as 82/80 = 1.025 -> 1.02; Spark's ``round`` rounds the
+    decimal text instead (1.03).  Exact binary halves (0.125) go away from
+    zero here, while Python would round them to even."""
+    p = float(10 ** digits)
+    c = _c(x).cast("double")
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(p) + F.lit(0.5)) / F.lit(p)
+
+
 def code_map(mapping: dict) -> Column:
     """A literal ``map`` column from a fixed code table."""
     return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
@@ -32,9 +43,12 @@ def minutes_between(start, end) -> Column:
 
 
 def iso_text(ts) -> Column:
-    """ISO-8601 text of a timestamp (microseconds kept when present)."""
+    """ISO-8601 text like Python's ``isoformat``: six fraction digits
+    when the microsecond part is non-zero, none otherwise."""
     t = _c(ts)
-    return F.when(t.isNotNull(), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    whole = F.unix_micros(t) % 1_000_000 == 0
+    return (F.when(whole, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+            .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
 
 
 def walkin_dob(age, as_of) -> Column:

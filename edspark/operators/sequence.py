@@ -6,6 +6,11 @@ key runs in a single task per group.  Here the rows are range-partitioned on
 row counts of the earlier partitions of the same group.  The offset table has
 one row per (group, partition), so its size is bounded by
 ``#groups x #partitions`` and it is safe to broadcast.
+
+The range-partitioned stage is read twice (local numbers and block totals).
+Range bounds come from sampling, so two evaluations could disagree; the stage
+is therefore written once with a reliable ``checkpoint()`` into the shared
+checkpoint folder, which also keeps the result stable when executors are lost.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edspark.session import ensure_checkpoint_dir
+
 _PID_SHIFT = 1 << 33  # monotonically_increasing_id = (partition id << 33) + row index
 
 
@@ -34,6 +41,8 @@ def ordered_sequence(df: DataFrame, order_cols: Sequence[Column | str], group_co
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__local", F.monotonically_increasing_id()
                           - F.col("__pid").cast("bigint") * F.lit(_PID_SHIFT)))
+    ensure_checkpoint_dir(spark)
+    staged = staged.checkpoint(eager=True)
     blocks = staged.groupBy(*group_cols, "__pid").agg(
         F.min("__local").alias("__first"), F.count(F.lit(1)).alias("__n"))
     w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid")
@@ -48,3 +57,48 @@ def ordered_sequence(df: DataFrame, order_cols: Sequence[Column | str], group_co
     seq = F.col("__offset") + F.col("__local") - F.col("__first") + F.lit(1)
     drop = ["__pid", "__local", "__bpid", "__first", "__offset"] + [f"__g_{g}" for g in group_cols]
     return joined.withColumn(name, seq.cast("bigint")).drop(*drop)
+
+
+def running_sum(df: DataFrame, value: Column | str, order_cols: Sequence[Column | str],
+                group_cols: Sequence[str] = (), name: str = "running", num_partitions: int | None = None) -> DataFrame:
+    """Cumulative sum of ``value`` inside each group in ``order_cols`` order
+    (rows up to and including the current one).  Same plan shape as
+    :func:`ordered_sequence`: range partitions, local sums per
+    (group, partition), plus the totals of the earlier partitions."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col(value) if isinstance(value, str) else value
+    orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    keys = [F.col(g).asc_nulls_first() for g in group_cols] + orders
+    staged = df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()).withColumn("__v", v)
+    ensure_checkpoint_dir(spark)
+    staged = staged.checkpoint(eager=True)
+    wl = Window.partitionBy(*group_cols, "__pid").orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumn("__local", F.sum("__v").over(wl))
+    blocks = staged.groupBy(*group_cols, "__pid").agg(F.sum("__v").alias("__tot"))
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid")
+    blocks = blocks.withColumn(
+        "__offset", F.coalesce(F.sum("__tot").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    b = blocks.select(*[F.col(g).alias(f"__g_{g}") for g in group_cols], F.col("__pid").alias("__bpid"), "__offset")
+    cond = reduce(lambda a, c: a & c,
+                  [local[g].eqNullSafe(b[f"__g_{g}"]) for g in group_cols],
+                  local["__pid"] == b["__bpid"])
+    joined = local.join(F.broadcast(b), cond, "inner")
+    drop = ["__pid", "__v", "__local", "__bpid", "__offset"] + [f"__g_{g}" for g in group_cols]
+    return joined.withColumn(name, F.col("__offset") + F.col("__local")).drop(*drop)
+
+
+def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], n: int,
+                    salt_col: Column | str, salt_buckets: int = 32, rank_name: str = "rank") -> DataFrame:
+    """Exact top ``n`` rows per group in ``order_cols`` order (which must be
+    total), safe for hot groups: first the top ``n`` inside each
+    (group, salt) bucket, then the top ``n`` among at most
+    ``salt_buckets * n`` candidates per group.  ``salt_col`` is a row key
+    that spreads a hot group over the buckets."""
+    orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    salt = F.pmod(F.xxhash64(F.col(salt_col) if isinstance(salt_col, str) else salt_col), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*group_cols, "__salt").orderBy(*orders)
+    cand = (df.withColumn("__salt", salt).withColumn("__r1", F.row_number().over(w1))
+            .filter(F.col("__r1") <= n).drop("__r1", "__salt"))
+    w2 = Window.partitionBy(*group_cols).orderBy(*orders)
+    return cand.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= n)

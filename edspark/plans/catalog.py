@@ -103,3 +103,218 @@ def q_shock_bands(spark, d):
 @query("scatter_range")
 def q_scatter_range(spark, d):
     return dash.scatter_range(_log(spark, d))
+
+
+# ---- vitals history ------------------------------------------------------------
+
+from edspark.operators import history as hist  # noqa: E402
+
+
+def _points(spark, d):
+    return hist.vitals_points(fx.vitals_readings(spark, d))
+
+
+@query("vitals_history")
+def q_vitals_history(spark, d):
+    return hist.vitals_history(_points(spark, d), 20)
+
+
+@query("vital_latest_warning")
+def q_vital_latest_warning(spark, d):
+    s = hist.sparkline_stats(hist.vitals_history(_points(spark, d), 20))
+    return s.select("patient_id", "vital", "n_points", "latest", "warning")
+
+
+@query("vital_ranges")
+def q_vital_ranges(spark, d):
+    s = hist.sparkline_stats(hist.vitals_history(_points(spark, d), 20))
+    return s.select("patient_id", "vital", "min_value", "max_value", "domain_lo", "domain_hi")
+
+
+@query("vital_trend")
+def q_vital_trend(spark, d):
+    return hist.vital_trend(_points(spark, d))
+
+
+@query("occupancy_running")
+def q_occupancy_running(spark, d):
+    return hist.occupancy_running(fx.bed_moves(spark, d)).select("move_id", "ts", "area", "delta", "occupancy")
+
+
+# ---- queue and hand-off --------------------------------------------------------
+
+from edspark.operators import handoff as ho  # noqa: E402
+
+
+def _handoff(spark, d):
+    return ho.handoff_patients(fx.appointments(spark, d), fx.triage_results(spark, d), fx.patients(spark, d),
+                               fx.priority_tokens(spark, d), AS_OF)
+
+
+HANDOFF_COLUMNS = ["appointment_id", "patient_id", "patient_name", "token", "triage_level", "chief_complaint",
+                   "vitals_summary", "shock_index", "time_in_ed", "action", "trend_status", "alerts"]
+
+
+@query("active_queue")
+def q_active_queue(spark, d):
+    return ho.active_queue(fx.appointments(spark, d), fx.triage_results(spark, d), fx.patients(spark, d),
+                           fx.priority_tokens(spark, d))
+
+
+@query("handoff_patients")
+def q_handoff_patients(spark, d):
+    return _handoff(spark, d).select(*HANDOFF_COLUMNS)
+
+
+@query("handoff_alerts")
+def q_handoff_alerts(spark, d):
+    return ho.handoff_alerts(_handoff(spark, d))
+
+
+@query("handoff_summary")
+def q_handoff_summary(spark, d):
+    return ho.handoff_summary(_handoff(spark, d))
+
+
+@query("watch_list")
+def q_watch_list(spark, d):
+    return ho.watch_list(_handoff(spark, d)).select("appointment_id", "patient_name", "triage_level", "trend_status")
+
+
+@query("result_detail")
+def q_result_detail(spark, d):
+    keys = fx.appointments(spark, d).filter(F.col("status") == "IN_PROGRESS")
+    return ho.result_detail(fx.triage_results(spark, d), keys)
+
+
+@query("patient_appointments")
+def q_patient_appointments(spark, d):
+    return ho.patient_appointments(fx.appointments(spark, d), fx.patients(spark, d))
+
+
+@query("orphan_visits")
+def q_orphan_visits(spark, d):
+    valid, rejected = ho.orphan_visits(fx.vitals_readings(spark, d), fx.patients(spark, d))
+    return (valid.select("reading_id", "patient_id", F.lit(True).alias("patient_exists"))
+            .unionByName(rejected.select("reading_id", "patient_id", F.lit(False).alias("patient_exists"))))
+
+
+# ---- decisions and audit -------------------------------------------------------
+
+from edspark.operators import decisions as dec  # noqa: E402
+
+
+def _decisions(spark, d):
+    return dec.hybrid_decisions(fx.decisions_input(spark, d))
+
+
+@query("hybrid_decision")
+def q_hybrid_decision(spark, d):
+    return _decisions(spark, d)
+
+
+@query("decision_flags")
+def q_decision_flags(spark, d):
+    return dec.decision_flags(_decisions(spark, d))
+
+
+@query("hybrid_metrics")
+def q_hybrid_metrics(spark, d):
+    return dec.hybrid_metrics(_decisions(spark, d))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, d):
+    return dec.confusion_matrix(_decisions(spark, d))
+
+
+@query("action_by_source")
+def q_action_by_source(spark, d):
+    return dec.action_by_source(_decisions(spark, d))
+
+
+@query("safety_split")
+def q_safety_split(spark, d):
+    return dec.safety_split(_decisions(spark, d))
+
+
+@query("action_labels")
+def q_action_labels(spark, d):
+    from edspark import schemas as S
+    from edspark.functions.rules import code_map
+
+    named = dec.action_names(_decisions(spark, d))
+    return named.select("row_id", "Final_Action", "Action_Name",
+                        F.coalesce(code_map(S.BATCH_ACTIONS)[F.col("Final_Action")], F.lit("Unknown")).alias("env_name"),
+                        dec.service_action_label(F.col("Final_Action")).alias("service_label"))
+
+
+@query("fairness_input")
+def q_fairness_input(spark, d):
+    f = dec.fairness_input(fx.audit_visits(spark, d), _decisions(spark, d))
+    return f.select("row_id", "Age", "ESI", "Age_Group", "Gender_Label", "Race_Label", "Final_Action",
+                    "Is_Critical_Miss")
+
+
+@query("fairness_rates")
+def q_fairness_rates(spark, d):
+    return dec.fairness_rates(dec.fairness_input(fx.audit_visits(spark, d), _decisions(spark, d)))
+
+
+@query("decision_cost")
+def q_decision_cost(spark, d):
+    return dec.cost_by_policy(dec.decision_cost(_decisions(spark, d)))
+
+
+@query("policy_table")
+def q_policy_table(spark, d):
+    return dec.policy_table(dec.decision_cost(_decisions(spark, d)))
+
+
+# ---- ingest --------------------------------------------------------------------
+
+from edspark.operators.codes import describe_codes  # noqa: E402
+from edspark.schemas import LAYOUT_A, LAYOUT_B  # noqa: E402
+from edspark.sources import fixed_width as fw  # noqa: E402
+
+
+@query("fixed_width_parse")
+def q_fixed_width_parse(spark, d):
+    return fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)
+
+
+@query("fixed_width_parse_b")
+def q_fixed_width_parse_b(spark, d):
+    return fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_B)
+
+
+@query("valid_esi")
+def q_valid_esi(spark, d):
+    return fw.valid_esi(fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A))
+
+
+@query("union_years")
+def q_union_years(spark, d):
+    years = {2021: fw.parse_lines(fx.raw_lines(spark, d, "F")), 2022: fw.parse_lines(fx.raw_lines(spark, d, "O"))}
+    return fw.valid_esi(fw.union_years(years))
+
+
+@query("year_counts")
+def q_year_counts(spark, d):
+    return q_union_years(spark, d).groupBy("Year").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("diagnosis_codes")
+def q_diagnosis_codes(spark, d):
+    from edspark.functions.text import extract_codes, join_codes
+    from edspark.schemas import CODES_FROM
+
+    rest = F.substring("value", CODES_FROM + 1, 1 << 30)
+    return fx.raw_lines(spark, d).select(extract_codes(rest).alias("codes"),
+                                         join_codes(extract_codes(rest)).alias("Chief_complain"))
+
+
+@query("code_descriptions")
+def q_code_descriptions(spark, d):
+    visits = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A).select("Chief_complain")
+    return describe_codes(visits, fx.code_dictionary(spark, d))

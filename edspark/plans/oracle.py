@@ -114,3 +114,373 @@ FROM log WHERE heart_rate IS NOT NULL AND sbp IS NOT NULL GROUP BY 1, 2""")
 ORACLE["scatter_range"] = _on_log("""
 SELECT min(sbp) - 10 AS sbp_lo, max(sbp) + 10 AS sbp_hi
 FROM log WHERE heart_rate IS NOT NULL AND sbp IS NOT NULL""")
+
+
+# ---- vitals history ------------------------------------------------------------
+
+POINTS = f"""
+points AS (
+  SELECT reading_id, patient_id, ts,
+         coalesce(nullif({jnum('vitals', 'HR')}, 0), {jnum('vitals', 'Pulse')}) AS hr,
+         {jnum('vitals', 'SBP')} AS sbp,
+         coalesce(nullif({jnum('vitals', 'RR')}, 0), {jnum('vitals', 'Resp')}) AS rr,
+         coalesce(nullif({jnum('vitals', 'O2Sat')}, 0), {jnum('vitals', 'O2_Sat')}) AS o2_sat
+  FROM vitals_readings),
+history AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, reading_id DESC) AS recency
+                 FROM points) WHERE recency <= 20)"""
+
+
+def _long(src: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT patient_id, reading_id, ts, '{v}' AS vital, {v} AS value FROM {src} WHERE {v} IS NOT NULL"
+        for v in ("hr", "sbp", "o2_sat"))
+
+
+def _with_points(sql: str) -> str:
+    head = with_views("SELECT 1", "vitals_readings")
+    head = head[: head.rindex("\nSELECT 1")]
+    return f"{head},{POINTS}\n{sql}"
+
+
+ORACLE["vitals_history"] = _with_points(
+    "SELECT reading_id, patient_id, ts, hr, sbp, rr, o2_sat, recency FROM history ORDER BY patient_id, ts, reading_id")
+
+SPARK_STATS = f"""
+, long AS ({_long('history')}),
+agg AS (
+  SELECT patient_id, vital, count(*) AS n_points, min(value) AS min_value, max(value) AS max_value,
+         max(CASE WHEN rn = 1 THEN value END) AS latest
+  FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, vital ORDER BY ts DESC, reading_id DESC) AS rn FROM long)
+  GROUP BY patient_id, vital),
+stats AS (
+  SELECT *, CASE WHEN vital = 'hr' THEN latest > 100 WHEN vital = 'sbp' THEN latest < 90
+                 WHEN vital = 'o2_sat' THEN latest < 95 ELSE false END AS warning,
+         CASE WHEN (max_value - min_value) * 0.1 = 0 THEN 5.0 ELSE (max_value - min_value) * 0.1 END AS pad
+  FROM agg)"""
+
+ORACLE["vital_latest_warning"] = _with_points("")[:-1] + SPARK_STATS + """
+SELECT patient_id, vital, n_points, latest, warning FROM stats"""
+ORACLE["vital_ranges"] = _with_points("")[:-1] + SPARK_STATS + """
+SELECT patient_id, vital, min_value, max_value, min_value - pad AS domain_lo, max_value + pad AS domain_hi FROM stats"""
+
+ORACLE["vital_trend"] = _with_points("")[:-1] + f"""
+, long AS ({_long('points')}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY patient_id, vital ORDER BY ts, reading_id) AS r_first,
+            row_number() OVER (PARTITION BY patient_id, vital ORDER BY ts DESC, reading_id DESC) AS r_last
+  FROM long)
+SELECT patient_id, vital, max(CASE WHEN r_first = 1 THEN value END) AS first_value,
+       max(CASE WHEN r_last = 1 THEN value END) AS last_value, count(*) AS n_points,
+       max(CASE WHEN r_last = 1 THEN value END) - max(CASE WHEN r_first = 1 THEN value END) AS change,
+       CASE WHEN max(CASE WHEN r_last = 1 THEN value END) > max(CASE WHEN r_first = 1 THEN value END) THEN 'rising'
+            WHEN max(CASE WHEN r_last = 1 THEN value END) < max(CASE WHEN r_first = 1 THEN value END) THEN 'falling'
+            ELSE 'flat' END AS trend
+FROM ranked GROUP BY patient_id, vital"""
+
+ORACLE["occupancy_running"] = with_views("""
+SELECT move_id, ts, area, delta,
+       sum(delta) OVER (PARTITION BY area ORDER BY ts, move_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS occupancy
+FROM bed_moves""", "bed_moves")
+
+
+# ---- queue and hand-off --------------------------------------------------------
+
+ORACLE["active_queue"] = with_views("""
+SELECT a.appointment_id, t.token_number AS token, a.triage_level, a.priority_score, a.status,
+       r.rl_action AS action, coalesce(r.shap_values IS NOT NULL, false) AS shap_ready,
+       p.first_name || ' ' || p.last_name AS patient_name,
+       row_number() OVER (ORDER BY a.priority_score DESC NULLS LAST, a.appointment_id) AS queue_position
+FROM appointments a
+LEFT JOIN triage_results r ON a.appointment_id = r.appointment_id
+LEFT JOIN priority_tokens t ON a.appointment_id = t.appointment_id
+LEFT JOIN patients p ON a.patient_id = p.patient_id
+WHERE a.status IN ('SCHEDULED', 'IN_PROGRESS')""", "appointments", "triage_results", "priority_tokens", "patients")
+
+
+def _int(x: str) -> str:
+    return f"CAST(trunc({x}) AS BIGINT)"
+
+
+HP = f"""
+hp0 AS (
+  SELECT a.appointment_id, a.patient_id, p.first_name || ' ' || p.last_name AS patient_name, a.priority_score,
+         a.created_at, coalesce(t.token_number, 'N/A') AS token,
+         coalesce(nullif(a.triage_level, 0), 5) AS triage_level,
+         coalesce(nullif(r.rl_action, ''), 'Assessment pending') AS chief_complaint, r.rl_action AS action,
+         (r.vitals IS NOT NULL AND r.vitals <> '') AS has_v,
+         CASE WHEN r.vitals IS NOT NULL AND r.vitals <> ''
+              THEN coalesce(nullif({jnum('r.vitals', 'HR')}, 0), {jnum('r.vitals', 'Pulse')}) END AS hr,
+         CASE WHEN r.vitals IS NOT NULL AND r.vitals <> '' THEN {jnum('r.vitals', 'SBP')} END AS sbp,
+         CASE WHEN r.vitals IS NOT NULL AND r.vitals <> '' THEN {jnum('r.vitals', 'O2Sat')} END AS o2,
+         CASE WHEN r.vitals IS NOT NULL AND r.vitals <> ''
+              THEN coalesce(nullif({jnum('r.vitals', 'RR')}, 0), {jnum('r.vitals', 'Resp')}) END AS rr
+  FROM appointments a
+  JOIN patients p ON a.patient_id = p.patient_id
+  LEFT JOIN triage_results r ON a.appointment_id = r.appointment_id
+  LEFT JOIN priority_tokens t ON a.appointment_id = t.appointment_id
+  WHERE a.status IN ('SCHEDULED', 'IN_PROGRESS')),
+hp1 AS (
+  SELECT *, CASE WHEN hr <> 0 AND sbp > 0 THEN round(hr / sbp, 2) END AS shock_index,
+         concat_ws(' | ', CASE WHEN hr <> 0 THEN 'HR ' || {_int('hr')} END,
+                          CASE WHEN sbp <> 0 THEN 'BP ' || {_int('sbp')} END,
+                          CASE WHEN o2 <> 0 THEN 'O2 ' || {_int('o2')} || '%' END,
+                          CASE WHEN rr <> 0 THEN 'RR ' || {_int('rr')} END) AS parts
+  FROM hp0),
+hp AS (
+  SELECT appointment_id, patient_id, patient_name, token, triage_level, chief_complaint,
+         CASE WHEN NOT has_v THEN 'No vitals recorded' WHEN parts = '' THEN 'No vitals' ELSE parts END AS vitals_summary,
+         shock_index,
+         CAST(trunc((epoch_us({AS_OF}) - epoch_us(created_at)) / 60000000.0) AS INTEGER) AS time_in_ed,
+         action, priority_score,
+         CASE WHEN shock_index > 0.7 THEN 'deteriorating' ELSE 'stable' END AS trend_status,
+         list_filter([
+           CASE WHEN shock_index > 1.0 THEN '⚠️ ' || patient_name || ': Critical Shock Index ('
+                || CAST(shock_index AS VARCHAR) || ')' END,
+           CASE WHEN hr <> 0 AND hr > 120 THEN '\U0001f534 ' || patient_name || ': Tachycardia (HR ' || {_int('hr')} || ')' END,
+           CASE WHEN sbp <> 0 AND sbp < 90 THEN '\U0001f534 ' || patient_name || ': Hypotension (SBP ' || {_int('sbp')} || ')' END,
+           CASE WHEN o2 <> 0 AND o2 < 92 THEN '\U0001f534 ' || patient_name || ': Hypoxia (O2 ' || {_int('o2')} || '%)' END
+         ], lambda x: x IS NOT NULL) AS alerts
+  FROM hp1)"""
+
+
+def _on_hp(sql: str) -> str:
+    head = with_views("SELECT 1", "appointments", "patients", "triage_results", "priority_tokens")
+    head = head[: head.rindex("\nSELECT 1")]
+    return f"{head},{HP}\n{sql}"
+
+
+ORACLE["handoff_patients"] = _on_hp("""
+SELECT appointment_id, patient_id, patient_name, token, triage_level, chief_complaint, vitals_summary, shock_index,
+       time_in_ed, action, trend_status, alerts FROM hp""")
+
+ORACLE["handoff_alerts"] = _on_hp("""
+SELECT appointment_id, rule_pos, alert FROM (
+  SELECT appointment_id, priority_score, unnest(range(len(alerts))) AS rule_pos, unnest(alerts) AS alert FROM hp)
+ORDER BY priority_score DESC NULLS LAST, appointment_id, rule_pos LIMIT 10""")
+
+ORACLE["handoff_summary"] = _on_hp("""
+, c AS (
+  SELECT count(*) AS total_patients, count(*) FILTER (WHERE triage_level <= 2) AS critical_count,
+         count(*) FILTER (WHERE triage_level = 3) AS urgent_count,
+         count(*) FILTER (WHERE triage_level > 3) AS stable_count, round(avg(time_in_ed), 1) AS avg_wait_minutes
+  FROM hp),
+w AS (
+  SELECT string_agg(patient_name, ', ' ORDER BY priority_score DESC NULLS LAST, appointment_id) AS names,
+         count(*) AS n
+  FROM (SELECT * FROM hp WHERE trend_status = 'deteriorating'
+        ORDER BY priority_score DESC NULLS LAST, appointment_id LIMIT 3)),
+s AS (
+  SELECT c.*, w.names, w.n,
+         concat_ws('. ', CASE WHEN critical_count > 0 THEN critical_count || ' critical patient(s) requiring immediate attention' END,
+                         CASE WHEN urgent_count > 0 THEN urgent_count || ' urgent case(s) in queue' END,
+                         CASE WHEN stable_count > 0 THEN stable_count || ' stable patient(s) for routine care' END) AS parts
+  FROM c, w)
+SELECT total_patients, critical_count, urgent_count, stable_count, avg_wait_minutes,
+       CASE WHEN parts = '' THEN 'ED is currently clear. No active patients.' ELSE parts || '.' END
+       || CASE WHEN n > 0 THEN ' Watch closely: ' || names || '.' ELSE '' END AS summary
+FROM s""")
+
+ORACLE["watch_list"] = _on_hp("""
+SELECT appointment_id, patient_name, triage_level, trend_status FROM hp
+WHERE triage_level <= 2 OR trend_status = 'deteriorating'""")
+
+ORACLE["result_detail"] = with_views(f"""
+SELECT appointment_id, esi_level, supervised_confidence, rl_action,
+       CASE WHEN hr <> 0 AND sbp > 0 THEN round(hr / sbp, 2) END AS shock_index,
+       CASE WHEN epoch_us(created_at) % 1000000 = 0 THEN strftime(created_at, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') END AS created_at
+FROM (SELECT *, coalesce(nullif({jnum('vitals', 'Pulse')}, 0), {jnum('vitals', 'HR')}) AS hr,
+             {jnum('vitals', 'SBP')} AS sbp
+      FROM triage_results
+      WHERE appointment_id IN (SELECT appointment_id FROM appointments WHERE status = 'IN_PROGRESS'))""",
+                                    "triage_results", "appointments")
+
+ORACLE["patient_appointments"] = with_views("""
+SELECT patient_id, appointment_id, status, triage_level, created_at,
+       count(*) OVER (PARTITION BY patient_id) AS n_appointments
+FROM appointments WHERE patient_id IN (SELECT patient_id FROM patients)""", "appointments", "patients")
+
+ORACLE["orphan_visits"] = with_views("""
+SELECT reading_id, patient_id, patient_id IN (SELECT patient_id FROM patients) AS patient_exists
+FROM vitals_readings""", "vitals_readings", "patients")
+
+
+# ---- decisions and audit -------------------------------------------------------
+
+DEC = """
+dec0 AS (
+  SELECT row_id, acuity AS ESI, policy_action, list_max(p) AS conf, list_position(p, list_max(p)) AS pred
+  FROM (SELECT *, coalesce(probs, [0.1, 0.15, 0.5, 0.15, 0.1]) AS p FROM decisions_input)),
+dec AS (
+  SELECT row_id, ESI, pred AS Sup_Pred, conf AS Sup_Conf,
+         CASE WHEN conf < 0.6 OR pred = 3 THEN 'RL_Agent' ELSE 'Supervised' END AS Source,
+         CASE WHEN conf < 0.6 OR pred = 3 THEN policy_action
+              ELSE CASE pred WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 1 END END
+           AS Final_Action
+  FROM dec0),
+decf AS (SELECT *, ESI <= 2 AND Final_Action IN (0, 1) AS Is_Critical_Miss FROM dec),
+named AS (
+  SELECT *, CASE Final_Action WHEN 0 THEN 'Wait/Home' WHEN 1 THEN 'Fast Track' WHEN 2 THEN 'Acute Care'
+                 WHEN 3 THEN 'Critical Care' WHEN 4 THEN 'Diagnostics' ELSE 'Unknown' END AS Action_Name
+  FROM decf)"""
+
+
+def _on_dec(sql: str, *extra: str) -> str:
+    head = with_views("SELECT 1", "decisions_input", *extra)
+    head = head[: head.rindex("\nSELECT 1")]
+    return f"{head},{DEC}\n{sql}"
+
+
+ORACLE["hybrid_decision"] = _on_dec(
+    "SELECT row_id, ESI, Sup_Pred, Sup_Conf, Source, Final_Action, Is_Critical_Miss FROM decf")
+
+ORACLE["decision_flags"] = _on_dec("""
+SELECT row_id, ESI, Final_Action, ESI <= 2 AND Final_Action IN (0, 1) AS critical_miss,
+       ESI >= 4 AND Final_Action IN (2, 3) AS over_triage,
+       (ESI <= 2 AND Final_Action IN (2, 3)) OR (ESI = 3 AND Final_Action = 2) OR (ESI >= 4 AND Final_Action = 1)
+         AS correct
+FROM decf""")
+
+ORACLE["hybrid_metrics"] = _on_dec("""
+SELECT *, coalesce(rl_interventions * 100.0 / nullif(total_patients, 0), 0.0) AS rl_intervention_pct,
+       coalesce(critical_misses * 100.0 / nullif(total_critical, 0), 0.0) AS critical_miss_rate,
+       coalesce(over_triage * 100.0 / nullif(total_low_acuity, 0), 0.0) AS over_triage_rate,
+       coalesce(correct * 100.0 / nullif(total_patients, 0), 0.0) AS accuracy
+FROM (SELECT count(*) AS total_patients, count(*) FILTER (WHERE Source = 'RL_Agent') AS rl_interventions,
+             count(*) FILTER (WHERE ESI <= 2) AS total_critical,
+             count(*) FILTER (WHERE ESI <= 2 AND Final_Action IN (0, 1)) AS critical_misses,
+             count(*) FILTER (WHERE ESI >= 4) AS total_low_acuity,
+             count(*) FILTER (WHERE ESI >= 4 AND Final_Action IN (2, 3)) AS over_triage,
+             count(*) FILTER (WHERE (ESI <= 2 AND Final_Action IN (2, 3)) OR (ESI = 3 AND Final_Action = 2)
+                                    OR (ESI >= 4 AND Final_Action = 1)) AS correct
+      FROM decf)""")
+
+ORACLE["confusion_matrix"] = _on_dec("""
+SELECT ESI,
+       count(*) FILTER (WHERE Action_Name = 'Critical Care') / count(*) AS "Critical Care",
+       count(*) FILTER (WHERE Action_Name = 'Acute Care') / count(*) AS "Acute Care",
+       count(*) FILTER (WHERE Action_Name = 'Diagnostics') / count(*) AS "Diagnostics",
+       count(*) FILTER (WHERE Action_Name = 'Fast Track') / count(*) AS "Fast Track",
+       count(*) FILTER (WHERE Action_Name = 'Wait/Home') / count(*) AS "Wait/Home"
+FROM named GROUP BY ESI""")
+
+ORACLE["action_by_source"] = _on_dec("SELECT Action_Name, Source, count(*) AS count FROM named GROUP BY 1, 2")
+
+ORACLE["safety_split"] = _on_dec("""
+SELECT NOT (Final_Action IN (0, 1)) AS Is_Safe, count(*) AS count FROM decf WHERE ESI IN (1, 2) GROUP BY 1""")
+
+ORACLE["action_labels"] = _on_dec("""
+SELECT row_id, Final_Action, Action_Name,
+       CASE Final_Action WHEN 0 THEN 'Wait' WHEN 1 THEN 'Fast Track' WHEN 2 THEN 'Acute' WHEN 3 THEN 'Critical'
+                         WHEN 4 THEN 'Diagnostics' ELSE 'Unknown' END AS env_name,
+       CASE Final_Action WHEN 0 THEN 'Assign to Bed' WHEN 1 THEN 'Move to Waiting Room'
+                         WHEN 2 THEN 'Direct to Fast Track' ELSE 'Move to Waiting Room' END AS service_label
+FROM named""")
+
+FAIR = """
+, fair AS (
+  SELECT v.row_id, v.Age, v.ESI, d.Final_Action, d.Is_Critical_Miss,
+         CASE WHEN v.Age < 18 THEN 'Pediatric (<18)' WHEN v.Age > 65 THEN 'Geriatric (>65)' ELSE 'Adult (18-65)' END
+           AS Age_Group,
+         CASE v.Sex WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' ELSE 'Unknown' END AS Gender_Label,
+         CASE v.Race WHEN 1 THEN 'White' WHEN 2 THEN 'Black' WHEN 3 THEN 'Hispanic' WHEN 4 THEN 'Asian/Other'
+                     ELSE 'Other' END AS Race_Label
+  FROM audit_visits v JOIN decf d ON v.row_id = d.row_id
+  WHERE v.ESI IS NOT NULL)"""
+
+ORACLE["fairness_input"] = _on_dec(FAIR + """
+SELECT row_id, Age, ESI, Age_Group, Gender_Label, Race_Label, Final_Action, Is_Critical_Miss FROM fair""",
+                                   "audit_visits")
+
+ORACLE["fairness_rates"] = _on_dec(FAIR + """,
+long AS (
+  SELECT 'Age_Group' AS dimension, Age_Group AS "group", * FROM fair
+  UNION ALL SELECT 'Gender_Label', Gender_Label, * FROM fair
+  UNION ALL SELECT 'Race_Label', Race_Label, * FROM fair),
+per AS (
+  SELECT dimension, "group", count(*) FILTER (WHERE ESI IN (1, 2)) AS n_critical,
+         avg(CASE WHEN ESI IN (1, 2) THEN CAST(Is_Critical_Miss AS DOUBLE) END) * 100 AS critical_miss_rate,
+         count(*) FILTER (WHERE ESI IN (4, 5)) AS n_low_acuity,
+         avg(CASE WHEN ESI IN (4, 5) THEN CAST(ESI IN (4, 5) AND Final_Action = 3 AS DOUBLE) END) * 100
+           AS over_triage_rate
+  FROM long GROUP BY 1, 2)
+SELECT * FROM per WHERE dimension IN (SELECT dimension FROM per GROUP BY 1 HAVING count(*) > 1)""",
+                                   "audit_visits")
+
+COST = """
+, costed AS (
+  SELECT d.*, coalesce(o.area_full, false) AS area_full FROM decf d
+  LEFT JOIN (
+    SELECT row_id, row_number() OVER (PARTITION BY area ORDER BY row_id) - 1
+                   >= CASE area WHEN 'critical' THEN 10 WHEN 'acute' THEN 30 ELSE 20 END AS area_full
+    FROM (SELECT row_id, CASE Final_Action WHEN 3 THEN 'critical' WHEN 2 THEN 'acute' WHEN 1 THEN 'fast' END AS area
+          FROM decf) WHERE area IS NOT NULL) o ON d.row_id = o.row_id),
+rewarded AS (
+  SELECT *, CASE
+    WHEN Final_Action = 0 THEN CASE WHEN ESI <= 2 THEN -500 ELSE -1 END
+    WHEN Final_Action = 3 THEN CASE WHEN ESI >= 4 THEN -20 ELSE 20 END - CASE WHEN area_full THEN 50 ELSE 0 END
+    WHEN Final_Action = 1 THEN CASE WHEN ESI >= 4 THEN 15 ELSE -500 END - CASE WHEN area_full THEN 30 ELSE 0 END
+    WHEN Final_Action = 2 THEN CASE WHEN ESI IN (2, 3) THEN 15 WHEN ESI = 1 THEN -500 ELSE -10 END
+                               - CASE WHEN area_full THEN 40 ELSE 0 END
+    WHEN Final_Action = 4 THEN -5 ELSE 0 END AS reward
+  FROM costed)"""
+
+ORACLE["decision_cost"] = _on_dec(COST + """
+SELECT Source, count(*) AS decisions, sum(reward) AS total_reward, avg(reward) AS mean_reward
+FROM rewarded GROUP BY Source""")
+
+ORACLE["policy_table"] = _on_dec(COST + """,
+per AS (SELECT Sup_Pred, area_full, Final_Action, avg(reward) AS mean_reward, count(*) AS n
+        FROM rewarded GROUP BY 1, 2, 3)
+SELECT Sup_Pred, area_full, Final_Action AS best_action, mean_reward, n AS support
+FROM (SELECT *, row_number() OVER (PARTITION BY Sup_Pred, area_full ORDER BY mean_reward DESC, Final_Action) AS rn
+      FROM per) WHERE rn = 1""")
+
+
+# ---- ingest --------------------------------------------------------------------
+
+from edspark.schemas import CODE_PATTERN, CODES_FROM, LAYOUT_A, LAYOUT_B  # noqa: E402
+
+
+def parse_sql(layout, src: str = "raw_lines", extra: str = "") -> str:
+    cols = []
+    for name, s, e, scale in layout:
+        f = f"trim(substr(value, {s + 1}, {e - s}))"
+        v = f"CASE WHEN regexp_full_match({f}, '[0-9]+') THEN CAST({f} AS DOUBLE) END"
+        cols.append(f"{v} / {scale} AS {name}" if scale != 1.0 else f"{v} AS {name}")
+    codes = f"regexp_extract_all(substr(value, {CODES_FROM + 1}), '{CODE_PATTERN}')"
+    cols.append(f"coalesce(nullif(array_to_string({codes}, ' '), ''), 'Unknown') AS Chief_complain")
+    return f"SELECT {extra}{', '.join(cols)} FROM {src}"
+
+
+ORACLE["fixed_width_parse"] = with_views(parse_sql(LAYOUT_A), "raw_lines")
+ORACLE["fixed_width_parse_b"] = with_views(parse_sql(LAYOUT_B), "raw_lines")
+ORACLE["valid_esi"] = with_views(
+    f"SELECT * FROM ({parse_sql(LAYOUT_A)}) WHERE ESI IS NOT NULL AND ESI BETWEEN 1 AND 5", "raw_lines")
+YEAR_EXPR = "CASE l_linestatus WHEN 'F' THEN 2021 ELSE 2022 END AS Year, "
+UNION_YEARS = (f"SELECT * FROM ({parse_sql(LAYOUT_A, extra=YEAR_EXPR)}) "
+               "WHERE ESI IS NOT NULL AND ESI BETWEEN 1 AND 5")
+ORACLE["union_years"] = with_views(UNION_YEARS, "raw_lines")
+ORACLE["year_counts"] = with_views(f"SELECT Year, count(*) AS count FROM ({UNION_YEARS}) GROUP BY Year", "raw_lines")
+ORACLE["diagnosis_codes"] = with_views(f"""
+SELECT regexp_extract_all(substr(value, {CODES_FROM + 1}), '{CODE_PATTERN}') AS codes,
+       coalesce(nullif(array_to_string(regexp_extract_all(substr(value, {CODES_FROM + 1}), '{CODE_PATTERN}'), ' '), ''),
+                'Unknown') AS Chief_complain
+FROM raw_lines""", "raw_lines")
+ORACLE["code_descriptions"] = with_views(f"""
+, visits AS (SELECT row_number() OVER () AS rid, Chief_complain FROM ({parse_sql(LAYOUT_A)})),
+words AS (SELECT rid, unnest(w) AS code, unnest(range(len(w))) AS pos
+          FROM (SELECT rid, list_filter(string_split_regex(trim(Chief_complain), '\\s+'), lambda x: x <> '') AS w
+                FROM visits)),
+looked AS (
+  SELECT w.rid, w.pos, coalesce(d1.description, d2.description, w.code) AS d
+  FROM words w
+  LEFT JOIN code_dictionary d1 ON w.code = d1.code
+  LEFT JOIN code_dictionary d2
+    ON CASE WHEN length(w.code) > 3 THEN substr(w.code, 1, 3) || '.' || substr(w.code, 4) END = d2.code)
+SELECT v.Chief_complain,
+       CASE WHEN v.Chief_complain IS NULL THEN 'Unknown' ELSE coalesce(t.txt, '') END AS Chief_complain_text
+FROM visits v LEFT JOIN (SELECT rid, string_agg(d, ' ' ORDER BY pos) AS txt FROM looked GROUP BY rid) t
+  ON v.rid = t.rid""", "raw_lines", "code_dictionary")

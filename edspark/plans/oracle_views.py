@@ -99,6 +99,18 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS request_id, event_type AS endpoint, CAST(ts AS TIMESTAMP) AS ts,
                value AS latency_ms, event_type <> 'error' AS passed
         FROM events""",
+    "audit_visits": """
+        SELECT c_custkey AS row_id,
+               CASE WHEN c_custkey % 37 <> 0 THEN CAST(CAST(trunc(c_acctbal) AS BIGINT) % 100 AS DOUBLE) END AS Age,
+               c_nationkey % 3 AS Sex, c_nationkey % 6 AS Race,
+               CASE WHEN c_custkey % 41 <> 0 THEN CAST(c_custkey % 5 + 1 AS DOUBLE) END AS ESI
+        FROM customer""",
+    "bed_moves": """
+        SELECT event_id AS move_id, CAST(ts AS TIMESTAMP) AS ts,
+               CASE WHEN event_type IN ('click', 'signup') THEN 'bed'
+                    WHEN event_type IN ('view', 'error') THEN 'waiting' ELSE 'fast_track' END AS area,
+               CASE WHEN event_id % 4 = 3 THEN -1 ELSE 1 END AS delta
+        FROM events""",
 }
 
 DEPENDS = {"appointments": ["appointments0"], "priority_tokens": ["appointments0", "appointments"]}

@@ -56,6 +56,9 @@ COLOR_DEFAULT = "UNK"
 SERVICE_ACTIONS = {0: "Assign to Bed", 1: "Move to Waiting Room", 2: "Direct to Fast Track"}
 SERVICE_ACTION_DEFAULT = "Move to Waiting Room"
 BATCH_ACTIONS = {0: "Wait", 1: "Fast Track", 2: "Acute", 3: "Critical", 4: "Diagnostics"}
+# Chart names of the batch actions and the chart column order.
+CHART_ACTIONS = {0: "Wait/Home", 1: "Fast Track", 2: "Acute Care", 3: "Critical Care", 4: "Diagnostics"}
+CHART_ORDER = ["Critical Care", "Acute Care", "Diagnostics", "Fast Track", "Wait/Home"]
 
 # Fairness label maps.
 SEX_LABELS = {1: "Female", 2: "Male"}

@@ -182,3 +182,26 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("latency_ms"),
         (F.col("event_type") != "error").alias("passed"),
     )
+
+
+def audit_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original visit rows of the fairness audit, keyed by ingest row id."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    key = F.col("c_custkey")
+    return c.select(
+        key.alias("row_id"),
+        F.when(key % 37 != 0, (F.col("c_acctbal").cast("bigint") % 100).cast("double")).alias("Age"),
+        (F.col("c_nationkey") % 3).alias("Sex"),
+        (F.col("c_nationkey") % 6).alias("Race"),
+        F.when(key % 41 != 0, (key % 5 + 1).cast("double")).alias("ESI"),
+    )
+
+
+def bed_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of +1 / -1 moves into treatment areas."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    area = (F.when(F.col("event_type").isin("click", "signup"), "bed")
+            .when(F.col("event_type").isin("view", "error"), "waiting").otherwise("fast_track"))
+    return e.select(
+        F.col("event_id").alias("move_id"), F.col("ts").cast("timestamp").alias("ts"), area.alias("area"),
+        F.when(F.col("event_id") % 4 == 3, F.lit(-1)).otherwise(F.lit(1)).alias("delta"))
