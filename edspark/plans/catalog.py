@@ -318,3 +318,387 @@ def q_diagnosis_codes(spark, d):
 def q_code_descriptions(spark, d):
     visits = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A).select("Chief_complain")
     return describe_codes(visits, fx.code_dictionary(spark, d))
+
+
+# ---- attribution ---------------------------------------------------------------
+
+from edspark.operators import attribution as att  # noqa: E402
+
+
+@query("attribution_mean_abs")
+def q_attribution_mean_abs(spark, d):
+    return att.attribution_mean_abs(fx.attributions(spark, d), 100)
+
+
+@query("attribution_mean_abs_nested")
+def q_attribution_mean_abs_nested(spark, d):
+    return att.attribution_mean_abs(fx.nested_attributions(spark, d), 100, nesting=2)
+
+
+@query("attribution_by_class")
+def q_attribution_by_class(spark, d):
+    return att.attribution_by_class(fx.nested_attributions(spark, d), 2)
+
+
+@query("attribution_top")
+def q_attribution_top(spark, d):
+    return att.attribution_top(att.attribution_mean_abs(fx.attributions(spark, d), 100))
+
+
+@query("record_top_features")
+def q_record_top_features(spark, d):
+    return att.record_top_features(fx.attributions(spark, d), 3)
+
+
+@query("attribution_merge")
+def q_attribution_merge(spark, d):
+    from edspark.sources.files import keyed_merge
+
+    updates = fx.attributions(spark, d).select(F.col("row_id").alias("appointment_id"),
+                                               F.to_json("payload").alias("shap_values"))
+    merged = keyed_merge(fx.triage_results(spark, d), updates, "appointment_id", ["shap_values"])
+    return merged.select("appointment_id", F.col("shap_values").isNotNull().alias("shap_ready"),
+                         F.json_array_length("shap_values").alias("n_values"))
+
+
+# ---- features and models -------------------------------------------------------
+
+from edspark.operators import features as feat  # noqa: E402
+
+
+def _visits(spark, d):
+    """Parsed valid visits, written once with a reliable checkpoint: the
+    fitted-statistics queries read them several times."""
+    from edspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return fw.valid_esi(fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)).checkpoint(eager=True)
+
+
+@query("impute_scale_stats")
+def q_impute_scale_stats(spark, d):
+    return feat.impute_scale_stats(_visits(spark, d))
+
+
+@query("impute_scale")
+def q_impute_scale(spark, d):
+    v = _visits(spark, d)
+    return feat.impute_scale(v, feat.impute_scale_stats(v), keep=["ESI"])
+
+
+@query("one_hot_arrival")
+def q_one_hot_arrival(spark, d):
+    return feat.one_hot(_visits(spark, d), "ArrivalMode", keep=["ESI"])
+
+
+@query("label_encode")
+def q_label_encode(spark, d):
+    return feat.label_encode(_visits(spark, d).select("ESI"), "ESI")
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, d):
+    return feat.stratified_folds(fx.decisions_input(spark, d).select("row_id", "acuity"), "acuity", "row_id", 3)
+
+
+@query("complaint_features")
+def q_complaint_features(spark, d):
+    return feat.complaint_features(fx.complaints(spark, d), "complaint", "doc_id").drop("features")
+
+
+def _training_frame(spark, d):
+    """Scaled numeric + one-hot arrival + hashed code text, keyed by a row id
+    fixed once with a reliable checkpoint (the id is reused across jobs)."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import array_to_vector
+
+    from edspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    v = (fw.valid_esi(fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A))
+         .withColumn("row_id", F.monotonically_increasing_id()).checkpoint(eager=True))
+    scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["row_id", "ESI", "ArrivalMode", "Chief_complain"])
+    oh = feat.one_hot(scaled, "ArrivalMode", keep=[c for c in scaled.columns if c != "ArrivalMode"])
+    oh = oh.withColumn("ArrivalMode_vec", array_to_vector("ArrivalMode_onehot"))
+    oh = oh.withColumn("__codes", F.split("Chief_complain", " "))
+    tf = HashingTF(inputCol="__codes", outputCol="codes_tf", numFeatures=64).transform(oh)
+    labelled = feat.label_encode(tf, "ESI").withColumn("label", F.col("label").cast("double"))
+    return feat.feature_matrix(labelled, feat.NUMERIC, ["ArrivalMode_vec", "codes_tf"])
+
+
+@query("feature_matrix")
+def q_feature_matrix(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    m = _training_frame(spark, d)
+    return m.select("row_id", "label", F.size(vector_to_array("features")).alias("n_features"))
+
+
+@query("acuity_classifier")
+def q_acuity_classifier(spark, d):
+    """Fit the stacked model, save and reload every stage from the
+    shared folder, then score the whole frame."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from edspark.session import scratch_dir
+
+    train = _training_frame(spark, d)
+    base, meta = feat.fit_stacked_classifier(train)
+    root = scratch_dir(spark, "acuity-model")
+    loaded = []
+    for i, m in enumerate(base):
+        m.write().overwrite().save(f"{root}/base{i}")
+        loaded.append(type(m).load(f"{root}/base{i}"))
+    meta.write().overwrite().save(f"{root}/meta")
+    return feat.predict_stacked(train, loaded, LogisticRegressionModel.load(f"{root}/meta"))
+
+
+@query("linear_attribution")
+def q_linear_attribution(spark, d):
+    from pyspark.ml.regression import LinearRegression
+
+    v = _visits(spark, d)
+    scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["ESI"])
+    x = feat.feature_matrix(scaled, feat.NUMERIC, [])
+    model = LinearRegression(featuresCol="features", labelCol="ESI", maxIter=20).fit(x)
+    means = scaled.agg(*[F.avg(c).alias(c) for c in feat.NUMERIC])
+    out = att.linear_attribution(scaled, feat.NUMERIC, list(model.coefficients), means)
+    return out.select("ESI", "contributions")
+
+
+# ---- rules over whole tables ---------------------------------------------------
+
+from edspark import schemas as S  # noqa: E402
+from edspark.functions import rules as R  # noqa: E402
+from edspark.functions import text as X  # noqa: E402
+from edspark.functions import vitals as V  # noqa: E402
+from edspark.operators.sequence import ordered_sequence  # noqa: E402
+
+
+@query("priority_tokens")
+def q_priority_tokens(spark, d):
+    """Deterministic tokens: sequence per colour by issue time."""
+    t = fx.priority_tokens(spark, d).select("appointment_id", "triage_level", "issued_at")
+    seq = ordered_sequence(t, [F.col("issued_at"), F.col("appointment_id")], ["triage_level"], name="sequence")
+    return seq.select("appointment_id", "triage_level", "sequence",
+                      R.token_text("triage_level", "sequence").alias("token"))
+
+
+@query("priority_score")
+def q_priority_score(spark, d):
+    a = fx.appointments(spark, d)
+    return a.select("appointment_id", R.epoch_minutes("created_at").alias("epoch_minutes"),
+                    R.priority_score("triage_level", "created_at").alias("priority_score"))
+
+
+@query("vitals_json")
+def q_vitals_json(spark, d):
+    r = fx.vitals_readings(spark, d).withColumn("__v", V.parse_vitals("vitals"))
+    return r.select("reading_id",
+                    V.first_present(F.col("__v.Pulse"), F.col("__v.HR")).alias("heart_rate"),
+                    V.first_truthy(F.col("__v.HR"), F.col("__v.Pulse")).alias("hr_service"),
+                    F.col("__v.SBP").alias("sbp"),
+                    V.first_present(F.col("__v.O2Sat"), F.col("__v.O2_Sat")).alias("o2sat"))
+
+
+@query("shock_index")
+def q_shock_index(spark, d):
+    r = fx.vitals_readings(spark, d).withColumn("__v", V.parse_vitals("vitals"))
+    hr = V.first_present(F.col("__v.Pulse"), F.col("__v.HR"))
+    return r.select("reading_id", V.shock_index(hr, F.col("__v.SBP")).alias("shock_index"),
+                    V.shock_index(hr, F.col("__v.SBP"), 2).alias("shock_index_rounded"))
+
+
+@query("sanitize_vitals")
+def q_sanitize_vitals(spark, d):
+    r = fx.vitals_readings(spark, d).select("reading_id", V.sanitize_vitals(V.parse_vitals("vitals")).alias("s"))
+    return r.select("reading_id", *[F.col(f"s.{k}").alias(k) for k in S.MEDIAN_VITALS])
+
+
+@query("structured_features")
+def q_structured_features(spark, d):
+    r = fx.vitals_readings(spark, d)
+    f = V.structured_features(V.sanitize_vitals(V.parse_vitals("vitals")), F.col("arrival_mode"))
+    return r.select("reading_id", f.alias("f")).select("reading_id", *[F.col(f"f.{c}").alias(c)
+                                                                      for c in S.STRUCTURED_COLUMNS])
+
+
+@query("dedupe_arrivals")
+def q_dedupe_arrivals(spark, d):
+    """The first reading per patient (by time, then id) as a partial
+    aggregate, safe for a patient with very many readings."""
+    r = fx.vitals_readings(spark, d)
+    first = F.min_by(F.struct("reading_id", "ts"), F.struct("ts", "reading_id"))
+    return r.groupBy("patient_id").agg(first.alias("f")).select("patient_id", "f.reading_id", "f.ts")
+
+
+@query("clean_complaint")
+def q_clean_complaint(spark, d):
+    c = fx.complaints(spark, d)
+    return c.select("doc_id", X.clean_complaint("complaint").alias("complaint_clean"),
+                    F.substring("complaint", 1, 100).alias("event_text"))
+
+
+@query("walkin_dob")
+def q_walkin_dob(spark, d):
+    return fx.audit_visits(spark, d).select("row_id", R.walkin_dob("Age", fx.as_of()).alias("date_of_birth"))
+
+
+@query("ed_state_vector")
+def q_ed_state_vector(spark, d):
+    """The service state per reading: visit probabilities,
+    vitals risk, queue occupancy from the SCHEDULED queue, time of reading."""
+    probs = fx.decisions_input(spark, d).select(F.col("row_id").alias("reading_id"), "probs")
+    r = fx.vitals_readings(spark, d).join(probs, "reading_id", "inner").withColumn("__v", V.parse_vitals("vitals"))
+    q = dash.queue_wait(fx.appointments(spark, d), AS_OF).select("queue_length")
+    x = r.crossJoin(F.broadcast(q))
+    risk = R.risk_score(F.col("__v.O2Sat"), F.col("__v.SBP"))
+    ta, tb = R.time_features("ts")
+    return x.select("reading_id", risk.alias("risk"),
+                    R.state_vector("probs", risk, R.queue_occupancy("queue_length"), ta, tb).alias("state"))
+
+
+@query("occupancy_ratio")
+def q_occupancy_ratio(spark, d):
+    """Latest running occupancy per area over its capacity."""
+    occ = hist.occupancy_running(fx.bed_moves(spark, d))
+    last = occ.groupBy("area").agg(F.max_by("occupancy", F.struct("ts", "move_id")).alias("occupancy"))
+    cap = spark.createDataFrame([("waiting", S.CAPACITY["waiting"]), ("bed", S.CAPACITY["occ_acute"]),
+                                 ("fast_track", S.CAPACITY["occ_fast"])], "area string, capacity double")
+    return last.join(F.broadcast(cap), "area", "left").select(
+        "area", "occupancy", (F.col("occupancy") / F.col("capacity")).alias("ratio"))
+
+
+@query("visit_status")
+def q_visit_status(spark, d):
+    return fx.triage_results(spark, d).select("appointment_id", "rl_action", R.visit_status("rl_action").alias("status"))
+
+
+@query("bed_load")
+def q_bed_load(spark, d):
+    """Per day, the bed-load fraction of that day's active queue."""
+    a = ho.active_appointments(fx.appointments(spark, d))
+    n = a.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n_patients"))
+    return n.select("day", "n_patients", R.bed_load("n_patients").alias("load"),
+                    R.bed_band(R.bed_load("n_patients")).alias("band"))
+
+
+@query("arrival_severity")
+def q_arrival_severity(spark, d):
+    t = fx.triage_results(spark, d)
+    return t.select("appointment_id", "esi_level", R.arrival_severity("esi_level").alias("severity"))
+
+
+@query("wait_band")
+def q_wait_band(spark, d):
+    t = fx.priority_tokens(spark, d)
+    return t.select("appointment_id", R.wait_text("estimated_wait_minutes", "triage_level").alias("wait_text"))
+
+
+@query("input_range_check")
+def q_input_range_check(spark, d):
+    """Kiosk range rules over visit inputs; the first failing field is
+    the reason, missing inputs are not checked."""
+    v = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)
+    fields = {"age": "Age", "heart_rate": "Pulse", "temperature": "Temp", "pain": "PainScale"}
+    fails = [F.when(F.col(fields[f]).isNotNull() & ~F.col(fields[f]).between(lo, hi), F.lit(f))
+             for f, lo, hi in S.INPUT_RANGES]
+    reason = F.coalesce(*fails)
+    return v.select("Age", "Pulse", "Temp", "PainScale", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+@query("kiosk_defaults")
+def q_kiosk_defaults(spark, d):
+    v = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)
+    k = V.kiosk_vitals("Age", "Pulse", "Temp", "PainScale")
+    return v.select(k.alias("k")).select("k.*")
+
+
+@query("latency_report")
+def q_latency_report(spark, d):
+    """Per endpoint: n, passed, failed, min, max, mean, exact median,
+    sample std (0 when n = 1) and requests per second over the span."""
+    log = fx.request_log(spark, d)
+    med = feat.exact_medians_by(log, "endpoint", "latency_ms")
+    agg = log.groupBy("endpoint").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.avg("latency_ms").alias("mean_ms"),
+        F.coalesce(F.stddev_samp("latency_ms"), F.lit(0.0)).alias("std_ms"),
+        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("__span"))
+    return agg.join(med, "endpoint", "left").select(
+        "endpoint", "n", "passed", "failed", "min_ms", "max_ms", "mean_ms", "median_ms", "std_ms",
+        F.try_divide(F.col("n").cast("double"), F.col("__span")).alias("requests_per_s"))
+
+
+@query("seeded_sample")
+def q_seeded_sample(spark, d):
+    """Exactly n rows by a seeded hash order, then drop null targets."""
+    a = fx.appointments(spark, d)
+    h = F.pmod(F.col("appointment_id") * F.lit(2654435761) + F.lit(42), F.lit(4294967296))
+    return (a.orderBy(h, F.col("appointment_id")).limit(1000).filter(F.col("triage_level").isNotNull())
+            .select("appointment_id", "triage_level"))
+
+
+@query("arrival_events")
+def q_arrival_events(spark, d):
+    from edspark.streaming.arrivals import new_patient_events
+
+    t = fx.triage_results(spark, d).select("appointment_id", F.col("esi_level").alias("triage_level"),
+                                           F.col("rl_action").alias("action"), "vitals", F.col("created_at").alias("ts"))
+    a = fx.appointments(spark, d).select("appointment_id", "patient_id")
+    c = fx.complaints(spark, d).select(F.col("doc_id").alias("appointment_id"), F.col("complaint").alias("chief_complaint"))
+    visits = t.join(a, "appointment_id", "inner").join(c, "appointment_id", "left")
+    ev = new_patient_events(visits)
+    return ev.select("appointment_id", "patient_id", "triage_level", "priority_score", "action",
+                     F.col("vitals.SBP").alias("SBP"), F.col("vitals.HR").alias("HR"), F.col("vitals.RR").alias("RR"),
+                     F.col("vitals.O2Sat").alias("O2Sat"), "chief_complaint", "shap_ready")
+
+
+# ---- streaming -----------------------------------------------------------------
+
+from edspark.streaming import arrivals as st  # noqa: E402
+
+
+def _events_stream(spark, d):
+    return st.read_events(spark, d, "events.parquet")
+
+
+@query("stream_arrivals")
+def q_stream_arrivals(spark, d):
+    ev = st.new_patient_events(st.triage_stream(_events_stream(spark, d)))
+    out = st.run_available_now(ev.select("appointment_id", "triage_level", "priority_score", "payload"), "arrivals")
+    return out.select("appointment_id", "triage_level", "priority_score",
+                      F.get_json_object("payload", "$.event_type").alias("event_type"))
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, d):
+    s = _events_stream(spark, d).select(F.col("user_id").alias("patient_id"), "ts", "event_id")
+    return st.run_available_now(st.first_per_key(s, "patient_id"), "dedupe", mode="complete")
+
+
+@query("stream_queue")
+def q_stream_queue(spark, d):
+    v = st.triage_stream(_events_stream(spark, d)).select(
+        "patient_id", "ts", "appointment_id", "triage_level", R.priority_score("triage_level", "ts").alias("priority_score"))
+    return st.run_available_now(st.latest_per_key(v, "patient_id"), "queue", mode="complete")
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, d):
+    return st.run_available_now(st.severity_alerts(st.triage_stream(_events_stream(spark, d))), "alerts")
+
+
+@query("stream_hourly")
+def q_stream_hourly(spark, d):
+    return st.run_available_now(st.hourly_arrivals(st.triage_stream(_events_stream(spark, d))), "hourly",
+                                mode="complete")
+
+
+@query("stream_attribution_join")
+def q_stream_attribution_join(spark, d):
+    arrivals = st.triage_stream(_events_stream(spark, d))
+    ready = (_events_stream(spark, d).filter(F.col("event_type") == "view")
+             .select(F.col("event_id").alias("ready_id"),
+                     (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ready_ts")))
+    return st.run_available_now(st.attribution_join(arrivals, ready), "attribution")

@@ -4,7 +4,7 @@ rule definitions, over the views of :mod:`edspark.plans.oracle_views`."""
 
 from __future__ import annotations
 
-from edspark.plans.oracle_views import with_views
+from edspark.plans.oracle_views import COLOUR, K, with_views
 
 ORACLE: dict[str, str] = {}
 
@@ -484,3 +484,301 @@ SELECT v.Chief_complain,
        CASE WHEN v.Chief_complain IS NULL THEN 'Unknown' ELSE coalesce(t.txt, '') END AS Chief_complain_text
 FROM visits v LEFT JOIN (SELECT rid, string_agg(d, ' ' ORDER BY pos) AS txt FROM looked GROUP BY rid) t
   ON v.rid = t.rid""", "raw_lines", "code_dictionary")
+
+
+# ---- attribution ---------------------------------------------------------------
+
+def fname(pos: str, names) -> str:
+    arr = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    k = len(names)
+    return (f"CASE WHEN {pos} < {k} THEN {arr}[{pos} + 1] WHEN {pos} < {k + 768} THEN 'BERT_' || CAST({pos} - {k} AS VARCHAR) "
+            f"ELSE 'Feature_' || CAST({pos} AS VARCHAR) END")
+
+
+from edspark.schemas import DASHBOARD_FEATURES, SERVICE_FEATURES  # noqa: E402
+
+MEAN_ABS = f"""
+, recent AS (SELECT * FROM attributions WHERE payload IS NOT NULL ORDER BY created_at DESC, row_id DESC LIMIT 100),
+flat AS (SELECT unnest(range(len(payload))) AS pos, unnest(payload) AS v FROM recent),
+imp AS (SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(v)) AS importance FROM flat GROUP BY pos)"""
+
+ORACLE["attribution_mean_abs"] = with_views(MEAN_ABS + "\nSELECT pos, feature, importance FROM imp", "attributions")
+
+ORACLE["attribution_top"] = with_views(MEAN_ABS + """,
+top AS (SELECT * FROM imp ORDER BY importance DESC, pos LIMIT 15),
+kept AS (SELECT * FROM top WHERE NOT starts_with(feature, 'BERT_')
+                             OR NOT EXISTS (SELECT 1 FROM top WHERE NOT starts_with(feature, 'BERT_')))
+SELECT pos, feature, importance FROM kept ORDER BY importance DESC, pos LIMIT 10""", "attributions")
+
+ORACLE["attribution_mean_abs_nested"] = with_views(f"""
+, recent AS (SELECT * FROM nested_attributions WHERE payload IS NOT NULL ORDER BY created_at DESC, row_id DESC LIMIT 100),
+cls AS (SELECT row_id, unnest(range(len(payload))) AS c, unnest(payload) AS p FROM recent),
+flat AS (SELECT row_id, c, unnest(range(len(p))) AS pos, unnest(p) AS v FROM cls),
+per AS (SELECT row_id, pos, avg(v) AS mv FROM flat GROUP BY row_id, pos)
+SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(mv)) AS importance FROM per GROUP BY pos""",
+                                                   "nested_attributions")
+
+ORACLE["attribution_by_class"] = with_views(f"""
+, one AS (SELECT payload[3] AS p FROM nested_attributions),
+flat AS (SELECT unnest(range(len(p))) AS pos, unnest(p) AS v FROM one)
+SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(v)) AS importance FROM flat GROUP BY pos""",
+                                            "nested_attributions")
+
+ORACLE["record_top_features"] = with_views(f"""
+, flat AS (SELECT row_id, unnest(range(len(payload))) AS pos, unnest(payload) AS v FROM attributions),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, pos DESC) AS rank FROM flat)
+SELECT row_id, rank, {fname('pos', SERVICE_FEATURES)} AS feature, v AS impact FROM ranked WHERE rank <= 3""",
+                                           "attributions")
+
+ORACLE["attribution_merge"] = with_views("""
+SELECT t.appointment_id, (a.row_id IS NOT NULL OR t.shap_values IS NOT NULL) AS shap_ready,
+       CASE WHEN a.row_id IS NOT NULL THEN len(a.payload) ELSE json_array_length(t.shap_values) END AS n_values
+FROM triage_results t LEFT JOIN attributions a ON t.appointment_id = a.row_id""", "triage_results", "attributions")
+
+
+# ---- features ------------------------------------------------------------------
+
+NUMERIC = ["Age", "Temp", "Pulse", "Resp", "SBP", "DBP", "O2Sat", "PainScale"]
+VISITS = f"visits AS (SELECT * FROM ({parse_sql(LAYOUT_A)}) WHERE ESI IS NOT NULL AND ESI BETWEEN 1 AND 5)"
+LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM visits WHERE {c} IS NOT NULL" for c in NUMERIC)
+STATS = f"""
+, {VISITS},
+long AS ({LONG}),
+med AS (SELECT "column", median(value) AS median FROM long GROUP BY "column"),
+md AS (SELECT "column", value AS mode FROM (
+         SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS rn
+         FROM long GROUP BY "column", value) WHERE rn = 1),
+filled AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", coalesce({c}, (SELECT median FROM med WHERE \"column\" = '{c}')) AS value FROM visits"
+    for c in NUMERIC)}),
+mom AS (SELECT "column", avg(value) AS mean, stddev_pop(value) AS std FROM filled GROUP BY "column"),
+stats AS (SELECT med."column", median, mode, mean, std FROM med LEFT JOIN md USING ("column") LEFT JOIN mom USING ("column"))"""
+
+ORACLE["impute_scale_stats"] = with_views(STATS + "\nSELECT * FROM stats", "raw_lines")
+
+
+def _scaled(c: str) -> str:
+    w = f"WHERE \"column\" = '{c}'"
+    return (f"(coalesce({c}, (SELECT median FROM stats {w})) - (SELECT mean FROM stats {w}))"
+            f" / (SELECT CASE WHEN std = 0 OR std IS NULL THEN 1.0 ELSE std END FROM stats {w}) AS {c}")
+
+
+ORACLE["impute_scale"] = with_views(STATS + f"\nSELECT ESI, {', '.join(_scaled(c) for c in NUMERIC)} FROM visits",
+                                    "raw_lines")
+
+ORACLE["one_hot_arrival"] = with_views(f"""
+, {VISITS},
+m AS (SELECT ArrivalMode AS mode FROM visits WHERE ArrivalMode IS NOT NULL
+      GROUP BY ArrivalMode ORDER BY count(*) DESC, ArrivalMode LIMIT 1),
+f AS (SELECT ESI, coalesce(ArrivalMode, (SELECT mode FROM m)) AS ArrivalMode FROM visits),
+cats AS (SELECT list(DISTINCT ArrivalMode ORDER BY ArrivalMode) AS c FROM f)
+SELECT ESI, ArrivalMode, list_transform((SELECT c FROM cats), lambda x: CASE WHEN x = ArrivalMode THEN 1.0 ELSE 0.0 END)
+       AS ArrivalMode_onehot
+FROM f""", "raw_lines")
+
+ORACLE["label_encode"] = with_views(f"""
+, {VISITS}
+SELECT ESI, CAST(dense_rank() OVER (ORDER BY ESI) - 1 AS INTEGER) AS label FROM visits""", "raw_lines")
+
+ORACLE["stratified_folds"] = with_views("""
+SELECT row_id, acuity,
+       CAST((row_number() OVER (PARTITION BY acuity ORDER BY (row_id * 2654435761) % 4294967296, row_id) - 1) % 3
+            AS INTEGER) AS fold
+FROM decisions_input""", "decisions_input")
+
+
+# ---- rules over whole tables ---------------------------------------------------
+
+ORACLE["priority_tokens"] = with_views(f"""
+SELECT appointment_id, triage_level, seq AS sequence, printf('%s-%04d', {COLOUR}, seq) AS token
+FROM (SELECT *, row_number() OVER (PARTITION BY triage_level ORDER BY issued_at, appointment_id) AS seq
+      FROM priority_tokens)""", "priority_tokens")
+
+ORACLE["priority_score"] = with_views("""
+SELECT appointment_id, CAST(floor(epoch(created_at) / 60) AS BIGINT) AS epoch_minutes,
+       (6 - CAST(triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(created_at) / 60) AS BIGINT) AS priority_score
+FROM appointments""", "appointments")
+
+ORACLE["vitals_json"] = with_views(f"""
+SELECT reading_id, coalesce({jnum('vitals', 'Pulse')}, {jnum('vitals', 'HR')}) AS heart_rate,
+       coalesce(nullif({jnum('vitals', 'HR')}, 0), {jnum('vitals', 'Pulse')}) AS hr_service,
+       {jnum('vitals', 'SBP')} AS sbp, coalesce({jnum('vitals', 'O2Sat')}, {jnum('vitals', 'O2_Sat')}) AS o2sat
+FROM vitals_readings""", "vitals_readings")
+
+ORACLE["shock_index"] = with_views(f"""
+SELECT reading_id, CASE WHEN hr <> 0 AND sbp > 0 THEN hr / sbp END AS shock_index,
+       CASE WHEN hr <> 0 AND sbp > 0 THEN round(hr / sbp, 2) END AS shock_index_rounded
+FROM (SELECT reading_id, coalesce({jnum('vitals', 'Pulse')}, {jnum('vitals', 'HR')}) AS hr, {jnum('vitals', 'SBP')} AS sbp
+      FROM vitals_readings)""", "vitals_readings")
+
+from edspark.schemas import MEDIAN_VITALS, VALID_RANGES, ZERO_IS_MISSING  # noqa: E402
+
+
+def _san(k: str) -> str:
+    v = jnum("vitals", k)
+    bad = f"{v} IS NULL OR {v} < 0" + (f" OR {v} = 0" if k in ZERO_IS_MISSING else "")
+    lo, hi = VALID_RANGES[k]
+    return f"CASE WHEN {bad} THEN {MEDIAN_VITALS[k]} ELSE greatest({lo}, least({hi}, {v})) END"
+
+
+ORACLE["sanitize_vitals"] = with_views(
+    f"SELECT reading_id, {', '.join(f'{_san(k)} AS {k}' for k in MEDIAN_VITALS)} FROM vitals_readings",
+    "vitals_readings")
+
+ORACLE["structured_features"] = with_views(f"""
+SELECT reading_id, {_san('Age')} AS Age, {_san('Temp')} AS Temp,
+       coalesce(nullif({_san('Pulse')}, 0), coalesce({_san('HR')}, 82.0)) AS Pulse,
+       coalesce(nullif({_san('Resp')}, 0), coalesce({_san('RR')}, 18.0)) AS Resp,
+       {_san('SBP')} AS SBP, {_san('DBP')} AS DBP, {_san('O2Sat')} AS O2Sat, {_san('PainScale')} AS PainScale,
+       CASE WHEN arrival_mode IS NOT NULL AND arrival_mode <> ''
+            THEN CASE arrival_mode WHEN 'Ambulance' THEN 1.0 WHEN 'Public Transport' THEN 2.0 WHEN 'Walk-in' THEN 3.0
+                                   WHEN 'Other' THEN 4.0 ELSE 3.0 END
+            ELSE coalesce({jnum('vitals', 'ArrivalMode')}, 3.0) END AS ArrivalMode
+FROM vitals_readings""", "vitals_readings")
+
+ORACLE["dedupe_arrivals"] = with_views("""
+SELECT patient_id, reading_id, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts, reading_id) AS rn FROM vitals_readings)
+WHERE rn = 1""", "vitals_readings")
+
+ORACLE["clean_complaint"] = with_views("""
+SELECT doc_id,
+       CASE WHEN complaint IS NULL OR length(regexp_replace(complaint, '^\\s+|\\s+$', '', 'g')) < 3
+            THEN 'General complaint' ELSE substr(complaint, 1, 5000) END AS complaint_clean,
+       substr(complaint, 1, 100) AS event_text
+FROM complaints""", "complaints")
+
+ORACLE["walkin_dob"] = with_views(f"""
+SELECT row_id, make_date(CAST(year({AS_OF}) - CAST(trunc(Age) AS INTEGER) AS BIGINT), 1, 1) AS date_of_birth
+FROM audit_visits""", "audit_visits")
+
+ORACLE["ed_state_vector"] = with_views(f"""
+, q AS (SELECT count(*) AS queue_length FROM appointments WHERE status = 'SCHEDULED'),
+x AS (
+  SELECT r.reading_id, d.probs, r.ts, q.queue_length,
+         CASE WHEN coalesce({jnum('r.vitals', 'O2Sat')}, 100.0) < 90 OR coalesce({jnum('r.vitals', 'SBP')}, 120.0) < 90
+              THEN 0.9 ELSE 0.1 END AS risk
+  FROM vitals_readings r JOIN decisions_input d ON r.reading_id = d.row_id, q)
+SELECT reading_id, risk,
+       CAST(probs || [risk] || [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+            || [least(queue_length, 5) / 5.0, least(greatest(queue_length - 5, 0), 5) / 5.0, 0.2, 0.2]
+            || [hour(ts) / 24.0, minute(ts) / 60.0] AS FLOAT[]) AS state
+FROM x""", "vitals_readings", "decisions_input", "appointments")
+
+ORACLE["occupancy_ratio"] = with_views("""
+, occ AS (SELECT *, sum(delta) OVER (PARTITION BY area ORDER BY ts, move_id ROWS UNBOUNDED PRECEDING) AS occupancy
+          FROM bed_moves),
+last AS (SELECT area, occupancy FROM (
+          SELECT *, row_number() OVER (PARTITION BY area ORDER BY ts DESC, move_id DESC) AS rn FROM occ) WHERE rn = 1)
+SELECT area, occupancy, occupancy / CASE area WHEN 'waiting' THEN 50.0 WHEN 'bed' THEN 30.0 ELSE 20.0 END AS ratio
+FROM last""", "bed_moves")
+
+ORACLE["visit_status"] = with_views("""
+SELECT appointment_id, rl_action,
+       CASE WHEN rl_action IN ('Assign to Bed', 'Direct to Fast Track') THEN 'IN_PROGRESS' ELSE 'SCHEDULED' END AS status
+FROM triage_results""", "triage_results")
+
+ORACLE["bed_load"] = with_views("""
+SELECT day, n_patients, load,
+       CASE WHEN load > 0.9 THEN 'red' WHEN load > 0.7 THEN 'yellow' ELSE 'green' END AS band
+FROM (SELECT CAST(created_at AS DATE) AS day, count(*) AS n_patients, least(count(*) + 8, 20) / 20.0 AS load
+      FROM appointments WHERE status IN ('SCHEDULED', 'IN_PROGRESS') GROUP BY 1)""", "appointments")
+
+ORACLE["arrival_severity"] = with_views("""
+SELECT appointment_id, esi_level,
+       CASE WHEN esi_level <= 2 THEN 'critical' WHEN esi_level = 3 THEN 'warning' END AS severity
+FROM triage_results""", "triage_results")
+
+ORACLE["wait_band"] = with_views("""
+SELECT appointment_id,
+       CASE WHEN estimated_wait_minutes IS NOT NULL AND estimated_wait_minutes <> 0
+            THEN 'Estimated wait: ' || estimated_wait_minutes || ' minutes'
+            ELSE coalesce(CASE triage_level WHEN 1 THEN 'You will be seen immediately'
+                                            WHEN 2 THEN 'Estimated wait: 10-15 minutes'
+                                            WHEN 3 THEN 'Estimated wait: 30-60 minutes'
+                                            WHEN 4 THEN 'Estimated wait: 1-2 hours'
+                                            WHEN 5 THEN 'Estimated wait: 2-4 hours' END,
+                          'Please wait for your turn') END AS wait_text
+FROM priority_tokens""", "priority_tokens")
+
+ORACLE["input_range_check"] = with_views(f"""
+SELECT Age, Pulse, Temp, PainScale, reason IS NULL AS valid, reason FROM (
+  SELECT *, coalesce(CASE WHEN Age IS NOT NULL AND NOT (Age BETWEEN 0 AND 120) THEN 'age' END,
+                     CASE WHEN Pulse IS NOT NULL AND NOT (Pulse BETWEEN 30 AND 250) THEN 'heart_rate' END,
+                     CASE WHEN Temp IS NOT NULL AND NOT (Temp BETWEEN 90 AND 110) THEN 'temperature' END,
+                     CASE WHEN PainScale IS NOT NULL AND NOT (PainScale BETWEEN 0 AND 10) THEN 'pain' END) AS reason
+  FROM ({parse_sql(LAYOUT_A)}))""", "raw_lines")
+
+ORACLE["kiosk_defaults"] = with_views(f"""
+SELECT coalesce(nullif(Age, 0), 30.0) AS Age, coalesce(nullif(Pulse, 0), 80.0) AS Pulse,
+       coalesce(nullif(Pulse, 0), 80.0) AS HR, coalesce(nullif(Temp, 0), 98.6) AS Temp,
+       16.0 AS Resp, 120.0 AS SBP, 80.0 AS DBP, 98.0 AS O2Sat, PainScale
+FROM ({parse_sql(LAYOUT_A)})""", "raw_lines")
+
+ORACLE["latency_report"] = with_views("""
+SELECT endpoint, count(*) AS n, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed,
+       min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, avg(latency_ms) AS mean_ms, median(latency_ms) AS median_ms,
+       coalesce(stddev_samp(latency_ms), 0.0) AS std_ms,
+       count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) AS requests_per_s
+FROM request_log GROUP BY endpoint""", "request_log")
+
+ORACLE["seeded_sample"] = with_views("""
+SELECT appointment_id, triage_level FROM (
+  SELECT * FROM appointments ORDER BY (appointment_id * 2654435761 + 42) % 4294967296, appointment_id LIMIT 1000)
+WHERE triage_level IS NOT NULL""", "appointments")
+
+ORACLE["arrival_events"] = with_views(f"""
+SELECT t.appointment_id, a.patient_id, t.esi_level AS triage_level,
+       (6 - CAST(t.esi_level AS BIGINT)) * 100000 + CAST(floor(epoch(t.created_at) / 60) AS BIGINT) AS priority_score,
+       t.rl_action AS action, {jnum('t.vitals', 'SBP')} AS SBP,
+       coalesce(nullif({jnum('t.vitals', 'Pulse')}, 0), {jnum('t.vitals', 'HR')}) AS HR,
+       coalesce(nullif({jnum('t.vitals', 'Resp')}, 0), {jnum('t.vitals', 'RR')}) AS RR,
+       {jnum('t.vitals', 'O2Sat')} AS O2Sat, substr(c.complaint, 1, 100) AS chief_complaint, false AS shap_ready
+FROM triage_results t JOIN appointments a ON t.appointment_id = a.appointment_id
+LEFT JOIN complaints c ON c.doc_id = t.appointment_id""", "triage_results", "appointments", "complaints")
+
+
+# ---- streaming (batch-equal results) -------------------------------------------
+
+STREAM_TRIAGE = f"""
+, st AS (SELECT event_id AS appointment_id, user_id AS patient_id, CAST(ts AS TIMESTAMP) AS ts, event_id, event_type,
+                CAST(1 + (user_id + {K}) % 5 AS INTEGER) AS triage_level
+         FROM events)"""
+
+from edspark.plans.oracle_views import K  # noqa: E402
+
+STREAM_TRIAGE = STREAM_TRIAGE.replace("{K}", K)
+
+
+def _stream(sql: str) -> str:
+    return "WITH " + STREAM_TRIAGE.lstrip("\n, ") + "\n" + sql
+
+
+ORACLE["stream_arrivals"] = _stream("""
+SELECT appointment_id, triage_level,
+       (6 - CAST(triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(ts) / 60) AS BIGINT) AS priority_score,
+       'new_patient' AS event_type
+FROM st""")
+
+ORACLE["stream_dedupe"] = _stream("""
+SELECT patient_id, ts, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts, event_id) AS rn FROM st) WHERE rn = 1""")
+
+ORACLE["stream_queue"] = _stream("""
+SELECT patient_id, ts, appointment_id, triage_level,
+       (6 - CAST(triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(ts) / 60) AS BIGINT) AS priority_score
+FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, appointment_id DESC) AS rn FROM st)
+WHERE rn = 1""")
+
+ORACLE["stream_alerts"] = _stream("""
+SELECT appointment_id, ts, triage_level, CASE WHEN triage_level <= 2 THEN 'critical' ELSE 'warning' END AS severity
+FROM st WHERE triage_level <= 3""")
+
+ORACLE["stream_hourly"] = _stream("""
+SELECT date_trunc('hour', ts) AS hour_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour_end, count(*) AS count
+FROM st GROUP BY 1""")
+
+ORACLE["stream_attribution_join"] = _stream("""
+SELECT a.appointment_id, a.ts, a.triage_level, r.ts + INTERVAL 5 MINUTE AS ready_ts, true AS shap_ready
+FROM st a JOIN st r ON a.appointment_id = r.event_id AND r.event_type = 'view'
+ AND r.ts + INTERVAL 5 MINUTE >= a.ts AND r.ts + INTERVAL 5 MINUTE <= a.ts + INTERVAL 1 HOUR""")

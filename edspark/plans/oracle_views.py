@@ -21,7 +21,7 @@ COLOUR = ("CASE triage_level WHEN 1 THEN 'RED' WHEN 2 THEN 'ORG' WHEN 3 THEN 'YE
 
 
 def _code(key: str) -> str:
-    return f"(chr(CAST(65 + ({key}) % 26 AS INTEGER)) || printf('%03d', ({key}) // 26))"
+    return f"(chr(CAST(65 + ({key}) % 26 AS INTEGER)) || lpad(CAST(({key}) // 26 AS VARCHAR), 3, '0'))"
 
 
 VIEWS: dict[str, str] = {
@@ -67,25 +67,33 @@ VIEWS: dict[str, str] = {
                         + abs(CAST(embedding[3] AS DOUBLE)) + abs(CAST(embedding[4] AS DOUBLE))
                         + abs(CAST(embedding[5] AS DOUBLE)) AS t FROM embeddings)""",
     "vitals_readings": f"""
-        SELECT event_id AS reading_id, user_id AS patient_id, CAST(ts AS TIMESTAMP) AS ts, {VITALS} AS vitals
+        SELECT event_id AS reading_id, user_id AS patient_id, CAST(ts AS TIMESTAMP) AS ts, {VITALS} AS vitals,
+               CASE event_type WHEN 'click' THEN 'Ambulance' WHEN 'view' THEN 'Public Transport'
+                               WHEN 'purchase' THEN 'Walk-in' WHEN 'signup' THEN 'Other' END AS arrival_mode
         FROM events""",
+    "nested_attributions": """
+        SELECT row_id, created_at,
+               [payload[1:16], payload[17:32], payload[33:48], payload[49:64]] AS payload
+        FROM attributions""",
     "raw_lines": f"""
         SELECT l_linestatus,
-          printf('%010d', l_orderkey)
-          || CASE WHEN l_suppkey % 11 = 0 THEN '    ' WHEN l_suppkey % 13 = 0 THEN '  -9' ELSE printf('%4d', l_partkey % 100) END
-          || printf('%016d', l_suppkey)
-          || CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE printf('%1d', l_linenumber % 4 + 1) END
-          || printf('%016d', l_partkey)
-          || printf('%4d', l_partkey % 40 + 970)
-          || CASE WHEN l_orderkey % 17 = 0 THEN ' -9' ELSE printf('%3d', l_orderkey % 100 + 50) END
-          || printf('%3d', l_suppkey % 20 + 10)
-          || CASE WHEN l_partkey % 19 = 0 THEN '   ' ELSE printf('%3d', l_partkey % 100 + 80) END
-          || printf('%3d', l_orderkey % 50 + 50)
-          || printf('%3d', l_linenumber % 13 + 88)
-          || printf('%2d', l_linenumber % 7 + 1)
-          || printf('%-106s', ' ' || {_code('l_partkey')} || ' ' || {_code('l_partkey + 7')}
-                    || ' x' || CAST(l_orderkey % 1000 AS VARCHAR) || ' Q1')
-          || CASE WHEN CAST(l_quantity AS INTEGER) % 9 = 0 THEN '  ' ELSE printf('%2d', CAST(l_quantity AS INTEGER) % 11) END
+          lpad(CAST(l_orderkey AS VARCHAR), 10, '0')
+          || CASE WHEN l_suppkey % 11 = 0 THEN '    ' WHEN l_suppkey % 13 = 0 THEN '  -9'
+                  ELSE lpad(CAST(l_partkey % 100 AS VARCHAR), 4, ' ') END
+          || lpad(CAST(l_suppkey AS VARCHAR), 16, '0')
+          || CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE lpad(CAST(l_linenumber % 4 + 1 AS VARCHAR), 1, ' ') END
+          || lpad(CAST(l_partkey AS VARCHAR), 16, '0')
+          || lpad(CAST(l_partkey % 40 + 970 AS VARCHAR), 4, ' ')
+          || CASE WHEN l_orderkey % 17 = 0 THEN ' -9' ELSE lpad(CAST(l_orderkey % 100 + 50 AS VARCHAR), 3, ' ') END
+          || lpad(CAST(l_suppkey % 20 + 10 AS VARCHAR), 3, ' ')
+          || CASE WHEN l_partkey % 19 = 0 THEN '   ' ELSE lpad(CAST(l_partkey % 100 + 80 AS VARCHAR), 3, ' ') END
+          || lpad(CAST(l_orderkey % 50 + 50 AS VARCHAR), 3, ' ')
+          || lpad(CAST(l_linenumber % 13 + 88 AS VARCHAR), 3, ' ')
+          || lpad(CAST(l_linenumber % 7 + 1 AS VARCHAR), 2, ' ')
+          || rpad(' ' || {_code('l_partkey')} || ' ' || {_code('l_partkey + 7')}
+                  || ' x' || CAST(l_orderkey % 1000 AS VARCHAR) || ' Q1', 106, ' ')
+          || CASE WHEN CAST(trunc(l_quantity) AS INTEGER) % 9 = 0 THEN '  '
+                  ELSE lpad(CAST(CAST(trunc(l_quantity) AS INTEGER) % 11 AS VARCHAR), 2, ' ') END
           AS value
         FROM lineitem""",
     "code_dictionary": f"""
@@ -113,7 +121,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
 }
 
-DEPENDS = {"appointments": ["appointments0"], "priority_tokens": ["appointments0", "appointments"]}
+DEPENDS = {"nested_attributions": ["attributions"], "appointments": ["appointments0"], "priority_tokens": ["appointments0", "appointments"]}
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -107,6 +107,15 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_attributions(spark: SparkSession, sf_dir: str, classes: int = 4) -> DataFrame:
+    """``[class][F]`` payloads: each flat payload read as ``classes`` blocks."""
+    a = attributions(spark, sf_dir)
+    width = F.size("payload") / classes
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)),
+                         lambda c: F.slice("payload", (c * width + 1).cast("int"), width.cast("int")))
+    return a.select("row_id", "created_at", blocks.alias("payload"))
+
+
 def decisions_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     parts = [F.abs(F.col("embedding")[i].cast("double")) for i in range(5)]
@@ -121,17 +130,20 @@ def decisions_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vitals_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    mode = (F.when(F.col("event_type") == "click", "Ambulance").when(F.col("event_type") == "view", "Public Transport")
+            .when(F.col("event_type") == "purchase", "Walk-in").when(F.col("event_type") == "signup", "Other"))
     return e.select(
         F.col("event_id").alias("reading_id"),
         F.col("user_id").alias("patient_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         vitals_json().alias("vitals"),
+        mode.alias("arrival_mode"),
     )
 
 
 def _code(key):
     return F.concat(F.expr(f"chr(65 + CAST(({key}) % 26 AS INT))"),
-                    F.format_string("%03d", F.floor(F.expr(key) / 26).cast("bigint")))
+                    F.lpad(F.floor(F.expr(key) / 26).cast("bigint").cast("string"), 3, "0"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
@@ -142,18 +154,21 @@ def raw_lines(spark: SparkSession, sf_dir: str, status: str | None = None) -> Da
         li = li.filter(F.col("l_linestatus") == status)
     o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     q = F.col("l_quantity").cast("int")
-    fmt = F.format_string
-    age = F.when(s % 11 == 0, F.lit("    ")).when(s % 13 == 0, F.lit("  -9")).otherwise(fmt("%4d", p % 100))
-    arrival = F.when(n % 5 == 0, F.lit(" ")).otherwise(fmt("%1d", n % 4 + 1))
-    pulse = F.when(o % 17 == 0, F.lit(" -9")).otherwise(fmt("%3d", o % 100 + 50))
-    sbp = F.when(p % 19 == 0, F.lit("   ")).otherwise(fmt("%3d", p % 100 + 80))
-    codes = fmt("%-106s", F.concat(F.lit(" "), _code("l_partkey"), F.lit(" "), _code("l_partkey + 7"),
-                                   F.lit(" x"), (o % 1000).cast("string"), F.lit(" Q1")))
-    pain = F.when(q % 9 == 0, F.lit("  ")).otherwise(fmt("%2d", q % 11))
+
+    def num(x, width, fill=" "):
+        return F.lpad(x.cast("string"), width, fill)
+
+    age = F.when(s % 11 == 0, F.lit("    ")).when(s % 13 == 0, F.lit("  -9")).otherwise(num(p % 100, 4))
+    arrival = F.when(n % 5 == 0, F.lit(" ")).otherwise(num(n % 4 + 1, 1))
+    pulse = F.when(o % 17 == 0, F.lit(" -9")).otherwise(num(o % 100 + 50, 3))
+    sbp = F.when(p % 19 == 0, F.lit("   ")).otherwise(num(p % 100 + 80, 3))
+    codes = F.rpad(F.concat(F.lit(" "), _code("l_partkey"), F.lit(" "), _code("l_partkey + 7"),
+                            F.lit(" x"), (o % 1000).cast("string"), F.lit(" Q1")), 106, " ")
+    pain = F.when(q % 9 == 0, F.lit("  ")).otherwise(num(q % 11, 2))
     line = F.concat(
-        fmt("%010d", o), age, fmt("%016d", s), arrival, fmt("%016d", p),
-        fmt("%4d", p % 40 + 970), pulse, fmt("%3d", s % 20 + 10), sbp, fmt("%3d", o % 50 + 50),
-        fmt("%3d", n % 13 + 88), fmt("%2d", n % 7 + 1), codes, pain,
+        num(o, 10, "0"), age, num(s, 16, "0"), arrival, num(p, 16, "0"),
+        num(p % 40 + 970, 4), pulse, num(s % 20 + 10, 3), sbp, num(o % 50 + 50, 3),
+        num(n % 13 + 88, 3), num(n % 7 + 1, 2), codes, pain,
     )
     return li.select(line.alias("value"))
 
