@@ -278,25 +278,33 @@ from edspark.schemas import LAYOUT_A, LAYOUT_B  # noqa: E402
 from edspark.sources import fixed_width as fw  # noqa: E402
 
 
+def _lines(spark, d, status=None):
+    return fx.raw_line_files(spark, d, status)
+
+
 @query("fixed_width_parse")
 def q_fixed_width_parse(spark, d):
-    return fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)
+    return fw.read_fixed(spark, _lines(spark, d), LAYOUT_A)
 
 
 @query("fixed_width_parse_b")
 def q_fixed_width_parse_b(spark, d):
-    return fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_B)
+    return fw.read_fixed(spark, _lines(spark, d), LAYOUT_B)
 
 
 @query("valid_esi")
 def q_valid_esi(spark, d):
-    return fw.valid_esi(fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A))
+    return fw.valid_esi(fw.read_fixed(spark, _lines(spark, d), LAYOUT_A))
 
 
 @query("union_years")
 def q_union_years(spark, d):
-    years = {2021: fw.parse_lines(fx.raw_lines(spark, d, "F")), 2022: fw.parse_lines(fx.raw_lines(spark, d, "O"))}
-    return fw.valid_esi(fw.union_years(years))
+    """Yearly files tagged with their year; the 2020 path does not
+    exist and is skipped."""
+    from edspark.session import scratch_dir
+
+    paths = {2020: scratch_dir(spark, "missing-year"), 2021: _lines(spark, d, "F"), 2022: _lines(spark, d, "O")}
+    return fw.valid_esi(fw.read_years(spark, paths))
 
 
 @query("year_counts")
@@ -310,13 +318,13 @@ def q_diagnosis_codes(spark, d):
     from edspark.schemas import CODES_FROM
 
     rest = F.substring("value", CODES_FROM + 1, 1 << 30)
-    return fx.raw_lines(spark, d).select(extract_codes(rest).alias("codes"),
+    return spark.read.text(_lines(spark, d)).select(extract_codes(rest).alias("codes"),
                                          join_codes(extract_codes(rest)).alias("Chief_complain"))
 
 
 @query("code_descriptions")
 def q_code_descriptions(spark, d):
-    visits = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A).select("Chief_complain")
+    visits = fw.read_fixed(spark, _lines(spark, d), LAYOUT_A).select("Chief_complain")
     return describe_codes(visits, fx.code_dictionary(spark, d))
 
 
@@ -372,7 +380,7 @@ def _visits(spark, d):
     from edspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return fw.valid_esi(fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)).checkpoint(eager=True)
+    return fw.valid_esi(fw.read_fixed(spark, _lines(spark, d), LAYOUT_A)).checkpoint(eager=True)
 
 
 @query("impute_scale_stats")
@@ -415,7 +423,7 @@ def _training_frame(spark, d):
     from edspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    v = (fw.valid_esi(fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A))
+    v = (fw.valid_esi(fw.read_fixed(spark, _lines(spark, d), LAYOUT_A))
          .withColumn("row_id", F.monotonically_increasing_id()).checkpoint(eager=True))
     scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["row_id", "ESI", "ArrivalMode", "Chief_complain"])
     oh = feat.one_hot(scaled, "ArrivalMode", keep=[c for c in scaled.columns if c != "ArrivalMode"])
@@ -599,7 +607,7 @@ def q_wait_band(spark, d):
 def q_input_range_check(spark, d):
     """Kiosk range rules over visit inputs; the first failing field is
     the reason, missing inputs are not checked."""
-    v = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)
+    v = fw.read_fixed(spark, _lines(spark, d), LAYOUT_A)
     fields = {"age": "Age", "heart_rate": "Pulse", "temperature": "Temp", "pain": "PainScale"}
     fails = [F.when(F.col(fields[f]).isNotNull() & ~F.col(fields[f]).between(lo, hi), F.lit(f))
              for f, lo, hi in S.INPUT_RANGES]
@@ -609,7 +617,7 @@ def q_input_range_check(spark, d):
 
 @query("kiosk_defaults")
 def q_kiosk_defaults(spark, d):
-    v = fw.parse_lines(fx.raw_lines(spark, d), LAYOUT_A)
+    v = fw.read_fixed(spark, _lines(spark, d), LAYOUT_A)
     k = V.kiosk_vitals("Age", "Pulse", "Temp", "PainScale")
     return v.select(k.alias("k")).select("k.*")
 
@@ -702,3 +710,32 @@ def q_stream_attribution_join(spark, d):
              .select(F.col("event_id").alias("ready_id"),
                      (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ready_ts")))
     return st.run_available_now(st.attribution_join(arrivals, ready), "attribution")
+
+
+# ---- file sources and sinks ----------------------------------------------------
+
+from edspark.sources import files as io  # noqa: E402
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, d):
+    """Decisions written as header CSV to the shared folder and read
+    back with the fixed schema (no inference pass)."""
+    from edspark.session import scratch_dir
+
+    path = scratch_dir(spark, "decisions-csv")
+    io.write_csv(_decisions(spark, d), path)
+    return io.read_csv(spark, path, S.DECISION_SCHEMA)
+
+
+@query("vector_roundtrip")
+def q_vector_roundtrip(spark, d):
+    """Vectors encoded to float32 blobs (Arrow-batched), stored in
+    parquet keyed by id, read back and decoded."""
+    from edspark.session import scratch_dir
+
+    path = scratch_dir(spark, "vectors")
+    emb = fx.table(spark, d, "embeddings").select("vec_id", io.vector_to_blob("embedding").alias("blob"))
+    io.write_vectors(emb, path)
+    back = io.read_vectors(spark, path)
+    return back.select("vec_id", io.blob_to_vector("blob").alias("embedding"), F.length("blob").alias("n_bytes"))

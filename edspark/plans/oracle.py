@@ -782,3 +782,7 @@ ORACLE["stream_attribution_join"] = _stream("""
 SELECT a.appointment_id, a.ts, a.triage_level, r.ts + INTERVAL 5 MINUTE AS ready_ts, true AS shap_ready
 FROM st a JOIN st r ON a.appointment_id = r.event_id AND r.event_type = 'view'
  AND r.ts + INTERVAL 5 MINUTE >= a.ts AND r.ts + INTERVAL 5 MINUTE <= a.ts + INTERVAL 1 HOUR""")
+
+ORACLE["csv_roundtrip"] = "WITH " + with_views("SELECT 1", "decisions_input")[5:].rsplit("\nSELECT 1", 1)[0] + "," + DEC \
+    + "\nSELECT row_id, ESI, Sup_Pred, Sup_Conf, Source, Final_Action, Is_Critical_Miss FROM decf"
+ORACLE["vector_roundtrip"] = "SELECT vec_id, embedding, 4 * len(embedding) AS n_bytes FROM embeddings"

@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,7 +65,3 @@ def keyed_merge(base: DataFrame, updates: DataFrame, key: str, columns: list[str
           for c in base.columns]
     )
 
-
-def stream_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # pragma: no cover
-    """Identity helper for ``mapInPandas`` sinks."""
-    yield from it

@@ -21,8 +21,20 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+SMALL_TABLES = {"region", "nation", "supplier", "benchmark", "labels"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one test table.  The generated tables are single-row-group
+    files, so a scan is one task; when a table has fewer files than the
+    default parallelism it is spread round-robin over that many partitions
+    (only the pruned columns are shuffled).  Tables stored as many files, as
+    on a cluster, are read as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    if name not in SMALL_TABLES and len(df.inputFiles()) < n:
+        df = df.repartition(n)
+    return df
 
 
 def _k(props: str = "props"):
@@ -173,6 +185,25 @@ def raw_lines(spark: SparkSession, sf_dir: str, status: str | None = None) -> Da
     return li.select(line.alias("value"))
 
 
+_LINE_FILES: dict[tuple[str, str | None], str] = {}
+
+
+def raw_line_files(spark: SparkSession, sf_dir: str, status: str | None = None) -> str:
+    """The fixed-width lines written once as text files under the shared
+    checkpoint folder (the survey's raw visit files); later calls in the same
+    process reuse them.  Returns the folder path."""
+    from edspark.session import scratch_dir
+    from edspark.sources.fixed_width import path_exists
+
+    key = (sf_dir, status)
+    path = _LINE_FILES.get(key)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = scratch_dir(spark, f"raw-lines-{status or 'all'}")
+        raw_lines(spark, sf_dir, status).write.mode("overwrite").text(path)
+        _LINE_FILES[key] = path
+    return path
+
+
 def code_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     raw = _code("p_partkey")
