@@ -77,3 +77,33 @@ def compare(df, con, sql: str):
     d = digest(d_cols, d_rows)
     ok = s == d
     return ok, {"spark": s[:2], "duckdb": d[:2], "hash_equal": s[2] == d[2]}
+
+
+def _close(a, b, tol: float = 1e-9) -> bool:
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=tol, abs_tol=tol)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(_close(x, y, tol) for x, y in zip(a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_close(a[k], b[k], tol) for k in a)
+    return a == b
+
+
+def compare_close(df, con, sql: str, tol: float = 1e-9):
+    """Like :func:`compare` but doubles are equal within ``tol`` (summation
+    order differs between engines and core counts)."""
+    cols = df.columns
+    s_rows = [[_norm(v, 12) for v in r] for r in spark_rows(df)]
+    res = con.execute(sql)
+    d_cols = [c[0] for c in res.description]
+    if sorted(cols) != sorted(d_cols):
+        return False, {"columns": (cols, d_cols)}
+    idx = [d_cols.index(c) for c in cols]
+    d_rows = [[_norm(dict(r[i]) if hasattr(r[i], "keys") else r[i], 12) for i in idx] for r in res.fetchall()]
+    if len(s_rows) != len(d_rows):
+        return False, {"rows": (len(s_rows), len(d_rows))}
+    key = lambda r: repr([_norm(v, 4) if isinstance(v, (float, list)) else v for v in r])
+    s_rows.sort(key=key)
+    d_rows.sort(key=key)
+    bad = [(a, b) for a, b in zip(s_rows, d_rows) if not _close(a, b, tol)]
+    return not bad, {"rows": len(s_rows), "mismatches": bad[:3]}
