@@ -739,3 +739,13 @@ def q_vector_roundtrip(spark, d):
     io.write_vectors(emb, path)
     back = io.read_vectors(spark, path)
     return back.select("vec_id", io.blob_to_vector("blob").alias("embedding"), F.length("blob").alias("n_bytes"))
+
+
+@query("triage_log_sql")
+def q_triage_log_sql(spark, d):
+    """S5 in SQL form: the bindings as temporary views and the parameterised
+    statement with named arguments."""
+    fx.triage_results(spark, d).createOrReplaceTempView("triage_results")
+    fx.appointments(spark, d).createOrReplaceTempView("appointments")
+    fx.priority_tokens(spark, d).createOrReplaceTempView("priority_tokens")
+    return dash.sql_triage_log(spark, WINDOW_HOURS, AS_OF).drop("shap_values", "vitals")

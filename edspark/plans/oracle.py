@@ -786,3 +786,8 @@ FROM st a JOIN st r ON a.appointment_id = r.event_id AND r.event_type = 'view'
 ORACLE["csv_roundtrip"] = "WITH " + with_views("SELECT 1", "decisions_input")[5:].rsplit("\nSELECT 1", 1)[0] + "," + DEC \
     + "\nSELECT row_id, ESI, Sup_Pred, Sup_Conf, Source, Final_Action, Is_Critical_Miss FROM decf"
 ORACLE["vector_roundtrip"] = "SELECT vec_id, embedding, 4 * len(embedding) AS n_bytes FROM embeddings"
+
+ORACLE["triage_log_sql"] = _on_log("""
+SELECT id, appointment_id, triage_level, confidence, rl_action, timestamp, arrival_time, status, token_number,
+       priority_score, estimated_wait_minutes
+FROM log ORDER BY timestamp DESC, id""", 168)

@@ -54,6 +54,15 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> Non
     metrics.write.mode(mode).json(path)
 
 
+def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Batch append of new visit / result / token rows (idempotency is
+    the caller's: append each batch once, or overwrite its partition)."""
+    w = df.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
 def keyed_merge(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Late update of existing rows by key.  Rows of ``updates`` whose key
     is absent in ``base`` are ignored; a null update keeps the old value.

@@ -114,6 +114,17 @@ def attribution_join(arrivals: DataFrame, ready: DataFrame, bound: str = "1 hour
                                        F.col("r.ready_ts").isNotNull().alias("shap_ready"))
 
 
+def start_refresh(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60, mode: str = "append"):
+    """The dashboard refresh as a processing-time trigger (60 s for the
+    log, 300 s for attribution aggregates); returns the running query."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/state" if mode == "complete" else f"{path}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+
+    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+            .foreachBatch(sink).trigger(processingTime=f"{int(seconds)} seconds").start())
+
+
 def run_available_now(stream: DataFrame, label: str, mode: str = "append",
                       transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """E7 in tests: process everything available, write each micro-batch to
