@@ -52,6 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """Timestamps are instants shown in UTC (the reference stores timestamptz
+    and reads naive times as UTC); the session zone is set to UTC."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -30,6 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     default parallelism it is spread round-robin over that many partitions
     (only the pruned columns are shuffled).  Tables stored as many files, as
     on a cluster, are read as they are."""
+    from edspark.session import ensure_utc
+
+    ensure_utc(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     n = spark.sparkContext.defaultParallelism
     if name not in SMALL_TABLES and len(df.inputFiles()) < n:
