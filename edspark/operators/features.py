@@ -9,8 +9,9 @@ as a one-row broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,3 +210,21 @@ def exact_medians_by(df: DataFrame, group: str, value: str) -> DataFrame:
     hi = F.ceil((F.col("n") + 1) / 2)
     mid = ranked.join(F.broadcast(n), group).filter((F.col("pos") == lo) | (F.col("pos") == hi))
     return mid.groupBy(group).agg(F.avg("value").alias("median_" + value.split("_")[-1]))
+
+
+def encode_texts(df: DataFrame, text_col: str, encoder_factory, out: str = "embedding") -> DataFrame:
+    """Plug a caller-supplied text encoder in as an Arrow iterator
+    ``pandas_udf``: the encoder is built once per task and called on Arrow
+    batches of cleaned complaints (X4/X5); it must map a list of strings to a
+    list of float vectors."""
+    from pyspark.sql import types as T
+
+    from edspark.functions.text import clean_complaint
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder_factory()
+        for batch in batches:
+            yield pd.Series([list(map(float, v)) for v in model(batch.tolist())])
+
+    return df.withColumn(out, _encode(clean_complaint(text_col)))

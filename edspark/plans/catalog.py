@@ -749,3 +749,13 @@ def q_triage_log_sql(spark, d):
     fx.appointments(spark, d).createOrReplaceTempView("appointments")
     fx.priority_tokens(spark, d).createOrReplaceTempView("priority_tokens")
     return dash.sql_triage_log(spark, WINDOW_HOURS, AS_OF).drop("shap_values", "vitals")
+
+
+@query("parse_report")
+def q_parse_report(spark, d):
+    return fw.parse_report(fw.read_fixed(spark, _lines(spark, d), LAYOUT_A))
+
+
+@query("hourly_series")
+def q_hourly_series(spark, d):
+    return dash.hourly_series(_log(spark, d))

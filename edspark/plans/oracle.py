@@ -791,3 +791,12 @@ ORACLE["triage_log_sql"] = _on_log("""
 SELECT id, appointment_id, triage_level, confidence, rl_action, timestamp, arrival_time, status, token_number,
        priority_score, estimated_wait_minutes
 FROM log ORDER BY timestamp DESC, id""", 168)
+
+ORACLE["parse_report"] = with_views(f"""
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE ESI IS NULL) AS n_missing_target,
+       count(*) FILTER (WHERE ESI IS NOT NULL AND NOT (ESI BETWEEN 1 AND 5)) AS n_out_of_range,
+       count(*) FILTER (WHERE ESI BETWEEN 1 AND 5) AS n_kept
+FROM ({parse_sql(LAYOUT_A)})""", "raw_lines")
+
+ORACLE["hourly_series"] = _on_log("""
+SELECT date_trunc('hour', timestamp) AS hour_start, count(*) AS count FROM log GROUP BY 1 ORDER BY 1""")

@@ -68,3 +68,14 @@ def read_years(spark: SparkSession, paths: Mapping[int, str], layout: Layout = L
 def valid_esi(visits: DataFrame, col: str = "ESI", low: int = 1, high: int = 5) -> DataFrame:
     """Drop null targets and keep ``low <= ESI <= high``."""
     return visits.filter(F.col(col).isNotNull() & F.col(col).between(low, high))
+
+
+def parse_report(visits: DataFrame, target: str = "ESI", low: int = 1, high: int = 5) -> DataFrame:
+    """P4-P6 counts in one aggregate: lines parsed, lines whose target did not
+    parse (dropped), lines out of range (dropped) and lines kept."""
+    t = F.col(target)
+    return visits.agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(t.isNull()).alias("n_missing_target"),
+        F.count_if(t.isNotNull() & ~t.between(low, high)).alias("n_out_of_range"),
+        F.count_if(t.isNotNull() & t.between(low, high)).alias("n_kept"))

@@ -43,3 +43,24 @@ def test_processing_time_trigger(spark):
         q.stop()
     assert spark.read.parquet(f"{out}/data").count() == spark.read.parquet(
         "/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_encoder_plugin(spark):
+    from edspark.operators.features import encode_texts
+
+    def factory():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    df = spark.createDataFrame([(1, "chest pain"), (2, ""), (3, None)], "id int, t string")
+    got = {r.id: r.embedding for r in encode_texts(df, "t", factory).collect()}
+    assert got[1] == [10.0, 1.0] and got[2] == [17.0, 1.0] and got[3] == [17.0, 1.0]
+
+
+def test_first_n_rows_alignment(spark):
+    from edspark.operators.decisions import fairness_input
+
+    orig = spark.createDataFrame([(i, 30.0, float(i % 5 + 1)) for i in range(10)], "row_id long, Age double, ESI double")
+    res = spark.createDataFrame([(i, 3, 1, False) for i in range(7)],
+                                "row_id long, ESI int, Final_Action int, Is_Critical_Miss boolean")
+    assert fairness_input(orig, res).count() == 7
+    assert fairness_input(orig, res, n=4).count() == 4
