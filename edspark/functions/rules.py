@@ -46,7 +46,7 @@ def iso_text(ts) -> Column:
     """ISO-8601 text like Python's ``isoformat``: six fraction digits
     when the microsecond part is non-zero, none otherwise."""
     t = _c(ts)
-    whole = F.unix_micros(t) % 1_000_000 == 0
+    whole = F.unix_micros(t.cast("timestamp")) % 1_000_000 == 0
     return (F.when(whole, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
             .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
 

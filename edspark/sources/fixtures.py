@@ -94,7 +94,7 @@ def triage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         action.alias("rl_action"),
         F.when(F.col("event_id") % 3 != 0, F.format_string("[%d]", k)).alias("shap_values"),
         vitals_json(k=k).alias("vitals"),
-        F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("ts").alias("created_at"),  # stored type kept, so time filters reach the scan
     )
 
 
