@@ -47,40 +47,48 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def impute_scale_stats(df: DataFrame, cols: Sequence[str] = NUMERIC) -> DataFrame:
     """A21/L1 fit: per column the exact median, the mode, and the mean and
-    population std of the median-imputed column."""
-    med = exact_medians(df, cols)
-    med_row = med.groupBy().pivot("column", list(cols)).agg(F.first("median"))
-    imputed = df.crossJoin(F.broadcast(med_row.select(*[F.col(c).alias(f"__m_{c}") for c in cols])))
-    filled = imputed.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")).alias(c) for c in cols])
+    population std of the median-imputed column.  The medians (one number per
+    column) are fetched once and applied as literals, as a fitted model
+    would hold them."""
+    med = {r["column"]: r["median"] for r in exact_medians(df, cols).collect()}
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))).alias(c) for c in cols])
     moments = _long(filled, cols).groupBy("column").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return med.join(modes(df, cols), "column", "left").join(moments, "column", "left")
+    medians = df.sparkSession.createDataFrame([(c, med.get(c)) for c in cols], "column string, median double")
+    return medians.join(modes(df, cols), "column", "left").join(moments, "column", "left")
 
 
 def impute_scale(df: DataFrame, stats: DataFrame, cols: Sequence[str] = NUMERIC, keep: Sequence[str] = ()) -> DataFrame:
     """L1 transform: ``(coalesce(x, median) - mean) / std`` (std 0 -> 1, as
-    the reference scaler does)."""
-    wide = stats.groupBy().pivot("column", list(cols)).agg(
-        F.first(F.struct("median", "mean", "std")))
-    j = df.crossJoin(F.broadcast(wide.select(*[F.col(c).alias(f"__s_{c}") for c in cols])))
+    the reference scaler does).  ``stats`` has one row per column; it is
+    fetched once and the fitted numbers become literals in the projection."""
+    fitted = {r["column"]: r for r in stats.select("column", "median", "mean", "std").collect()}
     out = []
     for c in cols:
-        s = F.col(f"__s_{c}")
-        std = F.when((s["std"] == 0) | s["std"].isNull(), F.lit(1.0)).otherwise(s["std"])
-        out.append(((F.coalesce(F.col(c).cast("double"), s["median"]) - s["mean"]) / std).alias(c))
-    return j.select(*keep, *out)
+        f = fitted[c]
+        std = 1.0 if not f["std"] else f["std"]
+        out.append(((F.coalesce(F.col(c).cast("double"), F.lit(f["median"])) - F.lit(f["mean"])) / F.lit(std)).alias(c))
+    return df.select(*keep, *out)
+
+
+MAX_CATEGORIES = 1000
 
 
 def one_hot(df: DataFrame, col: str = CATEGORICAL, keep: Sequence[str] = (), categories: Sequence[float] | None = None,
             fill=None) -> DataFrame:
     """L2: mode imputation, then one-hot over the sorted categories seen at
-    fit time; unseen values give all zeros.  The category list of a
-    categorical column is small and is fetched once."""
+    fit time; unseen values give all zeros.  The category list of a coded
+    column is small and is fetched once; a column with more than
+    ``MAX_CATEGORIES`` values is refused (use ``StringIndexer`` +
+    ``OneHotEncoder`` with sparse vectors for those)."""
     if fill is None:
         fill = modes(df, [col]).select("mode").first()[0]
     x = F.coalesce(F.col(col).cast("double"), F.lit(fill))
     if categories is None:
-        categories = [r[0] for r in df.select(x.alias("c")).distinct().orderBy("c").limit(1000).collect()]
+        found = df.select(x.alias("c")).distinct().orderBy("c").limit(MAX_CATEGORIES + 1).collect()
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories")
+        categories = [r[0] for r in found]
     vec = F.array(*[F.when(x == F.lit(float(c)), F.lit(1.0)).otherwise(F.lit(0.0)) for c in categories])
     return df.select(*keep, x.alias(col), vec.alias(f"{col}_onehot"))
 

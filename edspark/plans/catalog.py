@@ -468,7 +468,7 @@ def q_linear_attribution(spark, d):
     v = _visits(spark, d)
     scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["ESI"])
     x = feat.feature_matrix(scaled, feat.NUMERIC, [])
-    model = LinearRegression(featuresCol="features", labelCol="ESI", maxIter=20).fit(x)
+    model = LinearRegression(featuresCol="features", labelCol="ESI", solver="normal").fit(x)
     means = scaled.agg(*[F.avg(c).alias(c) for c in feat.NUMERIC])
     out = att.linear_attribution(scaled, feat.NUMERIC, list(model.coefficients), means)
     return out.select("ESI", "contributions")
