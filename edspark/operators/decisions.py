@@ -32,7 +32,8 @@ def hybrid_decisions(inp: DataFrame, probs: str = "probs", acuity: str = "acuity
     when uncertain or level 3, else mapped from the level; evaluation flag."""
     p = R.pad_probs(F.coalesce(F.col(probs).cast("array<double>"),
                                F.array(*[F.lit(x) for x in S.FALLBACK_PROBS])))
-    d = inp.select(F.col(key).alias("row_id"), F.col(acuity).cast("int").alias("ESI"),
+    truth = F.col(acuity).cast("int") if acuity in inp.columns else F.lit(3)  # R2: acuity 3 when absent
+    d = inp.select(F.col(key).alias("row_id"), truth.alias("ESI"),
                    F.col(policy).alias("__policy"), p.alias("__p"))
     d = d.withColumn("Sup_Pred", R.argmax_level("__p")).withColumn("Sup_Conf", F.array_max("__p"))
     return d.select(
