@@ -20,7 +20,7 @@ def jnum(col: str, key: str) -> str:
 def log_sql(hours: int) -> str:
     return f"""
     SELECT *, CASE WHEN heart_rate <> 0 AND sbp > 0 THEN heart_rate / sbp END AS shock_index,
-           hour(timestamp) AS hour, CAST(timestamp AS DATE) AS date
+           CAST(hour(timestamp) AS INTEGER) AS hour, CAST(timestamp AS DATE) AS date
     FROM (
       SELECT tr.id, tr.appointment_id, tr.esi_level AS triage_level, tr.supervised_confidence AS confidence,
              tr.rl_action, tr.shap_values, tr.vitals, tr.created_at AS timestamp, a.created_at AS arrival_time,
@@ -127,7 +127,7 @@ points AS (
          coalesce(nullif({jnum('vitals', 'O2Sat')}, 0), {jnum('vitals', 'O2_Sat')}) AS o2_sat
   FROM vitals_readings),
 history AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, reading_id DESC) AS recency
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, reading_id DESC) AS INTEGER) AS recency
                  FROM points) WHERE recency <= 20)"""
 
 
@@ -180,8 +180,8 @@ FROM ranked GROUP BY patient_id, vital"""
 
 ORACLE["occupancy_running"] = with_views("""
 SELECT move_id, ts, area, delta,
-       sum(delta) OVER (PARTITION BY area ORDER BY ts, move_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-         AS occupancy
+       CAST(sum(delta) OVER (PARTITION BY area ORDER BY ts, move_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS occupancy
 FROM bed_moves""", "bed_moves")
 
 
@@ -257,7 +257,8 @@ SELECT appointment_id, patient_id, patient_name, token, triage_level, chief_comp
 
 ORACLE["handoff_alerts"] = _on_hp("""
 SELECT appointment_id, rule_pos, alert FROM (
-  SELECT appointment_id, priority_score, unnest(range(len(alerts))) AS rule_pos, unnest(alerts) AS alert FROM hp)
+  SELECT appointment_id, priority_score, CAST(unnest(range(len(alerts))) AS INTEGER) AS rule_pos, unnest(alerts) AS alert
+  FROM hp)
 ORDER BY priority_score DESC NULLS LAST, appointment_id, rule_pos LIMIT 10""")
 
 ORACLE["handoff_summary"] = _on_hp("""
@@ -428,7 +429,7 @@ rewarded AS (
   FROM costed)"""
 
 ORACLE["decision_cost"] = _on_dec(COST + """
-SELECT Source, count(*) AS decisions, sum(reward) AS total_reward, avg(reward) AS mean_reward
+SELECT Source, count(*) AS decisions, CAST(sum(reward) AS BIGINT) AS total_reward, avg(reward) AS mean_reward
 FROM rewarded GROUP BY Source""")
 
 ORACLE["policy_table"] = _on_dec(COST + """,
@@ -499,7 +500,7 @@ from edspark.schemas import DASHBOARD_FEATURES, SERVICE_FEATURES  # noqa: E402
 
 MEAN_ABS = f"""
 , recent AS (SELECT * FROM attributions WHERE payload IS NOT NULL ORDER BY created_at DESC, row_id DESC LIMIT 100),
-flat AS (SELECT unnest(range(len(payload))) AS pos, unnest(payload) AS v FROM recent),
+flat AS (SELECT CAST(unnest(range(len(payload))) AS INTEGER) AS pos, unnest(payload) AS v FROM recent),
 imp AS (SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(v)) AS importance FROM flat GROUP BY pos)"""
 
 ORACLE["attribution_mean_abs"] = with_views(MEAN_ABS + "\nSELECT pos, feature, importance FROM imp", "attributions")
@@ -513,26 +514,28 @@ SELECT pos, feature, importance FROM kept ORDER BY importance DESC, pos LIMIT 10
 ORACLE["attribution_mean_abs_nested"] = with_views(f"""
 , recent AS (SELECT * FROM nested_attributions WHERE payload IS NOT NULL ORDER BY created_at DESC, row_id DESC LIMIT 100),
 cls AS (SELECT row_id, unnest(range(len(payload))) AS c, unnest(payload) AS p FROM recent),
-flat AS (SELECT row_id, c, unnest(range(len(p))) AS pos, unnest(p) AS v FROM cls),
+flat AS (SELECT row_id, c, CAST(unnest(range(len(p))) AS INTEGER) AS pos, unnest(p) AS v FROM cls),
 per AS (SELECT row_id, pos, avg(v) AS mv FROM flat GROUP BY row_id, pos)
 SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(mv)) AS importance FROM per GROUP BY pos""",
                                                    "nested_attributions")
 
 ORACLE["attribution_by_class"] = with_views(f"""
 , one AS (SELECT payload[3] AS p FROM nested_attributions),
-flat AS (SELECT unnest(range(len(p))) AS pos, unnest(p) AS v FROM one)
+flat AS (SELECT CAST(unnest(range(len(p))) AS INTEGER) AS pos, unnest(p) AS v FROM one)
 SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(v)) AS importance FROM flat GROUP BY pos""",
                                             "nested_attributions")
 
 ORACLE["record_top_features"] = with_views(f"""
 , flat AS (SELECT row_id, unnest(range(len(payload))) AS pos, unnest(payload) AS v FROM attributions),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, pos DESC) AS rank FROM flat)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, pos DESC) AS INTEGER) AS rank
+            FROM flat)
 SELECT row_id, rank, {fname('pos', SERVICE_FEATURES)} AS feature, v AS impact FROM ranked WHERE rank <= 3""",
                                            "attributions")
 
 ORACLE["attribution_merge"] = with_views("""
 SELECT t.appointment_id, (a.row_id IS NOT NULL OR t.shap_values IS NOT NULL) AS shap_ready,
-       CASE WHEN a.row_id IS NOT NULL THEN len(a.payload) ELSE json_array_length(t.shap_values) END AS n_values
+       CAST(CASE WHEN a.row_id IS NOT NULL THEN len(a.payload) ELSE json_array_length(t.shap_values) END AS INTEGER)
+         AS n_values
 FROM triage_results t LEFT JOIN attributions a ON t.appointment_id = a.row_id""", "triage_results", "attributions")
 
 
@@ -572,7 +575,7 @@ m AS (SELECT ArrivalMode AS mode FROM visits WHERE ArrivalMode IS NOT NULL
       GROUP BY ArrivalMode ORDER BY count(*) DESC, ArrivalMode LIMIT 1),
 f AS (SELECT ESI, coalesce(ArrivalMode, (SELECT mode FROM m)) AS ArrivalMode FROM visits),
 cats AS (SELECT list(DISTINCT ArrivalMode ORDER BY ArrivalMode) AS c FROM f)
-SELECT ESI, ArrivalMode, list_transform((SELECT c FROM cats), lambda x: CASE WHEN x = ArrivalMode THEN 1.0 ELSE 0.0 END)
+SELECT ESI, ArrivalMode, list_transform((SELECT c FROM cats), lambda x: CAST(CASE WHEN x = ArrivalMode THEN 1.0 ELSE 0.0 END AS DOUBLE))
        AS ArrivalMode_onehot
 FROM f""", "raw_lines")
 
@@ -657,7 +660,7 @@ ORACLE["ed_state_vector"] = with_views(f"""
 x AS (
   SELECT r.reading_id, d.probs, r.ts, q.queue_length,
          CASE WHEN coalesce({jnum('r.vitals', 'O2Sat')}, 100.0) < 90 OR coalesce({jnum('r.vitals', 'SBP')}, 120.0) < 90
-              THEN 0.9 ELSE 0.1 END AS risk
+              THEN 0.9 ELSE 0.1 END::DOUBLE AS risk
   FROM vitals_readings r JOIN decisions_input d ON r.reading_id = d.row_id, q)
 SELECT reading_id, risk,
        CAST(probs || [risk] || [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
@@ -670,7 +673,7 @@ ORACLE["occupancy_ratio"] = with_views("""
           FROM bed_moves),
 last AS (SELECT area, occupancy FROM (
           SELECT *, row_number() OVER (PARTITION BY area ORDER BY ts DESC, move_id DESC) AS rn FROM occ) WHERE rn = 1)
-SELECT area, occupancy, occupancy / CASE area WHEN 'waiting' THEN 50.0 WHEN 'bed' THEN 30.0 ELSE 20.0 END AS ratio
+SELECT area, CAST(occupancy AS BIGINT) AS occupancy, occupancy / CASE area WHEN 'waiting' THEN 50.0 WHEN 'bed' THEN 30.0 ELSE 20.0 END AS ratio
 FROM last""", "bed_moves")
 
 ORACLE["visit_status"] = with_views("""
@@ -712,7 +715,7 @@ SELECT Age, Pulse, Temp, PainScale, reason IS NULL AS valid, reason FROM (
 ORACLE["kiosk_defaults"] = with_views(f"""
 SELECT coalesce(nullif(Age, 0), 30.0) AS Age, coalesce(nullif(Pulse, 0), 80.0) AS Pulse,
        coalesce(nullif(Pulse, 0), 80.0) AS HR, coalesce(nullif(Temp, 0), 98.6) AS Temp,
-       16.0 AS Resp, 120.0 AS SBP, 80.0 AS DBP, 98.0 AS O2Sat, PainScale
+       16.0::DOUBLE AS Resp, 120.0::DOUBLE AS SBP, 80.0::DOUBLE AS DBP, 98.0::DOUBLE AS O2Sat, PainScale
 FROM ({parse_sql(LAYOUT_A)})""", "raw_lines")
 
 ORACLE["latency_report"] = with_views("""

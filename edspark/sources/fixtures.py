@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_utc(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     n = spark.sparkContext.defaultParallelism
-    if name not in SMALL_TABLES and len(df.inputFiles()) < n:
+    spread = spark.conf.get("edspark.fixtures.spread", "true") == "true"
+    if spread and name not in SMALL_TABLES and len(df.inputFiles()) < n:
         df = df.repartition(n)
     return df
 
