@@ -117,11 +117,9 @@ def record_top_features(attr: DataFrame, n: int = 3, payload: str = "payload", k
 
 
 def linear_attribution(df: DataFrame, features: Sequence[str], coefficients: Sequence[float],
-                       means: DataFrame) -> DataFrame:
+                       means: dict) -> DataFrame:
     """L8 (re-aimed): contribution ``coef_i * (x_i - mean_i)`` per feature as
-    an array column; ``means`` is a one-row frame with one column per
-    feature (broadcast)."""
-    m = means.select(*[F.col(f).alias(f"__m_{f}") for f in features])
-    j = df.crossJoin(F.broadcast(m))
-    contrib = F.array(*[F.lit(float(c)) * (F.col(f) - F.col(f"__m_{f}")) for f, c in zip(features, coefficients)])
-    return j.withColumn("contributions", contrib).drop(*[f"__m_{f}" for f in features])
+    an array column; coefficients and means are fitted numbers (one per
+    feature) applied as literals."""
+    contrib = F.array(*[F.lit(float(c)) * (F.col(f) - F.lit(float(means[f]))) for f, c in zip(features, coefficients)])
+    return df.withColumn("contributions", contrib)

@@ -141,8 +141,9 @@ def feature_matrix(df: DataFrame, numeric: Sequence[str], vector_cols: Sequence[
 
 def _balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    w = counts.crossJoin(tot).select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias("weight"))
+    n = counts.agg(F.sum("__nc")).scalar()
+    k = counts.agg(F.count(F.lit(1))).scalar()
+    w = counts.select(label, (n / (k * F.col("__nc"))).alias("weight"))
     return df.join(F.broadcast(w), label, "left")
 
 

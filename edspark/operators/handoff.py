@@ -107,7 +107,8 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
     first = (hp.filter(F.col("trend_status") == "deteriorating").orderBy(*queue_order()).limit(names)
              .agg(F.collect_list(F.struct(
                  F.col("priority_score").isNull().alias("k0"), (-F.col("priority_score")).alias("k1"),
-                 F.col("appointment_id").alias("k2"), F.col("patient_name").alias("name"))).alias("__w")))
+                 F.col("appointment_id").alias("k2"), F.col("patient_name").alias("name"))))).scalar()
+    counts = counts.withColumn("__w", F.coalesce(first, F.array()))
     watch = F.array_join(F.transform(F.array_sort("__w"), lambda s: s["name"]), ", ")
 
     def part(col, text):
@@ -118,7 +119,7 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
                         part("stable_count", "%d stable patient(s) for routine care"))
     base = F.when(parts == "", F.lit("ED is currently clear. No active patients.")).otherwise(F.concat(parts, F.lit(".")))
     summary = F.when(F.size("__w") > 0, F.concat(base, F.lit(" Watch closely: "), watch, F.lit("."))).otherwise(base)
-    return counts.crossJoin(first).select(
+    return counts.select(
         "total_patients", "critical_count", "urgent_count", "stable_count", "avg_wait_minutes",
         summary.alias("summary"))
 

@@ -469,7 +469,7 @@ def q_linear_attribution(spark, d):
     scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["ESI"])
     x = feat.feature_matrix(scaled, feat.NUMERIC, [])
     model = LinearRegression(featuresCol="features", labelCol="ESI", solver="normal").fit(x)
-    means = scaled.agg(*[F.avg(c).alias(c) for c in feat.NUMERIC])
+    means = scaled.agg(*[F.avg(c).alias(c) for c in feat.NUMERIC]).first().asDict()  # eight fitted numbers
     out = att.linear_attribution(scaled, feat.NUMERIC, list(model.coefficients), means)
     return out.select("ESI", "contributions")
 
@@ -558,12 +558,11 @@ def q_ed_state_vector(spark, d):
     vitals risk, queue occupancy from the SCHEDULED queue, time of reading."""
     probs = fx.decisions_input(spark, d).select(F.col("row_id").alias("reading_id"), "probs")
     r = fx.vitals_readings(spark, d).join(probs, "reading_id", "inner").withColumn("__v", V.parse_vitals("vitals"))
-    q = dash.queue_wait(fx.appointments(spark, d), AS_OF).select("queue_length")
-    x = r.crossJoin(F.broadcast(q))
+    queue_length = dash.queue_wait(fx.appointments(spark, d), AS_OF).select("queue_length").scalar()
     risk = R.risk_score(F.col("__v.O2Sat"), F.col("__v.SBP"))
     ta, tb = R.time_features("ts")
-    return x.select("reading_id", risk.alias("risk"),
-                    R.state_vector("probs", risk, R.queue_occupancy("queue_length"), ta, tb).alias("state"))
+    return r.select("reading_id", risk.alias("risk"),
+                    R.state_vector("probs", risk, R.queue_occupancy(queue_length), ta, tb).alias("state"))
 
 
 @query("occupancy_ratio")
