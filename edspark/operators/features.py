@@ -162,7 +162,7 @@ def fit_stacked_classifier(train: DataFrame, label: str = "label", features: str
             RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=5, seed=seed),
             DecisionTreeClassifier(labelCol=label, featuresCol=features, seed=seed, maxDepth=5),
             OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=seed), labelCol=label,
-                      featuresCol=features),
+                      featuresCol=features, parallelism=5),
         ]
 
     data = train.withColumn("__fold", F.pmod(F.xxhash64(F.col("row_id")), F.lit(folds)))

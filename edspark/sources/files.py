@@ -63,6 +63,14 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
     w.parquet(path)
 
 
+def write_by_day(df: DataFrame, path: str, ts_col: str, mode: str = "append") -> None:
+    """Store a time-stamped table partitioned by day, so a dashboard window
+    (``ts >= now - h``) prunes whole day folders as well as row groups."""
+    (df.withColumn("day", F.to_date(F.col(ts_col)))
+       .repartition("day")  # one writer per day folder: no small-file spray
+       .write.mode(mode).partitionBy("day").parquet(path))
+
+
 def keyed_merge(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Late update of existing rows by key.  Rows of ``updates`` whose key
     is absent in ``base`` are ignored; a null update keeps the old value.

@@ -64,3 +64,15 @@ def test_first_n_rows_alignment(spark):
                                 "row_id long, ESI int, Final_Action int, Is_Critical_Miss boolean")
     assert fairness_input(orig, res).count() == 7
     assert fairness_input(orig, res, n=4).count() == 4
+
+
+def test_day_partitions_are_pruned(spark):
+    from edspark.sources import fixtures as fx
+
+    path = scratch_dir(spark, "results-by-day")
+    io.write_by_day(fx.triage_results(spark, "/root/testdata/sf0.001"), path, "created_at", mode="overwrite")
+    df = spark.read.parquet(path).filter((F.col("day") >= "2024-01-29") & (F.col("created_at") >= "2024-01-29 06:00:00"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-29" in plan
+    assert df.count() == fx.triage_results(spark, "/root/testdata/sf0.001").filter(
+        F.col("created_at") >= "2024-01-29 06:00:00").count()
