@@ -66,8 +66,10 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def write_by_day(df: DataFrame, path: str, ts_col: str, mode: str = "append") -> None:
     """Store a time-stamped table partitioned by day, so a dashboard window
     (``ts >= now - h``) prunes whole day folders as well as row groups."""
+    # Range partitioning on (day, time) keeps each day in few files while a
+    # very busy day is still split over several writer tasks.
     (df.withColumn("day", F.to_date(F.col(ts_col)))
-       .repartition("day")  # one writer per day folder: no small-file spray
+       .repartitionByRange("day", ts_col)
        .write.mode(mode).partitionBy("day").parquet(path))
 
 
