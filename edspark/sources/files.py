@@ -73,6 +73,15 @@ def write_by_day(df: DataFrame, path: str, ts_col: str, mode: str = "append") ->
        .write.mode(mode).partitionBy("day").parquet(path))
 
 
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """Store a table bucketed and sorted by ``key`` at ``path`` and register
+    it in the catalog.  Tables joined on the same key with the same bucket
+    count join without a shuffle (results, appointments and tokens on
+    ``appointment_id`` for the triage log)."""
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(table))
+
+
 def keyed_merge(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Late update of existing rows by key.  Rows of ``updates`` whose key
     is absent in ``base`` are ignored; a null update keeps the old value.
