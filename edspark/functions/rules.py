@@ -74,9 +74,20 @@ def token_colour(level) -> Column:
     return F.coalesce(code_map(S.COLOR_MAP)[_c(level).cast("int")], F.lit(S.COLOR_DEFAULT))
 
 
+def int_text(x) -> Column:
+    """Integer text of a number, truncated toward zero (Python ``int``)."""
+    return _c(x).cast("bigint").cast("string")
+
+
+def zero_pad(x, width: int) -> Column:
+    """``%0<width>d``: pads to ``width`` and, unlike ``lpad``, never cuts."""
+    t = int_text(x)
+    return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)
+
+
 def token_text(level, sequence) -> Column:
-    """``COL-nnnn``; ``%04d`` pads but never cuts longer numbers."""
-    return F.format_string("%s-%04d", token_colour(level), _c(sequence).cast("int"))
+    """``COL-nnnn``; pads to four digits but never cuts longer numbers."""
+    return F.concat(token_colour(level), F.lit("-"), zero_pad(sequence, 4))
 
 
 # ---- supervised output and routing ----------------------------------------
@@ -197,12 +208,13 @@ def alert_messages(name, si, hr, sbp, o2) -> Column:
     h_ok = h.isNotNull() & (h != 0)
     b_ok = b.isNotNull() & (b != 0)
     o_ok = o.isNotNull() & (o != 0)
+    red = "\U0001f534 "
     msgs = F.array(
         F.when(_c(si) > S.SHOCK_CRITICAL,
-               F.format_string("⚠️ %s: Critical Shock Index (%s)", n, _c(si).cast("string"))),
-        F.when(h_ok & (h > S.HR_TACHY), F.format_string("\U0001f534 %s: Tachycardia (HR %d)", n, h.cast("int"))),
-        F.when(b_ok & (b < S.SBP_HYPO), F.format_string("\U0001f534 %s: Hypotension (SBP %d)", n, b.cast("int"))),
-        F.when(o_ok & (o < S.O2_HYPOXIA), F.format_string("\U0001f534 %s: Hypoxia (O2 %d%%)", n, o.cast("int"))),
+               F.concat(F.lit("⚠️ "), n, F.lit(": Critical Shock Index ("), _c(si).cast("string"), F.lit(")"))),
+        F.when(h_ok & (h > S.HR_TACHY), F.concat(F.lit(red), n, F.lit(": Tachycardia (HR "), int_text(h), F.lit(")"))),
+        F.when(b_ok & (b < S.SBP_HYPO), F.concat(F.lit(red), n, F.lit(": Hypotension (SBP "), int_text(b), F.lit(")"))),
+        F.when(o_ok & (o < S.O2_HYPOXIA), F.concat(F.lit(red), n, F.lit(": Hypoxia (O2 "), int_text(o), F.lit("%)"))),
     )
     return F.filter(msgs, lambda m: m.isNotNull())
 
@@ -210,10 +222,10 @@ def alert_messages(name, si, hr, sbp, o2) -> Column:
 def vitals_summary(hr, sbp, o2, rr, has_vitals) -> Column:
     """Non-empty parts joined by `` | ``; "No vitals" when none and
     "No vitals recorded" when the visit has no vitals at all."""
-    def part(v, fmt):
+    def part(v, prefix, suffix=""):
         c = _c(v)
-        return F.when(c.isNotNull() & (c != 0), F.format_string(fmt, c.cast("int")))
-    joined = F.concat_ws(" | ", part(hr, "HR %d"), part(sbp, "BP %d"), part(o2, "O2 %d%%"), part(rr, "RR %d"))
+        return F.when(c.isNotNull() & (c != 0), F.concat(F.lit(prefix), int_text(c), F.lit(suffix)))
+    joined = F.concat_ws(" | ", part(hr, "HR "), part(sbp, "BP "), part(o2, "O2 ", "%"), part(rr, "RR "))
     return (F.when(~_c(has_vitals), F.lit("No vitals recorded"))
             .when(joined == "", F.lit("No vitals"))
             .otherwise(joined))
@@ -257,7 +269,9 @@ def wait_text(minutes, level) -> Column:
     """Minutes if non-zero, else the band text of the level, else the
     default sentence."""
     m = _c(minutes)
-    return F.when(m.isNotNull() & (m != 0), F.format_string(S.WAIT_MINUTES_TEMPLATE, m.cast("int"))).otherwise(
+    head, tail = S.WAIT_MINUTES_TEMPLATE.split("%d")
+    minutes_text = F.concat(F.lit(head), int_text(m), F.lit(tail))
+    return F.when(m.isNotNull() & (m != 0), minutes_text).otherwise(
         F.coalesce(code_map(S.WAIT_ESTIMATES)[_c(level).cast("int")], F.lit(S.WAIT_TEXT_DEFAULT)))
 
 

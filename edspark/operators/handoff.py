@@ -57,8 +57,9 @@ def handoff_patients(appointments: DataFrame, results: DataFrame, patients: Data
     r = results.select("appointment_id", "rl_action", "vitals")
     p = patients.select("patient_id", full_name("first_name", "last_name").alias("patient_name"))
     t = tokens.select("appointment_id", "token_number")
-    base = (a.join(p, "patient_id", "inner").join(r, "appointment_id", "left").join(t, "appointment_id", "left"))
-    v = parse_vitals("vitals")
+    base = (a.join(p, "patient_id", "inner").join(r, "appointment_id", "left").join(t, "appointment_id", "left")
+            .withColumn("__v", parse_vitals("vitals")))  # parsed once per row
+    v = F.col("__v")
     has_vitals = F.col("vitals").isNotNull() & (F.col("vitals") != "")
     hr = F.when(has_vitals, first_truthy(v["HR"], v["Pulse"]))
     rr = F.when(has_vitals, first_truthy(v["RR"], v["Resp"]))
@@ -84,7 +85,11 @@ def handoff_patients(appointments: DataFrame, results: DataFrame, patients: Data
 
 def handoff_alerts(hp: DataFrame, cap: int = ALERT_CAP) -> DataFrame:
     """The first ``cap`` alerts in queue order, then rule order."""
-    ex = hp.select("appointment_id", "priority_score", F.posexplode("alerts").alias("rule_pos", "alert"))
+    # posexplode_outer + a filter on the generated column: the inferred
+    # "non-empty array" predicate of posexplode would otherwise be pushed
+    # below the joins and re-derive the alerts there.
+    ex = (hp.select("appointment_id", "priority_score", F.posexplode_outer("alerts").alias("rule_pos", "alert"))
+          .filter(F.col("alert").isNotNull()))
     return (ex.orderBy(*queue_order(), F.asc("rule_pos")).limit(cap)
             .select("appointment_id", "rule_pos", "alert"))
 
@@ -104,7 +109,11 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
         F.count_if(F.col("triage_level") == 3).alias("urgent_count"),
         F.count_if(F.col("triage_level") > 3).alias("stable_count"),
         R.round_half_away(F.avg("time_in_ed"), 1).alias("avg_wait_minutes"))
-    first = (hp.filter(F.col("trend_status") == "deteriorating").orderBy(*queue_order()).limit(names)
+    # Top ``names`` by (deteriorating first, queue order), then keep the
+    # deteriorating ones: equal to filtering first, but the trend stays a sort
+    # key of one top-k instead of a predicate pushed below the joins.
+    det = F.col("trend_status") == "deteriorating"
+    first = (hp.orderBy(det.desc(), *queue_order()).limit(names).filter(det)
              .agg(F.collect_list(F.struct(
                  F.col("priority_score").isNull().alias("k0"), (-F.col("priority_score")).alias("k1"),
                  F.col("appointment_id").alias("k2"), F.col("patient_name").alias("name"))))).scalar()
@@ -127,9 +136,10 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
 def result_detail(results: DataFrame, keys: DataFrame) -> DataFrame:
     """Set-based point lookup: for each requested appointment id,
     zero or one result with the service's rounded shock index and ISO time."""
-    v = parse_vitals("vitals")
+    v = F.col("__v")
     hr = first_truthy(v["Pulse"], v["HR"])
-    return results.join(keys.select("appointment_id").distinct(), "appointment_id", "left_semi").select(
+    found = results.join(keys.select("appointment_id").distinct(), "appointment_id", "left_semi")
+    return found.withColumn("__v", parse_vitals("vitals")).select(
         "appointment_id", "esi_level", "supervised_confidence", "rl_action",
         shock_index(hr, v["SBP"], 2).alias("shock_index"),
         R.iso_text("created_at").alias("created_at"))

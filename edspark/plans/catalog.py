@@ -519,14 +519,15 @@ def q_shock_index(spark, d):
 
 @query("sanitize_vitals")
 def q_sanitize_vitals(spark, d):
-    r = fx.vitals_readings(spark, d).select("reading_id", V.sanitize_vitals(V.parse_vitals("vitals")).alias("s"))
+    r = (fx.vitals_readings(spark, d).withColumn("__v", V.parse_vitals("vitals"))
+         .select("reading_id", V.sanitize_vitals("__v").alias("s")))
     return r.select("reading_id", *[F.col(f"s.{k}").alias(k) for k in S.MEDIAN_VITALS])
 
 
 @query("structured_features")
 def q_structured_features(spark, d):
-    r = fx.vitals_readings(spark, d)
-    f = V.structured_features(V.sanitize_vitals(V.parse_vitals("vitals")), F.col("arrival_mode"))
+    r = fx.vitals_readings(spark, d).withColumn("__v", V.parse_vitals("vitals"))
+    f = V.structured_features(V.sanitize_vitals("__v"), F.col("arrival_mode"))
     return r.select("reading_id", f.alias("f")).select("reading_id", *[F.col(f"f.{c}").alias(c)
                                                                       for c in S.STRUCTURED_COLUMNS])
 

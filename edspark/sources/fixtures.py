@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.functions.rules import priority_score, token_colour
+from edspark.functions.rules import priority_score, token_text
 
 AS_OF = "2024-01-31 00:00:00"
 BASE_EPOCH_SECONDS = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -77,7 +77,8 @@ def vitals_json(event_id="event_id", event_type="event_type", k=None):
     eid, et = F.col(event_id), F.col(event_type)
     sbp = F.when(eid % 50 == 0, F.lit(0)).otherwise(F.lit(70) + eid % 90)
     key = F.when(et == "signup", F.lit("HR")).otherwise(F.lit("Pulse"))
-    text = F.format_string('{"%s": %d, "SBP": %d, "O2Sat": %d}', key, F.lit(40) + k, sbp, F.lit(85) + k % 16)
+    text = F.concat(F.lit('{"'), key, F.lit('": '), (F.lit(40) + k).cast("string"), F.lit(', "SBP": '),
+                    sbp.cast("string"), F.lit(', "O2Sat": '), (F.lit(85) + k % 16).cast("string"), F.lit("}"))
     return F.when(et == "error", F.lit("not json")).otherwise(text)
 
 
@@ -93,7 +94,7 @@ def triage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + (F.col("user_id") + k) % 5).cast("int").alias("esi_level"),
         ((k % 65 + 35) / F.lit(100.0)).alias("supervised_confidence"),
         action.alias("rl_action"),
-        F.when(F.col("event_id") % 3 != 0, F.format_string("[%d]", k)).alias("shap_values"),
+        F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).alias("shap_values"),
         vitals_json(k=k).alias("vitals"),
         F.col("ts").alias("created_at"),  # stored type kept, so time filters reach the scan
     )
@@ -104,7 +105,7 @@ def priority_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     wait = F.when(F.col("appointment_id") % 7 != 0, F.col("appointment_id") % 120)
     return a.select(
         "appointment_id",
-        F.format_string("%s-%04d", token_colour("triage_level"), F.col("appointment_id")).alias("token_number"),
+        token_text("triage_level", "appointment_id").alias("token_number"),
         "triage_level",
         "priority_score",
         wait.cast("int").alias("estimated_wait_minutes"),

@@ -51,7 +51,8 @@ def new_patient_events(visits: DataFrame) -> DataFrame:
     """The ``new_patient`` event of each assessed visit: vitals
     struct with key aliases (HR = Pulse or HR, RR = Resp or RR), complaint
     cut to 100 characters, attribution not yet ready, plus its JSON text."""
-    v = parse_vitals("vitals")
+    visits = visits.withColumn("__v", parse_vitals("vitals"))  # parsed once per row
+    v = F.col("__v")
     vitals = F.struct(v["SBP"].alias("SBP"), first_truthy(v["Pulse"], v["HR"]).alias("HR"),
                       first_truthy(v["Resp"], v["RR"]).alias("RR"), v["O2Sat"].alias("O2Sat"))
     complaint = F.col("chief_complaint") if "chief_complaint" in visits.columns else F.lit(None).cast("string")
