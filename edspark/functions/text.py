@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from edspark.schemas import CODE_PATTERN
 
 GENERAL_COMPLAINT = "General complaint"
+# The ASCII whitespace Python's str.strip() removes.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 UNKNOWN = "Unknown"
 
 
@@ -16,9 +18,10 @@ def _c(x) -> Column:
 
 
 def clean_num(text, scale: float = 1.0) -> Column:
-    """Trimmed all-digit text -> double / scale; blank, signed or
-    non-digit text -> null.  Guarded by ``rlike`` so ANSI casts never raise."""
-    t = F.trim(_c(text))
+    """Whitespace-trimmed all-digit text -> double / scale; blank,
+    signed or non-digit text -> null.  Guarded by ``rlike`` so ANSI casts
+    never raise."""
+    t = F.trim(_c(text), F.lit(WHITESPACE))
     value = F.when(t.rlike("^[0-9]+$"), t.cast("double"))
     return value / F.lit(scale) if scale != 1.0 else value
 

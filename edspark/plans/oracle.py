@@ -448,7 +448,7 @@ from edspark.schemas import CODE_PATTERN, CODES_FROM, LAYOUT_A, LAYOUT_B  # noqa
 def parse_sql(layout, src: str = "raw_lines", extra: str = "") -> str:
     cols = []
     for name, s, e, scale in layout:
-        f = f"trim(substr(value, {s + 1}, {e - s}))"
+        f = f"trim(substr(value, {s + 1}, {e - s}), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31))"
         v = f"CASE WHEN regexp_full_match({f}, '[0-9]+') THEN CAST({f} AS DOUBLE) END"
         cols.append(f"{v} / {scale} AS {name}" if scale != 1.0 else f"{v} AS {name}")
     codes = f"regexp_extract_all(substr(value, {CODES_FROM + 1}), '{CODE_PATTERN}')"
