@@ -42,9 +42,13 @@ def get_spark(master: str | None = None, app: str = "edspark", **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is created only for
+    a local master when the setting is absent (tests, laptops)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            # A machine-local folder is not shared by executors.
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="edspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
