@@ -29,13 +29,7 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact median per column (mean of the two middle values for even
     counts), as rows ``(column, median)``."""
-    long = _long(df, cols)
-    ranked = ordered_sequence(long, [F.col("value")], ["column"], name="pos")
-    n = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    lo = F.floor((F.col("n") + 1) / 2)
-    hi = F.ceil((F.col("n") + 1) / 2)
-    mid = ranked.join(F.broadcast(n), "column").filter((F.col("pos") == lo) | (F.col("pos") == hi))
-    return mid.groupBy("column").agg(F.avg("value").alias("median"))
+    return median_by(_long(df, cols), "column", "value").withColumnRenamed("median_value", "median")
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -210,15 +204,61 @@ def predict_stacked(df: DataFrame, base, meta, features: str = "features") -> Da
 
 
 def exact_medians_by(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact median of ``value`` per ``group`` without a per-group value
-    buffer: distributed positions inside each group, then the middle rows."""
+    """Exact median of ``value`` per ``group`` (column ``median_<suffix>``)."""
     long = df.select(F.col(group), F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    ranked = ordered_sequence(long, [F.col("value")], [group], name="pos")
-    n = long.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    lo = F.floor((F.col("n") + 1) / 2)
-    hi = F.ceil((F.col("n") + 1) / 2)
-    mid = ranked.join(F.broadcast(n), group).filter((F.col("pos") == lo) | (F.col("pos") == hi))
-    return mid.groupBy(group).agg(F.avg("value").alias("median_" + value.split("_")[-1]))
+    return median_by(long, group, "value").withColumnRenamed("median_value", "median_" + value.split("_")[-1])
+
+
+def sorted_median_by(long: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact median per group from distributed positions of every value
+    (range-partitioned sort).  Heavy: it moves the whole column; used as the
+    fallback of :func:`median_by` and as its test reference."""
+    ranked = ordered_sequence(long.select(group, value), [F.col(value)], [group], name="__pos")
+    n = long.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    k1 = F.floor((F.col("__n") + 1) / 2)
+    k2 = F.ceil((F.col("__n") + 1) / 2)
+    mid = ranked.join(n, group).filter((F.col("__pos") == k1) | (F.col("__pos") == k2))
+    return mid.groupBy(group).agg(F.avg(value).alias(f"median_{value}"))
+
+
+def median_by(long: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact median of non-null ``value`` per ``group`` without moving the
+    column: (1) a grouped ``percentile_approx`` sketch gives bounds whose
+    ranks straddle the middle ranks (its rank error is at most n/accuracy);
+    (2) one partially aggregated pass counts the rows below the bounds and
+    the distinct values between them; (3) a distributed running count over
+    those in-bracket values finds the middle ranks.  Only the bracket (about
+    4n/accuracy rows, fewer with ties) is shuffled by value.  A bracket that
+    missed would violate the sketch's error bound; the job then fails with
+    an error instead of returning a wrong value (``sorted_median_by`` is the
+    heavy exact alternative)."""
+    from edspark.operators.sequence import running_sum
+
+    eps = 1.0 / accuracy
+    qs = [max(0.0, 0.5 - 2 * eps), min(1.0, 0.5 + 2 * eps)]
+    data = long.select(group, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    bounds = data.groupBy(group).agg(F.percentile_approx("__v", qs, accuracy).alias("__q"),
+                                     F.count(F.lit(1)).alias("__n"))
+    bounds = bounds.select(group, F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"), "__n")
+    side = (F.when(F.col("__v") < F.col("__lo"), F.lit(-1)).when(F.col("__v") > F.col("__hi"), F.lit(1))
+            .otherwise(F.lit(0)))
+    tally = (data.join(bounds.select(group, "__lo", "__hi"), group)
+             .groupBy(group, side.alias("__side"), F.when(side == 0, F.col("__v")).alias("__bv"))
+             .agg(F.count(F.lit(1)).alias("__c")))
+    below = tally.filter(F.col("__side") == -1).select(group, F.col("__c").alias("__below"))
+    band = tally.filter(F.col("__side") == 0).select(group, "__bv", "__c")
+    cum = running_sum(band, "__c", [F.col("__bv")], [group], name="__cum")
+    targets = bounds.join(below, group, "left").select(
+        group, (F.floor((F.col("__n") + 1) / 2) - F.coalesce(F.col("__below"), F.lit(0))).alias("__k1"),
+        (F.ceil((F.col("__n") + 1) / 2) - F.coalesce(F.col("__below"), F.lit(0))).alias("__k2"))
+    picked = targets.join(cum, group, "left").groupBy(group).agg(
+        F.min(F.when(F.col("__cum") >= F.col("__k2"), F.col("__bv"))).alias("__m2"),
+        F.min(F.when(F.col("__cum") >= F.col("__k1"), F.col("__bv"))).alias("__m1"),
+        F.min("__k1").alias("__k1"))
+    ok = (F.col("__k1") >= 1) & F.col("__m1").isNotNull() & F.col("__m2").isNotNull()
+    median = F.when(ok, (F.col("__m1") + F.col("__m2")) / 2).otherwise(
+        F.raise_error(F.lit("median bracket missed the middle ranks")))
+    return picked.select(group, median.alias(f"median_{value}"))
 
 
 def encode_texts(df: DataFrame, text_col: str, encoder_factory, out: str = "embedding") -> DataFrame:
