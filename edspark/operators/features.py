@@ -143,9 +143,11 @@ def _balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 def fit_stacked_classifier(train: DataFrame, label: str = "label", features: str = "features",
                            folds: int = 2, seed: int = 42):
-    """L4: three tree learners (random forest and gradient-boosted trees
-    with five trees each, one decision tree), stacked on 2-fold out-of-fold
-    class probabilities, with a class-balanced logistic regression on top.
+    """L4: three tree learners (a five-tree random forest, a decision tree,
+    and one-vs-rest gradient-boosted trees with five iterations per class),
+    stacked on 2-fold out-of-fold class scores (probabilities for the forest
+    and the tree, raw scores for one-vs-rest), with a class-balanced logistic
+    regression on top.
     Returns ``(base_models, meta_model)``."""
     from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                            OneVsRest, RandomForestClassifier)

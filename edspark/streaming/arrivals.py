@@ -1,10 +1,11 @@
 """Structured Streaming forms of the live dashboard.
 
 Operators take and return streaming DataFrames.  ``run_available_now``
-drives one to completion with ``trigger(availableNow=True)`` into a folder of
-the shared checkpoint directory (the stream's own checkpoint lives next to it,
-so a restarted driver resumes instead of replaying) and returns the written
-result as a batch DataFrame.  Keyed state (first/latest event per key) is a
+drives one to completion with ``trigger(availableNow=True)`` into a new folder
+of the shared checkpoint directory, with the stream's checkpoint next to its
+output, and returns the written result as a batch DataFrame.  ``start_refresh``
+takes caller-chosen output and checkpoint paths, so a restarted job that
+reuses them resumes from its last committed batch.  Keyed state (first/latest event per key) is a
 streaming aggregate, so state size is bounded by the number of keys, not by
 the number of events.
 """
