@@ -76,3 +76,28 @@ def test_day_partitions_are_pruned(spark):
     assert "PartitionFilters: [isnotnull(day" in plan and "2024-01-29" in plan
     assert df.count() == fx.triage_results(spark, "/root/testdata/sf0.001").filter(
         F.col("created_at") >= "2024-01-29 06:00:00").count()
+
+
+def test_visits_csv_round_trip_with_fixed_schema(spark):
+    from edspark.schemas import LAYOUT_A, VISIT_SCHEMA
+    from edspark.sources import fixed_width as fw
+    from edspark.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    visits = fw.union_years({2022: fw.read_fixed(spark, fx.raw_line_files(spark, sf), LAYOUT_A)})
+    path = scratch_dir(spark, "visits-csv")
+    io.write_csv(visits, path)
+    back = io.read_csv(spark, path, VISIT_SCHEMA)
+    assert back.schema == VISIT_SCHEMA
+    assert back.exceptAll(visits.select(*VISIT_SCHEMA.fieldNames())).count() == 0
+    assert back.count() == visits.count()
+
+
+def test_inference_fallback(spark):
+    from edspark import schemas as S
+    from edspark.operators.decisions import hybrid_decisions
+
+    df = spark.createDataFrame([(1, None, 4, 2)], "row_id int, probs array<double>, acuity int, policy_action int")
+    d = hybrid_decisions(df).first()
+    assert (d.Sup_Pred, d.Sup_Conf) == (S.FALLBACK_LEVEL, S.FALLBACK_CONFIDENCE)
+    assert d.Source == "RL_Agent" and d.Final_Action == 2
