@@ -759,3 +759,9 @@ def q_parse_report(spark, d):
 @query("hourly_series")
 def q_hourly_series(spark, d):
     return dash.hourly_series(_log(spark, d))
+
+
+@query("hybrid_report")
+def q_hybrid_report(spark, d):
+    """The evaluation report lines over all decisions."""
+    return io.metrics_report_lines(dec.hybrid_metrics(_decisions(spark, d)))

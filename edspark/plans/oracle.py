@@ -803,3 +803,21 @@ FROM ({parse_sql(LAYOUT_A)})""", "raw_lines")
 
 ORACLE["hourly_series"] = _on_log("""
 SELECT date_trunc('hour', timestamp) AS hour_start, count(*) AS count FROM log GROUP BY 1 ORDER BY 1""")
+
+ORACLE["hybrid_report"] = _on_dec("""
+, m AS (
+  SELECT coalesce(count(*) FILTER (WHERE Source = 'RL_Agent') * 100.0 / nullif(count(*), 0), 0.0) AS rl,
+         coalesce(count(*) FILTER (WHERE ESI <= 2 AND Final_Action IN (0, 1)) * 100.0
+                  / nullif(count(*) FILTER (WHERE ESI <= 2), 0), 0.0) AS cm,
+         coalesce(count(*) FILTER (WHERE ESI >= 4 AND Final_Action IN (2, 3)) * 100.0
+                  / nullif(count(*) FILTER (WHERE ESI >= 4), 0), 0.0) AS ot,
+         coalesce(count(*) FILTER (WHERE (ESI <= 2 AND Final_Action IN (2, 3)) OR (ESI = 3 AND Final_Action = 2)
+                                         OR (ESI >= 4 AND Final_Action = 1)) * 100.0 / nullif(count(*), 0), 0.0) AS acc
+  FROM decf)
+SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
+  SELECT 0 AS line_no, 'Hybrid System Evaluation Report' AS value
+  UNION ALL SELECT 1, repeat('=', 31)
+  UNION ALL SELECT 2, printf('RL Interventions: %.1f%%', rl) FROM m
+  UNION ALL SELECT 3, printf('Critical Miss Rate: %.2f%%', cm) FROM m
+  UNION ALL SELECT 4, printf('Over-Triage Rate: %.2f%%', ot) FROM m
+  UNION ALL SELECT 5, printf('Overall Accuracy: %.2f%%', acc) FROM m)""")

@@ -54,6 +54,28 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> Non
     metrics.write.mode(mode).json(path)
 
 
+def metrics_report_lines(metrics: DataFrame) -> DataFrame:
+    """S11 text form: the evaluation report as ordered lines (title,
+    underline, intervention share with one decimal, three rates with two).
+    ``metrics`` is the one-row frame of ``decisions.hybrid_metrics``."""
+    def pct(col, digits):
+        return F.concat(F.format_number(F.col(col), digits).alias("x"), F.lit("%"))
+
+    title = "Hybrid System Evaluation Report"
+    lines = F.array(
+        F.lit(title), F.lit("=" * len(title)),
+        F.concat(F.lit("RL Interventions: "), pct("rl_intervention_pct", 1)),
+        F.concat(F.lit("Critical Miss Rate: "), pct("critical_miss_rate", 2)),
+        F.concat(F.lit("Over-Triage Rate: "), pct("over_triage_rate", 2)),
+        F.concat(F.lit("Overall Accuracy: "), pct("accuracy", 2)))
+    return metrics.select(F.posexplode(lines).alias("line_no", "value"))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Write the report lines, in order, as one text file."""
+    lines.orderBy("line_no").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Batch append of new visit / result / token rows (idempotency is
     the caller's: append each batch once, or overwrite its partition)."""

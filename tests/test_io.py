@@ -101,3 +101,17 @@ def test_inference_fallback(spark):
     d = hybrid_decisions(df).first()
     assert (d.Sup_Pred, d.Sup_Conf) == (S.FALLBACK_LEVEL, S.FALLBACK_CONFIDENCE)
     assert d.Source == "RL_Agent" and d.Final_Action == 2
+
+
+def test_metrics_text_report(spark):
+    from edspark.operators.decisions import hybrid_decisions, hybrid_metrics
+    from edspark.sources import fixtures as fx
+
+    m = hybrid_metrics(hybrid_decisions(fx.decisions_input(spark, "/root/testdata/sf0.001")))
+    path = scratch_dir(spark, "report")
+    io.write_report(io.metrics_report_lines(m), path)
+    text = [r.value for r in spark.read.text(path).collect()]
+    row = m.first()
+    assert text[0] == "Hybrid System Evaluation Report" and set(text[1]) == {"="}
+    assert text[2] == f"RL Interventions: {row.rl_intervention_pct:.1f}%"
+    assert text[5] == f"Overall Accuracy: {row.accuracy:.2f}%"
