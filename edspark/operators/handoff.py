@@ -160,3 +160,12 @@ def orphan_visits(visits: DataFrame, patients: DataFrame, key: str = "patient_id
     """(valid, rejected) split of visits by patient existence."""
     p = patients.select(key)
     return visits.join(p, key, "left_semi"), visits.join(p, key, "left_anti")
+
+
+def flag_patient_exists(visits: DataFrame, patients: DataFrame, key: str = "patient_id",
+                        name: str = "patient_exists") -> DataFrame:
+    """J8 in one pass: every visit with a flag telling whether its patient
+    exists (a left join against the distinct patient keys, so no visit is
+    duplicated)."""
+    keys = patients.select(key).distinct().withColumn("__exists", F.lit(True))
+    return visits.join(keys, key, "left").withColumn(name, F.coalesce(F.col("__exists"), F.lit(False))).drop("__exists")

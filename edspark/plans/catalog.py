@@ -194,9 +194,8 @@ def q_patient_appointments(spark, d):
 
 @query("orphan_visits")
 def q_orphan_visits(spark, d):
-    valid, rejected = ho.orphan_visits(fx.vitals_readings(spark, d), fx.patients(spark, d))
-    return (valid.select("reading_id", "patient_id", F.lit(True).alias("patient_exists"))
-            .unionByName(rejected.select("reading_id", "patient_id", F.lit(False).alias("patient_exists"))))
+    visits = fx.vitals_readings(spark, d).select("reading_id", "patient_id")
+    return ho.flag_patient_exists(visits, fx.patients(spark, d))
 
 
 # ---- decisions and audit -------------------------------------------------------

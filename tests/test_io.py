@@ -115,3 +115,16 @@ def test_metrics_text_report(spark):
     assert text[0] == "Hybrid System Evaluation Report" and set(text[1]) == {"="}
     assert text[2] == f"RL Interventions: {row.rl_intervention_pct:.1f}%"
     assert text[5] == f"Overall Accuracy: {row.accuracy:.2f}%"
+
+
+def test_orphan_split_and_flag_agree(spark):
+    from edspark.operators.handoff import flag_patient_exists, orphan_visits
+
+    visits = spark.createDataFrame([(1, 10), (2, 11), (3, 99), (4, None)], "reading_id int, patient_id int")
+    patients = spark.createDataFrame([(10,), (11,), (11,)], "patient_id int")
+    valid, rejected = orphan_visits(visits, patients)
+    flagged = flag_patient_exists(visits, patients)
+    assert sorted(r.reading_id for r in valid.collect()) == [1, 2]
+    assert sorted(r.reading_id for r in rejected.collect()) == [3, 4]
+    assert sorted((r.reading_id, r.patient_exists) for r in flagged.collect()) == [
+        (1, True), (2, True), (3, False), (4, False)]
