@@ -88,12 +88,12 @@ def one_hot(df: DataFrame, col: str = CATEGORICAL, keep: Sequence[str] = (), cat
 
 
 def label_encode(df: DataFrame, col: str = "ESI", name: str = "label") -> DataFrame:
-    """L3: sorted distinct labels -> 0..k-1 (broadcast code table)."""
+    """L3: sorted distinct labels -> 0..k-1 (a code table joined back)."""
     codes = df.select(col).distinct().filter(F.col(col).isNotNull())
     from pyspark.sql import Window
 
     codes = codes.withColumn(name, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
-    return df.join(F.broadcast(codes), col, "left")
+    return df.join(codes, col, "left")  # AQE broadcasts it when the label set is small
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 3) -> DataFrame:
@@ -138,7 +138,7 @@ def _balanced_weights(df: DataFrame, label: str) -> DataFrame:
     n = counts.agg(F.sum("__nc")).scalar()
     k = counts.agg(F.count(F.lit(1))).scalar()
     w = counts.select(label, (n / (k * F.col("__nc"))).alias("weight"))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(w, label, "left")
 
 
 def fit_stacked_classifier(train: DataFrame, label: str = "label", features: str = "features",
