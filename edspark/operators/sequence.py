@@ -26,6 +26,16 @@ from edspark.session import ensure_checkpoint_dir
 _PID_SHIFT = 1 << 33  # monotonically_increasing_id = (partition id << 33) + row index
 
 
+def _partitions(spark) -> int:
+    """Shuffle partition count from the session (non-numeric settings fall
+    back to the default parallelism)."""
+    value = spark.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return max(1, int(value))
+    except (TypeError, ValueError):
+        return spark.sparkContext.defaultParallelism
+
+
 def ordered_sequence(df: DataFrame, order_cols: Sequence[Column | str], group_cols: Sequence[str] = (),
                      name: str = "seq", num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = position of each row inside its group in ``order_cols``
@@ -33,7 +43,7 @@ def ordered_sequence(df: DataFrame, order_cols: Sequence[Column | str], group_co
     key).  Meant for few, large groups (global order, per level, per colour);
     for many small groups a plain ``row_number`` window is the right tool."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _partitions(spark)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + [
         F.col(c) if isinstance(c, str) else c for c in order_cols]
     staged = (df.repartitionByRange(n, *keys)
@@ -66,7 +76,7 @@ def running_sum(df: DataFrame, value: Column | str, order_cols: Sequence[Column
     :func:`ordered_sequence`: range partitions, local sums per
     (group, partition), plus the totals of the earlier partitions."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _partitions(spark)
     v = F.col(value) if isinstance(value, str) else value
     orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + orders
