@@ -744,17 +744,13 @@ LEFT JOIN complaints c ON c.doc_id = t.appointment_id""", "triage_results", "app
 # ---- streaming (batch-equal results) -------------------------------------------
 
 STREAM_TRIAGE = f"""
-, st AS (SELECT event_id AS appointment_id, user_id AS patient_id, CAST(ts AS TIMESTAMP) AS ts, event_id, event_type,
-                CAST(1 + (user_id + {K}) % 5 AS INTEGER) AS triage_level
-         FROM events)"""
-
-from edspark.plans.oracle_views import K  # noqa: E402
-
-STREAM_TRIAGE = STREAM_TRIAGE.replace("{K}", K)
+st AS (SELECT event_id AS appointment_id, user_id AS patient_id, CAST(ts AS TIMESTAMP) AS ts, event_id, event_type,
+              CAST(1 + (user_id + {K}) % 5 AS INTEGER) AS triage_level
+       FROM events)"""
 
 
 def _stream(sql: str) -> str:
-    return "WITH " + STREAM_TRIAGE.lstrip("\n, ") + "\n" + sql
+    return "WITH " + STREAM_TRIAGE.lstrip("\n") + "\n" + sql
 
 
 ORACLE["stream_arrivals"] = _stream("""
@@ -786,8 +782,7 @@ SELECT a.appointment_id, a.ts, a.triage_level, r.ts + INTERVAL 5 MINUTE AS ready
 FROM st a JOIN st r ON a.appointment_id = r.event_id AND r.event_type = 'view'
  AND r.ts + INTERVAL 5 MINUTE >= a.ts AND r.ts + INTERVAL 5 MINUTE <= a.ts + INTERVAL 1 HOUR""")
 
-ORACLE["csv_roundtrip"] = "WITH " + with_views("SELECT 1", "decisions_input")[5:].rsplit("\nSELECT 1", 1)[0] + "," + DEC \
-    + "\nSELECT row_id, ESI, Sup_Pred, Sup_Conf, Source, Final_Action, Is_Critical_Miss FROM decf"
+ORACLE["csv_roundtrip"] = ORACLE["hybrid_decision"]  # the decisions, written and read back
 ORACLE["vector_roundtrip"] = "SELECT vec_id, embedding, 4 * len(embedding) AS n_bytes FROM embeddings"
 
 ORACLE["triage_log_sql"] = _on_log("""
