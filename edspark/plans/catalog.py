@@ -764,3 +764,15 @@ def q_hourly_series(spark, d):
 def q_hybrid_report(spark, d):
     """The evaluation report lines over all decisions."""
     return io.metrics_report_lines(dec.hybrid_metrics(_decisions(spark, d)))
+
+
+@query("stream_attribution_left")
+def q_stream_attribution_left(spark, d):
+    """E3 in its left-outer form: every matched pair, plus the arrivals
+    without attribution that the watermark has already passed (later ones
+    are emitted by later micro-batches), so there is no batch oracle."""
+    arrivals = st.triage_stream(_events_stream(spark, d))
+    ready = (_events_stream(spark, d).filter(F.col("event_type") == "view")
+             .select(F.col("event_id").alias("ready_id"),
+                     (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ready_ts")))
+    return st.run_available_now(st.attribution_join(arrivals, ready, how="leftOuter"), "attribution-left")
