@@ -75,14 +75,18 @@ def one_hot(df: DataFrame, col: str = CATEGORICAL, keep: Sequence[str] = (), cat
     column is small and is fetched once; a column with more than
     ``MAX_CATEGORIES`` values is refused (use ``StringIndexer`` +
     ``OneHotEncoder`` with sparse vectors for those)."""
-    if fill is None:
-        fill = modes(df, [col]).select("mode").first()[0]
-    x = F.coalesce(F.col(col).cast("double"), F.lit(fill))
-    if categories is None:
-        found = df.select(x.alias("c")).distinct().orderBy("c").limit(MAX_CATEGORIES + 1).collect()
-        if len(found) > MAX_CATEGORIES:
+    if fill is None or categories is None:
+        # One pass: per-value counts of the coded column (bounded by the cap)
+        # give both the mode and the fitted category list.
+        counts = (df.select(F.col(col).cast("double").alias("c")).filter(F.col("c").isNotNull())
+                  .groupBy("c").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CATEGORIES + 1).collect())
+        if len(counts) > MAX_CATEGORIES:
             raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories")
-        categories = [r[0] for r in found]
+        if fill is None and counts:
+            fill = max(counts, key=lambda r: (r["n"], -r["c"]))["c"]
+        if categories is None:
+            categories = sorted({r["c"] for r in counts} | ({float(fill)} if fill is not None else set()))
+    x = F.coalesce(F.col(col).cast("double"), F.lit(fill))
     vec = F.array(*[F.when(x == F.lit(float(c)), F.lit(1.0)).otherwise(F.lit(0.0)) for c in categories])
     return df.select(*keep, x.alias(col), vec.alias(f"{col}_onehot"))
 
