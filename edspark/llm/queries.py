@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.llm import quality, sharding
+from edspark.llm import quality, sharding, simhash
 from edspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       quality.passes(bits, quality.CURRENT).alias("kept"), bits.alias("failed_bits"))
 
 
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint (3-word shingles) and component (links of 3 or fewer
+    differing bits) of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 SHARDS = 40
 
 
