@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.llm import quality, sharding, simhash
-from edspark.llm.common import table
+from edspark.llm import langid, quality, sharding, simhash
+from edspark.llm.common import remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,7 +17,12 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f
@@ -77,6 +83,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those whose remainder is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
+
+
 SHARDS = 40
 
 
