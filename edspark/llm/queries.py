@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.llm import langid, quality, sharding, simhash
+from edspark.llm import langid, mixing, packing, quality, sharding, simhash
 from edspark.llm.common import remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +93,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
+@query("op8_temperature_mixing")
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a document in the mixture of all sources: 95 % of
+    the largest entropy, at most four epochs, the input's tokens as budget."""
+    out = mixing.realise(table(spark, sf_dir, "documents"), mixing.Mixture())
+    return out.withColumn("weight", F.round("weight", 9))
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 SHARDS = 40
 
 
