@@ -122,7 +122,7 @@ def plan(rows: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     z = totals.agg(F.sum(F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(a)))).first()[0] or 1.0
     per_block = max(mix.block_tokens, -(-total // mix.blocks))
     sources = totals.withColumn("weight", F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(a)) / F.lit(z))
-    sources = sources.withColumn("quota", F.floor(F.col("weight") * F.lit(mix.budget * total)).cast("bigint"))
+    sources = sources.withColumn("quota", F.round(F.col("weight") * F.lit(mix.budget * total)).cast("bigint"))
     sources = sources.withColumn("full", F.floor(F.col("quota") / F.col("tokens")).cast("int")).withColumn(
         "n_blocks", F.ceil(F.col("tokens") / F.lit(per_block)).cast("bigint"))
     sources = stored(sources, "weights")

@@ -93,7 +93,53 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
-@query("op8_temperature_mixing")
+def _bisection(name: str, test: str) -> str:
+    """Thirty steps; ``test`` is over the weights' entropy h and the largest
+    weight over share, top."""
+    return f"""{name}(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN {test} THEN mid ELSE low END, CASE WHEN {test} THEN high ELSE mid END
+  FROM (SELECT i, low, high, mid, n, ln(z) - zl / z AS h, top / z AS top FROM (
+    SELECT i, low, high, n, (low + high) / 2 AS mid,
+           list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2))) AS z,
+           list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2) * ((low + high) / 2) * ln(x))) AS zl,
+           list_max(list_transform(p, lambda x: pow(x, (low + high) / 2 - 1))) AS top
+    FROM {name}, shares WHERE i < 30)))"""
+
+
+@query("op8_temperature_mixing", rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_W})) + 1 AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS k FROM documents),
+t AS (SELECT source, sum(size) AS tokens FROM d GROUP BY source),
+tot AS (SELECT sum(tokens)::BIGINT AS total, count(*) AS n FROM t),
+shares AS (SELECT list(tokens / total) AS p, any_value(n) AS n FROM t, tot),
+{_bisection('by_entropy', 'h >= 0.95 * ln(n)')},
+{_bisection('by_repeats', 'top > 4')},
+ends AS (SELECT -list_sum(list_transform(p, lambda x: x * ln(x))) AS h1, n, p FROM shares),
+a1 AS (SELECT CASE WHEN h1 >= 0.95 * ln(n) THEN 1.0::DOUBLE ELSE (SELECT low FROM by_entropy WHERE i = 30) END AS a, p FROM ends),
+a2 AS (SELECT CASE WHEN list_max(list_transform(p, lambda x: pow(x, a - 1))) / list_sum(list_transform(p, lambda x: pow(x, a))) > 4
+            THEN (SELECT low FROM by_repeats WHERE i = 30) + pow(2.0::DOUBLE, -30) ELSE a END AS a, p FROM a1),
+w AS (SELECT source, tokens, pow(tokens / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, total
+      FROM t, tot, a2),
+q AS (SELECT *, round(weight * total)::BIGINT AS quota, round(weight * total)::BIGINT // tokens::BIGINT AS whole,
+             ceil(tokens / greatest(100000, ceil(total / 10000)))::BIGINT AS n_blocks FROM w),
+placed AS (SELECT d.*, weight, whole, quota - whole * tokens AS rest, ('0x' || substr(k, 1, 8))::BIGINT % n_blocks AS block
+           FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT source, block, any_value(whole) AS whole, any_value(rest) AS rest, sum(size) AS tokens FROM placed GROUP BY source, block),
+b2 AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY md5('mix-1|block|' || whole || '|' || block), block
+                                   ROWS UNBOUNDED PRECEDING) - tokens AS before FROM b),
+x AS (SELECT p.*, b2.before, b2.tokens, md5('mix-1|' || p.whole || '|' || k) AS h
+      FROM placed p JOIN b2 ON p.source IS NOT DISTINCT FROM b2.source AND p.block = b2.block),
+y AS (SELECT *, sum(size) OVER (PARTITION BY source, block ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM x),
+o AS (SELECT *, unnest(range(whole + CASE WHEN before + tokens <= rest OR (before < rest AND upto <= rest - before)
+                                          THEN 1 ELSE 0 END)) AS epoch FROM y)
+SELECT doc_id, source, size::BIGINT AS n_tokens, round(weight, 9) AS weight, epoch::INTEGER AS epoch, block::BIGINT AS block,
+       (row_number() OVER (PARTITION BY source ORDER BY epoch, md5('mix-1|block|' || epoch || '|' || block), block,
+                           md5('mix-1|' || epoch || '|' || k), doc_id) - 1)::BIGINT AS position
+FROM o
+""")
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a document in the mixture of all sources: 95 % of
     the largest entropy, at most four epochs, the input's tokens as budget."""
