@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.llm import chat, langid, mixing, neighbours, packing, quality, sharding, simhash
-from edspark.llm.common import remainder, ship, table
+from edspark.llm import chat, langid, mixing, neighbours, packing, quality, sharding, simhash, toxicity
+from edspark.llm.common import remainder, ship, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       quality.passes(bits, quality.CURRENT).alias("kept"), bits.alias("failed_bits"))
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels of those whose
+    remainder is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    model = toxicity.fit(docs, labels)
+    out = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), toxicity.score(docs, model, text_of()).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op3_block_nearest_neighbours", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
