@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.llm import chat, langid, mixing, neighbours, packing, quality, sharding, simhash, toxicity
+from edspark.llm import chat, langid, language_model, mixing, neighbours, packing, quality, sharding, simhash, toxicity
 from edspark.llm.common import remainder, ship, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,14 @@ def op3_block_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+@query("op4_recurrent_lm")
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every whole document, learnt from those whose
+    remainder is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, remainder("doc_id", 5) != 1)
+
+
 @query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint (3-word shingles) and component (links of 3 or fewer
