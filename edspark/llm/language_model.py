@@ -190,6 +190,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     n_known, train_tokens, base_score (add-half unigram) and score (the
     network), both log10 probabilities of the whole text."""
     text, spark = text_of(f"`{text_col}`"), docs.sparkSession
+    training = F.coalesce(training, F.lit(False))
     counts = count_words(docs.filter(training), text)
     words = lexicon(counts, settings)
     net = train(docs.filter(training), text, words, settings)
