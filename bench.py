@@ -29,8 +29,6 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", app="edspark-bench",
                       **{"spark.sql.shuffle.partitions": str(2 * cpus), "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("BENCH_SPREAD"):
-        spark.conf.set("edspark.fixtures.spread", os.environ["BENCH_SPREAD"])
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or [
         q for q in QUERIES if q not in SLOW_MODEL or os.environ.get("BENCH_WITH_MODEL") == "1"]
     times: dict[str, float] = {}

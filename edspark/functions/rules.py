@@ -13,15 +13,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def round_half_away(x, digits: int) -> Column:
-    """Round the binary double value half away from zero (C ``round`` of
-    ``x * 10^d``), which is what Python's ``round`` and DuckDB give for
-    values such as 82/80 = 1.025 -> 1.02; Spark's ``round`` rounds the
-    decimal text instead (1.03).  Exact binary halves (0.125) go away from
-    zero here, while Python would round them to even."""
+def round_half_even(x, digits: int) -> Column:
+    """Round the binary value of a double to ``digits`` (at most 3) decimals,
+    halves to even, as Python's ``round`` does: 21/120 = 0.175 is a little
+    below the half and gives 0.17.  ``x * 10^d`` would already round, so the
+    half is decided without it: x is split into a part of 24 bits and the
+    rest, whose products with ``2 * 10^d`` are exact; the first minus
+    ``2n + 1`` is exact too where it is near zero, so the sign of the sum is
+    that of ``2 * 10^d * x - (2n + 1)``."""
     p = float(10 ** digits)
     c = _c(x).cast("double")
-    return F.signum(c) * F.floor(F.abs(c) * F.lit(p) + F.lit(0.5)) / F.lit(p)
+    a = F.abs(c)
+    n = F.floor(a * F.lit(p))
+    high = a.cast("float").cast("double")
+    over = (high * F.lit(2 * p) - (n * 2 + 1).cast("double")) + (a - high) * F.lit(2 * p)
+    up = F.when((over > 0) | ((over == 0) & (n % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+    # From 2^43 on a double has no third decimal that could be rounded.
+    return F.when(a >= F.lit(2.0 ** 43), c).otherwise(F.signum(c) * (n + up).cast("double") / F.lit(p))
 
 
 def code_map(mapping: dict) -> Column:

@@ -47,19 +47,19 @@ def split_words(text) -> Column:
     return F.filter(F.split(F.trim(_c(text)), r"\s+"), lambda w: w != "")
 
 
-def clean_complaint(text, limit: int = 5000) -> Column:
-    """Null, blank or shorter than three characters after trimming ->
-    "General complaint"; otherwise the first ``limit`` characters."""
+def clean_complaint(text) -> Column:
+    """Null, blank or shorter than three characters after trimming ->
+    "General complaint"; otherwise the whole text."""
     t = _c(text)
     short = t.isNull() | (F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) < 3)
-    return F.when(short, F.lit(GENERAL_COMPLAINT)).otherwise(F.substring(t, 1, limit))
+    return F.when(short, F.lit(GENERAL_COMPLAINT)).otherwise(t)
+
+
+def cut_complaint(text, limit: int = 5000) -> Column:
+    """The first ``limit`` characters, for callers with a length limit."""
+    return F.substring(_c(text), 1, limit)
 
 
 def full_name(first, last) -> Column:
     """``first last``."""
     return F.concat_ws(" ", _c(first), _c(last))
-
-
-def level_label(level) -> Column:
-    """``Level n`` default label."""
-    return F.format_string("Level %d", _c(level).cast("int"))

@@ -48,11 +48,11 @@ def first_truthy(*cols) -> Column:
 def shock_index(hr, sbp, digits: int | None = None) -> Column:
     """M1: HR / SBP, null when HR is null or 0 or SBP is null or <= 0.
     ``digits=2`` is the service form, ``None`` the dashboard form."""
-    from edspark.functions.rules import round_half_away
+    from edspark.functions.rules import round_half_even
 
     hr, sbp = _c(hr), _c(sbp)
     si = F.when((hr != 0) & (sbp > 0), hr / sbp)
-    return round_half_away(si, digits) if digits is not None else si
+    return round_half_even(si, digits) if digits is not None else si
 
 
 def sanitize_value(value, key: str) -> Column:

@@ -30,12 +30,14 @@ def parse_payload(text, nesting: int = 1) -> Column:
 
 
 def class_mean(nested) -> Column:
-    """``[class][F]`` -> position-wise mean over classes (``[F]``)."""
+    """``[class][F]`` -> position-wise mean over classes (``[F]``); null
+    for an empty payload or classes of different lengths."""
     a = _c(nested)
     n = F.size(a)
-    width = F.size(F.element_at(a, 1))
-    return F.transform(F.sequence(F.lit(0), width - 1),
-                       lambda i: F.aggregate(a, F.lit(0.0), lambda acc, c: acc + c[i]) / n)
+    first = F.get(a, F.lit(0))
+    even = (n > 0) & F.forall(a, lambda c: F.size(c) == F.size(first))
+    mean = F.transform(first, lambda _, i: F.aggregate(a, F.lit(0.0), lambda acc, c: acc + F.get(c, i)) / n)
+    return F.when(even, mean)
 
 
 def flatten_payload(payload, nesting: int) -> Column:
@@ -46,10 +48,19 @@ def flatten_payload(payload, nesting: int) -> Column:
     if nesting == 2:
         return class_mean(p)
     # [class][row][F] -> mean over class -> [row][F] -> flatten
-    rows = F.size(F.element_at(p, 1))
-    per_row = F.transform(F.sequence(F.lit(0), rows - 1),
-                          lambda r: class_mean(F.transform(p, lambda c: c[r])))
-    return F.flatten(per_row)
+    return F.flatten(F.transform(F.get(p, F.lit(0)), lambda _, r: class_mean(F.transform(p, lambda c: F.get(c, r)))))
+
+
+def payload_values(text) -> Column:
+    """The values of a JSON payload of any of the three forms, told
+    by its opening brackets; null for empty, bad or uneven payloads."""
+    t = F.trim(_c(text))
+    out = F.lit(None).cast("array<double>")
+    for nesting in (1, 2, 3):
+        flat = flatten_payload(parse_payload(t, nesting), nesting)
+        opens = t.rlike("^" + r"\[\s*" * nesting + r"[^\[\s]")
+        out = F.when(opens, flat).otherwise(out)
+    return F.when((F.size(out) > 0) & F.forall(out, lambda v: v.isNotNull()), out)
 
 
 def feature_name(pos, names: Sequence[str] = DASHBOARD_FEATURES, text_prefix: str = DASHBOARD_TEXT_PREFIX,
@@ -68,15 +79,17 @@ def latest(attr: DataFrame, n: int, ts: str = "created_at", key: str = "row_id",
     return attr.filter(F.col(payload).isNotNull()).orderBy(F.desc(ts), F.desc(key)).limit(n)
 
 
-def mean_abs_by_position(attr: DataFrame, payload: str = "payload", nesting: int = 1) -> DataFrame:
-    """Mean absolute value per position over the given rows."""
-    flat = attr.select(F.posexplode(flatten_payload(payload, nesting)).alias("pos", "v"))
+def mean_abs_by_position(attr: DataFrame, payload: str = "payload", nesting: int = 1, parse=None) -> DataFrame:
+    """Mean absolute value per position over the given rows; ``parse``
+    (:func:`payload_values`) reads a JSON column, row by row in its own form."""
+    flat = attr.select((parse(payload) if parse else flatten_payload(payload, nesting)).alias("p"))
+    flat = flat.select(F.posexplode("p").alias("pos", "v"))
     return flat.groupBy("pos").agg(F.avg(F.abs("v")).alias("importance"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def attribution_mean_abs(attr: DataFrame, n: int = 100, nesting: int = 1) -> DataFrame:
+def attribution_mean_abs(attr: DataFrame, n: int = 100, nesting: int = 1, parse=None) -> DataFrame:
     """Importance per named feature over the newest ``n`` payloads."""
-    agg = mean_abs_by_position(latest(attr, n), nesting=nesting)
+    agg = mean_abs_by_position(latest(attr, n), nesting=nesting, parse=parse)
     return agg.select("pos", feature_name("pos").alias("feature"), "importance")
 
 
@@ -99,21 +112,24 @@ def attribution_top(importance: DataFrame, first: int = 15, show: int = 10) -> D
     return kept.orderBy(F.desc("importance"), F.asc("pos")).limit(show).select("pos", "feature", "importance")
 
 
+def top_features(values: Column, n: int = 3) -> Column:
+    """The ``n`` largest |values| (ties: later position first) as structs
+    of the service's feature name and the signed impact; empty if null."""
+    keyed = F.transform(values, lambda v, i: F.struct((-F.abs(v)).alias("k1"), (-i).alias("k2"), i.alias("pos"), v.alias("impact")))
+    top = F.transform(F.slice(F.sort_array(keyed), 1, n), lambda s: F.struct(
+        feature_name(s["pos"], SERVICE_FEATURES).alias("feature"), s["impact"].alias("impact")))
+    return F.coalesce(top, F.array().cast("array<struct<feature:string,impact:double>>"))
+
+
 def record_top_features(attr: DataFrame, n: int = 3, payload: str = "payload", key: str = "row_id",
                         nesting: int = 1) -> DataFrame:
-    """Per record the ``n`` largest |values| (ties: later position first)
-    with the service's feature name and the signed impact; class 0 when
-    nested.  Pure array expressions per row, then one explode."""
+    """T6 per record; class 0 when nested.  Pure array expressions per row,
+    then one explode."""
     p = _c(payload)
     for _ in range(nesting - 1):
-        p = F.element_at(p, 1)
-    keyed = F.transform(p, lambda v, i: F.struct((-F.abs(v)).alias("k1"), (-i).alias("k2"),
-                                                  i.alias("pos"), v.alias("impact")))
-    top = F.slice(F.sort_array(keyed), 1, n)
-    ex = attr.select(key, F.posexplode(top).alias("rank0", "s"))
-    return ex.select(key, (F.col("rank0") + 1).alias("rank"),
-                     feature_name(F.col("s.pos"), SERVICE_FEATURES).alias("feature"),
-                     F.col("s.impact").alias("impact"))
+        p = F.get(p, F.lit(0))
+    ex = attr.select(key, F.posexplode(top_features(p, n)).alias("rank0", "s"))
+    return ex.select(key, (F.col("rank0") + 1).alias("rank"), "s.feature", "s.impact")
 
 
 def linear_attribution(df: DataFrame, features: Sequence[str], coefficients: Sequence[float],

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edspark.functions.text import UNKNOWN, dotted_code, split_words
+from edspark.functions.text import UNKNOWN, split_words
 
 
 def describe_codes(df: DataFrame, dictionary: DataFrame, text_col: str = "Chief_complain",
@@ -26,11 +26,14 @@ def describe_codes(df: DataFrame, dictionary: DataFrame, text_col: str = "Chief_
     base = df if key else df.withColumn(k, F.monotonically_increasing_id())
     carry = [c for c in df.columns if c != k]
     words = base.select(k, *carry, F.posexplode_outer(split_words(text_col)).alias("__pos", "__code"))
-    d1 = dictionary.select(F.col("code").alias("__c1"), F.col("description").alias("__d1"))
-    d2 = dictionary.select(F.col("code").alias("__c2"), F.col("description").alias("__d2"))
-    looked = (words.join(d1, words["__code"] == d1["__c1"], "left")
-              .join(d2, dotted_code(words["__code"]) == d2["__c2"], "left"))
-    desc = F.coalesce(F.col("__d1"), F.col("__d2"), F.col("__code"))
+    # One row per undotted code: an entry in the raw form before one in the
+    # dotted form, then the smallest description.
+    entry = dictionary.select(F.col("code").alias("__c"), F.col("description").alias("__d"))
+    bare = F.when(F.col("__c").rlike(r"^.{3}\.."), F.concat(F.substring("__c", 1, 3), F.substring("__c", 5, 1 << 30))).otherwise(F.col("__c"))
+    entry = entry.filter(F.col("__d").isNotNull()).groupBy(bare.alias("__bare")).agg(
+        F.min(F.struct((F.col("__c") != bare).alias("dotted"), F.col("__d").alias("d")))["d"].alias("__d"))
+    looked = words.join(entry, words["__code"] == entry["__bare"], "left")
+    desc = F.coalesce(F.col("__d"), F.col("__code"))
     grouped = looked.groupBy(k, *carry).agg(
         F.collect_list(F.struct(F.col("__pos"), desc.alias("d"))).alias("__parts"))
     text = F.array_join(F.transform(F.array_sort(F.filter("__parts", lambda s: s["d"].isNotNull())),

@@ -9,18 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edspark import schemas as S
 from edspark.functions import rules as R
 from edspark.operators.sequence import running_sum
+from edspark.session import ensure_checkpoint_dir
 
 
 def prob_array(df: DataFrame, prefix: str = "prob_class_") -> DataFrame:
-    """Gather ``prob_class_*`` columns (name order) into ``probs``;
+    """Gather ``prob_class_*`` columns (in the frame's order) into ``probs``;
     uniform 0.2 when there are none (R2)."""
-    cols = sorted(c for c in df.columns if prefix in c)
+    cols = [c for c in df.columns if prefix in c]
     probs = F.array(*[F.col(c).cast("double") for c in cols]) if cols else F.array_repeat(F.lit(0.2), S.N_CLASSES)
     return df.withColumn("probs", probs)
 
@@ -97,10 +98,12 @@ def action_names(dec: DataFrame, col: str = "Final_Action", codebook: dict = S.C
 def confusion_matrix(dec: DataFrame) -> DataFrame:
     """A10: share of each action inside each true level, chart column order,
     only the actions that occur."""
-    named = action_names(dec)
-    present = {r[0] for r in named.select("Action_Name").distinct().limit(len(S.CHART_ACTIONS) + 1).collect()}
+    counts = action_names(dec).groupBy("ESI", "Action_Name").agg(F.count(F.lit(1)).alias("n"))
+    ensure_checkpoint_dir(dec.sparkSession)
+    counts = counts.filter(F.col("Action_Name").isin(S.CHART_ORDER)).checkpoint()  # levels x actions rows
+    present = {r[0] for r in counts.select("Action_Name").distinct().collect()}
     order = [c for c in S.CHART_ORDER if c in present]
-    wide = named.groupBy("ESI").pivot("Action_Name", order).agg(F.count(F.lit(1)))
+    wide = counts.groupBy("ESI").pivot("Action_Name", order).agg(F.sum("n"))
     total = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in order), F.lit(0))
     return wide.select("ESI", *[(F.coalesce(F.col(f"`{c}`"), F.lit(0)) / total).alias(c) for c in order])
 
@@ -147,12 +150,11 @@ def fairness_rates(df: DataFrame, groups: Sequence[str] = ("Age_Group", "Gender_
         (F.avg(F.when(F.col("__crit"), F.col("__miss"))) * 100).alias("critical_miss_rate"),
         F.count_if("__low").alias("n_low_acuity"),
         (F.avg(F.when(F.col("__low"), F.col("__over"))) * 100).alias("over_triage_rate"))
-    keep = per.groupBy("dimension").agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") > 1).select("dimension")
-    return per.join(F.broadcast(keep), "dimension", "left_semi")
+    several = F.count(F.lit(1)).over(Window.partitionBy("dimension"))  # over one row per subgroup
+    return per.withColumn("__k", several).filter(F.col("__k") > 1).drop("__k")
 
 
 AREA_BY_ACTION = {3: "critical", 2: "acute", 1: "fast"}
-AREA_CAPACITY = {"critical": 10, "acute": 30, "fast": 20}
 
 
 def decision_cost(dec: DataFrame, order_col: str = "row_id") -> DataFrame:
@@ -160,7 +162,7 @@ def decision_cost(dec: DataFrame, order_col: str = "row_id") -> DataFrame:
     ``area_full`` = the target area already held its capacity before this
     assignment (running count per area in log order, distributed)."""
     area = F.create_map(*[x for k, v in AREA_BY_ACTION.items() for x in (F.lit(k), F.lit(v))])[F.col("Final_Action")]
-    cap = F.create_map(*[x for k, v in AREA_CAPACITY.items() for x in (F.lit(k), F.lit(v))])
+    cap = F.create_map(*[x for v in AREA_BY_ACTION.values() for x in (F.lit(v), F.lit(S.CAPACITY[f"occ_{v}"]))])
     d = dec.withColumn("area", area)
     with_area = d.filter(F.col("area").isNotNull())
     occ = running_sum(with_area, F.lit(1), [F.col(order_col)], ["area"], name="occupancy_after")

@@ -108,7 +108,7 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
         F.count_if(F.col("triage_level") <= 2).alias("critical_count"),
         F.count_if(F.col("triage_level") == 3).alias("urgent_count"),
         F.count_if(F.col("triage_level") > 3).alias("stable_count"),
-        R.round_half_away(F.avg("time_in_ed"), 1).alias("avg_wait_minutes"))
+        R.round_half_even(F.avg("time_in_ed"), 1).alias("avg_wait_minutes"))
     # Top ``names`` by (deteriorating first, queue order), then keep the
     # deteriorating ones: equal to filtering first, but the trend stays a sort
     # key of one top-k instead of a predicate pushed below the joins.
@@ -135,14 +135,18 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
 
 def result_detail(results: DataFrame, keys: DataFrame) -> DataFrame:
     """Set-based point lookup: for each requested appointment id,
-    zero or one result with the service's rounded shock index and ISO time."""
+    its result (``found``; nulls if there is none) with the service's rounded
+    shock index, top five features and ISO time."""
+    from edspark.operators.attribution import payload_values, top_features
+
     v = F.col("__v")
     hr = first_truthy(v["Pulse"], v["HR"])
-    found = results.join(keys.select("appointment_id").distinct(), "appointment_id", "left_semi")
-    return found.withColumn("__v", parse_vitals("vitals")).select(
-        "appointment_id", "esi_level", "supervised_confidence", "rl_action",
-        shock_index(hr, v["SBP"], 2).alias("shock_index"),
-        R.iso_text("created_at").alias("created_at"))
+    asked = keys.select("appointment_id").distinct()
+    found = results.withColumn("found", F.lit(True)).withColumn("__v", parse_vitals("vitals"))
+    return asked.join(found, "appointment_id", "left").select(
+        "appointment_id", F.coalesce("found", F.lit(False)).alias("found"), "esi_level", "ktas_level", "supervised_confidence",
+        "rl_action", "model_version", "shap_values", top_features(payload_values("shap_values"), 5).alias("top_features"),
+        shock_index(hr, v["SBP"], 2).alias("shock_index"), "vitals", R.iso_text("created_at").alias("created_at"))
 
 
 def patient_appointments(appointments: DataFrame, patients: DataFrame) -> DataFrame:
@@ -151,7 +155,8 @@ def patient_appointments(appointments: DataFrame, patients: DataFrame) -> DataFr
     the count is a partial aggregate, so a patient with very many visits is
     never gathered into one task."""
     a = appointments.join(patients.select("patient_id"), "patient_id", "left_semi")
-    n = a.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_appointments"))
+    # Counted over its own column-pruned scan; the join's hot keys are split by AQE.
+    n = appointments.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_appointments"))
     return a.join(n, "patient_id", "inner").select(
         "patient_id", "appointment_id", "status", "triage_level", "created_at", "n_appointments")
 

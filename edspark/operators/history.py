@@ -1,17 +1,17 @@
 """Vitals history per patient.
 
 Per-patient work is either a partial aggregate (``max_by``/``min_by``, which
-combine map-side and so tolerate a hot patient) or the salted two-phase top-N
-of :func:`edspark.operators.sequence.top_n_per_group`.
+combine map-side and so tolerate a hot patient) or a top-N per patient, which
+Spark limits in every task before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edspark.functions.vitals import first_truthy, parse_vitals
-from edspark.operators.sequence import running_sum, top_n_per_group
+from edspark.operators.sequence import running_sum
 from edspark.schemas import SPARKLINE_RULES
 
 
@@ -34,10 +34,10 @@ def vitals_points(readings: DataFrame, key: str = "reading_id", patient: str = "
 
 def vitals_history(points: DataFrame, n: int = 20) -> DataFrame:
     """The latest ``n`` points per patient (ties broken by reading id),
-    returned oldest first inside each patient."""
-    latest = top_n_per_group(points, ["patient_id"], [F.desc("ts"), F.desc("reading_id")], n,
-                             salt_col="reading_id", rank_name="recency")
-    return latest.orderBy("patient_id", "ts", "reading_id")
+    with ``recency`` 1 for the latest; callers that show it sort it."""
+    # Spark keeps each task's best n of a patient before the shuffle.
+    w = Window.partitionBy("patient_id").orderBy(F.desc("ts"), F.desc("reading_id"))
+    return points.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 
 
 def _long(points: DataFrame) -> DataFrame:

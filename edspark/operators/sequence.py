@@ -4,8 +4,8 @@
 key runs in a single task per group.  Here the rows are range-partitioned on
 (group, order), numbered locally inside each partition, and shifted by the
 row counts of the earlier partitions of the same group.  The offset table has
-one row per (group, partition), so its size is bounded by
-``#groups x #partitions`` and it is safe to broadcast.
+one row per (group, partition) that holds rows; it is counted, and broadcast
+only up to ``BROADCAST_ROWS``.
 
 The range-partitioned stage is read twice (local numbers and block totals).
 Range bounds come from sampling, so two evaluations could disagree; the stage
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from edspark.session import ensure_checkpoint_dir
 
+#: Offset rows (some 30 bytes each) up to which the offset table is broadcast.
+BROADCAST_ROWS = 500_000
 _PID_SHIFT = 1 << 33  # monotonically_increasing_id = (partition id << 33) + row index
 
 
@@ -36,6 +38,13 @@ def _partitions(spark) -> int:
         return spark.sparkContext.defaultParallelism
 
 
+def _small(offsets: DataFrame) -> DataFrame:
+    """The offset table, written once and broadcast only if its counted size
+    allows; else the join shuffles."""
+    offsets = offsets.checkpoint(eager=True)
+    return F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
+
+
 def ordered_sequence(df: DataFrame, order_cols: Sequence[Column | str], group_cols: Sequence[str] = (),
                      name: str = "seq", num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = position of each row inside its group in ``order_cols``
@@ -63,7 +72,7 @@ def ordered_sequence(df: DataFrame, order_cols: Sequence[Column | str], group_co
     cond = reduce(lambda a, c: a & c,
                   [staged[g].eqNullSafe(b[f"__g_{g}"]) for g in group_cols],
                   staged["__pid"] == b["__bpid"])
-    joined = staged.join(F.broadcast(b), cond, "inner")
+    joined = staged.join(_small(b), cond, "inner")
     seq = F.col("__offset") + F.col("__local") - F.col("__first") + F.lit(1)
     drop = ["__pid", "__local", "__bpid", "__first", "__offset"] + [f"__g_{g}" for g in group_cols]
     return joined.withColumn(name, seq.cast("bigint")).drop(*drop)
@@ -93,7 +102,7 @@ def running_sum(df: DataFrame, value: Column | str, order_cols: Sequence[Column
     cond = reduce(lambda a, c: a & c,
                   [local[g].eqNullSafe(b[f"__g_{g}"]) for g in group_cols],
                   local["__pid"] == b["__bpid"])
-    joined = local.join(F.broadcast(b), cond, "inner")
+    joined = local.join(_small(b), cond, "inner")
     drop = ["__pid", "__v", "__local", "__bpid", "__offset"] + [f"__g_{g}" for g in group_cols]
     return joined.withColumn(name, F.col("__offset") + F.col("__local")).drop(*drop)
 

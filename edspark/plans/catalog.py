@@ -116,7 +116,7 @@ def _points(spark, d):
 
 @query("vitals_history")
 def q_vitals_history(spark, d):
-    return hist.vitals_history(_points(spark, d), 20)
+    return hist.vitals_history(_points(spark, d), 20).orderBy("patient_id", "ts", "reading_id")
 
 
 @query("vital_latest_warning")
@@ -184,7 +184,9 @@ def q_watch_list(spark, d):
 @query("result_detail")
 def q_result_detail(spark, d):
     keys = fx.appointments(spark, d).filter(F.col("status") == "IN_PROGRESS")
-    return ho.result_detail(fx.triage_results(spark, d), keys)
+    out = ho.result_detail(fx.triage_results(spark, d), keys)
+    top = F.get("top_features", F.lit(0))
+    return out.withColumns({"n_top": F.size("top_features"), "top_feature": top["feature"], "top_impact": top["impact"]}).drop("top_features")
 
 
 @query("patient_appointments")
@@ -342,6 +344,13 @@ def q_attribution_mean_abs_nested(spark, d):
     return att.attribution_mean_abs(fx.nested_attributions(spark, d), 100, nesting=2)
 
 
+@query("attribution_mean_abs_json")
+def q_attribution_mean_abs_json(spark, d):
+    """R4/A14 from the JSON column: each row in its own format; empty and bad
+    payloads among the latest 100 are skipped."""
+    return att.attribution_mean_abs(fx.attribution_texts(spark, d), 100, parse=att.payload_values)
+
+
 @query("attribution_by_class")
 def q_attribution_by_class(spark, d):
     return att.attribution_by_class(fx.nested_attributions(spark, d), 2)
@@ -395,7 +404,10 @@ def q_impute_scale(spark, d):
 
 @query("one_hot_arrival")
 def q_one_hot_arrival(spark, d):
-    return feat.one_hot(_visits(spark, d), "ArrivalMode", keep=["ESI"])
+    from pyspark.ml.functions import vector_to_array
+
+    out = feat.one_hot(_visits(spark, d), "ArrivalMode", keep=["ESI"])
+    return out.withColumn("ArrivalMode_onehot", vector_to_array("ArrivalMode_onehot"))
 
 
 @query("label_encode")
@@ -410,15 +422,19 @@ def q_stratified_folds(spark, d):
 
 @query("complaint_features")
 def q_complaint_features(spark, d):
-    return feat.complaint_features(fx.complaints(spark, d), "complaint", "doc_id").drop("features")
+    """The tokens of each text, and what all term counts add up to."""
+    out = feat.complaint_features(fx.complaints(spark, d), "complaint", "doc_id")
+    return out.select("doc_id", "n_tokens", feat.vector_total(out, "term_counts").alias("corpus_terms"))
 
 
-def _training_frame(spark, d):
-    """Scaled numeric + one-hot arrival + hashed code text, keyed by a row id
-    fixed once with a reliable checkpoint (the id is reused across jobs)."""
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import array_to_vector
+TREE_CODE_FEATURES = 1 << 9
 
+
+def _training_frame(spark, d, code_features=1 << 18):
+    """Scaled numeric + one-hot arrival + hashed code text (sparse, with
+    ``code_features`` slots), keyed by a row id fixed once with a reliable
+    checkpoint (the id is reused across jobs)."""
+    from pyspark.ml.feature import HashingTF
     from edspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
@@ -426,19 +442,24 @@ def _training_frame(spark, d):
          .withColumn("row_id", F.monotonically_increasing_id()).checkpoint(eager=True))
     scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["row_id", "ESI", "ArrivalMode", "Chief_complain"])
     oh = feat.one_hot(scaled, "ArrivalMode", keep=[c for c in scaled.columns if c != "ArrivalMode"])
-    oh = oh.withColumn("ArrivalMode_vec", array_to_vector("ArrivalMode_onehot"))
     oh = oh.withColumn("__codes", F.split("Chief_complain", " "))
-    tf = HashingTF(inputCol="__codes", outputCol="codes_tf", numFeatures=64).transform(oh)
+    tf = HashingTF(inputCol="__codes", outputCol="codes_tf", numFeatures=code_features).transform(oh)
     labelled = feat.label_encode(tf, "ESI").withColumn("label", F.col("label").cast("double"))
-    return feat.feature_matrix(labelled, feat.NUMERIC, ["ArrivalMode_vec", "codes_tf"])
+    return feat.feature_matrix(labelled, feat.NUMERIC, ["ArrivalMode_onehot", "codes_tf"])
 
 
 @query("feature_matrix")
 def q_feature_matrix(spark, d):
+    from pyspark.ml.feature import VectorSlicer
     from pyspark.ml.functions import vector_to_array
 
     m = _training_frame(spark, d)
-    return m.select("row_id", "label", F.size(vector_to_array("features")).alias("n_features"))
+    # The dense head of the vector by value; the codes' part by its total.
+    head = len(feat.NUMERIC) + 4
+    first = VectorSlicer(inputCol="features", outputCol="head", indices=list(range(head))).transform(m)
+    return first.withColumn("h", vector_to_array("head")).select(
+        "label", *[F.col("h")[i].alias(c) for i, c in enumerate(feat.NUMERIC)], F.slice("h", len(feat.NUMERIC) + 1, 4).alias("arrival"),
+        F.size("__codes").alias("n_codes"), feat.vector_total(m, "codes_tf").alias("corpus_codes"))
 
 
 @query("acuity_classifier")
@@ -449,7 +470,8 @@ def q_acuity_classifier(spark, d):
 
     from edspark.session import scratch_dir
 
-    train = _training_frame(spark, d)
+    # Tree learners bin every slot, so they get a smaller code space.
+    train = _training_frame(spark, d, code_features=TREE_CODE_FEATURES)
     base, meta = feat.fit_stacked_classifier(train)
     root = scratch_dir(spark, "acuity-model")
     loaded = []
@@ -457,7 +479,12 @@ def q_acuity_classifier(spark, d):
         m.write().overwrite().save(f"{root}/base{i}")
         loaded.append(type(m).load(f"{root}/base{i}"))
     meta.write().overwrite().save(f"{root}/meta")
-    return feat.predict_stacked(train, loaded, LogisticRegressionModel.load(f"{root}/meta"))
+    out = feat.predict_stacked(train, loaded, LogisticRegressionModel.load(f"{root}/meta"))
+    total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    return out.select("ESI", F.size("probs").alias("n_classes"), (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+                      (F.get("probs", F.col("level") - 1) == F.col("confidence")).alias("level_has_largest"),
+                      F.exists(F.slice("probs", 1, F.greatest(F.col("level") - 1, F.lit(0))),
+                               lambda p: p >= F.col("confidence")).alias("earlier_as_large"))
 
 
 @query("linear_attribution")
@@ -469,8 +496,11 @@ def q_linear_attribution(spark, d):
     x = feat.feature_matrix(scaled, feat.NUMERIC, [])
     model = LinearRegression(featuresCol="features", labelCol="ESI", solver="normal").fit(x)
     means = scaled.agg(*[F.avg(c).alias(c) for c in feat.NUMERIC]).first().asDict()  # eight fitted numbers
-    out = att.linear_attribution(scaled, feat.NUMERIC, list(model.coefficients), means)
-    return out.select("ESI", "contributions")
+    out = att.linear_attribution(model.transform(x), feat.NUMERIC, list(model.coefficients), means)
+    expected = float(model.intercept) + sum(float(c) * means[f] for c, f in zip(model.coefficients, feat.NUMERIC))
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    return out.select("ESI", F.size("contributions").alias("n_contributions"),
+                      (F.abs(total - (F.col("prediction") - F.lit(expected))) < 1e-6).alias("adds_up"))
 
 
 # ---- rules over whole tables ---------------------------------------------------
@@ -533,17 +563,18 @@ def q_structured_features(spark, d):
 
 @query("dedupe_arrivals")
 def q_dedupe_arrivals(spark, d):
-    """The first reading per patient (by time, then id) as a partial
-    aggregate, safe for a patient with very many readings."""
+    """The first reading per appointment (by time, then patient) as a
+    partial aggregate."""
     r = fx.vitals_readings(spark, d)
-    first = F.min_by(F.struct("reading_id", "ts"), F.struct("ts", "reading_id"))
-    return r.groupBy("patient_id").agg(first.alias("f")).select("patient_id", "f.reading_id", "f.ts")
+    first = F.min_by(F.struct("patient_id", "ts"), F.struct("ts", "patient_id"))
+    return r.groupBy(F.col("reading_id").alias("appointment_id")).agg(first.alias("f")).select("appointment_id", "f.patient_id", "f.ts")
 
 
 @query("clean_complaint")
 def q_clean_complaint(spark, d):
     c = fx.complaints(spark, d)
-    return c.select("doc_id", X.clean_complaint("complaint").alias("complaint_clean"),
+    full = X.clean_complaint("complaint")
+    return c.select("doc_id", full.alias("complaint_clean"), X.cut_complaint(full).alias("complaint_cut"),
                     F.substring("complaint", 1, 100).alias("event_text"))
 
 
@@ -554,26 +585,30 @@ def q_walkin_dob(spark, d):
 
 @query("ed_state_vector")
 def q_ed_state_vector(spark, d):
-    """The service state per reading: visit probabilities,
-    vitals risk, queue occupancy from the SCHEDULED queue, time of reading."""
+    """The service state of every reading: visit probabilities
+    (the fallback ones where the model gave none), vitals risk, queue
+    occupancy from the SCHEDULED queue, time of reading."""
     probs = fx.decisions_input(spark, d).select(F.col("row_id").alias("reading_id"), "probs")
-    r = fx.vitals_readings(spark, d).join(probs, "reading_id", "inner").withColumn("__v", V.parse_vitals("vitals"))
+    r = fx.vitals_readings(spark, d).join(probs, "reading_id", "left").withColumn("__v", V.parse_vitals("vitals"))
     queue_length = dash.queue_wait(fx.appointments(spark, d), AS_OF).select("queue_length").scalar()
+    probs = F.coalesce("probs", F.array(*[F.lit(p) for p in S.FALLBACK_PROBS]))
     risk = R.risk_score(F.col("__v.O2Sat"), F.col("__v.SBP"))
     ta, tb = R.time_features("ts")
     return r.select("reading_id", risk.alias("risk"),
-                    R.state_vector("probs", risk, R.queue_occupancy(queue_length), ta, tb).alias("state"))
+                    R.state_vector(probs, risk, R.queue_occupancy(queue_length), ta, tb).alias("state"))
 
 
 @query("occupancy_ratio")
 def q_occupancy_ratio(spark, d):
     """Latest running occupancy per area over its capacity."""
     occ = hist.occupancy_running(fx.bed_moves(spark, d))
-    last = occ.groupBy("area").agg(F.max_by("occupancy", F.struct("ts", "move_id")).alias("occupancy"))
-    cap = spark.createDataFrame([("waiting", S.CAPACITY["waiting"]), ("bed", S.CAPACITY["occ_acute"]),
-                                 ("fast_track", S.CAPACITY["occ_fast"])], "area string, capacity double")
-    return last.join(F.broadcast(cap), "area", "left").select(
-        "area", "occupancy", (F.col("occupancy") / F.col("capacity")).alias("ratio"))
+    last = occ.agg(*[F.coalesce(F.max_by(F.when(F.col("area") == a, F.col("occupancy")),
+                                         F.when(F.col("area") == a, F.struct("ts", "move_id"))), F.lit(0)).alias(a)
+                     for a in ("waiting", "critical", "bed", "fast_track")])
+    ratio = R.occupancy_ratios("waiting", "critical", "bed", "fast_track")
+    return last.select("waiting", "critical", "bed", "fast_track", ratio.alias("r")).select(
+        "waiting", "critical", "bed", "fast_track", *[F.col("r")[i].alias(f"{a}_ratio") for i, a in enumerate(
+            ("waiting", "critical", "bed", "fast_track"))])
 
 
 @query("visit_status")
@@ -641,8 +676,7 @@ def q_latency_report(spark, d):
 def q_seeded_sample(spark, d):
     """Exactly n rows by a seeded hash order, then drop null targets."""
     a = fx.appointments(spark, d)
-    h = F.pmod(F.col("appointment_id") * F.lit(2654435761) + F.lit(42), F.lit(4294967296))
-    return (a.orderBy(h, F.col("appointment_id")).limit(1000).filter(F.col("triage_level").isNotNull())
+    return (feat.seeded_sample(a, "appointment_id", n=1000, seed=42).filter(F.col("triage_level").isNotNull())
             .select("appointment_id", "triage_level"))
 
 
@@ -654,11 +688,16 @@ def q_arrival_events(spark, d):
                                            F.col("rl_action").alias("action"), "vitals", F.col("created_at").alias("ts"))
     a = fx.appointments(spark, d).select("appointment_id", "patient_id")
     c = fx.complaints(spark, d).select(F.col("doc_id").alias("appointment_id"), F.col("complaint").alias("chief_complaint"))
-    visits = t.join(a, "appointment_id", "inner").join(c, "appointment_id", "left")
+    k = fx.priority_tokens(spark, d).select("appointment_id", F.col("token_number").alias("token"))
+    visits = t.join(a, "appointment_id", "inner").join(c, "appointment_id", "left").join(k, "appointment_id", "left")
     ev = new_patient_events(visits)
+    keys = F.array_join(F.json_object_keys("payload"), ",")
     return ev.select("appointment_id", "patient_id", "triage_level", "priority_score", "action",
                      F.col("vitals.SBP").alias("SBP"), F.col("vitals.HR").alias("HR"), F.col("vitals.RR").alias("RR"),
-                     F.col("vitals.O2Sat").alias("O2Sat"), "chief_complaint", "shap_ready")
+                     F.col("vitals.O2Sat").alias("O2Sat"), "chief_complaint", "shap_ready", "token", keys.alias("payload_keys"),
+                     F.array_join(F.json_object_keys(F.get_json_object("payload", "$.vitals")), ",").alias("vitals_keys"),
+                     F.get_json_object("payload", "$.token").alias("payload_token"),
+                     F.get_json_object("payload", "$.vitals.HR").cast("double").alias("payload_hr"))
 
 
 # ---- streaming -----------------------------------------------------------------
@@ -672,45 +711,73 @@ def _events_stream(spark, d):
 
 @query("stream_arrivals")
 def q_stream_arrivals(spark, d):
-    ev = st.new_patient_events(st.triage_stream(_events_stream(spark, d)))
+    ev = st.new_patient_events(fx.triage_stream(_events_stream(spark, d)))
     out = st.run_available_now(ev.select("appointment_id", "triage_level", "priority_score", "payload"), "arrivals")
     return out.select("appointment_id", "triage_level", "priority_score",
-                      F.get_json_object("payload", "$.event_type").alias("event_type"))
+                      F.get_json_object("payload", "$.event_type").alias("event_type"),
+                      F.get_json_object("payload", "$.token").alias("token"),
+                      F.array_join(F.json_object_keys("payload"), ",").alias("payload_keys"))
 
 
 @query("stream_dedupe")
 def q_stream_dedupe(spark, d):
-    s = _events_stream(spark, d).select(F.col("user_id").alias("patient_id"), "ts", "event_id")
-    return st.run_available_now(st.first_per_key(s, "patient_id"), "dedupe", mode="complete")
+    """Every event is appended to the feed's log; the first event of an
+    appointment wins."""
+    s = fx.triage_stream(_events_stream(spark, d)).select("appointment_id", "patient_id", "ts")
+    return st.first_per_key(st.run_available_now(s, "dedupe"), "appointment_id")
 
 
 @query("stream_queue")
 def q_stream_queue(spark, d):
-    v = st.triage_stream(_events_stream(spark, d)).select(
-        "patient_id", "ts", "appointment_id", "triage_level", R.priority_score("triage_level", "ts").alias("priority_score"))
-    return st.run_available_now(st.latest_per_key(v, "patient_id"), "queue", mode="complete")
+    """The first event of every appointment with its place in the queue."""
+    v = fx.triage_stream(_events_stream(spark, d)).select(
+        "appointment_id", "patient_id", "ts", "triage_level", R.priority_score("triage_level", "ts").alias("priority_score"))
+    return st.queue_positions(st.first_per_key(st.run_available_now(v, "queue"), "appointment_id"))
 
 
 @query("stream_alerts")
 def q_stream_alerts(spark, d):
-    return st.run_available_now(st.severity_alerts(st.triage_stream(_events_stream(spark, d))), "alerts")
+    return st.run_available_now(st.severity_alerts(fx.triage_stream(_events_stream(spark, d))), "alerts")
 
 
 @query("stream_hourly")
 def q_stream_hourly(spark, d):
-    return st.run_available_now(st.hourly_arrivals(st.triage_stream(_events_stream(spark, d))), "hourly",
-                                mode="complete")
+    """E6 in update mode: each micro-batch appends the hours it changed, the
+    latest count of an hour holds."""
+    log = st.run_available_now(st.hourly_arrivals(fx.triage_stream(_events_stream(spark, d))), "hourly", mode="update",
+                               keep_batch=True)
+    return st.latest_update(log, ["hour_start", "hour_end"])
+
+
+def _ready_stream(spark, d):
+    """``shap_ready`` events of the feed, with the record's top features."""
+    ready = _events_stream(spark, d).filter(F.col("event_type") == "view").select(
+        F.col("event_id").alias("ready_id"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ready_ts"))
+    emb = fx.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("ready_id"), att.top_features(F.col("embedding").cast("array<double>"), 3).alias("top_features"))
+    return ready.join(emb, "ready_id", "left")
 
 
 @query("stream_attribution_join")
 def q_stream_attribution_join(spark, d):
-    arrivals = st.triage_stream(_events_stream(spark, d))
-    ready = (_events_stream(spark, d).filter(F.col("event_type") == "view")
-             .select(F.col("event_id").alias("ready_id"),
-                     (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ready_ts")))
+    """E3 as a bounded stream-stream join: ready within the hour."""
+    arrivals = fx.triage_stream(_events_stream(spark, d))
+    ready = _ready_stream(spark, d).select("ready_id", "ready_ts")
     return st.run_available_now(st.attribution_join(arrivals, ready), "attribution")
 
 
+@query("stream_attribution_left")
+def q_stream_attribution_left(spark, d):
+    """E3 complete: arrivals and ready events are appended to their logs, and
+    every arrival shows its attribution, however early or late it came."""
+    arrivals = st.run_available_now(
+        fx.triage_stream(_events_stream(spark, d)).select("appointment_id", "ts", "triage_level"), "feed-arrivals")
+    ready = st.run_available_now(_ready_stream(spark, d), "feed-ready")
+    out = st.live_feed(arrivals, ready)
+    top = F.get("top_features", F.lit(0))
+    return out.withColumns({"top_feature": top["feature"], "top_impact": top["impact"]}).drop("top_features")
+
+
 # ---- file sources and sinks ----------------------------------------------------
 
 from edspark.sources import files as io  # noqa: E402
@@ -764,15 +831,3 @@ def q_hourly_series(spark, d):
 def q_hybrid_report(spark, d):
     """The evaluation report lines over all decisions."""
     return io.metrics_report_lines(dec.hybrid_metrics(_decisions(spark, d)))
-
-
-@query("stream_attribution_left")
-def q_stream_attribution_left(spark, d):
-    """E3 in its left-outer form: every matched pair, plus the arrivals
-    without attribution that the watermark has already passed (later ones
-    are emitted by later micro-batches), so there is no batch oracle."""
-    arrivals = st.triage_stream(_events_stream(spark, d))
-    ready = (_events_stream(spark, d).filter(F.col("event_type") == "view")
-             .select(F.col("event_id").alias("ready_id"),
-                     (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ready_ts")))
-    return st.run_available_now(st.attribution_join(arrivals, ready, how="leftOuter"), "attribution-left")

@@ -4,9 +4,11 @@ rule definitions, over the views of :mod:`edspark.plans.oracle_views`."""
 
 from __future__ import annotations
 
+from edspark.schemas import SERVICE_FEATURES as _SERVICE
 from edspark.plans.oracle_views import COLOUR, K, with_views
 
 ORACLE: dict[str, str] = {}
+SERVICE_FIRST = _SERVICE[0]
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 DAY = "DATE '2024-01-30'"
@@ -18,21 +20,18 @@ def jnum(col: str, key: str) -> str:
 
 
 def log_sql(hours: int) -> str:
+    """The triage log: recent results first, then what belongs to them."""
     return f"""
-    SELECT *, CASE WHEN heart_rate <> 0 AND sbp > 0 THEN heart_rate / sbp END AS shock_index,
-           CAST(hour(timestamp) AS INTEGER) AS hour, CAST(timestamp AS DATE) AS date
-    FROM (
-      SELECT tr.id, tr.appointment_id, tr.esi_level AS triage_level, tr.supervised_confidence AS confidence,
-             tr.rl_action, tr.shap_values, tr.vitals, tr.created_at AS timestamp, a.created_at AS arrival_time,
-             a.status, pt.token_number, pt.priority_score, pt.estimated_wait_minutes,
-             coalesce({jnum('tr.vitals', 'Pulse')}, {jnum('tr.vitals', 'HR')}) AS heart_rate,
-             {jnum('tr.vitals', 'SBP')} AS sbp, {jnum('tr.vitals', 'O2Sat')} AS o2sat,
-             {jnum('tr.vitals', 'Temp')} AS temp, {jnum('tr.vitals', 'Age')} AS age
-      FROM triage_results tr
-      JOIN appointments a ON tr.appointment_id = a.appointment_id
-      LEFT JOIN priority_tokens pt ON a.appointment_id = pt.appointment_id
-      WHERE tr.created_at >= {AS_OF} - INTERVAL {int(hours)} HOUR
-    )"""
+    WITH recent AS (FROM triage_results WHERE created_at >= {AS_OF} - INTERVAL {int(hours)} HOUR),
+    vit AS (SELECT id, coalesce({jnum('vitals', 'Pulse')}, {jnum('vitals', 'HR')}) AS heart_rate, {jnum('vitals', 'SBP')} AS sbp,
+                   {jnum('vitals', 'O2Sat')} AS o2sat, {jnum('vitals', 'Temp')} AS temp, {jnum('vitals', 'Age')} AS age FROM recent)
+    SELECT recent.id, appointment_id, recent.esi_level AS triage_level, recent.supervised_confidence AS confidence,
+           recent.rl_action, recent.shap_values, recent.vitals, recent.created_at AS timestamp,
+           visit.scheduled_time AS arrival_time, visit.status, tok.token_number, tok.priority_score, tok.estimated_wait_minutes,
+           vit.* EXCLUDE (id), CASE WHEN heart_rate <> 0 AND sbp > 0 THEN heart_rate / sbp END AS shock_index,
+           CAST(hour(recent.created_at) AS INTEGER) AS hour, CAST(recent.created_at AS DATE) AS date
+    FROM recent JOIN vit USING (id) JOIN appointments visit USING (appointment_id)
+    LEFT JOIN priority_tokens tok USING (appointment_id)"""
 
 
 LOG_VIEWS = ("triage_results", "appointments", "priority_tokens")
@@ -222,7 +221,7 @@ hp0 AS (
   LEFT JOIN priority_tokens t ON a.appointment_id = t.appointment_id
   WHERE a.status IN ('SCHEDULED', 'IN_PROGRESS')),
 hp1 AS (
-  SELECT *, CASE WHEN hr <> 0 AND sbp > 0 THEN round(hr / sbp, 2) END AS shock_index,
+  SELECT *, CASE WHEN hr <> 0 AND sbp > 0 THEN CAST(printf('%.2f', hr / sbp) AS DOUBLE) END AS shock_index,
          concat_ws(' | ', CASE WHEN hr <> 0 THEN 'HR ' || {_int('hr')} END,
                           CASE WHEN sbp <> 0 THEN 'BP ' || {_int('sbp')} END,
                           CASE WHEN o2 <> 0 THEN 'O2 ' || {_int('o2')} || '%' END,
@@ -265,7 +264,7 @@ ORACLE["handoff_summary"] = _on_hp("""
 , c AS (
   SELECT count(*) AS total_patients, count(*) FILTER (WHERE triage_level <= 2) AS critical_count,
          count(*) FILTER (WHERE triage_level = 3) AS urgent_count,
-         count(*) FILTER (WHERE triage_level > 3) AS stable_count, round(avg(time_in_ed), 1) AS avg_wait_minutes
+         count(*) FILTER (WHERE triage_level > 3) AS stable_count, CAST(printf('%.1f', avg(time_in_ed)) AS DOUBLE) AS avg_wait_minutes
   FROM hp),
 w AS (
   SELECT string_agg(patient_name, ', ' ORDER BY priority_score DESC NULLS LAST, appointment_id) AS names,
@@ -288,15 +287,17 @@ SELECT appointment_id, patient_name, triage_level, trend_status FROM hp
 WHERE triage_level <= 2 OR trend_status = 'deteriorating'""")
 
 ORACLE["result_detail"] = with_views(f"""
-SELECT appointment_id, esi_level, supervised_confidence, rl_action,
-       CASE WHEN hr <> 0 AND sbp > 0 THEN round(hr / sbp, 2) END AS shock_index,
+, asked AS (SELECT DISTINCT appointment_id FROM appointments WHERE status = 'IN_PROGRESS'),
+r AS (SELECT *, coalesce(nullif({jnum('vitals', 'Pulse')}, 0), {jnum('vitals', 'HR')}) AS hr, {jnum('vitals', 'SBP')} AS sbp
+      FROM triage_results)
+SELECT appointment_id, r.id IS NOT NULL AS found, esi_level, ktas_level, supervised_confidence, rl_action, model_version,
+       shap_values, CASE WHEN hr <> 0 AND sbp > 0 THEN CAST(printf('%.2f', hr / sbp) AS DOUBLE) END AS shock_index, vitals,
+       CAST(CASE WHEN shap_values IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS n_top,
+       CASE WHEN shap_values IS NOT NULL THEN '{SERVICE_FIRST}' END AS top_feature,
+       CAST(json_extract(shap_values, '$[0]') AS DOUBLE) AS top_impact,
        CASE WHEN epoch_us(created_at) % 1000000 = 0 THEN strftime(created_at, '%Y-%m-%dT%H:%M:%S')
             ELSE strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') END AS created_at
-FROM (SELECT *, coalesce(nullif({jnum('vitals', 'Pulse')}, 0), {jnum('vitals', 'HR')}) AS hr,
-             {jnum('vitals', 'SBP')} AS sbp
-      FROM triage_results
-      WHERE appointment_id IN (SELECT appointment_id FROM appointments WHERE status = 'IN_PROGRESS'))""",
-                                    "triage_results", "appointments")
+FROM asked LEFT JOIN r USING (appointment_id)""", "triage_results", "appointments")
 
 ORACLE["patient_appointments"] = with_views("""
 SELECT patient_id, appointment_id, status, triage_level, created_at,
@@ -519,6 +520,14 @@ per AS (SELECT row_id, pos, avg(v) AS mv FROM flat GROUP BY row_id, pos)
 SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(mv)) AS importance FROM per GROUP BY pos""",
                                                    "nested_attributions")
 
+ORACLE["attribution_mean_abs_json"] = with_views(f"""
+, recent AS (SELECT * FROM attributions ORDER BY created_at DESC, row_id DESC LIMIT 100),
+vals AS (SELECT row_id, payload AS p FROM recent WHERE row_id % 6 IN (4, 5)
+  UNION ALL SELECT row_id, list_transform(range(16), lambda i: (0.0 + payload[i + 1] + payload[i + 17] + payload[i + 33] + payload[i + 49]) / 4)
+  FROM recent WHERE row_id % 6 = 3),
+flat AS (SELECT CAST(unnest(range(len(p))) AS INTEGER) AS pos, unnest(p) AS v FROM vals)
+SELECT pos, {fname('pos', DASHBOARD_FEATURES)} AS feature, avg(abs(v)) AS importance FROM flat GROUP BY pos""", "attributions")
+
 ORACLE["attribution_by_class"] = with_views(f"""
 , one AS (SELECT payload[3] AS p FROM nested_attributions),
 flat AS (SELECT CAST(unnest(range(len(p))) AS INTEGER) AS pos, unnest(p) AS v FROM one)
@@ -579,13 +588,37 @@ SELECT ESI, ArrivalMode, list_transform((SELECT c FROM cats), lambda x: CAST(CAS
        AS ArrivalMode_onehot
 FROM f""", "raw_lines")
 
+ORACLE["feature_matrix"] = with_views(STATS + f"""
+, m AS (SELECT ArrivalMode AS mode FROM visits WHERE ArrivalMode IS NOT NULL
+      GROUP BY ArrivalMode ORDER BY count(*) DESC, ArrivalMode LIMIT 1),
+f AS (SELECT * REPLACE (coalesce(ArrivalMode, (SELECT mode FROM m)) AS ArrivalMode),
+             len(string_split(Chief_complain, ' ')) AS n_codes FROM visits),
+cats AS (SELECT list(DISTINCT ArrivalMode ORDER BY ArrivalMode) AS c FROM f)
+SELECT CAST(dense_rank() OVER (ORDER BY ESI) - 1 AS DOUBLE) AS label, {', '.join(_scaled(c) for c in NUMERIC)},
+       list_transform((SELECT c FROM cats), lambda x: CAST(CASE WHEN x = ArrivalMode THEN 1.0 ELSE 0.0 END AS DOUBLE)) AS arrival,
+       CAST(n_codes AS INTEGER) AS n_codes, CAST((SELECT sum(n_codes) FROM f) AS DOUBLE) AS corpus_codes
+FROM f""", "raw_lines")
+
+ORACLE["acuity_classifier"] = with_views(f"""
+, {VISITS}
+SELECT ESI, CAST((SELECT count(DISTINCT ESI) FROM visits) AS INTEGER) AS n_classes, true AS sums_to_one,
+       true AS level_has_largest, false AS earlier_as_large FROM visits""", "raw_lines")
+
+ORACLE["linear_attribution"] = with_views(f"""
+, {VISITS}
+SELECT ESI, CAST({len(NUMERIC)} AS INTEGER) AS n_contributions, true AS adds_up FROM visits""", "raw_lines")
+
+ORACLE["complaint_features"] = with_views("""
+, t AS (SELECT doc_id, len(list_filter(string_split_regex(lower(complaint), '[^a-zA-Z0-9_]+'), lambda x: x <> '')) AS n FROM complaints)
+SELECT doc_id, CAST(n AS INTEGER) AS n_tokens, CAST((SELECT sum(n) FROM t) AS DOUBLE) AS corpus_terms FROM t""", "complaints")
+
 ORACLE["label_encode"] = with_views(f"""
 , {VISITS}
 SELECT ESI, CAST(dense_rank() OVER (ORDER BY ESI) - 1 AS INTEGER) AS label FROM visits""", "raw_lines")
 
 ORACLE["stratified_folds"] = with_views("""
 SELECT row_id, acuity,
-       CAST((row_number() OVER (PARTITION BY acuity ORDER BY (row_id * 2654435761) % 4294967296, row_id) - 1) % 3
+       CAST((row_number() OVER (PARTITION BY acuity ORDER BY (row_id % 2147483648 * 2654435761) % 4294967296, row_id) - 1) % 3
             AS INTEGER) AS fold
 FROM decisions_input""", "decisions_input")
 
@@ -610,7 +643,7 @@ FROM vitals_readings""", "vitals_readings")
 
 ORACLE["shock_index"] = with_views(f"""
 SELECT reading_id, CASE WHEN hr <> 0 AND sbp > 0 THEN hr / sbp END AS shock_index,
-       CASE WHEN hr <> 0 AND sbp > 0 THEN round(hr / sbp, 2) END AS shock_index_rounded
+       CASE WHEN hr <> 0 AND sbp > 0 THEN CAST(printf('%.2f', hr / sbp) AS DOUBLE) END AS shock_index_rounded
 FROM (SELECT reading_id, coalesce({jnum('vitals', 'Pulse')}, {jnum('vitals', 'HR')}) AS hr, {jnum('vitals', 'SBP')} AS sbp
       FROM vitals_readings)""", "vitals_readings")
 
@@ -640,14 +673,16 @@ SELECT reading_id, {_san('Age')} AS Age, {_san('Temp')} AS Temp,
 FROM vitals_readings""", "vitals_readings")
 
 ORACLE["dedupe_arrivals"] = with_views("""
-SELECT patient_id, reading_id, ts FROM (
-  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts, reading_id) AS rn FROM vitals_readings)
+SELECT appointment_id, patient_id, ts FROM (
+  SELECT *, reading_id AS appointment_id, row_number() OVER (PARTITION BY reading_id ORDER BY ts, patient_id) AS rn
+  FROM vitals_readings)
 WHERE rn = 1""", "vitals_readings")
 
 ORACLE["clean_complaint"] = with_views("""
 SELECT doc_id,
        CASE WHEN complaint IS NULL OR length(regexp_replace(complaint, '^\\s+|\\s+$', '', 'g')) < 3
-            THEN 'General complaint' ELSE substr(complaint, 1, 5000) END AS complaint_clean,
+            THEN 'General complaint' ELSE complaint END AS complaint_clean,
+       substr(complaint_clean, 1, 5000) AS complaint_cut,
        substr(complaint, 1, 100) AS event_text
 FROM complaints""", "complaints")
 
@@ -658,10 +693,10 @@ FROM audit_visits""", "audit_visits")
 ORACLE["ed_state_vector"] = with_views(f"""
 , q AS (SELECT count(*) AS queue_length FROM appointments WHERE status = 'SCHEDULED'),
 x AS (
-  SELECT r.reading_id, d.probs, r.ts, q.queue_length,
+  SELECT r.reading_id, coalesce(d.probs, [0.1, 0.15, 0.5, 0.15, 0.1]) AS probs, r.ts, q.queue_length,
          CASE WHEN coalesce({jnum('r.vitals', 'O2Sat')}, 100.0) < 90 OR coalesce({jnum('r.vitals', 'SBP')}, 120.0) < 90
               THEN 0.9 ELSE 0.1 END::DOUBLE AS risk
-  FROM vitals_readings r JOIN decisions_input d ON r.reading_id = d.row_id, q)
+  FROM vitals_readings r CROSS JOIN q LEFT JOIN decisions_input d ON r.reading_id = d.row_id)
 SELECT reading_id, risk,
        CAST(probs || [risk] || [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
             || [least(queue_length, 5) / 5.0, least(greatest(queue_length - 5, 0), 5) / 5.0, 0.2, 0.2]
@@ -669,12 +704,12 @@ SELECT reading_id, risk,
 FROM x""", "vitals_readings", "decisions_input", "appointments")
 
 ORACLE["occupancy_ratio"] = with_views("""
-, occ AS (SELECT *, sum(delta) OVER (PARTITION BY area ORDER BY ts, move_id ROWS UNBOUNDED PRECEDING) AS occupancy
-          FROM bed_moves),
-last AS (SELECT area, occupancy FROM (
-          SELECT *, row_number() OVER (PARTITION BY area ORDER BY ts DESC, move_id DESC) AS rn FROM occ) WHERE rn = 1)
-SELECT area, CAST(occupancy AS BIGINT) AS occupancy, occupancy / CASE area WHEN 'waiting' THEN 50.0 WHEN 'bed' THEN 30.0 ELSE 20.0 END AS ratio
-FROM last""", "bed_moves")
+, now AS (SELECT area, sum(delta) AS n FROM bed_moves GROUP BY area),
+o AS (SELECT coalesce(max(n) FILTER (area = 'waiting'), 0) AS waiting, coalesce(max(n) FILTER (area = 'critical'), 0) AS critical,
+             coalesce(max(n) FILTER (area = 'bed'), 0) AS bed, coalesce(max(n) FILTER (area = 'fast_track'), 0) AS fast_track FROM now)
+SELECT CAST(waiting AS BIGINT) AS waiting, CAST(critical AS BIGINT) AS critical, CAST(bed AS BIGINT) AS bed,
+       CAST(fast_track AS BIGINT) AS fast_track, waiting / 50.0::DOUBLE AS waiting_ratio, critical / 10.0::DOUBLE AS critical_ratio,
+       bed / 30.0::DOUBLE AS bed_ratio, fast_track / 20.0::DOUBLE AS fast_track_ratio FROM o""", "bed_moves")
 
 ORACLE["visit_status"] = with_views("""
 SELECT appointment_id, rl_action,
@@ -727,18 +762,25 @@ FROM request_log GROUP BY endpoint""", "request_log")
 
 ORACLE["seeded_sample"] = with_views("""
 SELECT appointment_id, triage_level FROM (
-  SELECT * FROM appointments ORDER BY (appointment_id * 2654435761 + 42) % 4294967296, appointment_id LIMIT 1000)
+  SELECT * FROM appointments ORDER BY (appointment_id % 2147483648 * 2654435761 + 42) % 4294967296, appointment_id LIMIT 1000)
 WHERE triage_level IS NOT NULL""", "appointments")
 
+EVENT_KEYS = ("event_type,appointment_id,patient_id,token,triage_level,priority_score,action,vitals,"
+              "chief_complaint,shap_ready")
+
 ORACLE["arrival_events"] = with_views(f"""
 SELECT t.appointment_id, a.patient_id, t.esi_level AS triage_level,
        (6 - CAST(t.esi_level AS BIGINT)) * 100000 + CAST(floor(epoch(t.created_at) / 60) AS BIGINT) AS priority_score,
        t.rl_action AS action, {jnum('t.vitals', 'SBP')} AS SBP,
        coalesce(nullif({jnum('t.vitals', 'Pulse')}, 0), {jnum('t.vitals', 'HR')}) AS HR,
        coalesce(nullif({jnum('t.vitals', 'Resp')}, 0), {jnum('t.vitals', 'RR')}) AS RR,
-       {jnum('t.vitals', 'O2Sat')} AS O2Sat, substr(c.complaint, 1, 100) AS chief_complaint, false AS shap_ready
+       {jnum('t.vitals', 'O2Sat')} AS O2Sat, substr(c.complaint, 1, 100) AS chief_complaint, false AS shap_ready,
+       k.token_number AS token, '{EVENT_KEYS}' AS payload_keys, 'SBP,HR,RR,O2Sat' AS vitals_keys,
+       k.token_number AS payload_token,
+       coalesce(nullif({jnum('t.vitals', 'Pulse')}, 0), {jnum('t.vitals', 'HR')}) AS payload_hr
 FROM triage_results t JOIN appointments a ON t.appointment_id = a.appointment_id
-LEFT JOIN complaints c ON c.doc_id = t.appointment_id""", "triage_results", "appointments", "complaints")
+LEFT JOIN complaints c ON c.doc_id = t.appointment_id
+LEFT JOIN priority_tokens k ON k.appointment_id = t.appointment_id""", "triage_results", "appointments", "complaints", "priority_tokens")
 
 
 # ---- streaming (batch-equal results) -------------------------------------------
@@ -753,21 +795,21 @@ def _stream(sql: str) -> str:
     return "WITH " + STREAM_TRIAGE.lstrip("\n") + "\n" + sql
 
 
-ORACLE["stream_arrivals"] = _stream("""
+ORACLE["stream_arrivals"] = _stream(f"""
 SELECT appointment_id, triage_level,
        (6 - CAST(triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(ts) / 60) AS BIGINT) AS priority_score,
-       'new_patient' AS event_type
+       'new_patient' AS event_type, printf('%s-%04d', {COLOUR}, appointment_id) AS token, '{EVENT_KEYS}' AS payload_keys
 FROM st""")
 
 ORACLE["stream_dedupe"] = _stream("""
-SELECT patient_id, ts, event_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts, event_id) AS rn FROM st) WHERE rn = 1""")
+SELECT appointment_id, patient_id, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY appointment_id ORDER BY ts, patient_id) AS rn FROM st) WHERE rn = 1""")
 
 ORACLE["stream_queue"] = _stream("""
-SELECT patient_id, ts, appointment_id, triage_level,
-       (6 - CAST(triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(ts) / 60) AS BIGINT) AS priority_score
-FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, appointment_id DESC) AS rn FROM st)
-WHERE rn = 1""")
+, q AS (SELECT appointment_id, patient_id, ts, triage_level,
+          (6 - CAST(triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(ts) / 60) AS BIGINT) AS priority_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY appointment_id ORDER BY ts, patient_id) AS rn FROM st) WHERE rn = 1)
+SELECT *, row_number() OVER (ORDER BY priority_score DESC, appointment_id) AS queue_position FROM q""")
 
 ORACLE["stream_alerts"] = _stream("""
 SELECT appointment_id, ts, triage_level, CASE WHEN triage_level <= 2 THEN 'critical' ELSE 'warning' END AS severity
@@ -782,6 +824,15 @@ SELECT a.appointment_id, a.ts, a.triage_level, r.ts + INTERVAL 5 MINUTE AS ready
 FROM st a JOIN st r ON a.appointment_id = r.event_id AND r.event_type = 'view'
  AND r.ts + INTERVAL 5 MINUTE >= a.ts AND r.ts + INTERVAL 5 MINUTE <= a.ts + INTERVAL 1 HOUR""")
 
+ORACLE["stream_attribution_left"] = _stream(f"""
+, vals AS (SELECT vec_id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+best AS (SELECT vec_id, {fname('pos', SERVICE_FEATURES)} AS top_feature, v AS top_impact FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, pos DESC) AS rn FROM vals) WHERE rn = 1)
+SELECT a.appointment_id, a.ts, a.triage_level, r.ts + INTERVAL 5 MINUTE AS ready_ts, r.event_id IS NOT NULL AS shap_ready,
+       b.top_feature, b.top_impact
+FROM st a LEFT JOIN st r ON a.appointment_id = r.event_id AND r.event_type = 'view'
+LEFT JOIN best b ON b.vec_id = r.event_id""")
+
 ORACLE["csv_roundtrip"] = ORACLE["hybrid_decision"]  # the decisions, written and read back
 ORACLE["vector_roundtrip"] = "SELECT vec_id, embedding, 4 * len(embedding) AS n_bytes FROM embeddings"
 

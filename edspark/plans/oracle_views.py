@@ -29,7 +29,9 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS appointment_id, o_custkey AS patient_id,
                CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS triage_level,
                CASE o_orderstatus WHEN 'O' THEN 'SCHEDULED' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS status,
-               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((o_orderkey * 3) % 43200 AS BIGINT)) AS created_at
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((o_orderkey * 3) % 43200 AS BIGINT)) AS created_at,
+               CASE WHEN o_orderkey % 9 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00'
+                    + to_minutes(CAST((o_orderkey * 3) % 43200 + o_orderkey % 6 * 15 AS BIGINT)) END AS scheduled_time
         FROM orders""",
     "appointments": f"""
         SELECT *, CASE WHEN appointment_id % 4 <> 0 THEN {PRIORITY} END AS priority_score
@@ -45,8 +47,8 @@ VIEWS: dict[str, str] = {
                CASE event_type WHEN 'click' THEN 'Assign to Bed' WHEN 'view' THEN 'Move to Waiting Room'
                                WHEN 'purchase' THEN 'Direct to Fast Track' END AS rl_action,
                CASE WHEN event_id % 3 <> 0 THEN printf('[%d]', {K}) END AS shap_values,
-               {VITALS} AS vitals,
-               CAST(ts AS TIMESTAMP) AS created_at
+               {VITALS} AS vitals, CAST(1 + (user_id + {K}) % 5 AS INTEGER) AS ktas_level,
+               'v' || (event_id % 3 + 1) AS model_version, CAST(ts AS TIMESTAMP) AS created_at
         FROM events""",
     "priority_tokens": f"""
         SELECT appointment_id, printf('%s-%04d', {COLOUR}, appointment_id) AS token_number,

@@ -4,7 +4,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,14 +29,33 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@F.pandas_udf(T.BinaryType())
-def _encode_f32(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+def _spans(array: pa.Array) -> tuple[np.ndarray, pa.Buffer | None]:
+    """Offsets of an Arrow list or binary array from its first value on, and
+    its validity bits (rebuilt, so that a sliced array starts at bit 0)."""
+    valid = pa.array(np.ones(0, bool)) if not len(array) else array.is_valid()
+    return np.asarray(array.offsets if hasattr(array, "offsets") else _binary_offsets(array), np.int64), valid.buffers()[1]
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _decode_f32(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4").tolist())
+def _binary_offsets(array: pa.Array) -> np.ndarray:
+    return np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+
+
+@F.arrow_udf(T.BinaryType())
+def _encode_f32(vectors: pa.Array) -> pa.Array:
+    """A whole batch at once: the values' buffer is the blobs' buffer."""
+    at, valid = _spans(vectors)
+    values = np.ascontiguousarray(vectors.values.to_numpy(zero_copy_only=False).astype("<f4"))
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [valid, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(values)])
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _decode_f32(blobs: pa.Array) -> pa.Array:
+    at, valid = _spans(blobs)
+    data = blobs.buffers()[2]
+    values = np.frombuffer(data, "<f4", int(at[-1]) // 4) if data is not None and len(at) else np.zeros(0, "<f4")
+    lists = pa.ListArray.from_buffers(pa.list_(pa.float32()), len(blobs),
+                                      [valid, pa.py_buffer((at // 4).astype(np.int32))], children=[pa.array(values, pa.float32())])
+    return lists
 
 
 def vector_to_blob(vec) -> Column:

@@ -21,24 +21,12 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-SMALL_TABLES = {"region", "nation", "supplier", "benchmark", "labels"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one test table.  The generated tables are single-row-group
-    files, so a scan is one task; when a table has fewer files than the
-    default parallelism it is spread round-robin over that many partitions
-    (only the pruned columns are shuffled).  Tables stored as many files, as
-    on a cluster, are read as they are."""
+    """Read one test table as it is stored."""
     from edspark.session import ensure_utc
 
     ensure_utc(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    n = spark.sparkContext.defaultParallelism
-    spread = spark.conf.get("edspark.fixtures.spread", "true") == "true"
-    if spread and name not in SMALL_TABLES and len(df.inputFiles()) < n:
-        df = df.repartition(n)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _k(props: str = "props"):
@@ -52,12 +40,14 @@ def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (F.when(F.col("o_orderstatus") == "O", "SCHEDULED")
               .when(F.col("o_orderstatus") == "P", "IN_PROGRESS").otherwise("COMPLETED"))
     has_token = F.col("appointment_id") % 4 != 0
+    slot = F.make_interval(mins=(F.col("o_orderkey") % 6 * 15).cast("int"))
     return o.select(
         F.col("o_orderkey").alias("appointment_id"),
         F.col("o_custkey").alias("patient_id"),
         level.alias("triage_level"),
         status.alias("status"),
         created.alias("created_at"),
+        F.when(F.col("o_orderkey") % 9 != 0, (created + slot).cast("timestamp")).alias("scheduled_time"),
     ).withColumn("priority_score", F.when(has_token, priority_score("triage_level", "created_at")))
 
 
@@ -96,10 +86,24 @@ def triage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         action.alias("rl_action"),
         F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).alias("shap_values"),
         vitals_json(k=k).alias("vitals"),
+        (F.lit(1) + (F.col("user_id") + k) % 5).cast("int").alias("ktas_level"),
+        F.concat(F.lit("v"), (F.col("event_id") % 3 + 1).cast("string")).alias("model_version"),
         F.col("ts").alias("created_at"),  # stored type kept, so time filters reach the scan
     )
 
 
+def triage_stream(events: DataFrame) -> DataFrame:
+    """Streaming counterpart of the ``triage_results`` binding."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    action = (F.when(F.col("event_type") == "click", "Assign to Bed")
+              .when(F.col("event_type") == "view", "Move to Waiting Room")
+              .when(F.col("event_type") == "purchase", "Direct to Fast Track"))
+    return events.select(
+        F.col("event_id").alias("appointment_id"), F.col("user_id").alias("patient_id"), "ts",
+        (F.lit(1) + (F.col("user_id") + k) % 5).cast("int").alias("triage_level"),
+        action.alias("action"), vitals_json(k=k).alias("vitals")).withColumn("token", token_text("triage_level", "appointment_id"))
+
+
 def priority_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = appointments(spark, sf_dir).filter(F.col("appointment_id") % 4 != 0)
     wait = F.when(F.col("appointment_id") % 7 != 0, F.col("appointment_id") % 120)
@@ -133,6 +137,18 @@ def nested_attributions(spark: SparkSession, sf_dir: str, classes: int = 4) -> D
     return a.select("row_id", "created_at", blocks.alias("payload"))
 
 
+def attribution_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution payloads as a JSON column of mixed form: flat, nested by
+    class, empty, and text that is no JSON."""
+    flat = attributions(spark, sf_dir)
+    quarter = F.size("payload") / 4
+    nested = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.slice("payload", (c * quarter + 1).cast("int"), quarter.cast("int")))
+    kind = F.col("row_id") % 6
+    text = (F.when(kind == 0, F.lit("")).when(kind == 1, F.lit("not json")).when(kind == 2, F.lit("[]"))
+            .when(kind == 3, F.to_json(nested)).otherwise(F.to_json("payload")))
+    return flat.select("row_id", "created_at", text.alias("payload"))
+
+
 def decisions_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     parts = [F.abs(F.col("embedding")[i].cast("double")) for i in range(5)]

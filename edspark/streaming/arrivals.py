@@ -5,9 +5,10 @@ drives one to completion with ``trigger(availableNow=True)`` into a new folder
 of the shared checkpoint directory, with the stream's checkpoint next to its
 output, and returns the written result as a batch DataFrame.  ``start_refresh``
 takes caller-chosen output and checkpoint paths, so a restarted job that
-reuses them resumes from its last committed batch.  Keyed state (first/latest event per key) is a
-streaming aggregate, so state size is bounded by the number of keys, not by
-the number of events.
+reuses them resumes from its last committed batch.  The feed is kept as
+append-only logs; the first event of a key, the queue and the attributions are
+read from them, so a stream holds no state that grows with the keys and never
+rewrites what it wrote.
 """
 
 from __future__ import annotations
@@ -34,43 +35,49 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "*.parquet",
     return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def triage_stream(events: DataFrame) -> DataFrame:
-    """Streaming counterpart of the ``triage_results`` binding."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    action = (F.when(F.col("event_type") == "click", "Assign to Bed")
-              .when(F.col("event_type") == "view", "Move to Waiting Room")
-              .when(F.col("event_type") == "purchase", "Direct to Fast Track"))
-    from edspark.sources.fixtures import vitals_json
-
-    return events.select(
-        F.col("event_id").alias("appointment_id"), F.col("user_id").alias("patient_id"), "ts",
-        (F.lit(1) + (F.col("user_id") + k) % 5).cast("int").alias("triage_level"),
-        action.alias("action"), vitals_json(k=k).alias("vitals"))
-
-
 def new_patient_events(visits: DataFrame) -> DataFrame:
     """The ``new_patient`` event of each assessed visit: vitals
     struct with key aliases (HR = Pulse or HR, RR = Resp or RR), complaint
-    cut to 100 characters, attribution not yet ready, plus its JSON text."""
+    cut to 100 characters, queue token, attribution not yet ready, plus its
+    JSON text, in which keys without a value are null."""
     visits = visits.withColumn("__v", parse_vitals("vitals"))  # parsed once per row
     v = F.col("__v")
     vitals = F.struct(v["SBP"].alias("SBP"), first_truthy(v["Pulse"], v["HR"]).alias("HR"),
                       first_truthy(v["Resp"], v["RR"]).alias("RR"), v["O2Sat"].alias("O2Sat"))
     complaint = F.col("chief_complaint") if "chief_complaint" in visits.columns else F.lit(None).cast("string")
+    token = F.col("token") if "token" in visits.columns else F.lit(None).cast("string")
     ev = visits.select(
-        F.lit("new_patient").alias("event_type"), "appointment_id", "patient_id", "ts", "triage_level",
+        F.lit("new_patient").alias("event_type"), "appointment_id", "patient_id", "ts", token.alias("token"), "triage_level",
         R.priority_score("triage_level", "ts").alias("priority_score"), "action",
         vitals.alias("vitals"), F.substring(complaint, 1, 100).alias("chief_complaint"),
         F.lit(False).alias("shap_ready"))
-    return ev.withColumn("payload", F.to_json(F.struct(*[c for c in ev.columns if c != "ts"])))
+    return ev.withColumn("payload", F.to_json(
+        F.struct(*[c for c in ev.columns if c != "ts"]), {"ignoreNullFields": "false"}))
 
 
-def first_per_key(stream: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """First event per key by event time, as a streaming aggregate
-    (``min_by`` keeps one row of state per key)."""
-    cols = [c for c in stream.columns if c != key]
+def first_per_key(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """First event per key by event time (a partial aggregate)."""
+    cols = [c for c in events.columns if c != key]
     first = F.min_by(F.struct(*cols), F.struct(F.col(ts), *[F.col(c) for c in cols if c != ts]))
-    return stream.groupBy(key).agg(first.alias("__f")).select(key, "__f.*")
+    return events.groupBy(key).agg(first.alias("__f")).select(key, "__f.*")
+
+
+def queue_positions(queue: DataFrame, score: str = "priority_score", key: str = "appointment_id") -> DataFrame:
+    """The queue's order, highest score first, as ``queue_position`` from 1."""
+    from edspark.operators.sequence import ordered_sequence
+
+    return ordered_sequence(queue, [F.desc_nulls_last(score), F.asc(key)], name="queue_position")
+
+
+def live_feed(arrivals: DataFrame, ready: DataFrame) -> DataFrame:
+    """The feed from its two logs: the first arrival of an appointment and
+    its latest ``shap_ready`` event, whichever of them came first."""
+    first = first_per_key(arrivals, "appointment_id")
+    last = ready.groupBy(F.col("ready_id").alias("appointment_id")).agg(
+        F.max_by(F.struct("ready_ts", "top_features"), "ready_ts").alias("r"))
+    return first.join(last, "appointment_id", "left").select(
+        "appointment_id", "ts", "triage_level", F.col("r.ready_ts").alias("ready_ts"), F.col("r").isNotNull().alias("shap_ready"),
+        F.col("r.top_features").alias("top_features"))
 
 
 def dedupe_within_watermark(stream: DataFrame, key: str, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -79,14 +86,6 @@ def dedupe_within_watermark(stream: DataFrame, key: str, delay: str = "1 hour",
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def latest_per_key(stream: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """The live queue as a keyed state table: latest state per key;
-    readers order it by priority."""
-    cols = [c for c in stream.columns if c != key]
-    last = F.max_by(F.struct(*cols), F.struct(F.col(ts), *[F.col(c) for c in cols if c != ts]))
-    return stream.groupBy(key).agg(last.alias("__l")).select(key, "__l.*")
-
-
 def severity_alerts(visits: DataFrame) -> DataFrame:
     """Stateless: one alert per arrival with level <= 3."""
     return (visits.withColumn("severity", R.arrival_severity("triage_level"))
@@ -95,12 +94,18 @@ def severity_alerts(visits: DataFrame) -> DataFrame:
 
 
 def hourly_arrivals(visits: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Arrivals per tumbling clock hour; rows later than the watermark
-    delay are dropped (a rule added here, the reference had no late data)."""
+    """Arrivals per tumbling clock hour, for update mode.  A row counts
+    unless its hour had ended before the watermark - the latest event time of
+    the earlier micro-batches less ``delay`` - when its micro-batch began."""
     w = visits.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("count"))
     return w.select(F.col("window.start").alias("hour_start"), F.col("window.end").alias("hour_end"), "count")
 
 
+def latest_update(log: DataFrame, keys: list[str], value: str = "count") -> DataFrame:
+    """The value of the last micro-batch that wrote a key."""
+    return log.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+
+
 def attribution_join(arrivals: DataFrame, ready: DataFrame, bound: str = "1 hour", delay: str = "2 hours",
                      how: str = "inner") -> DataFrame:
     """Attach a later ``shap_ready`` event to its arrival (same
@@ -116,43 +121,49 @@ def attribution_join(arrivals: DataFrame, ready: DataFrame, bound: str = "1 hour
                                        F.col("r.ready_ts").isNotNull().alias("shap_ready"))
 
 
+def _state_store(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, outside the heap, unless the session
+    names a provider itself."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(key, ""):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _sink(path: str, transform: Callable[[DataFrame], DataFrame] | None = None):
+    """Every micro-batch has a folder of its own, which a replay overwrites."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (transform(batch) if transform else batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
 def start_refresh(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60, mode: str = "append"):
     """The dashboard refresh as a processing-time trigger (60 s for the
     log, 300 s for attribution aggregates); returns the running query."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/state" if mode == "complete" else f"{path}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-
+    _state_store(stream.sparkSession)
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(sink).trigger(processingTime=f"{int(seconds)} seconds").start())
+            .foreachBatch(_sink(path)).trigger(processingTime=f"{int(seconds)} seconds").start())
 
 
 def run_available_now(stream: DataFrame, label: str, mode: str = "append",
-                      transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """E7 in tests: process everything available, write each micro-batch to
-    parquet under the shared checkpoint folder, return the result as a batch
-    DataFrame.  ``complete`` mode rewrites the full state table per batch."""
+                      transform: Callable[[DataFrame], DataFrame] | None = None, keep_batch: bool = False) -> DataFrame:
+    """E7 in tests: process everything available, append each micro-batch to
+    parquet under the shared checkpoint folder, return what was written as a
+    batch DataFrame (with ``batch_id`` if ``keep_batch``)."""
+    from edspark.sources.fixed_width import path_exists
+
     spark = stream.sparkSession
+    _state_store(spark)
     out = scratch_dir(spark, f"stream-{label}")
-    ckpt = f"{out}/_checkpoint"
     data = f"{out}/data"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        # Idempotent per micro-batch: a replayed batch overwrites its own folder.
-        b = transform(batch) if transform else batch
-        target = f"{data}/state" if mode == "complete" else f"{data}/batch_id={batch_id}"
-        b.write.mode("overwrite").parquet(target)
-
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(sink).trigger(availableNow=True).start())
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
+         .foreachBatch(_sink(data, transform)).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    from edspark.sources.fixed_width import path_exists
-
+    schema = transform(stream).schema if transform else stream.schema
     if not path_exists(spark, data):
-        schema = transform(stream).schema if transform else stream.schema
-        return spark.createDataFrame([], schema)
-    if mode == "complete":
-        return spark.read.parquet(f"{data}/state")
-    return spark.read.option("basePath", data).parquet(data).drop("batch_id")
+        found = spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0))
+    else:
+        found = spark.read.option("basePath", data).parquet(data)
+    return found if keep_batch else found.drop("batch_id")
