@@ -94,9 +94,10 @@ def severity_alerts(visits: DataFrame) -> DataFrame:
 
 
 def hourly_arrivals(visits: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Arrivals per tumbling clock hour, for update mode.  A row counts
-    unless its hour had ended before the watermark - the latest event time of
-    the earlier micro-batches less ``delay`` - when its micro-batch began."""
+    """Arrivals per tumbling clock hour, for update mode.  The watermark
+    is the latest event time seen less ``delay``.  A row counts unless its
+    hour had ended before the watermark with which the micro-batch before its
+    own began (Spark holds late rows against that one)."""
     w = visits.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("count"))
     return w.select(F.col("window.start").alias("hour_start"), F.col("window.end").alias("hour_end"), "count")
 

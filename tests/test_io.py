@@ -32,9 +32,11 @@ def test_blob_codec_round_trip(spark):
 
 
 def test_processing_time_trigger(spark):
-    from edspark.streaming.arrivals import read_events, start_refresh, triage_stream
+    from edspark.streaming.arrivals import read_events, start_refresh
 
     out = scratch_dir(spark, "refresh")
+    from edspark.sources.fixtures import triage_stream
+
     q = start_refresh(triage_stream(read_events(spark, "/root/testdata/sf0.001", "events.parquet")),
                       f"{out}/data", f"{out}/ckpt", seconds=1)
     try:

@@ -111,7 +111,8 @@ def test_clean_complaint(spark):
     df = spark.createDataFrame([("",), ("  a ",), (None,), (long_text,), ("chest pain",)], "t string")
     got = [r[0] for r in df.select(X.clean_complaint("t")).collect()]
     assert got[:3] == ["General complaint"] * 3
-    assert len(got[3]) == 5000 and got[4] == "chest pain"
+    assert got[3] == long_text and got[4] == "chest pain"
+    assert [len(r[0]) for r in df.select(X.cut_complaint(X.clean_complaint("t"))).collect()][3] == 5000
 
 
 def test_clean_num_and_codes(spark):
@@ -166,3 +167,86 @@ def test_wait_text_and_bands(spark):
     assert got == ["Estimated wait: 25 minutes", S.WAIT_ESTIMATES[1], S.WAIT_TEXT_DEFAULT, S.WAIT_ESTIMATES[4]]
     df = spark.createDataFrame([(1,), (7,), (12,), (20,)], "n int")
     assert [r[0] for r in df.select(R.bed_band(R.bed_load("n"))).collect()] == ["green", "yellow", "red", "red"]
+
+
+def test_rounding_equals_python(spark):
+    """Every heart rate over every pressure, and exact halves, against
+    Python's own round."""
+    from edspark.functions.rules import round_half_even
+
+    grid = [(h / s,) for h in range(20, 260) for s in range(40, 260)]
+    grid += [(x,) for x in (0.125, 0.375, 2.5, 0.25, 0.05, -0.175, -0.125, 1e15, 0.0, 1e-9, 123456.785, 4.35, 0.145)]
+    df = spark.createDataFrame(grid, "x double")
+    got = df.select("x", round_half_even("x", 2).alias("a"), round_half_even("x", 1).alias("b")).collect()
+    assert all(r.a == round(r.x, 2) and r.b == round(r.x, 1) for r in got)
+    assert [round(21 / 120, 2), round(60 / 96, 2)] == [0.17, 0.62]
+
+
+def test_attribution_payload_forms(spark):
+    rows = [("[1, -2.5]", [1.0, -2.5]), ("[[1, 2], [3, 4]]", [2.0, 3.0]), (" [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]", [3.0, 4.0, 5.0, 6.0]),
+            ("", None), ("[]", None), ("[[]]", None), ("not json", None), ("{}", None), (None, None), ("[[1, 2], [3]]", None), ("[1, null]", None)]
+    df = spark.createDataFrame(list(enumerate(t for t, _ in rows)), "i int, t string")
+    got = [r.v for r in df.select("i", att.payload_values("t").alias("v")).orderBy("i").collect()]
+    assert got == [v for _, v in rows]
+
+
+def test_confusion_matrix_without_a_known_action(spark):
+    from edspark.operators.decisions import confusion_matrix
+
+    df = spark.createDataFrame([(1, 3), (1, 3), (1, 2), (4, 99)], "ESI int, Final_Action int")
+    rows = confusion_matrix(df).collect()
+    assert [r.ESI for r in rows] == [1] and sum(list(rows[0])[1:]) == pytest.approx(1)
+
+
+def test_code_dictionary_with_repeats(spark):
+    from edspark.operators.codes import describe_codes
+
+    d = spark.createDataFrame([("A123", "raw"), ("A12.3", "dotted"), ("B10.1", "b"), ("B10.1", "a")], "code string, description string")
+    v = spark.createDataFrame([(1, "A123 B101 Z999"), (2, None)], "i int, Chief_complain string")
+    got = {r.i: r.Chief_complain_text for r in describe_codes(v, d, key="i").collect()}
+    assert got == {1: "raw a Z999", 2: "Unknown"}
+
+
+def test_large_keys_do_not_overflow(spark):
+    from edspark.operators.features import seeded_sample, stratified_folds
+
+    df = spark.createDataFrame([(6_000_000_000 + i, i % 2) for i in range(20)], "k long, y int")
+    assert stratified_folds(df, "y", "k", 2).groupBy("y", "fold").count().count() == 4
+    assert seeded_sample(df, "k", 5, 42).count() == 5
+
+
+def test_one_hot_beyond_a_thousand_categories(spark):
+    from edspark.operators.features import fit_categories, one_hot
+
+    df = spark.range(3000).select((F.col("id") % 1500).cast("double").alias("c"), "id")
+    df = df.unionByName(spark.createDataFrame([(None, 9999)], "c double, id long"))
+    out = {r.id: r.c_onehot for r in one_hot(df, "c", keep=["id"]).collect()}
+    assert out[1499].size == 1500 and out[1499].indices.tolist() == [1499] and out[9999].indices.tolist() == [0]
+    new = spark.createDataFrame([(77777.0, 1)], "c double, id long")
+    assert one_hot(new, "c", keep=["id"], categories=fit_categories(df, "c")).first().c_onehot.numNonzeros() == 0
+
+
+def test_stacked_classifier_with_three_labels(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from edspark.operators.features import fit_stacked_classifier, predict_stacked
+
+    df = spark.range(90).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("double").alias("label"),
+                                (F.col("id") % 3 + F.rand(1) * 0.1).alias("a"), F.rand(2).alias("b"))
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
+    base, meta = fit_stacked_classifier(df)
+    got = predict_stacked(df, base, meta).select("label", "probs", "level").collect()
+    assert all(len(r.probs) == 3 and abs(sum(r.probs) - 1) < 1e-6 for r in got)
+    assert sum(r.level - 1 == r.label for r in got) > 80
+
+
+def test_vector_blobs(spark):
+    import struct
+
+    from edspark.sources.files import blob_to_vector, vector_to_blob
+
+    vs = [[1.0, -2.5], None, [], [3.0], None, [float(i) for i in range(300)]]
+    df = spark.createDataFrame(list(enumerate(vs)), "i int, v array<float>").coalesce(1)
+    got = df.select("i", vector_to_blob("v").alias("b"), "v").select("i", "b", blob_to_vector("b").alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == vs
+    assert [r.b for r in got] == [None if v is None else bytearray(struct.pack(f"<{len(v)}f", *v)) for v in vs]
