@@ -189,17 +189,17 @@ def state_vector(probs, risk, occupancy, time_a, time_b) -> Column:
 def age_group(age) -> Column:
     """Null age falls through to the adult band."""
     a = _c(age)
-    return (F.when(a < 18, F.lit("Pediatric (<18)"))
-            .when(a > 65, F.lit("Geriatric (>65)"))
-            .otherwise(F.lit("Adult (18-65)")))
+    return (F.when(a < 18, F.lit(S.AGE_PEDIATRIC))
+            .when(a > 65, F.lit(S.AGE_GERIATRIC))
+            .otherwise(F.lit(S.AGE_ADULT)))
 
 
 def sex_label(sex) -> Column:
-    return F.coalesce(code_map(S.SEX_LABELS)[_c(sex).cast("int")], F.lit("Unknown"))
+    return F.coalesce(code_map(S.SEX_LABELS)[_c(sex).cast("int")], F.lit(S.SEX_DEFAULT))
 
 
 def race_label(race) -> Column:
-    return F.coalesce(code_map(S.RACE_LABELS)[_c(race).cast("int")], F.lit("Other"))
+    return F.coalesce(code_map(S.RACE_LABELS)[_c(race).cast("int")], F.lit(S.RACE_DEFAULT))
 
 
 # ---- handoff rules ----------------------------------------------------------
@@ -216,13 +216,11 @@ def alert_messages(name, si, hr, sbp, o2) -> Column:
     h_ok = h.isNotNull() & (h != 0)
     b_ok = b.isNotNull() & (b != 0)
     o_ok = o.isNotNull() & (o != 0)
-    red = "\U0001f534 "
     msgs = F.array(
-        F.when(_c(si) > S.SHOCK_CRITICAL,
-               F.concat(F.lit("⚠️ "), n, F.lit(": Critical Shock Index ("), _c(si).cast("string"), F.lit(")"))),
-        F.when(h_ok & (h > S.HR_TACHY), F.concat(F.lit(red), n, F.lit(": Tachycardia (HR "), int_text(h), F.lit(")"))),
-        F.when(b_ok & (b < S.SBP_HYPO), F.concat(F.lit(red), n, F.lit(": Hypotension (SBP "), int_text(b), F.lit(")"))),
-        F.when(o_ok & (o < S.O2_HYPOXIA), F.concat(F.lit(red), n, F.lit(": Hypoxia (O2 "), int_text(o), F.lit("%)"))),
+        F.when(_c(si) > S.SHOCK_CRITICAL, F.format_string(S.ALERT_SHOCK, n, _c(si).cast("string"))),
+        F.when(h_ok & (h > S.HR_TACHY), F.format_string(S.ALERT_TACHYCARDIA, n, int_text(h))),
+        F.when(b_ok & (b < S.SBP_HYPO), F.format_string(S.ALERT_HYPOTENSION, n, int_text(b))),
+        F.when(o_ok & (o < S.O2_HYPOXIA), F.format_string(S.ALERT_HYPOXIA, n, int_text(o))),
     )
     return F.filter(msgs, lambda m: m.isNotNull())
 
@@ -234,8 +232,8 @@ def vitals_summary(hr, sbp, o2, rr, has_vitals) -> Column:
         c = _c(v)
         return F.when(c.isNotNull() & (c != 0), F.concat(F.lit(prefix), int_text(c), F.lit(suffix)))
     joined = F.concat_ws(" | ", part(hr, "HR "), part(sbp, "BP "), part(o2, "O2 ", "%"), part(rr, "RR "))
-    return (F.when(~_c(has_vitals), F.lit("No vitals recorded"))
-            .when(joined == "", F.lit("No vitals"))
+    return (F.when(~_c(has_vitals), F.lit(S.NO_VITALS_RECORDED))
+            .when(joined == "", F.lit(S.NO_VITALS))
             .otherwise(joined))
 
 
@@ -277,8 +275,7 @@ def wait_text(minutes, level) -> Column:
     """Minutes if non-zero, else the band text of the level, else the
     default sentence."""
     m = _c(minutes)
-    head, tail = S.WAIT_MINUTES_TEMPLATE.split("%d")
-    minutes_text = F.concat(F.lit(head), int_text(m), F.lit(tail))
+    minutes_text = F.format_string(S.WAIT_MINUTES_TEMPLATE, m.cast("int"))
     return F.when(m.isNotNull() & (m != 0), minutes_text).otherwise(
         F.coalesce(code_map(S.WAIT_ESTIMATES)[_c(level).cast("int")], F.lit(S.WAIT_TEXT_DEFAULT)))
 
@@ -287,10 +284,11 @@ def decision_reward(action, acuity, area_full) -> Column:
     """Reward of one logged decision.  ``area_full`` is whether the
     target area was at capacity before the assignment."""
     a, y, full = _c(action), _c(acuity), F.coalesce(_c(area_full), F.lit(False))
-    wait = F.when(y <= 2, F.lit(-500)).otherwise(F.lit(-1))
-    critical = F.when(y >= 4, F.lit(-20)).otherwise(F.lit(20)) - F.when(full, F.lit(50)).otherwise(F.lit(0))
-    fast = F.when(y >= 4, F.lit(15)).otherwise(F.lit(-500)) - F.when(full, F.lit(30)).otherwise(F.lit(0))
-    acute = (F.when(y.isin(2, 3), F.lit(15)).when(y == 1, F.lit(-500)).otherwise(F.lit(-10))
-             - F.when(full, F.lit(40)).otherwise(F.lit(0)))
+    cost = lambda c: F.when(full, F.lit(c)).otherwise(F.lit(0))
+    wait = F.when(y <= 2, F.lit(S.REWARD_WAIT_MISSED)).otherwise(F.lit(S.REWARD_WAIT))
+    critical = F.when(y >= 4, F.lit(S.REWARD_CRITICAL_WASTED)).otherwise(F.lit(S.REWARD_CRITICAL)) - cost(S.COST_CRITICAL_FULL)
+    fast = F.when(y >= 4, F.lit(S.REWARD_FAST)).otherwise(F.lit(S.REWARD_FAST_MISSED)) - cost(S.COST_FAST_FULL)
+    acute = (F.when(y.isin(2, 3), F.lit(S.REWARD_ACUTE)).when(y == 1, F.lit(S.REWARD_ACUTE_MISSED))
+             .otherwise(F.lit(S.REWARD_ACUTE_WASTED)) - cost(S.COST_ACUTE_FULL))
     return (F.when(a == 0, wait).when(a == 3, critical).when(a == 1, fast)
-            .when(a == 2, acute).when(a == 4, F.lit(-5)).otherwise(F.lit(0))).cast("int")
+            .when(a == 2, acute).when(a == 4, F.lit(S.REWARD_ESCALATE)).otherwise(F.lit(0))).cast("int")

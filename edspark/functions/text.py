@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from edspark import schemas as S
 from edspark.schemas import CODE_PATTERN
 
-GENERAL_COMPLAINT = "General complaint"
 # The ASCII whitespace Python's str.strip() removes.
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 UNKNOWN = "Unknown"
@@ -52,7 +52,7 @@ def clean_complaint(text) -> Column:
     "General complaint"; otherwise the whole text."""
     t = _c(text)
     short = t.isNull() | (F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) < 3)
-    return F.when(short, F.lit(GENERAL_COMPLAINT)).otherwise(t)
+    return F.when(short, F.lit(S.GENERAL_COMPLAINT)).otherwise(t)
 
 
 def cut_complaint(text, limit: int = 5000) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edspark import schemas as S
 from edspark.functions import rules as R
 from edspark.functions.text import full_name
 from edspark.functions.vitals import first_truthy, parse_vitals, shock_index
@@ -123,11 +124,11 @@ def handoff_summary(hp: DataFrame, names: int = WATCH_NAMES) -> DataFrame:
     def part(col, text):
         return F.when(F.col(col) > 0, F.format_string(text, F.col(col)))
 
-    parts = F.concat_ws(". ", part("critical_count", "%d critical patient(s) requiring immediate attention"),
-                        part("urgent_count", "%d urgent case(s) in queue"),
-                        part("stable_count", "%d stable patient(s) for routine care"))
-    base = F.when(parts == "", F.lit("ED is currently clear. No active patients.")).otherwise(F.concat(parts, F.lit(".")))
-    summary = F.when(F.size("__w") > 0, F.concat(base, F.lit(" Watch closely: "), watch, F.lit("."))).otherwise(base)
+    parts = F.concat_ws(". ", part("critical_count", S.SUMMARY_CRITICAL),
+                        part("urgent_count", S.SUMMARY_URGENT),
+                        part("stable_count", S.SUMMARY_STABLE))
+    base = F.when(parts == "", F.lit(S.SUMMARY_EMPTY)).otherwise(F.concat(parts, F.lit(".")))
+    summary = F.when(F.size("__w") > 0, F.concat(base, F.lit(S.SUMMARY_WATCH), watch, F.lit("."))).otherwise(base)
     return counts.select(
         "total_patients", "critical_count", "urgent_count", "stable_count", "avg_wait_minutes",
         summary.alias("summary"))

@@ -86,6 +86,44 @@ O2_HYPOXIA = 92.0
 ALERT_CAP = 10
 WATCH_NAMES = 3
 
+# Alert texts (patient, value), in rule order.
+ALERT_SHOCK = "⚠️ %s: Critical Shock Index (%s)"
+ALERT_TACHYCARDIA = "\U0001f534 %s: Tachycardia (HR %s)"
+ALERT_HYPOTENSION = "\U0001f534 %s: Hypotension (SBP %s)"
+ALERT_HYPOXIA = "\U0001f534 %s: Hypoxia (O2 %s%%)"
+
+# Hand-off summary texts.
+SUMMARY_CRITICAL = "%d critical patient(s) requiring immediate attention"
+SUMMARY_URGENT = "%d urgent case(s) in queue"
+SUMMARY_STABLE = "%d stable patient(s) for routine care"
+SUMMARY_EMPTY = "ED is currently clear. No active patients."
+SUMMARY_WATCH = " Watch closely: "
+NO_VITALS_RECORDED = "No vitals recorded"
+NO_VITALS = "No vitals"
+
+# Audit labels.
+AGE_PEDIATRIC, AGE_ADULT, AGE_GERIATRIC = "Pediatric (<18)", "Adult (18-65)", "Geriatric (>65)"
+SEX_DEFAULT, RACE_DEFAULT = "Unknown", "Other"
+
+# Evaluation report lines.
+REPORT_TITLE = "Hybrid System Evaluation Report"
+REPORT_LINES = [
+    ("RL Interventions: ", "rl_intervention_pct", 1),
+    ("Critical Miss Rate: ", "critical_miss_rate", 2),
+    ("Over-Triage Rate: ", "over_triage_rate", 2),
+    ("Overall Accuracy: ", "accuracy", 2),
+]
+
+# Complaint text for missing complaints.
+GENERAL_COMPLAINT = "General complaint"
+
+# Rewards of a decision (by action and acuity) and the costs of a full area.
+REWARD_WAIT_MISSED, REWARD_WAIT = -500, -1
+REWARD_CRITICAL, REWARD_CRITICAL_WASTED, COST_CRITICAL_FULL = 20, -20, 50
+REWARD_FAST, REWARD_FAST_MISSED, COST_FAST_FULL = 15, -500, 30
+REWARD_ACUTE, REWARD_ACUTE_MISSED, REWARD_ACUTE_WASTED, COST_ACUTE_FULL = 15, -500, -10, 40
+REWARD_ESCALATE = -5
+
 # Spark-line warning limits (vital, comparison, limit).
 SPARKLINE_RULES = [("hr", ">", 100.0), ("sbp", "<", 90.0), ("o2sat", "<", 95.0)]
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edspark import schemas as S
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV, no index column; written in parallel, one file per task."""
@@ -80,13 +82,8 @@ def metrics_report_lines(metrics: DataFrame) -> DataFrame:
     def pct(col, digits):
         return F.concat(F.format_number(F.col(col), digits).alias("x"), F.lit("%"))
 
-    title = "Hybrid System Evaluation Report"
-    lines = F.array(
-        F.lit(title), F.lit("=" * len(title)),
-        F.concat(F.lit("RL Interventions: "), pct("rl_intervention_pct", 1)),
-        F.concat(F.lit("Critical Miss Rate: "), pct("critical_miss_rate", 2)),
-        F.concat(F.lit("Over-Triage Rate: "), pct("over_triage_rate", 2)),
-        F.concat(F.lit("Overall Accuracy: "), pct("accuracy", 2)))
+    lines = F.array(F.lit(S.REPORT_TITLE), F.lit("=" * len(S.REPORT_TITLE)),
+                    *[F.concat(F.lit(label), pct(col, digits)) for label, col, digits in S.REPORT_LINES])
     return metrics.select(F.posexplode(lines).alias("line_no", "value"))
 
 
