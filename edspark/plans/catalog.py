@@ -427,7 +427,7 @@ def q_complaint_features(spark, d):
     return out.select("doc_id", "n_tokens", feat.vector_total(out, "term_counts").alias("corpus_terms"))
 
 
-TREE_CODE_FEATURES = 1 << 9
+TREE_CODE_FEATURES = 1 << 7
 
 
 def _training_frame(spark, d, code_features=1 << 18):
