@@ -63,10 +63,10 @@ def _jumps(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         rounds.append(jump)
         ahead = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"),
                              F.col("total").alias("more"), F.col("depth").alias("further"))
-        moved = state.join(ahead, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left").select(
+        moved = state.filter("up is not null").join(ahead, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left").select(
             "tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
             (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"))
-        state = stored(moved, "replies")
+        state = stored(state.filter("up is null").unionByName(moved), "replies")
     return state.filter("up is null").drop("up"), rounds
 
 
