@@ -27,3 +27,37 @@ def test_no_cartesian_product(spark):
     for name in ("kpi_cards", "handoff_summary", "confidence_histogram", "ed_state_vector", "action_distribution"):
         plan = _plan(QUERIES[name](spark, SF_SMALL))
         assert "CartesianProduct" not in plan, name
+
+
+def test_tables_are_read_as_stored(spark):
+    from edspark.plans.catalog import QUERIES
+
+    for name in ("shock_index", "daily_drift", "active_queue", "fairness_input", "wait_band"):
+        assert "RoundRobin" not in _plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_history_limits_before_its_one_shuffle(spark):
+    from edspark.operators.history import sparkline_stats, vitals_history, vitals_points
+    from edspark.sources import fixtures as fx
+
+    plan = _plan(vitals_history(vitals_points(fx.vitals_readings(spark, "/root/testdata/sf0.001")), 20))
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan and "rangepartitioning" not in plan
+    stats = sparkline_stats(vitals_history(vitals_points(fx.vitals_readings(spark, "/root/testdata/sf0.001")), 20))
+    assert "rangepartitioning" not in _plan(stats)
+
+
+def test_shares_do_not_rerun_the_log(spark):
+    from edspark.plans.catalog import QUERIES
+
+    for name in ("action_distribution", "confidence_histogram"):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Subquery" not in plan and plan.split("== Initial Plan ==")[0].count("Scan parquet") <= 3, name
+
+
+def test_label_codes_are_not_numbered_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from edspark.operators.features import label_encode
+
+    df = spark.range(100).select((F.col("id") % 7).alias("ESI"))
+    assert "Window" not in _plan(label_encode(df, "ESI"))
