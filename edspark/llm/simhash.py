@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(text_of(f"`{text_col}`"), shingle).alias("fp")),
                   "documents")
     found = stored(rows.groupBy("fp").agg(F.min("id").alias("first")).join(groups(rows, max_bits, group_rows), "fp"), "groups")
-    named = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = stored(found.groupBy("component").agg(F.min("first").alias("component_id")), "names")
     named = found.join(named, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -271,13 +271,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                               fingerprint_column(text_of(f"`{text_col}`"), shingle).alias("fp")), "documents")
     rows = stored(rows.join(groups(rows, max_bits, group_rows), "fp").groupBy("component", "id", "h").agg(
         F.count(F.lit(1)).alias("n")), "members")
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
+    best = stored(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")), "best")
     same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
     marked = rows.join(best, "component").select("id", "h", F.when(~same, "drop").when(F.col("n") > 1, "one").alias("verdict"))
     marked = stored(marked.filter("verdict is not null"), "verdicts").select(
         F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("verdict").alias(verdict))
     given = docs.withColumn(row_hash, digest)
-    kept = given.join(marked, (given[row_hash] == marked["__h"]) & given[id_col].eqNullSafe(marked["__id"]), "left")
+    # One plan at every size: the verdicts grow with the corpus, so they are
+    # shuffled and never broadcast.
+    kept = given.join(marked.hint("merge"), (given[row_hash] == marked["__h"]) & given[id_col].eqNullSafe(marked["__id"]), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
     out = kept.filter(F.col(verdict).isNull()).select(*own)
     if not marked.filter(F.col(verdict) == "one").isEmpty():  # rows that repeat as a whole
