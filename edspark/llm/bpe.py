@@ -24,6 +24,19 @@ BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 GAP = re.compile(r"(?<=\S) (?=\S)")
 #: How the byte-level alphabet writes the bytes for a space and a line break.
 SPACE_CHAR, BREAK_CHAR = "Ġ", "Ċ"
+#: ASCII marks, each of them a character of its own in that alphabet.
+MARKS = frozenset(".,;:!?")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The alphabet's rule: printable bytes stand for themselves, the others
+    take the code points from 256 on in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
@@ -42,11 +55,25 @@ class Encoder:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _merged(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+
+    @staticmethod
+    def _bytes(text: str) -> str:
+        return text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+
     def _encode(self, parts: list[str], after_space: bool) -> dict[str, bytes]:
-        """Ids of distinct parts; those without white space in one go."""
+        """Ids of distinct parts.  A run of letters is one piece to the merges,
+        and so is a mark behind it: such parts go to the model directly.  The
+        others without white space are encoded in one go."""
         out, whole = {}, []
+        space = SPACE_CHAR if after_space else ""
         for p in parts:
-            if p and not p.isspace() and len(p.split()) == 1 and p == p.strip():
+            if p.isalpha():
+                out[p] = self._merged(space + self._bytes(p))
+            elif p[:-1].isalpha() and p[-1] in MARKS:
+                out[p] = self._merged(space + self._bytes(p[:-1])) + self._merged(p[-1])
+            elif p and not p.isspace() and len(p.split()) == 1 and p == p.strip():
                 whole.append(p)
             else:
                 out[p] = self._plain(f" {p}" if after_space else p).tobytes()
