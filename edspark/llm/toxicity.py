@@ -35,7 +35,7 @@ from edspark.llm.common import text_of
 
 HASH_BITS = 20
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_/…«»“”„¿¡"
-MAX_KNOWN = 400_000
+MAX_KNOWN = 300_000
 STEMS = (4, 5)
 _known: dict[str, int] = {}  # word as written -> slots of the bare word and its stems, one table a worker
 
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(place=[zlib.crc32(str(i).encode()) for i in rows["id"]]).sort_values(["place", "id", "slots"])
-        held, weights, bias = fit_ftrl([np.frombuffer(b, "<u4").astype(np.int64) for b in rows["slots"]],
+        held, weights, bias = fit_ftrl([np.frombuffer(b, "<u4") for b in rows["slots"]],
                                        (rows["y"].to_numpy() > 0).astype(float), rates)
         return pd.DataFrame({"slots": [held.astype("<i8").tobytes()], "weights": [weights.tobytes()], "bias": [float(bias)]})
 
