@@ -80,19 +80,51 @@ def _unpack(dim: int, ids: bytes, codes: bytes, figures: bytes) -> tuple[np.ndar
     return i, (np.frombuffer(codes, np.int8).reshape(len(i), dim), *np.frombuffer(figures, np.float64).reshape(3, len(i)))
 
 
+class _Cell:
+    """One query block on its way along a run of candidate blocks: the
+    ``keep`` best lower bounds of each query so far, and the pairs whose upper
+    bounds reach the last of them."""
+
+    def __init__(self, ids: np.ndarray, block: tuple, keep: int):
+        self.ids, self.block, self.keep = ids, block, keep
+        self.top = np.full((len(ids), keep), -np.inf)
+        self.pairs = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+
+    def meet(self, ids: np.ndarray, block: tuple) -> None:
+        found = [[x] for x in self.pairs]
+        for at in range(0, len(self.ids), 256):
+            low, high = tile_bounds(tuple(x[at:at + 256] for x in self.block), block)
+            m = min(self.keep, low.shape[1])
+            both = np.concatenate([self.top[at:at + 256], np.partition(low, -m, axis=1)[:, -m:]], axis=1)
+            self.top[at:at + 256] = np.partition(both, -self.keep, axis=1)[:, -self.keep:]
+            row, col = np.nonzero(high >= self.top[at:at + 256].min(axis=1)[:, None])
+            for out, x in zip(found, (at + row, ids[col], low[row, col], high[row, col]), strict=True):
+                out.append(x)
+        query, candidate, low, high = (np.concatenate(x) for x in found)
+        still = high >= self.top.min(axis=1)[query]
+        self.pairs = [x[still] for x in (query, candidate, low, high)]
+
+    def rows(self) -> pd.DataFrame:
+        query, candidate, low, high = self.pairs
+        return pd.DataFrame({"query": self.ids[query], "candidate": candidate, "low": low, "high": high})
+
+
 def _survivors(tiles: DataFrame, keep: int) -> DataFrame:
-    """(query, candidate, low, high) of the pairs a tile can't rule out."""
+    """(query, candidate, low, high) of the pairs that a run of tiles can't
+    rule out.  Tiles come sorted by (dim, q_block, run); only the bounds that
+    still count are carried from tile to tile."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, at = None, None
         for batch in batches:
             for t in batch.itertuples():
-                qi, q = _unpack(t.dim, t.q_ids, t.q_codes, t.q_figures)
-                ci, c = _unpack(t.dim, t.ids, t.codes, t.figures)
-                for at in range(0, len(qi), 256):
-                    low, high = tile_bounds(tuple(x[at:at + 256] for x in q), c)
-                    bar = np.partition(low, -keep, axis=1)[:, -keep] if low.shape[1] > keep else np.full(len(low), -np.inf)
-                    row, col = np.nonzero(high >= bar[:, None])
-                    yield pd.DataFrame({"query": qi[at + row], "candidate": ci[col], "low": low[row, col], "high": high[row, col]})
+                if (t.dim, t.q_block, t.run) != at:
+                    if cell:
+                        yield cell.rows()
+                    at, cell = (t.dim, t.q_block, t.run), _Cell(*_unpack(t.dim, t.q_ids, t.q_codes, t.q_figures), keep)
+                cell.meet(*_unpack(t.dim, t.ids, t.codes, t.figures))
+        if cell:
+            yield cell.rows()
 
     return tiles.mapInPandas(search, "query long, candidate long, low double, high double")
 
@@ -145,9 +177,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     q, c = _blocks(asked, query_rows), stored(_blocks(few.drop("ids"), candidate_rows), "blocks")
     q = stored(q.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"),
                         F.col("figures").alias("q_figures")), "query-blocks")
-    # Each query block is sent to each candidate block of its length.
+    # Each query block meets each candidate block of its length, in runs: as
+    # many as give every task some, so that what a query leaves behind does
+    # not grow with the number of candidate blocks.
+    n = session_partitions(spark)
     cells = q.select("dim", "q_block").join(c.select("dim", "block"), "dim")
-    tiles = cells.repartition(session_partitions(spark), "dim", "q_block", "block").join(q, ["dim", "q_block"]).join(c, ["dim", "block"])
+    runs = max(1, -(-2 * n // max(1, q.count())))
+    cells = cells.withColumn("run", F.pmod(F.col("block"), F.lit(runs)))
+    tiles = cells.join(q, ["dim", "q_block"]).join(c, ["dim", "block"])
+    tiles = tiles.repartition(n, "dim", "q_block", "run").sortWithinPartitions("dim", "q_block", "run")
     near = stored(_survivors(tiles, k + 1), "survivors")
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))).filter(F.col("r") == k + 1)
     near = near.join(top.select("query", F.col("low").alias("bar")), "query", "left").filter(
