@@ -82,3 +82,10 @@ def test_query_held_out_accuracy(spark):
     rows = got.join(told, "doc_id").filter("held_out").collect()
     assert len(rows) > 200 and sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.99
     assert got.count() == told.count()
+
+
+def test_sample_is_limited_before_the_shuffle(spark):
+    df = spark.createDataFrame(data(), SCHEMA)
+    plan = langid._sample(df, "doc_id", "text", "lang", 1000)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning(lang"):]
+    assert "WindowGroupLimit" in first
