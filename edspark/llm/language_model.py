@@ -13,8 +13,8 @@ and the weights are averaged by the shards' tokens.  A round takes a fixed
 share of the corpus (``share``; more where a corpus has fewer than
 ``least_tokens``), so what is learnt from grows with it.
 
-The counts of the ``frequent`` most frequent words, a bounded table, go to all
-executors.  Rarer words of a text leave the scan as (text, word, times) rows
+The counts of the most frequent words, a table of at most ``frequent`` rows, go
+to all executors.  Rarer words of a text leave the scan as (text, word, times) rows
 and are joined to the counts by word; they are never collected.
 
 Defined cases: a null text is empty and consists of its end; a null id counts
@@ -140,8 +140,17 @@ def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
     is_word = F.col("word") != END_WORD
     total = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("kinds"),
                        F.sum(F.when(~is_word, F.col("n"))).alias("ends")).first()
-    # A text-free corpus has a count of 0 for the end.
-    frequent = [(r["word"], r["n"]) for r in counts.filter(is_word).orderBy(F.desc("n"), "word").limit(settings.frequent).collect()]
+    # The frequent words are those above a count; where to cut is read from a
+    # histogram of few thousand bins, so that nothing else reaches the driver.
+    level = F.floor(F.log2("n") * 64).cast("int")
+    cut, listed = 1 << 30, 0
+    for r in counts.filter(is_word).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect():
+        listed += r["k"]
+        if listed > settings.frequent:
+            break
+        cut = r["level"]
+    frequent = [(r["word"], r["n"]) for r in counts.filter(is_word & (level >= cut)).collect()]
+    frequent.sort(key=lambda r: (-r[1], r[0]))
     tails = {r["b"]: (r["t"], r["v"]) for r in counts.filter(is_word).groupBy(tail_column(F.col("word")).alias("b")).agg(
         F.sum("n").alias("t"), F.count(F.lit(1)).alias("v")).collect()}
     for w, n in frequent[: gru.WORDS - 1]:
