@@ -68,39 +68,45 @@ class Gru:
         and those by the output weights, added into ``gradient``."""
         word = symbols < WORDS
         kind = np.where(word, symbols // PER_CLASS, symbols - WORDS + CLASSES)
-        logits = h @ self.to_class + self.class_offset
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        # States lie across, so that maxima and sums run along the memory.
+        logits = self.to_class.T @ h.T + self.class_offset[:, None]
+        logits -= logits.max(axis=0)
         rows = np.arange(len(h))
-        out = logits[rows, kind] - np.log(total)
+        out = logits[kind, rows]
+        e = np.exp(logits, out=logits)
+        total = e.sum(axis=0)
+        out -= np.log(total)
         back = None
         if gradient is not None:
-            e /= total[:, None]
-            e[rows, kind] -= 1
-            back = e @ self.to_class.T
-            gradient.to_class += h.T @ e
-            gradient.class_offset += e.sum(axis=0)
-        order = np.argsort(np.where(word, kind, CLASSES), kind="stable")
-        edges = np.searchsorted(np.where(word, kind, CLASSES)[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
-                continue
-            span = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            hc, at = h[own], symbols[own] - c * PER_CLASS
-            logits = hc @ self.to_word[span].T + self.word_offset[span]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            rows = np.arange(len(own))
-            out[own] += logits[rows, at] - np.log(total)
-            if gradient is not None:
-                e /= total[:, None]
-                e[rows, at] -= 1
-                back[own] += e @ self.to_word[span]
-                gradient.to_word[span] += e.T @ hc
-                gradient.word_offset[span] += e.sum(axis=0)
+            e /= total
+            e[kind, rows] -= 1
+            back = e.T @ self.to_class.T
+            gradient.to_class += (e @ h).T
+            gradient.class_offset += e.sum(axis=1)
+        # Words in the order of their classes: a product for each class, all else at once.
+        order = np.flatnonzero(word)
+        order = order[np.argsort(kind[order].astype(np.int8), kind="stable")]
+        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        spans = [(slice(edges[c], edges[c + 1]), slice(c * PER_CLASS, (c + 1) * PER_CLASS)) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+        ho, rows, at = h[order], np.arange(len(order)), symbols[order] % PER_CLASS
+        logits = np.empty((PER_CLASS, len(order)), h.dtype)
+        for own, span in spans:
+            logits[:, own] = self.to_word[span] @ ho[own].T + self.word_offset[span, None]
+        logits -= logits.max(axis=0)
+        picked = logits[at, rows]
+        e = np.exp(logits, out=logits)
+        total = e.sum(axis=0)
+        out[order] += picked - np.log(total)
+        if gradient is not None:
+            e /= total
+            e[at, rows] -= 1
+            more = np.empty_like(ho)
+            for own, span in spans:
+                part = e[:, own]
+                more[own] = part.T @ self.to_word[span]
+                gradient.to_word[span] += part @ ho[own]
+                gradient.word_offset[span] += part.sum(axis=1)
+            back[order] += more
         return out, back
 
     def score(self, texts: list[np.ndarray], window_rows: int = 32_768) -> np.ndarray:
@@ -156,37 +162,46 @@ class Gru:
             h, p, gradient = net._window(h, x, y)
             loss -= p
             for name, g in gradient.items():
-                g = np.clip(g / streams, -1, 1)
-                squares[name] += g * g
-                getattr(net, name)[...] -= rate * g / np.sqrt(squares[name])
+                # Symbols that were not entered have no gradient, so that nothing changes for them.
+                rows = np.unique(x) if name == "enter" else slice(None)
+                g = np.clip(g[rows] / streams, -1, 1)
+                total = squares[name][rows] + g * g
+                squares[name][rows] = total
+                getattr(net, name)[rows] -= rate * g / np.sqrt(total)
         return net, loss / max(1, steps * streams)
 
     def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
         """(last state, log-probability, gradients of minus it)."""
-        zero = Gru(*[np.zeros_like(getattr(self, f.name)) for f in fields(self)])
-        kept = []
+        zero = Gru(*[np.zeros(a.shape, a.dtype) for a in (getattr(self, f.name) for f in fields(self))])
+        entering, fresh = self.enter[x], (x != END).astype(h.dtype)[:, :, None]
+        before, z, r, c, states = (np.empty((*x.shape, HIDDEN), h.dtype) for _ in range(5))
         for t in range(len(x)):
-            fresh = (x[t] != END).astype(np.float32)[:, None]
-            before = h * fresh
-            h, z, r, c = self.step(before, x[t])
-            kept.append((before, z, r, c, h, fresh))
-        states = np.concatenate([k[4] for k in kept])
-        p, back = self.log_probabilities(states, y.ravel(), zero)
-        back = back.reshape(*x.shape, HIDDEN)
+            before[t] = h * fresh[t]
+            g = 1 / (1 + np.exp(-(entering[t, :, : 2 * HIDDEN] + before[t] @ self.gates)))
+            z[t], r[t] = g[:, :HIDDEN], g[:, HIDDEN:]
+            c[t] = np.tanh(entering[t, :, 2 * HIDDEN :] + (r[t] * before[t]) @ self.turn)
+            h = states[t] = before[t] + z[t] * (c[t] - before[t])
+        p, back = self.log_probabilities(states.reshape(-1, HIDDEN), y.ravel(), zero)
+        back = back.reshape(states.shape)
+        by_turn, by_update, by_reset = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r)
+        keep, reset = (1 - z) * fresh, r * fresh
         ahead = np.zeros_like(h)
-        entered = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        entered = np.empty((*x.shape, 3 * HIDDEN), h.dtype)
+        gates_back, turn_back = self.gates.T.copy(), self.turn.T.copy()
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, _, fresh = kept[t]
             d = back[t] + ahead
-            dc = d * z * (1 - c * c)
-            dr = dc @ self.turn.T
-            dg = np.concatenate([d * (c - before) * z * (1 - z), dr * before * r * (1 - r)], axis=1)
-            zero.turn += (r * before).T @ dc
-            zero.gates += before.T @ dg
-            entered[t, :, : 2 * HIDDEN], entered[t, :, 2 * HIDDEN :] = dg, dc
-            ahead = (d * (1 - z) + dr * r + dg @ self.gates.T) * fresh
+            dc = d * by_turn[t]
+            dr = dc @ turn_back
+            dg = entered[t, :, : 2 * HIDDEN]
+            np.multiply(d, by_update[t], out=dg[:, :HIDDEN])
+            np.multiply(dr, by_reset[t], out=dg[:, HIDDEN:])
+            entered[t, :, 2 * HIDDEN :] = dc
+            ahead = d * keep[t] + dr * reset[t] + (dg @ gates_back) * fresh[t]
+        entered = entered.reshape(-1, 3 * HIDDEN)
+        zero.gates += before.reshape(-1, HIDDEN).T @ entered[:, : 2 * HIDDEN]
+        zero.turn += (r * before).reshape(-1, HIDDEN).T @ entered[:, 2 * HIDDEN :]
         flat = x.ravel()
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-        zero.enter[flat[order][first]] = np.add.reduceat(entered.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        zero.enter[flat[order][first]] = np.add.reduceat(np.ascontiguousarray(entered[order].T), first, axis=1).T
         return h, float(p.sum()), {f.name: getattr(zero, f.name) for f in fields(zero)}

@@ -6,12 +6,12 @@ last two letters, and within it a word has the add-half share of its count, so
 every text has a proper probability, known words or not.  A text is scored as
 a whole: the state is carried from window to window to its end.
 
-Training is parameter mixing: in each of ``rounds`` rounds a fresh part of the
-training texts, chosen by hash, is dealt to shards of about ``shard_tokens``
-tokens, every shard runs truncated backpropagation from the current weights,
-and the weights are averaged by the shards' tokens.  A round takes a fixed
-share of the corpus (``share``; more where a corpus has fewer than
-``least_tokens``), so what is learnt from grows with it.
+Training is parameter mixing: the training texts are dealt to ``rounds``
+rounds by hash, each text to one, whatever the size of the corpus.  A round's
+texts are dealt to shards of about ``shard_tokens`` tokens, every shard runs
+truncated backpropagation from the current weights, and the weights are
+averaged by the shards' tokens, in two steps, so that no task reads those of
+all shards.
 
 The counts of the most frequent words, a table of at most ``frequent`` rows, go
 to all executors.  Rarer words of a text leave the scan as (text, word, times) rows
@@ -34,6 +34,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,7 @@ CHUNK = 8192
 class Settings:
     frequent: int = 131_072
     rounds: int = 3
-    share: float = 1 / 32
-    least_tokens: int = 1_500_000
+    least_tokens: int = 1_500_000  # without effect: no corpus is sampled
     shard_tokens: int = 400_000
 
 
@@ -160,15 +160,19 @@ def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
     return Lexicon(frequent, total["tokens"] or 0, (total["kinds"] or 0) - (0 if ends else bool(total["kinds"])), ends, tails)
 
 
+def deal(docs: DataFrame, text: Column, settings: Settings) -> DataFrame:
+    """(text, h, round): each training text in one round."""
+    return docs.select(text.alias("text")).withColumn("h", F.xxhash64("text")).withColumn("round", F.pmod("h", F.lit(settings.rounds)))
+
+
 def train(docs: DataFrame, text: Column, words: Lexicon, settings: Settings) -> gru.Gru:
     """The network after all rounds."""
     net, spark = words.net, docs.sparkSession
-    share = min(1 / settings.rounds, max(settings.share, settings.least_tokens / max(1, words.tokens)))
-    shards = max(1, round(share * words.tokens / settings.shard_tokens))
-    texts = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text"))
-    part = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    shards = max(1, round(words.tokens / settings.rounds / settings.shard_tokens))
+    bunches = math.isqrt(shards)
+    texts = deal(docs, text, settings)
     for i in range(settings.rounds):
-        chosen = texts.filter((part >= i * share) & (part < (i + 1) * share))
+        chosen = texts.filter(F.col("round") == i)
         chosen = chosen.repartition(shards, F.pmod(F.xxhash64("h"), F.lit(shards))).sortWithinPartitions("h")
         sent = spark.sparkContext.broadcast((words, net))
 
@@ -180,15 +184,17 @@ def train(docs: DataFrame, text: Column, words: Lexicon, settings: Settings) ->
             stream = np.concatenate(stream)
             flat = net.train(stream)[0].flat()
             at = np.arange(0, len(flat), CHUNK)
-            yield pd.DataFrame({"chunk": at // CHUNK, "tokens": len(stream), "weights": [flat[a : a + CHUNK].tobytes() for a in at]})
+            yield pd.DataFrame({"bunch": TaskContext.get().partitionId() % bunches, "chunk": at // CHUNK, "tokens": len(stream),
+                                "weights": [flat[a : a + CHUNK].tobytes() for a in at]})
 
         def mean(rows: pd.DataFrame) -> pd.DataFrame:
             weights = np.stack([np.frombuffer(b, np.float32) for b in rows["weights"]]).astype(np.float64)
             out = (weights * (rows["tokens"] / rows["tokens"].sum()).to_numpy()[:, None]).sum(axis=0)
-            return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "weights": [out.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "tokens": rows["tokens"].sum(), "weights": [out.astype(np.float32).tobytes()]})
 
-        made = chosen.select("text").mapInPandas(run, "chunk bigint, tokens bigint, weights binary").groupBy("chunk").applyInPandas(
-            mean, "chunk bigint, weights binary").collect()
+        columns = "chunk bigint, tokens bigint, weights binary"
+        made = chosen.select("text").mapInPandas(run, f"bunch bigint, {columns}")
+        made = made.groupBy("chunk", "bunch").applyInPandas(mean, columns).groupBy("chunk").applyInPandas(mean, columns).collect()
         if made:
             net = net.with_flat(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(made, key=lambda r: r["chunk"])]))
     return net

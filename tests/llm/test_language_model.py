@@ -132,6 +132,16 @@ def test_nothing_to_learn_and_empty_table(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA), F.lit(True), settings=SMALL).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_every_text_is_dealt_to_one_round(spark, copies):
+    """Also on a corpus of more than three times ``least_tokens`` tokens."""
+    docs = [(i, f"text{i % 300} " * copies) for i in range(600)]
+    settings = lm.Settings(least_tokens=100)
+    rows = lm.deal(spark.createDataFrame(docs, "doc_id long, text string"), lm.text_of(), settings).collect()
+    by_round = Counter(r["round"] for r in rows)
+    assert len(rows) == 600 and by_round.keys() == set(range(settings.rounds)) and min(by_round.values()) > 100
+
+
 def test_query_beats_the_base(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
