@@ -143,19 +143,23 @@ class Gru:
 
     # ---- truncated backpropagation
 
-    def train(self, stream: np.ndarray, streams: int = 64, window: int = 20, rate: float = 0.15) -> tuple[Gru, float]:
+    def train(self, stream: np.ndarray, streams: int = 64, window: int = 20, rate: float = 0.15,
+              squares: dict[str, np.ndarray] | None = None) -> tuple[Gru, float]:
         """One pass over a stream of symbols (texts, each ended by ``END``),
         cut into ``streams`` parallel ones.  Gradients run back ``window``
         steps, states run on; a new text starts from the zero state.  Steps
-        are scaled per weight (Adagrad).  Returns the network and its mean
-        loss on the way."""
+        are scaled per weight (Adagrad); a given ``squares`` keeps the scales
+        from one call to the next.  Returns the network and its mean loss on
+        the way."""
         net = self.with_flat(self.flat())
         streams = max(1, min(streams, len(stream) // (2 * window)))
         steps = len(stream) // streams
         targets = stream[: steps * streams].reshape(streams, steps).T
         inputs = np.concatenate([np.full((1, streams), END, targets.dtype), targets[:-1]])
         inputs[0, 1:] = stream[np.arange(1, streams) * steps - 1]
-        squares = {f.name: np.full_like(getattr(net, f.name), 1e-2) for f in fields(net)}
+        squares = {} if squares is None else squares
+        for f in fields(net):
+            squares.setdefault(f.name, np.full_like(getattr(net, f.name), 1e-2))
         h, loss = np.zeros((streams, HIDDEN), np.float32), 0.0
         for at in range(0, steps, window):
             x, y = inputs[at : at + window], targets[at : at + window]

@@ -11,7 +11,10 @@ rounds by hash, each text to one, whatever the size of the corpus.  A round's
 texts are dealt to shards of about ``shard_tokens`` tokens, every shard runs
 truncated backpropagation from the current weights, and the weights are
 averaged by the shards' tokens, in two steps, so that no task reads those of
-all shards.
+all shards.  Both hashes are of the id and the text, and rows that repeat are
+told apart, so copies of a text spread like others.  A shard is read in pieces
+of at most twice ``PIECE`` symbols; of a last piece, the symbols that don't
+fill all parallel streams (63 at most) give no gradient.
 
 The counts of the most frequent words, a table of at most ``frequent`` rows, go
 to all executors.  Rarer words of a text leave the scan as (text, word, times) rows
@@ -44,6 +47,7 @@ from edspark.llm.common import stored, text_of
 END_WORD = ""  # no word is empty: stands for the end in the table of counts
 FLUSH = 300_000
 CHUNK = 8192
+PIECE = 200 * 64 * 20  # symbols: whole windows of all the network's streams
 
 
 @dataclass(frozen=True)
@@ -160,31 +164,64 @@ def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
     return Lexicon(frequent, total["tokens"] or 0, (total["kinds"] or 0) - (0 if ends else bool(total["kinds"])), ends, tails)
 
 
-def deal(docs: DataFrame, text: Column, settings: Settings) -> DataFrame:
-    """(text, h, round): each training text in one round."""
-    return docs.select(text.alias("text")).withColumn("h", F.xxhash64("text")).withColumn("round", F.pmod("h", F.lit(settings.rounds)))
+def deal(docs: DataFrame, key: Column, text: Column, words: Lexicon, settings: Settings) -> DataFrame:
+    """(h, symbols, round): each training text in one round.  ``h`` follows the
+    key and the text; what repeats in a task also has its place in the hash."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
-
-def train(docs: DataFrame, text: Column, words: Lexicon, settings: Settings) -> gru.Gru:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, seen = sent.value, set()
+        for batch in batches:
+            again = []
+            for h, uid in zip(batch["h"].tolist(), batch["uid"].tolist(), strict=True):
+                again.append(uid + 1 if h in seen else 0)
+                seen.add(h)
+            yield pd.DataFrame({"h": batch["h"], "again": again,
+                                "symbols": [words.symbols(split(t))[0].astype("<u2").tobytes() for t in batch["text"]]})
+
+    rows = docs.select(F.xxhash64(key, text).alias("h"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
+    rows = rows.mapInPandas(run, "h bigint, again bigint, symbols binary")
+    rows = rows.select(F.xxhash64("h", "again").alias("h"), "symbols")
+    return stored(rows.withColumn("round", F.pmod("h", F.lit(settings.rounds))), "dealt")
+
+
+def pieces(texts: Iterator[np.ndarray], size: int = PIECE) -> Iterator[np.ndarray]:
+    """The texts one after the other, cut every ``size`` symbols; the last
+    piece is shorter than twice that."""
+    kept, n = [], 0
+    for t in texts:
+        kept.append(t)
+        n += len(t)
+        if n >= 2 * size:
+            joined, at = np.concatenate(kept), 0
+            while n >= 2 * size:
+                yield joined[at : at + size]
+                at, n = at + size, n - size
+            kept = [joined[at:]]
+    if n:
+        yield np.concatenate(kept)
+
+
+def train(docs: DataFrame, key: Column, text: Column, words: Lexicon, settings: Settings) -> gru.Gru:
     """The network after all rounds."""
     net, spark = words.net, docs.sparkSession
     shards = max(1, round(words.tokens / settings.rounds / settings.shard_tokens))
     bunches = math.isqrt(shards)
-    texts = deal(docs, text, settings)
+    texts = deal(docs, key, text, words, settings)
     for i in range(settings.rounds):
-        chosen = texts.filter(F.col("round") == i)
-        chosen = chosen.repartition(shards, F.pmod(F.xxhash64("h"), F.lit(shards))).sortWithinPartitions("h")
-        sent = spark.sparkContext.broadcast((words, net))
+        chosen = texts.filter(F.col("round") == i).repartition(shards, F.xxhash64("h")).sortWithinPartitions("h")
+        sent = spark.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            words, net = sent.value
-            stream = [words.symbols(split(t))[0] for batch in batches for t in batch["text"]]
-            if not stream:
+            net, squares, tokens = sent.value, {}, 0
+            for piece in pieces(np.frombuffer(b, "<u2").astype(np.int32) for batch in batches for b in batch["symbols"]):
+                net = net.train(piece, squares=squares)[0]
+                tokens += len(piece)
+            if not tokens:
                 return
-            stream = np.concatenate(stream)
-            flat = net.train(stream)[0].flat()
+            flat = net.flat()
             at = np.arange(0, len(flat), CHUNK)
-            yield pd.DataFrame({"bunch": TaskContext.get().partitionId() % bunches, "chunk": at // CHUNK, "tokens": len(stream),
+            yield pd.DataFrame({"bunch": TaskContext.get().partitionId() % bunches, "chunk": at // CHUNK, "tokens": tokens,
                                 "weights": [flat[a : a + CHUNK].tobytes() for a in at]})
 
         def mean(rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +230,7 @@ def train(docs: DataFrame, text: Column, words: Lexicon, settings: Settings) ->
             return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "tokens": rows["tokens"].sum(), "weights": [out.astype(np.float32).tobytes()]})
 
         columns = "chunk bigint, tokens bigint, weights binary"
-        made = chosen.select("text").mapInPandas(run, f"bunch bigint, {columns}")
+        made = chosen.select("symbols").mapInPandas(run, f"bunch bigint, {columns}")
         made = made.groupBy("chunk", "bunch").applyInPandas(mean, columns).groupBy("chunk").applyInPandas(mean, columns).collect()
         if made:
             net = net.with_flat(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(made, key=lambda r: r["chunk"])]))
@@ -208,7 +245,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     training = F.coalesce(training, F.lit(False))
     counts = count_words(docs.filter(training), text)
     words = lexicon(counts, settings)
-    net = train(docs.filter(training), text, words, settings)
+    net = train(docs.filter(training), F.col(f"`{id_col}`"), text, words, settings)
     sent = spark.sparkContext.broadcast((words, net))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -137,11 +137,47 @@ def test_every_text_is_dealt_to_one_round(spark, copies):
     """Also on a corpus of more than three times ``least_tokens`` tokens."""
     docs = [(i, f"text{i % 300} " * copies) for i in range(600)]
     settings = lm.Settings(least_tokens=100)
-    rows = lm.deal(spark.createDataFrame(docs, "doc_id long, text string"), lm.text_of(), settings).collect()
+    words = lm.Lexicon([], 0, 0, 0, {})
+    rows = lm.deal(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id"), lm.text_of(), words, settings).collect()
     by_round = Counter(r["round"] for r in rows)
     assert len(rows) == 600 and by_round.keys() == set(range(settings.rounds)) and min(by_round.values()) > 100
 
 
+@pytest.mark.parametrize("ids", [range(600), [7] * 600, [None] * 600])
+def test_copies_spread_over_rounds_and_shards(spark, ids):
+    words, settings = lm.Lexicon([], 0, 0, 0, {}), lm.Settings()
+    df = spark.createDataFrame([(i, "the same text") for i in ids], "doc_id long, text string").repartition(3)
+    dealt = lm.deal(df, F.col("doc_id"), lm.text_of(), words, settings)
+    rows = dealt.select("round", F.pmod(F.hash(F.xxhash64("h")), F.lit(4)).alias("shard"), F.length("symbols").alias("n")).collect()
+    found = Counter((r["round"], r["shard"]) for r in rows)
+    assert len(rows) == 600 and {r["n"] for r in rows} == {8} and len(found) == 12 and max(found.values()) < 100
+
+
+def test_unrepeated_texts_are_dealt_alike_in_any_layout(spark):
+    df = spark.createDataFrame([(i, f"text {i % 50}") for i in range(300)], "doc_id long, text string")
+    words = lm.Lexicon([], 0, 0, 0, {})
+    a, b = (lm.deal(df.repartition(n), F.col("doc_id"), lm.text_of(), words, lm.Settings()).collect() for n in (1, 5))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_pieces_are_bounded():
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 9, n).astype(np.int32) for n in (3, 0, 250, 40, 40, 19, 1, 60)]
+    got = list(lm.pieces(iter(texts), 20))
+    assert np.array_equal(np.concatenate(got), np.concatenate(texts))
+    assert {len(x) for x in got[:-1]} == {20} and len(got[-1]) < 40
+    assert list(lm.pieces(iter([]), 20)) == []
+
+
+def test_scales_go_on_from_piece_to_piece():
+    stream = np.random.default_rng(6).integers(0, 50, 64 * 40).astype(np.int32)
+    squares, net = {}, network(kind=np.float32)
+    net.train(stream, squares=squares)
+    before = {k: v.sum() for k, v in squares.items()}
+    net.train(stream, squares=squares)
+    assert all(squares[k].sum() > before[k] for k in before)
+
+
 def test_query_beats_the_base(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
