@@ -11,7 +11,9 @@ diverse, so that a piece that fills one exactly is likely to come.
 Pieces are dealt at random into groups of about ``group_rows``, each packed in
 a task of its own, the longest pieces first.  Sequences that a group leaves
 with more than ``slack`` tokens open are unpacked, and their pieces packed
-again with those of the other groups, level by level, until one group is left.
+again with those of the other groups, level by level, until one group holds
+all that is left or a level saves less than ``least_saved`` of the sequences
+that it unpacked: pieces that fit nowhere stay in groups of that size.
 
 Texts are tokenized once and never leave the scan: what is shuffled is a
 piece's place, length and checksum.
@@ -109,7 +111,7 @@ _PACKED = "sequence_id bigint, offset bigint, done boolean"
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, end: int = END,
-         group_rows: int = 8192, slack: int = 4) -> DataFrame:
+         group_rows: int = 8192, slack: int = 4, least_saved: float = 0.01) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id and
     offset."""
     text = text_of(f"`{text_col}`")
@@ -121,23 +123,23 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     left = pieces.filter(F.col("length") < size)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", " + _PACKED
     columns = pieces.columns
-    level, before = 0, None
+    level, opened = 0, None
     while True:
-        n = left.count()
-        groups = -(-n // group_rows)
-        if before is not None and groups > 1:
-            groups = min(groups, max(1, before // 2))
+        groups = -(-left.count() // group_rows)
         last = groups <= 1
 
         # The row's number in the written table deals equal rows apart.
         dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "length", "ids_crc32"), F.lit(max(1, groups))).cast("bigint")
         packed = left.withColumn("group", dealt).groupBy("group").applyInPandas(_packer(columns, level, last, size, slack), schema)
         packed = stored(packed, "packed")
-        done.append(packed.filter("done").drop("done"))
-        if last:
+        # A sequence has one piece at its start.
+        starts = packed.filter("offset = 0").agg(F.count(F.lit(1)).alias("made"), F.count(F.when(~F.col("done"), 1)).alias("open")).first()
+        if last or opened is not None and starts["made"] > (1 - least_saved) * opened:
+            done.append(packed.drop("done"))
             break
+        done.append(packed.filter("done").drop("done"))
         left = packed.filter("not done").select(*columns)
-        level, before = level + 1, groups
+        level, opened = level + 1, starts["open"]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -108,6 +108,16 @@ def test_levels_keep_every_piece(spark, tokenizer, group_rows):
     assert used <= 1.12 * -(-tokens // 64) + 1
 
 
+def test_pieces_that_fit_nowhere_stay_in_bounded_groups(spark):
+    """Also copies; the group is read from the sequence's number."""
+    docs = [(i, "word " * (40 + (i % 3 and i % 20))) for i in range(400)] + [(i, "word " * 5) for i in range(400, 430)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, PATH, size=64, group_rows=20).collect()
+    groups = Counter(r["sequence_id"] >> 24 for r in rows if r["sequence_id"] >= 0)
+    assert len(rows) == 430 and max(groups.values()) <= 50
+    assert len({r["sequence_id"] for r in rows}) == 400
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "same text")] * 5, "doc_id long, text string")
     rows = packing.pack(df, PATH, size=8).collect()
