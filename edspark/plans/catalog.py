@@ -427,14 +427,12 @@ def q_complaint_features(spark, d):
     return out.select("doc_id", "n_tokens", feat.vector_total(out, "term_counts").alias("corpus_terms"))
 
 
-TREE_CODE_FEATURES = 1 << 7
-
-
-def _training_frame(spark, d, code_features=1 << 18):
-    """Scaled numeric + one-hot arrival + hashed code text (sparse, with
-    ``code_features`` slots), keyed by a row id fixed once with a reliable
-    checkpoint (the id is reused across jobs)."""
-    from pyspark.ml.feature import HashingTF
+def _training_frame(spark, d, code_features=1 << 18, exact_codes=False):
+    """Scaled numeric + one-hot arrival + code text (sparse), keyed by a row id
+    fixed once with a reliable checkpoint (the id is reused across jobs).
+    Codes are hashed to ``code_features`` slots, or with ``exact_codes`` have
+    a slot each, by a fitted table of at most so many codes."""
+    from pyspark.ml.feature import CountVectorizer, HashingTF
     from edspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
@@ -443,7 +441,10 @@ def _training_frame(spark, d, code_features=1 << 18):
     scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["row_id", "ESI", "ArrivalMode", "Chief_complain"])
     oh = feat.one_hot(scaled, "ArrivalMode", keep=[c for c in scaled.columns if c != "ArrivalMode"])
     oh = oh.withColumn("__codes", F.split("Chief_complain", " "))
-    tf = HashingTF(inputCol="__codes", outputCol="codes_tf", numFeatures=code_features).transform(oh)
+    if exact_codes:
+        tf = CountVectorizer(inputCol="__codes", outputCol="codes_tf", vocabSize=code_features, minDF=1).fit(oh).transform(oh)
+    else:
+        tf = HashingTF(inputCol="__codes", outputCol="codes_tf", numFeatures=code_features).transform(oh)
     labelled = feat.label_encode(tf, "ESI").withColumn("label", F.col("label").cast("double"))
     return feat.feature_matrix(labelled, feat.NUMERIC, ["ArrivalMode_onehot", "codes_tf"])
 
@@ -470,8 +471,8 @@ def q_acuity_classifier(spark, d):
 
     from edspark.session import scratch_dir
 
-    # Tree learners bin every slot, so they get a smaller code space.
-    train = _training_frame(spark, d, code_features=TREE_CODE_FEATURES)
+    # Tree learners bin every slot: one for each code that occurs, none shared.
+    train = _training_frame(spark, d, exact_codes=True)
     base, meta = feat.fit_stacked_classifier(train)
     root = scratch_dir(spark, "acuity-model")
     loaded = []
