@@ -128,12 +128,17 @@ class Model:
 def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
     """At most ``per_lang`` texts of each language, the first by the id's
     hash: (lang, text, place).  The choice is made on ids alone; the chosen
-    ids (a bounded number) are then joined to the texts.  Up to 1000 a
-    language, Spark drops the others in each task, before the shuffle."""
+    ids (a bounded number) are then joined to the texts.  Only ids whose hash
+    is in a language's lowest part, about 1.5 times ``per_lang`` of its
+    distinct ones, leave the scan to be ranked."""
     pick = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     pick = pick.filter(F.col("lang").isNotNull()).withColumn("h", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    counts = pick.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    bars = labelled.sparkSession.createDataFrame([(r["lang"], 1.5 * per_lang / r["n"]) for r in counts], "of string, bar double")
+    part = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    pick = pick.join(F.broadcast(bars), (F.col("lang") == F.col("of")) & (part < F.col("bar"))).select("id", "lang", "h")
     w = Window.partitionBy("lang").orderBy("h", "id")
-    pick = pick.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_lang).dropDuplicates(["lang", "id"])
+    pick = pick.dropDuplicates(["id", "lang"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_lang)
     texts = labelled.select(F.col(f"`{id_col}`").alias("tid"), F.col(f"`{lang_col}`").cast("string").alias("tlang"),
                             text_of(f"`{text_col}`").alias("text"))
     found = texts.join(F.broadcast(pick), (F.col("tlang") == F.col("lang")) & F.col("tid").eqNullSafe(F.col("id")))
@@ -143,7 +148,7 @@ def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_n: int = 3,
-        landmarks_per_lang: int = 24, sample_per_lang: int = 1000, ridge: float = 1e-3) -> Model:
+        landmarks_per_lang: int = 24, sample_per_lang: int = 1500, ridge: float = 1e-3) -> Model:
     """Fit on a bounded sample of the rows that have a label."""
     sample = _sample(labelled, id_col, text_col, lang_col, sample_per_lang)
     sample = sample.repartition(16, "lang", "place")

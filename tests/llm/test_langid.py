@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edspark.llm import langid
 from edspark.llm.queries import QUERIES
@@ -89,3 +90,16 @@ def test_sample_is_limited_before_the_shuffle(spark):
     plan = langid._sample(df, "doc_id", "text", "lang", 1000)._jdf.queryExecution().executedPlan().toString()
     first = plan[plan.rindex("Exchange hashpartitioning(lang"):]
     assert "WindowGroupLimit" in first
+
+
+def test_sample_takes_distinct_ids_and_ranks_few(spark):
+    """An id on a third of the rows takes one place among the ids, and most
+    ids are left out before they are ranked."""
+    rows = [(i, f"text {i}", "en") for i in range(6000)] + [(-1, "copy", "en")] * 3000
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert langid._sample(df, "doc_id", "text", "lang", 1500).count() == 1500
+    small = langid._sample(df.filter("doc_id >= 0"), "doc_id", "text", "lang", 50)
+    hashed = spark.range(6000).orderBy(F.xxhash64(F.col("id").cast("string"))).limit(50)
+    assert {r["text"] for r in small.collect()} == {f"text {r['id']}" for r in hashed.collect()}
+    assert "bar" in langid._sample(df, "doc_id", "text", "lang", 1500)._jdf.queryExecution().optimizedPlan().toString()
+    assert langid.fit.__defaults__[5] == 1500
