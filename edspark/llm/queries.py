@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edspark.llm import chat, langid, language_model, mixing, neighbours, packing, quality, sharding, simhash, toxicity
+from edspark.llm import (
+    chat,
+    hard_negatives,
+    langid,
+    language_model,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+)
 from edspark.llm.common import remainder, ship, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +265,68 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     document."""
     out = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT id, unnest(regexp_extract_all(t, '[a-zÀ-ÿ]+')) AS run FROM d),
+r AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+-- CRC-32 by its definition, a byte at a time, over a table of 256 remainders made here.
+bytes AS (SELECT i AS b, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bytes WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY b) AS tab FROM bytes WHERE k = 8),
+checked AS (SELECT run, n, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(rtrim(regexp_replace(hex(encode(id || ':' || run)), '(..)', '\1 ', 'g')), ' '),
+                                            lambda y: ('0x' || y)::BIGINT)),
+    lambda acc, x: xor(acc >> 8, tab[(xor(acc, x) & 255) + 1])), 4294967295) AS h FROM r, crc_table),
+edited AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                       ELSE run END AS word, n FROM checked),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+x AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT) AS a, substr(word, i::INT + 2) AS b FROM x),
+near AS (SELECT p.word, q.word AS other, q.n AS other_n FROM cut p JOIN cut q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word
+  UNION SELECT p.word, q.word, q.n FROM cut p JOIN w q ON q.word = p.a || p.b
+  UNION SELECT q.word, p.word, p.n FROM cut p JOIN w q ON q.word = p.a || p.b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.other_n >= 5 * w.n THEN k.other END AS form,
+             CASE WHEN k.other_n >= 5 * w.n THEN k.other_n END AS form_n FROM w LEFT JOIN ranked k ON k.word = w.word AND k.r = 1),
+walk(word, here) AS (SELECT word, word FROM f UNION ALL SELECT k.word, f.form FROM walk k JOIN f ON f.word = k.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.here AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM f JOIN walk k ON k.word = f.word JOIN f last ON last.word = k.here AND last.form IS NULL
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words, and the form that each is a
+    variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1),
+c AS (SELECT vec_id, label, list_transform(x, lambda y: floor(256 * y)) AS x FROM v),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+      FROM c a JOIN c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.x) = len(c.x)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every anchor."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", shifted.alias("label"), "embedding"), F.col("id") % 100 == 0)
+
+
+@query("op13_repeated_passages")
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that
+    occur again."""
+    return repeats.digests(table(spark, sf_dir, "documents"))
