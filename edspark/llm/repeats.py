@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edspark.llm.common import fresh, session_partitions, stored, text_of
+from edspark.llm.common import fresh, session_partitions, shared_dir, stored, text_of
 
 TRIGGER, GRAM = 8, 48
 PHRASE, SHORT_PHRASE = 64, 16  # mean phrase lengths of the corpus' and of a task's parse
@@ -332,6 +332,21 @@ def _counted(parts: DataFrame, length: int) -> DataFrame:
     return found.select("d1", "d2", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("runs"))
 
 
+def _by_key(rows: DataFrame, label: str) -> DataFrame:
+    """Write the rows into the shared folder, dealt by (k1, k2), so that joins
+    on these shuffle the other side only."""
+    spark = rows.sparkSession
+    path = shared_dir(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = session_partitions(spark)
+    rows.write.bucketBy(n, "k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def _same_row(left: DataFrame, right: DataFrame) -> Column:
+    return (left["k1"] == right["u1"]) & (left["k2"] == right["u2"])
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
              group_bytes: int = PART_BYTES) -> DataFrame:
     """The documents' ids and texts (``id``, ``text``) with ``spans``: first
@@ -341,26 +356,32 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         raise ValueError(f"length must be at least {GRAM}")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("k1", F.xxhash64("text", "id")).withColumn("k2", F.hash("id", "text"))
-    cut = stored(_segmented(_parsed(rows, length), length).withColumn(
-        "text", F.when(F.size("segments") > 0, F.col("text"))), "segments")
-    each = cut.filter(F.size("segments") > 0).select("k1", "k2", "text", F.explode("segments").alias("s")).select("k1", "k2", "text", "s.*")
+    # Texts travel once, to their phrases; from then on they stay where they are.
+    cut = _by_key(_segmented(_parsed(rows, length), length), "texts")
+    each = stored(cut.select("k1", "k2", F.explode("segments").alias("s")).select("k1", "k2", "s.*"), "segments")
     # Digests first: what can be told without the bytes.
-    kinds = each.groupBy("anchor", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"),
-                                                   F.min("alone").alias("alone"))
-    kinds = stored(kinds, "kinds")
+    kinds = stored(each.groupBy("anchor", "d1", "d2").agg(
+        F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows"), F.min("alone").alias("alone"),
+        F.min(F.struct("k1", "k2", "start")).alias("one")), "kinds")
     open_ones = F.max(((F.col("n") == 1) & ~F.col("alone")).cast("int")) == 1
     anchors = kinds.groupBy("anchor").agg(
         ((F.min("n") == 1) & (F.count(F.lit(1)) > 1) | open_ones).alias("open"),
         F.sum(F.col("windows") + F.lit(length - 1)).alias("bytes")).filter("open")
     anchors = stored(anchors.select(F.col("anchor").alias("of"), (F.col("bytes") > group_bytes).alias("large")), "anchors")
-    piece = F.expr(f"substring(encode(text, 'UTF-8'), start + 1, windows + {length - 1})")
-    parts = each.join(anchors, F.col("anchor") == F.col("of")).select("anchor", "d1", "d2", "large", piece.alias("bytes"))
-    parts = parts.groupBy("anchor", "d1", "d2").agg(F.first("large").alias("large"), F.first("bytes").alias("bytes"),
-                                                    F.count(F.lit(1)).alias("n"))
-    parts = stored(parts, "parts")
-    told = _ordered(parts.filter(~F.col("large")), length)
-    if not parts.filter("large").isEmpty():
-        told = told.unionByName(_counted(parts.filter("large"), length))
+
+    def parts(large: bool) -> DataFrame:
+        """One copy of each segment of the open anchors, with its bytes."""
+        some = kinds.join(anchors.filter(F.col("large") == large), F.col("anchor") == F.col("of")).select(
+            F.col("one.k1").alias("u1"), F.col("one.k2").alias("u2"), F.struct("one.start", "windows", "anchor", "d1", "d2", "n").alias("p"))
+        some = some.groupBy("u1", "u2").agg(F.collect_list("p").alias("parts"))
+        texts = cut.select("k1", "k2", F.encode("text", "UTF-8").alias("raw")).dropDuplicates(["k1", "k2"])
+        found = texts.join(some.hint("merge"), _same_row(texts, some)).select("raw", F.explode("parts").alias("p"))
+        piece = F.expr(f"substring(raw, p.start + 1, p.windows + {length - 1})")
+        return found.select("p.anchor", "p.d1", "p.d2", "p.n", piece.alias("bytes"))
+
+    told = _ordered(parts(False), length)
+    if not anchors.filter("large").isEmpty():
+        told = told.unionByName(_counted(parts(True), length))
     whole = kinds.filter("n > 1").select("d1", "d2", F.array(F.lit(0), (F.col("windows") - 1).cast("int")).alias("runs"))
     single = kinds.filter("n = 1").select("d1", "d2")
     told = stored(whole.unionByName(told.join(single, ["d1", "d2"], "left_semi")), "verdicts").select(
@@ -374,7 +395,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         return pd.Series([[{"start": a, "end": b} for a, b in merged(np.asarray(r).reshape(-1, 2), length)] for r in runs])
 
     found = found.select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), spans("runs").alias("spans"))
-    return rows.join(found.hint("merge"), (F.col("k1") == F.col("u1")) & (F.col("k2") == F.col("u2")), "left").select("id", "text", "spans")
+    texts = cut.select("id", "text", "k1", "k2")
+    texts = texts.join(found.hint("merge"), _same_row(texts, found), "left").select("id", "text", "spans")
+    short = rows.filter(F.octet_length("text") < length).select("id", "text", F.lit(None).cast(texts.schema["spans"].dataType).alias("spans"))
+    return texts.unionByName(short)
 
 
 def merged(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
