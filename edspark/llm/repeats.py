@@ -53,15 +53,14 @@ PART_BYTES = 2 << 20  # segments that a task orders at a time
 
 # ---- parsing
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each (a view)."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+
+
 def cuts(data: np.ndarray, mean: int) -> np.ndarray:
     """Ends of the triggers in ``data``."""
-    n = len(data) - TRIGGER + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    word = np.zeros(n, np.uint64)
-    for k in range(TRIGGER):
-        word = (word << np.uint64(8)) | data[k:n + k]
-    return np.flatnonzero((word * MIX >> np.uint64(40)) % np.uint64(mean) == 0) + TRIGGER
+    return np.flatnonzero(words_at(data) * MIX < np.uint64((1 << 64) // mean)) + TRIGGER
 
 
 def inner_phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,32 +143,46 @@ def _signed(x: int) -> int:
 
 # ---- corpus order
 
-def _rank(key: np.ndarray) -> tuple[np.ndarray, int]:
-    values, rank = np.unique(key, return_inverse=True)
-    return rank.astype(np.int64), len(values)
+def _rank(key: np.ndarray) -> np.ndarray:
+    """For each key, how many are smaller."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, len(key))))
+    return rank
 
 
-def _doubled(rank: np.ndarray, count: int, span: int, end: np.ndarray, upto: int) -> np.ndarray:
+def _doubled(rank: np.ndarray, span: int, end: np.ndarray) -> np.ndarray:
     """Ranks of the suffixes of strings that lie one after the other, from
     the ranks of their first ``span`` symbols; ``end`` is where the string of
-    each place ends.  Stops when ``upto`` symbols are compared or nothing
-    changes."""
+    each place ends.  Only suffixes that still share a rank are sorted again."""
     place = np.arange(len(rank))
-    while span < upto:
-        ahead = place + span
-        key = rank * (count + 1) + np.where(ahead < end, rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
-        rank, now = _rank(key)
-        if now == count:
-            break
-        count, span = now, 2 * span
-    return rank
+    while True:
+        tied = np.bincount(rank, minlength=len(rank))[rank] > 1
+        at = place[tied & (place + span < end)]  # a shorter one is told in full, and so are those it ties with
+        if not len(at):
+            return rank
+        key = rank[at] * (len(rank) + 1) + rank[at + span]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        old = key // (len(rank) + 1)
+        group = np.concatenate(([True], old[1:] != old[:-1]))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        if new.sum() == group.sum():
+            return rank
+        where = np.arange(len(at))
+        base = np.maximum.accumulate(np.where(group, where, 0))
+        rank[at] = old + np.maximum.accumulate(np.where(new, where, 0)) - base
+        span *= 2
 
 
-def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, joined): the places of the joined texts that belong to a text,
-    in the order of what follows them there."""
+def corpus_order(texts: list[bytes], length: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(places, joined): the places of the joined texts at which ``length``
+    bytes of their text are left, in the order of what follows them there."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    joined = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    joined = np.frombuffer(raw, np.uint8)
     text_end = np.cumsum(sizes)
     text_start = text_end - sizes
     # The parse: a phrase ends with a trigger or with its text; the next begins with the trigger.
@@ -182,63 +195,55 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate(([0], end[:-1]))
     start = np.where(start == text_start[home], start, start - TRIGGER)
     # The dictionary: different phrases, those at a text's end marked by a symbol below all bytes.
-    raw = joined.tobytes()
     number: dict[tuple[bytes, bool], int] = {}
     phrase = np.array([number.setdefault((raw[a:b], z), len(number)) for a, b, z in
                        zip(start.tolist(), end.tolist(), last.tolist(), strict=True)], np.int64)
-    symbols = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int64) + 1, 0) if z else
-                              np.frombuffer(p, np.uint8).astype(np.int64) + 1 for p, z in number])
     size = np.array([len(p) + z for p, z in number], np.int64)
     entry = np.cumsum(size) - size
     word_end = np.repeat(entry + size, size)
+    symbols = np.zeros(size.sum() + 7, np.int64)
+    symbols[:-7] = np.frombuffer(b"".join([p + b"\0" * z for p, z in number]), np.uint8)
+    symbols[:-7] += 1
+    symbols[(entry + size - 1)[np.array([z for _, z in number], bool)]] = 0
     # Suffix array of the dictionary.  No suffix longer than a trigger begins another one.
-    key, place = np.zeros(len(symbols), np.int64), np.arange(len(symbols))
+    key, place = np.zeros(len(word_end), np.int64), np.arange(len(word_end))
     for k in range(7):
-        ahead = place + k
-        key = key * 257 + np.where(ahead < word_end, symbols[np.minimum(ahead, len(symbols) - 1)], 0)
-    rank, count = _rank(key)
-    rank = _doubled(rank, count, 7, word_end, int(size.max()))
+        key = key * 257 + symbols[k:len(word_end) + k] * (place + k < word_end)
+    rank = _doubled(_rank(key), 7, word_end)
     # Suffix array of the parse, over the phrases' ranks.
-    parse, count = _rank(rank[entry[phrase]])
-    text_phrases = np.cumsum(last)  # phrases up to the end of each text
-    phrase_end = np.flatnonzero(last)[np.concatenate(([0], text_phrases[:-1]))] + 1
-    follow = _doubled(parse, count, 1, phrase_end, int(np.diff(np.concatenate(([0], np.flatnonzero(last) + 1))).max()))
+    closing = np.flatnonzero(last) + 1
+    text_of_phrase = np.cumsum(last) - last
+    follow = _doubled(_rank(rank[entry[phrase]]), 1, closing[text_of_phrase])
     after = np.where(last, 0, np.append(follow[1:], 0) + 1)
     # Both together: a place belongs to the phrase in which more than the trigger follows, or to its text's last.
-    own_end = np.where(last, end, end - TRIGGER)
-    n = own_end - start
+    own_end = np.minimum(np.where(last, end, end - TRIGGER), text_end[home] - length + 1)
+    n = np.maximum(own_end - start, 0)
     which = np.repeat(np.arange(len(end)), n)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((after[which], rank[entry[phrase[which]] + offset]))
+    order = np.argsort(rank[entry[phrase[which]] + offset] * (len(end) + 2) + after[which])
     return (start[which] + offset)[order], joined
 
 
 def repeated_places(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text: whether the window that starts there stands somewhere
     else in the texts, too."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    places, joined = corpus_order(texts)
-    home = np.searchsorted(starts + sizes, places, side="right")
-    places = places[places + length <= (starts + sizes)[home]]
+    places, joined = corpus_order(texts, length)
     a, b = places[:-1], places[1:]
-    for step in range(0, length, 8):  # neighbours that agree so far
-        at = min(step, length - 8)
-        if at < 0:
-            agree = np.array([bytes(joined[x:x + length]) == bytes(joined[y:y + length]) for x, y in zip(a, b, strict=True)], bool)
-        else:
-            agree = _word(joined, a + at) == _word(joined, b + at)
+    if length >= 8:
+        eight = words_at(joined)
+        for step in range(0, length, 8):  # neighbours that agree so far
+            at = min(step, length - 8)
+            agree = eight[a + at] == eight[b + at]
+            a, b = a[agree], b[agree]
+    else:
+        agree = np.array([bytes(joined[x:x + length]) == bytes(joined[y:y + length]) for x, y in zip(a, b, strict=True)], bool)
         a, b = a[agree], b[agree]
     again = np.zeros(len(joined), bool)
     again[a] = True
     again[b] = True
-    return [again[s:s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-
-
-def _word(joined: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(joined, 8)[at].copy().view(np.uint64).ravel()
+    sizes = [len(t) for t in texts]
+    starts = np.cumsum(sizes) - sizes
+    return [again[s:s + max(0, n - length + 1)] for s, n in zip(starts.tolist(), sizes, strict=True)]
 
 
 def runs(flags: np.ndarray) -> list[int]:
