@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from edspark.llm.common import session_partitions, stored
 from edspark.operators.sequence import ordered_sequence
 
-LEAF, FAN_OUT = 64, 8
+LEAF, FAN_OUT = 256, 8
 LONG_MAX = (1 << 63) - 1
 
 

@@ -68,9 +68,9 @@ def test_large_codes_are_exact(spark):
 
 def test_boxes_bound_all_products():
     r = np.random.default_rng(2)
-    codes = r.integers(-50, 50, (500, 8)).astype(float)
-    tree = hard_negatives.RTree(codes, np.zeros(500, np.int64), np.arange(500))
-    assert sorted(np.concatenate(tree.children[:tree.leaves]).tolist()) == list(range(500))
+    codes = r.integers(-50, 50, (5000, 8)).astype(float)
+    tree = hard_negatives.RTree(codes, np.zeros(5000, np.int64), np.arange(5000))
+    assert sorted(np.concatenate(tree.children[:tree.leaves]).tolist()) == list(range(5000))
     query = hard_negatives._query(r.integers(-50, 50, 8).astype(float))
     low, high = tree.bounds(query, np.arange(tree.root + 1))
     for node in range(tree.leaves):
@@ -83,8 +83,8 @@ def test_boxes_bound_all_products():
 def test_queue_prunes_boxes(monkeypatch):
     """On clustered points only a part of the leaves is opened."""
     r = np.random.default_rng(4)
-    codes = (r.normal(size=(32, 4))[np.arange(4096) % 32] * 300 + r.normal(size=(4096, 4)) * 5).round()
-    tree = hard_negatives.RTree(codes, np.zeros(4096, np.int64), np.arange(4096))
+    codes = (r.normal(size=(32, 4))[np.arange(16384) % 32] * 300 + r.normal(size=(16384, 4)) * 5).round()
+    tree = hard_negatives.RTree(codes, np.zeros(16384, np.int64), np.arange(16384))
     opened = []
     scores = hard_negatives.RTree.scores
     monkeypatch.setattr(hard_negatives.RTree, "scores", lambda self, q, rows: opened.append(1) or scores(self, q, rows))
