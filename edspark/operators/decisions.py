@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from edspark import schemas as S
 from edspark.functions import rules as R
-from edspark.operators.sequence import running_sum
+from edspark.operators.sequence import clamped_sum
 from edspark.session import ensure_checkpoint_dir
 
 
@@ -157,16 +157,20 @@ def fairness_rates(df: DataFrame, groups: Sequence[str] = ("Age_Group", "Gender_
 AREA_BY_ACTION = {3: "critical", 2: "acute", 1: "fast"}
 
 
-def decision_cost(dec: DataFrame, order_col: str = "row_id") -> DataFrame:
+def decision_cost(dec: DataFrame, order_col: str = "row_id", discharges: DataFrame | None = None) -> DataFrame:
     """Reward of each logged decision under the environment's rules.
-    ``area_full`` = the target area already held its capacity before this
-    assignment (running count per area in log order, distributed)."""
+    ``area_full`` = the target area held its capacity before this assignment.
+    Occupancy runs in log order and is kept within 0 and the capacity: who
+    finds an area full is refused, and each row (``order_col``, ``area``) of
+    ``discharges`` frees a place after the decision of its number."""
     area = F.create_map(*[x for k, v in AREA_BY_ACTION.items() for x in (F.lit(k), F.lit(v))])[F.col("Final_Action")]
     cap = F.create_map(*[x for v in AREA_BY_ACTION.values() for x in (F.lit(v), F.lit(S.CAPACITY[f"occ_{v}"]))])
     d = dec.withColumn("area", area)
-    with_area = d.filter(F.col("area").isNotNull())
-    occ = running_sum(with_area, F.lit(1), [F.col(order_col)], ["area"], name="occupancy_after")
-    occ = occ.select(order_col, (F.col("occupancy_after") - 1 >= cap[F.col("area")]).alias("area_full"))
+    moves = d.filter(F.col("area").isNotNull()).select(F.col(order_col).alias("__at"), "area", F.lit(1).alias("__delta"))
+    if discharges is not None:
+        moves = moves.unionByName(discharges.select(F.col(order_col).alias("__at"), "area", F.lit(-1).alias("__delta")))
+    occ = clamped_sum(moves, "__delta", 0, cap[F.col("area")], [F.col("__at"), F.desc("__delta")], ["area"], name="occupancy")
+    occ = occ.filter(F.col("__delta") > 0).select(F.col("__at").alias(order_col), F.col("occupancy_held").alias("area_full"))
     out = d.join(occ, order_col, "left").withColumn("area_full", F.coalesce(F.col("area_full"), F.lit(False)))
     return out.withColumn("reward", R.decision_reward("Final_Action", "ESI", "area_full"))
 

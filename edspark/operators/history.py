@@ -7,11 +7,11 @@ Spark limits in every task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edspark.functions.vitals import first_truthy, parse_vitals
-from edspark.operators.sequence import running_sum
+from edspark.operators.sequence import clamped_sum, running_sum
 from edspark.schemas import SPARKLINE_RULES
 
 
@@ -72,15 +72,19 @@ def sparkline_stats(history: DataFrame) -> DataFrame:
 
 def vital_trend(points: DataFrame) -> DataFrame:
     """First and last value per patient and vital (by time), the change,
-    its direction and how many step-to-step rises there were."""
-    long = _long(points)
+    its direction and how many step-to-step rises there were.  Steps need a
+    patient's points in order: a sort by patient, vital and time, which spills
+    rather than gather a patient."""
+    order_by = Window.partitionBy("patient_id", "vital").orderBy("ts", "reading_id")
+    long = _long(points).withColumn("__rise", (F.col("value") > F.lag("value").over(order_by)).cast("int"))
     order = F.struct("ts", "reading_id")
     return long.groupBy("patient_id", "vital").agg(
         F.min_by("value", order).alias("first_value"),
         F.max_by("value", order).alias("last_value"),
         F.count(F.lit(1)).alias("n_points"),
+        F.coalesce(F.sum("__rise"), F.lit(0)).alias("n_rises"),
     ).select(
-        "patient_id", "vital", "first_value", "last_value", "n_points",
+        "patient_id", "vital", "first_value", "last_value", "n_points", "n_rises",
         (F.col("last_value") - F.col("first_value")).alias("change"),
         F.when(F.col("last_value") > F.col("first_value"), "rising")
          .when(F.col("last_value") < F.col("first_value"), "falling").otherwise("flat").alias("trend"))
@@ -91,3 +95,13 @@ def occupancy_running(moves: DataFrame, area: str = "area", delta: str = "delta"
     """Running occupancy per area over a log of +1/-1 moves, in time order
     (ties by key).  Distributed: no single task holds one area."""
     return running_sum(moves, delta, [F.col(ts), F.col(key)], [area], name="occupancy")
+
+
+def occupancy_capped(moves: DataFrame, capacity: Column, area: str = "area", delta: str = "delta", ts: str = "ts",
+                     key: str = "move_id") -> DataFrame:
+    """W8 under capacity: running occupancy per area that never passes the
+    area's ``capacity`` nor falls below zero.  ``admitted`` is false for an
+    arrival that found the area full; a later discharge frees a place."""
+    out = clamped_sum(moves, delta, 0, capacity, [F.col(ts), F.col(key)], [area], name="occupancy")
+    refused = (F.col(delta) > 0) & F.col("occupancy_held")
+    return out.withColumn("admitted", F.when(F.col(delta) > 0, ~refused)).drop("occupancy_before", "occupancy_held")

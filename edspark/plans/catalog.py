@@ -272,6 +272,20 @@ def q_policy_table(spark, d):
     return dec.policy_table(dec.decision_cost(_decisions(spark, d)))
 
 
+@query("decision_cost_flow")
+def q_decision_cost_flow(spark, d):
+    """M22 with discharges: areas fill, refuse, and become free again."""
+    costed = dec.decision_cost(_decisions(spark, d), discharges=fx.discharges(spark, d))
+    return costed.groupBy("Source", "Final_Action").agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if("area_full").alias("refused"), F.sum("reward").alias("total_reward"))
+
+
+@query("policy_table_flow")
+def q_policy_table_flow(spark, d):
+    """L7 over decisions whose areas are freed by discharges."""
+    return dec.policy_table(dec.decision_cost(_decisions(spark, d), discharges=fx.discharges(spark, d)))
+
+
 # ---- ingest --------------------------------------------------------------------
 
 from edspark.operators.codes import describe_codes  # noqa: E402
@@ -436,8 +450,7 @@ def _training_frame(spark, d, code_features=1 << 18, exact_codes=False):
     from edspark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    v = (fw.valid_esi(fw.read_fixed(spark, _lines(spark, d), LAYOUT_A))
-         .withColumn("row_id", F.monotonically_increasing_id()).checkpoint(eager=True))
+    v = fw.valid_esi(fw.read_fixed(spark, _lines(spark, d), LAYOUT_A, row_id="row_id")).checkpoint(eager=True)
     scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["row_id", "ESI", "ArrivalMode", "Chief_complain"])
     oh = feat.one_hot(scaled, "ArrivalMode", keep=[c for c in scaled.columns if c != "ArrivalMode"])
     oh = oh.withColumn("__codes", F.split("Chief_complain", " "))
@@ -504,6 +517,28 @@ def q_linear_attribution(spark, d):
                       (F.abs(total - (F.col("prediction") - F.lit(expected))) < 1e-6).alias("adds_up"))
 
 
+@query("tree_attribution")
+def q_tree_attribution(spark, d):
+    """L8 over a fitted forest: contributions that add up to the prediction
+    less the mean prediction, none for a feature that no tree splits on, and
+    the features in order of mean weight."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from edspark.operators import tree_attribution as ta
+
+    v = _visits(spark, d)
+    scaled = feat.impute_scale(v, feat.impute_scale_stats(v), keep=["ESI"])
+    x = feat.feature_matrix(scaled.withColumn("constant", F.lit(1.0)), [*feat.NUMERIC, "constant"], [])
+    model = RandomForestRegressor(featuresCol="features", labelCol="ESI", numTrees=8, maxDepth=5, seed=7).fit(x)
+    out = ta.tree_attribution(model.transform(x), model)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    gap = F.abs(total - (F.col("prediction") - F.col("contributions_base")))
+    return out.select("ESI", F.size("contributions").alias("n_contributions"), (gap < 1e-6).alias("adds_up"),
+                      (F.get("contributions", F.lit(len(feat.NUMERIC))) == 0).alias("constant_has_none"),
+                      (F.size(vector_to_array("features")) == F.lit(len(ta.slot_names(x)))).alias("all_named"))
+
+
 # ---- rules over whole tables ---------------------------------------------------
 
 from edspark import schemas as S  # noqa: E402
@@ -599,6 +634,36 @@ def q_ed_state_vector(spark, d):
                     R.state_vector(probs, risk, R.queue_occupancy(queue_length), ta, tb).alias("state"))
 
 
+@query("occupancy_capped")
+def q_occupancy_capped(spark, d):
+    """W8 under capacity: admissions refused when an area is full, freed by
+    discharges."""
+    from edspark.operators import history as hist
+
+    return hist.occupancy_capped(fx.bed_moves(spark, d), fx.capacity_of()).select("move_id", "area", "delta", "occupancy", "admitted")
+
+
+@query("numbered_lines")
+def q_numbered_lines(spark, d):
+    """Visits with their number in file order, at any split size."""
+    v = fw.read_fixed(spark, fx.ordered_line_files(spark, d), LAYOUT_A, row_id="row_id")
+    return v.select("row_id", "Age", "Pulse", "ESI", "Chief_complain")
+
+
+@query("fairness_by_line")
+def q_fairness_by_line(spark, d):
+    """The fairness audit over visits and results that are aligned
+    by file order: lines of the visit files, and decisions written as CSV."""
+    from edspark.session import scratch_dir
+
+    visits = fw.read_fixed(spark, fx.ordered_line_files(spark, d), LAYOUT_A, row_id="row_id")
+    path = scratch_dir(spark, "audit-csv")
+    results = _decisions(spark, d).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    results.select("ESI", "Final_Action", "Is_Critical_Miss").write.option("header", True).csv(path)
+    read = spark.read.option("header", True).schema("ESI int, Final_Action int, Is_Critical_Miss boolean").csv(path)
+    return dec.fairness_rates(dec.fairness_input(visits, fw.number_rows(read, "row_id")))
+
+
 @query("occupancy_ratio")
 def q_occupancy_ratio(spark, d):
     """Latest running occupancy per area over its capacity."""
@@ -779,6 +844,51 @@ def q_stream_attribution_left(spark, d):
     return out.withColumns({"top_feature": top["feature"], "top_impact": top["impact"]}).drop("top_features")
 
 
+from edspark.streaming import live_queue as lq  # noqa: E402
+
+FEED_DELAY = "2 hours"
+
+
+@query("feed_first_events")
+def q_feed_first_events(spark, d):
+    """E2/U3 over a feed with repeats, out of order, in several micro-batches:
+    the first event of a visit by event time."""
+    log = st.run_available_now(fx.feed_stream(spark, d).drop("batch"), "feed-first")
+    return st.first_per_key(log, "appointment_id")
+
+
+@query("feed_dedupe")
+def q_feed_dedupe(spark, d):
+    """E2 with bounded state: repeats within the watermark are dropped, and
+    rows older than it refused."""
+    s = st.dedupe_within_watermark(fx.feed_stream(spark, d), "event_id", FEED_DELAY)
+    return st.run_available_now(s.select("event_id", "appointment_id", "ts", "kind"), "feed-dedupe")
+
+
+@query("feed_hourly")
+def q_feed_hourly(spark, d):
+    """E6 with late rows: counts by hour of all deliveries that are in time."""
+    log = st.run_available_now(st.hourly_arrivals(fx.feed_stream(spark, d), FEED_DELAY), "feed-hourly", mode="update", keep_batch=True)
+    return st.latest_update(log, ["hour_start", "hour_end"])
+
+
+@query("feed_late_rows")
+def q_feed_late_rows(spark, d):
+    """The recorded feed with the rows that a watermark refuses."""
+    rows = st.late_rows(fx.feed_deliveries(spark, d), FEED_DELAY)
+    return rows.groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("refused").alias("n_refused"),
+                                             F.min(F.when(~F.col("refused"), F.col("ts"))).alias("first_taken"))
+
+
+@query("feed_live_queue")
+def q_feed_live_queue(spark, d):
+    """E3/E4 as keyed state: arrivals, late or early attributions, discharges
+    and a timer for the longest stay, kept up to date over all micro-batches."""
+    log = st.run_available_now(lq.queue_changes(fx.feed_stream(spark, d), "20 days", FEED_DELAY), "feed-queue", mode="update",
+                               keep_batch=True)
+    return lq.waiting_queue(log)
+
+
 # ---- file sources and sinks ----------------------------------------------------
 
 from edspark.sources import files as io  # noqa: E402

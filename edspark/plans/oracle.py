@@ -167,10 +167,11 @@ ORACLE["vital_trend"] = _with_points("")[:-1] + f"""
 , long AS ({_long('points')}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY patient_id, vital ORDER BY ts, reading_id) AS r_first,
-            row_number() OVER (PARTITION BY patient_id, vital ORDER BY ts DESC, reading_id DESC) AS r_last
+            row_number() OVER (PARTITION BY patient_id, vital ORDER BY ts DESC, reading_id DESC) AS r_last,
+            value > lag(value) OVER (PARTITION BY patient_id, vital ORDER BY ts, reading_id) AS rise
   FROM long)
 SELECT patient_id, vital, max(CASE WHEN r_first = 1 THEN value END) AS first_value,
-       max(CASE WHEN r_last = 1 THEN value END) AS last_value, count(*) AS n_points,
+       max(CASE WHEN r_last = 1 THEN value END) AS last_value, count(*) AS n_points, count(*) FILTER (WHERE rise) AS n_rises,
        max(CASE WHEN r_last = 1 THEN value END) - max(CASE WHEN r_first = 1 THEN value END) AS change,
        CASE WHEN max(CASE WHEN r_last = 1 THEN value END) > max(CASE WHEN r_first = 1 THEN value END) THEN 'rising'
             WHEN max(CASE WHEN r_last = 1 THEN value END) < max(CASE WHEN r_first = 1 THEN value END) THEN 'falling'
@@ -867,3 +868,103 @@ SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
   UNION ALL SELECT 3, printf('Critical Miss Rate: %.2f%%', cm) FROM m
   UNION ALL SELECT 4, printf('Over-Triage Rate: %.2f%%', ot) FROM m
   UNION ALL SELECT 5, printf('Overall Accuracy: %.2f%%', acc) FROM m)""")
+
+# ---- the feed: repeats, disorder, several micro-batches ---------------------------
+
+FEED = f"""
+WITH ev AS (SELECT event_id, event_id // 3 AS appointment_id, CAST(ts AS TIMESTAMP) AS ts,
+       CASE event_type WHEN 'view' THEN 'ready' WHEN 'error' THEN 'discharge' ELSE 'arrival' END AS kind, user_id AS patient_id,
+       CAST(1 + (user_id + {K}) % 5 AS INTEGER) AS triage_level,
+       CAST(floor(date_diff('minute', TIMESTAMP '2024-01-01', CAST(ts AS TIMESTAMP)) * 4 / 43200.0) AS INTEGER)
+         + CASE WHEN event_id % 11 = 5 THEN 3 WHEN event_id % 7 = 3 THEN 1 ELSE 0 END AS due FROM events),
+feed AS (SELECT * EXCLUDE (due), greatest(0, least(3, due)) AS batch FROM ev
+         UNION ALL SELECT * EXCLUDE (due), greatest(0, least(3, due + 1)) FROM ev WHERE event_id % 5 = 2),
+latest AS (SELECT batch, date_trunc('millisecond', max(ts)) AS top FROM feed GROUP BY batch),
+taken AS (SELECT f.* FROM feed f WHERE NOT coalesce(f.ts <= (SELECT max(top) FROM latest l WHERE l.batch <= f.batch - 2) - INTERVAL 2 HOUR, false))"""
+
+ORACLE["feed_first_events"] = FEED + """
+SELECT appointment_id, event_id, ts, kind, patient_id, triage_level FROM (
+  SELECT *, row_number() OVER (PARTITION BY appointment_id ORDER BY ts, event_id) AS rn FROM feed) WHERE rn = 1"""
+
+ORACLE["feed_dedupe"] = FEED + """
+SELECT DISTINCT event_id, appointment_id, ts, kind FROM taken"""
+
+ORACLE["feed_hourly"] = FEED + """
+, hours AS (SELECT *, date_trunc('hour', ts) AS hour_start FROM feed)
+SELECT hour_start, hour_start + INTERVAL 1 HOUR AS hour_end, count(*) AS count FROM hours h
+WHERE NOT coalesce(hour_start + INTERVAL 1 HOUR <= (SELECT max(top) FROM latest l WHERE l.batch <= h.batch - 2) - INTERVAL 2 HOUR, false)
+GROUP BY 1"""
+
+ORACLE["feed_late_rows"] = FEED + """
+SELECT f.batch, f.kind, count(*) AS n_rows, count(*) - any_value(coalesce(t.n, 0)) AS n_refused, any_value(t.first_taken) AS first_taken
+FROM feed f LEFT JOIN (SELECT batch, kind, count(*) AS n, min(ts) AS first_taken FROM taken GROUP BY 1, 2) t
+  ON t.batch = f.batch AND t.kind = f.kind GROUP BY 1, 2"""
+
+ORACLE["feed_live_queue"] = FEED + """
+, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY appointment_id ORDER BY ts, event_id) AS rn
+                       FROM taken WHERE kind = 'arrival') WHERE rn = 1),
+r AS (SELECT appointment_id, max(ts) AS ready_at FROM taken WHERE kind = 'ready' GROUP BY 1),
+q AS (SELECT a.appointment_id, a.patient_id, a.ts AS arrived_at, a.triage_level,
+             (6 - CAST(a.triage_level AS BIGINT)) * 100000 + CAST(floor(epoch(a.ts) / 60) AS BIGINT) AS priority_score,
+             r.ready_at IS NOT NULL AS shap_ready, r.ready_at
+      FROM a LEFT JOIN r USING (appointment_id)
+      WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.appointment_id = a.appointment_id AND t.kind = 'discharge')
+        AND a.ts + INTERVAL 20 DAY > (SELECT max(top) FROM latest) - INTERVAL 2 HOUR)
+SELECT *, row_number() OVER (ORDER BY priority_score DESC, appointment_id) AS queue_position FROM q"""
+
+# ---- occupancy under capacity, one move after the other ----------------------------
+
+ORACLE["occupancy_capped"] = "WITH RECURSIVE " + with_views("", "bed_moves").removeprefix("WITH ").rstrip() + """,
+m AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY ts, move_id) AS rn,
+             CASE area WHEN 'bed' THEN 30 WHEN 'waiting' THEN 50 ELSE 20 END AS cap FROM bed_moves),
+walk(area, rn, x) AS (
+  SELECT DISTINCT area, 0::BIGINT, 0::BIGINT FROM m
+  UNION ALL SELECT m.area, m.rn, least(m.cap, greatest(0, x + m.delta))::BIGINT FROM walk JOIN m ON m.area = walk.area AND m.rn = walk.rn + 1)
+SELECT m.move_id, m.area, CAST(m.delta AS INTEGER) AS delta, w.x AS occupancy,
+       CASE WHEN m.delta > 0 THEN p.x + 1 = w.x END AS admitted
+FROM m JOIN walk w ON w.area = m.area AND w.rn = m.rn JOIN walk p ON p.area = m.area AND p.rn = m.rn - 1"""
+
+FLOW = """
+, moves AS (
+  SELECT row_id, CASE Final_Action WHEN 3 THEN 'critical' WHEN 2 THEN 'acute' WHEN 1 THEN 'fast' END AS area, 1 AS delta FROM decf
+  UNION ALL SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'fast' ELSE 'acute' END, -1 FROM decf WHERE row_id % 3 <> 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY row_id, delta DESC) AS rn,
+             CASE area WHEN 'critical' THEN 10 WHEN 'acute' THEN 30 ELSE 20 END AS cap FROM moves WHERE area IS NOT NULL),
+walk(area, rn, x) AS (
+  SELECT DISTINCT area, 0::BIGINT, 0::BIGINT FROM m
+  UNION ALL SELECT m.area, m.rn, least(m.cap, greatest(0, x + m.delta))::BIGINT FROM walk JOIN m ON m.area = walk.area AND m.rn = walk.rn + 1),
+costed AS (
+  SELECT d.*, coalesce(o.area_full, false) AS area_full FROM decf d LEFT JOIN (
+    SELECT m.row_id, p.x = m.cap AS area_full FROM m JOIN walk p ON p.area = m.area AND p.rn = m.rn - 1 WHERE m.delta = 1) o
+  ON d.row_id = o.row_id)""" + COST[COST.index(",\nrewarded AS"):]
+
+ORACLE["decision_cost_flow"] = "WITH RECURSIVE " + _on_dec(FLOW + """
+SELECT Source, Final_Action, count(*) AS decisions, count(*) FILTER (WHERE area_full) AS refused,
+       CAST(sum(reward) AS BIGINT) AS total_reward FROM rewarded GROUP BY 1, 2""").lstrip().removeprefix("WITH ")
+
+ORACLE["policy_table_flow"] = "WITH RECURSIVE " + _on_dec(FLOW + """,
+per AS (SELECT Sup_Pred, area_full, Final_Action, avg(reward) AS mean_reward, count(*) AS n
+        FROM rewarded GROUP BY 1, 2, 3)
+SELECT Sup_Pred, area_full, Final_Action AS best_action, mean_reward, n AS support
+FROM (SELECT *, row_number() OVER (PARTITION BY Sup_Pred, area_full ORDER BY mean_reward DESC, Final_Action) AS rn
+      FROM per) WHERE rn = 1""").lstrip().removeprefix("WITH ")
+
+# ---- file order --------------------------------------------------------------------
+
+NUMBERED = parse_sql(LAYOUT_A, src="(SELECT value, row_number() OVER (ORDER BY value) - 1 AS row_id FROM raw_lines)", extra="row_id, ")
+
+ORACLE["numbered_lines"] = with_views(f"SELECT row_id, Age, Pulse, ESI, Chief_complain FROM ({NUMBERED})", "raw_lines")
+
+ORACLE["fairness_by_line"] = _on_dec(f"""
+, lines AS (SELECT row_id, Age, ESI FROM ({NUMBERED}) WHERE ESI IS NOT NULL),
+res AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, Final_Action, Is_Critical_Miss FROM decf),
+fair AS (SELECT lines.*, res.* EXCLUDE (row_id), CASE WHEN Age < 18 THEN 'Pediatric (<18)' WHEN Age > 65 THEN 'Geriatric (>65)' ELSE 'Adult (18-65)' END AS "group" FROM lines JOIN res USING (row_id)),
+per AS (SELECT 'Age_Group' AS dimension, "group", count(*) FILTER (WHERE ESI IN (1, 2)) AS n_critical,
+               avg(CASE WHEN ESI IN (1, 2) THEN CAST(Is_Critical_Miss AS DOUBLE) END) * 100 AS critical_miss_rate,
+               count(*) FILTER (WHERE ESI IN (4, 5)) AS n_low_acuity,
+               avg(CASE WHEN ESI IN (4, 5) THEN CAST(Final_Action = 3 AS DOUBLE) END) * 100 AS over_triage_rate FROM fair GROUP BY 2)
+SELECT * FROM per""", "raw_lines")
+
+ORACLE["tree_attribution"] = with_views(f"""
+SELECT ESI, 9 AS n_contributions, true AS adds_up, true AS constant_has_none, true AS all_named
+FROM ({parse_sql(LAYOUT_A)}) WHERE ESI IS NOT NULL AND ESI BETWEEN 1 AND 5""", "raw_lines")

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edspark.functions.text import clean_num, extract_codes, join_codes
+from edspark.operators.sequence import small_side
 from edspark.schemas import CODES_FROM, LAYOUT_A
+from edspark.session import ensure_checkpoint_dir
 
 Layout = Sequence[tuple[str, int, int, float]]
 
@@ -33,9 +35,41 @@ def parse_lines(lines: DataFrame, layout: Layout = LAYOUT_A, value_col: str = "v
     return lines.select(*keep, *fields, codes.alias("Chief_complain"))
 
 
-def read_fixed(spark: SparkSession, path: str | Sequence[str], layout: Layout = LAYOUT_A) -> DataFrame:
-    """Scan fixed-width text files (one record per line) and parse them."""
-    return parse_lines(spark.read.text(path), layout)
+def read_fixed(spark: SparkSession, path: str | Sequence[str], layout: Layout = LAYOUT_A, row_id: str | None = None) -> DataFrame:
+    """Scan fixed-width text files (one record per line) and parse them;
+    with ``row_id`` every row has its number in file order (J5/T8)."""
+    if row_id is None:
+        return parse_lines(spark.read.text(path), layout)
+    return parse_lines(number_rows(spark.read.text(path), row_id), layout, keep=[row_id])
+
+
+def number_rows(rows: DataFrame, row_id: str = "row_id", line_no: str | None = None) -> DataFrame:
+    """The rows of a file scan (text or CSV) with ``row_id``, their
+    number from 0 in the order of paths and lines, and, if named, ``line_no``,
+    the number within the file.
+
+    Spark reads a file in splits, each in order.  A first pass counts the rows
+    of every split (file, start); running totals give each split its first
+    number, and the rows follow by their place in the split.  The table of
+    splits is counted and broadcast only up to a stated number of rows.  Both
+    passes read the same splits, as these depend on the files and the settings
+    alone; a row of a split that the first pass did not meet raises an error."""
+    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"),
+                     F.monotonically_increasing_id().alias("__place"))
+    splits = at.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    files = splits.groupBy("__file").agg(F.sum("__n").alias("__rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.select(F.col("__file").alias("__of"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__skip"))
+    inside = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    first = splits.withColumn("__skip_in_file", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    first = first.join(files, F.col("__file") == F.col("__of")).select(
+        F.col("__file").alias("__sfile"), F.col("__split").alias("__ssplit"), "__first", "__skip", "__skip_in_file")
+    ensure_checkpoint_dir(rows.sparkSession)
+    numbered = at.join(small_side(first), (F.col("__file") == F.col("__sfile")) & (F.col("__split") == F.col("__ssplit")), "left")
+    place = F.when(F.col("__first").isNull(), F.raise_error(F.lit("the files changed while they were numbered"))).otherwise(
+        F.col("__skip_in_file") + F.col("__place") - F.col("__first"))
+    numbers = [(F.col("__skip") + place).cast("bigint").alias(row_id)] + ([place.cast("bigint").alias(line_no)] if line_no else [])
+    return numbered.select(*numbers, *[F.col(f"`{c}`") for c in rows.columns])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

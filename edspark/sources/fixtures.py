@@ -272,3 +272,77 @@ def bed_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("move_id"), F.col("ts").cast("timestamp").alias("ts"), area.alias("area"),
         F.when(F.col("event_id") % 4 == 3, F.lit(-1)).otherwise(F.lit(1)).alias("delta"))
+
+
+FEED_BATCHES = 4
+_FEED_FILES: dict[str, str] = {}
+
+
+def feed_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a feed delivers them: three events a visit, in
+    ``FEED_BATCHES`` micro-batches (``batch``) by time; every seventh event
+    comes one batch late, every eleventh three, and every fifth comes again
+    one batch later."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    minutes = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - BASE_EPOCH_SECONDS) / 60)
+    part = F.floor(minutes * FEED_BATCHES / MINUTES_IN_WINDOW)
+    late = F.when(F.col("event_id") % 11 == 5, 3).when(F.col("event_id") % 7 == 3, 1).otherwise(0)
+    again = F.when(F.col("event_id") % 5 == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kind = F.when(F.col("event_type") == "view", "ready").when(F.col("event_type") == "error", "discharge").otherwise("arrival")
+    rows = e.select(
+        "event_id", F.floor(F.col("event_id") / 3).alias("appointment_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
+        F.col("user_id").alias("patient_id"), (F.lit(1) + (F.col("user_id") + _k()) % 5).cast("int").alias("triage_level"),
+        part.alias("part"), late.alias("late"), F.explode(again).alias("again"))
+    last = F.lit(FEED_BATCHES - 1)
+    return rows.select("event_id", "appointment_id", "ts", "kind", "patient_id", "triage_level",
+                       F.greatest(F.lit(0), F.least(last, F.col("part") + F.col("late") + F.col("again"))).cast("int").alias("batch"))
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> str:
+    """The deliveries as files in the shared folder, one after the other, so
+    that a stream that takes a file at a time meets the batches in order."""
+    from edspark.session import scratch_dir
+    from edspark.sources.fixed_width import path_exists
+
+    path = _FEED_FILES.get(sf_dir)
+    if path is None or not path_exists(spark, f"{path}/{FEED_BATCHES - 1}/_SUCCESS"):
+        path = scratch_dir(spark, "feed")
+        rows = feed_deliveries(spark, sf_dir)
+        for b in range(FEED_BATCHES):
+            rows.filter(F.col("batch") == b).coalesce(1).write.parquet(f"{path}/{b}")
+        _FEED_FILES[sf_dir] = path
+    return path
+
+
+def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as a stream, one delivery file a micro-batch."""
+    schema = "event_id bigint, appointment_id bigint, ts timestamp, kind string, patient_id bigint, triage_level int, batch int"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{feed_files(spark, sf_dir)}/*")
+
+
+def discharges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that become free after a logged decision: after two of three,
+    area by area in turn."""
+    area = F.when(F.col("row_id") % 4 == 0, "critical").when(F.col("row_id") % 4 == 1, "fast").otherwise("acute")
+    return decisions_input(spark, sf_dir).filter(F.col("row_id") % 3 != 0).select("row_id", area.alias("area"))
+
+
+def capacity_of(area: str = "area"):
+    """Capacities of the areas of :func:`bed_moves`."""
+    return F.when(F.col(area) == "bed", 30).when(F.col(area) == "waiting", 50).otherwise(20)
+
+
+_ORDERED_FILES: dict[str, str] = {}
+
+
+def ordered_line_files(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+    """The fixed-width lines in sorted order over some files."""
+    from edspark.session import scratch_dir
+    from edspark.sources.fixed_width import path_exists
+
+    path = _ORDERED_FILES.get(sf_dir)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = scratch_dir(spark, "ordered-lines")
+        raw_lines(spark, sf_dir).repartitionByRange(files, "value").sortWithinPartitions("value").write.text(path)
+        _ORDERED_FILES[sf_dir] = path
+    return path

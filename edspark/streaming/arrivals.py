@@ -13,9 +13,10 @@ rewrites what it wrote.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edspark.functions import rules as R
@@ -102,6 +103,19 @@ def hourly_arrivals(visits: DataFrame, delay: str = "2 hours") -> DataFrame:
     return w.select(F.col("window.start").alias("hour_start"), F.col("window.end").alias("hour_end"), "count")
 
 
+def late_rows(deliveries: DataFrame, delay: str, ts: str = "ts", batch: str = "batch") -> DataFrame:
+    """The rows of a recorded feed (``batch``: the number of the
+    micro-batch that brought a row, from 0) with ``refused``: whether a
+    watermarked operator drops them.  A row is held against the watermark
+    with which the micro-batch before its own began: the latest event time,
+    in milliseconds, of all earlier ones, less ``delay``."""
+    per = deliveries.groupBy(F.col(batch).alias("b")).agg(F.max(ts).alias("latest"))
+    seen = F.max(F.date_trunc("millisecond", "latest")).over(Window.orderBy("b").rangeBetween(Window.unboundedPreceding, -2))
+    per = per.withColumn("held", seen - F.expr(f"INTERVAL {delay}"))  # one row a micro-batch
+    out = deliveries.join(F.broadcast(per.select("b", "held")), F.col(batch) == F.col("b"))
+    return out.withColumn("refused", F.coalesce(F.col(ts) <= F.col("held"), F.lit(False))).drop("b", "held")
+
+
 def latest_update(log: DataFrame, keys: list[str], value: str = "count") -> DataFrame:
     """The value of the last micro-batch that wrote a key."""
     return log.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
@@ -122,12 +136,20 @@ def attribution_join(arrivals: DataFrame, ready: DataFrame, bound: str = "1 hour
                                        F.col("r.ready_ts").isNotNull().alias("shap_ready"))
 
 
-def _state_store(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB, outside the heap, unless the session
-    names a provider itself."""
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Start queries with their state in RocksDB, outside the heap, unless the
+    session names a provider itself; the session is left as it was (a started
+    query keeps the settings it began with)."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(key, ""):
+    named = bool(spark.conf.get(key, ""))
+    if not named:
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if not named:
+            spark.conf.unset(key)
 
 
 def _sink(path: str, transform: Callable[[DataFrame], DataFrame] | None = None):
@@ -141,9 +163,9 @@ def _sink(path: str, transform: Callable[[DataFrame], DataFrame] | None = None):
 def start_refresh(stream: DataFrame, path: str, checkpoint: str, seconds: int = 60, mode: str = "append"):
     """The dashboard refresh as a processing-time trigger (60 s for the
     log, 300 s for attribution aggregates); returns the running query."""
-    _state_store(stream.sparkSession)
-    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(_sink(path)).trigger(processingTime=f"{int(seconds)} seconds").start())
+    with _state_store(stream.sparkSession):
+        return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+                .foreachBatch(_sink(path)).trigger(processingTime=f"{int(seconds)} seconds").start())
 
 
 def run_available_now(stream: DataFrame, label: str, mode: str = "append",
@@ -154,11 +176,11 @@ def run_available_now(stream: DataFrame, label: str, mode: str = "append",
     from edspark.sources.fixed_width import path_exists
 
     spark = stream.sparkSession
-    _state_store(spark)
     out = scratch_dir(spark, f"stream-{label}")
     data = f"{out}/data"
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
-         .foreachBatch(_sink(data, transform)).trigger(availableNow=True).start())
+    with _state_store(spark):
+        q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
+             .foreachBatch(_sink(data, transform)).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
