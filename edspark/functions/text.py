@@ -60,6 +60,13 @@ def cut_complaint(text, limit: int = 5000) -> Column:
     return F.substring(_c(text), 1, limit)
 
 
+def level_label(level) -> Column:
+    """Chart label of a level, ``Level n`` for one that has none."""
+    n = _c(level)
+    names = F.create_map(*[x for k, v in S.LEVEL_LABELS.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(names[n], F.concat(F.lit("Level "), n.cast("string")))
+
+
 def full_name(first, last) -> Column:
     """``first last``."""
     return F.concat_ws(" ", _c(first), _c(last))

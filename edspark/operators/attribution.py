@@ -8,12 +8,13 @@ position-keyed partial aggregate, so no single group holds a payload.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edspark.functions.once import once
 from edspark.schemas import DASHBOARD_FEATURES, DASHBOARD_TEXT_DIMS, DASHBOARD_TEXT_PREFIX, SERVICE_FEATURES
 
 
@@ -51,16 +52,34 @@ def flatten_payload(payload, nesting: int) -> Column:
     return F.flatten(F.transform(F.get(p, F.lit(0)), lambda _, r: class_mean(F.transform(p, lambda c: F.get(c, r)))))
 
 
+def _parsed_forms(text) -> dict[str, Column]:
+    """The payload parsed as each of the three forms; only the one that its
+    opening brackets tell is not null."""
+    t = F.trim(_c(text))
+    opens = {n: t.rlike("^" + r"\[\s*" * n + r"[^\[\s]") for n in (1, 2, 3)}
+    return {f"__form{n}": F.when(o, parse_payload(t, n)) for n, o in opens.items()}
+
+
+def _values_of(forms: Mapping[str, Column]) -> Column:
+    return F.coalesce(*[flatten_payload(c, i + 1) for i, c in enumerate(forms.values())])
+
+
+def _all_known(values) -> Column:
+    v = _c(values)
+    return F.when((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), v)
+
+
 def payload_values(text) -> Column:
     """The values of a JSON payload of any of the three forms, told
     by its opening brackets; null for empty, bad or uneven payloads."""
-    t = F.trim(_c(text))
-    out = F.lit(None).cast("array<double>")
-    for nesting in (1, 2, 3):
-        flat = flatten_payload(parse_payload(t, nesting), nesting)
-        opens = t.rlike("^" + r"\[\s*" * nesting + r"[^\[\s]")
-        out = F.when(opens, flat).otherwise(out)
-    return F.when((F.size(out) > 0) & F.forall(out, lambda v: v.isNotNull()), out)
+    return _all_known(_values_of(_parsed_forms(text)))
+
+
+def with_payload_values(df: DataFrame, text: str, name: str) -> DataFrame:
+    """:func:`payload_values` as a further column, parsed once a row."""
+    forms = once(df, **_parsed_forms(text))
+    values = once(forms, __values=_values_of({f"__form{n}": F.col(f"__form{n}") for n in (1, 2, 3)}))
+    return values.withColumn(name, _all_known("__values")).drop("__form1", "__form2", "__form3", *(["__values"] if name != "__values" else []))
 
 
 def feature_name(pos, names: Sequence[str] = DASHBOARD_FEATURES, text_prefix: str = DASHBOARD_TEXT_PREFIX,

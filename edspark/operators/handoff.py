@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from edspark import schemas as S
 from edspark.functions import rules as R
+from edspark.functions.once import once
 from edspark.functions.text import full_name
 from edspark.functions.vitals import first_truthy, parse_vitals, shock_index
 from edspark.operators.sequence import ordered_sequence
@@ -58,8 +59,8 @@ def handoff_patients(appointments: DataFrame, results: DataFrame, patients: Data
     r = results.select("appointment_id", "rl_action", "vitals")
     p = patients.select("patient_id", full_name("first_name", "last_name").alias("patient_name"))
     t = tokens.select("appointment_id", "token_number")
-    base = (a.join(p, "patient_id", "inner").join(r, "appointment_id", "left").join(t, "appointment_id", "left")
-            .withColumn("__v", parse_vitals("vitals")))  # parsed once per row
+    base = a.join(p, "patient_id", "inner").join(r, "appointment_id", "left").join(t, "appointment_id", "left")
+    base = once(base, __v=parse_vitals("vitals"))
     v = F.col("__v")
     has_vitals = F.col("vitals").isNotNull() & (F.col("vitals") != "")
     hr = F.when(has_vitals, first_truthy(v["HR"], v["Pulse"]))
@@ -73,11 +74,10 @@ def handoff_patients(appointments: DataFrame, results: DataFrame, patients: Data
         has_vitals.alias("__has"),
         hr.alias("hr"), F.when(has_vitals, v["SBP"]).alias("sbp"),
         F.when(has_vitals, v["O2Sat"]).alias("o2"), rr.alias("rr"))
-    si = shock_index("hr", "sbp", 2)
-    return x.select(
+    return once(x, shock_index=shock_index("hr", "sbp", 2)).select(
         "appointment_id", "patient_id", "patient_name", "token", "triage_level", "chief_complaint",
         R.vitals_summary("hr", "sbp", "o2", "rr", "__has").alias("vitals_summary"),
-        si.alias("shock_index"),
+        "shock_index",
         F.when(F.col("created_at").isNotNull(), R.minutes_between("created_at", now)).alias("time_in_ed"),
         "action", "priority_score", "hr", "sbp", "o2",
     ).withColumn("trend_status", R.trend_status("shock_index")).withColumn(
@@ -96,7 +96,7 @@ def handoff_alerts(hp: DataFrame, cap: int = ALERT_CAP) -> DataFrame:
 
 
 def watch_list(hp: DataFrame) -> DataFrame:
-    """Level <= 2 or deteriorating."""
+    """Level <= 2 or deteriorating; :func:`queue_order` shows it in order."""
     return hp.filter((F.col("triage_level") <= 2) | (F.col("trend_status") == "deteriorating"))
 
 
@@ -138,15 +138,16 @@ def result_detail(results: DataFrame, keys: DataFrame) -> DataFrame:
     """Set-based point lookup: for each requested appointment id,
     its result (``found``; nulls if there is none) with the service's rounded
     shock index, top five features and ISO time."""
-    from edspark.operators.attribution import payload_values, top_features
+    from edspark.operators.attribution import top_features, with_payload_values
 
     v = F.col("__v")
     hr = first_truthy(v["Pulse"], v["HR"])
     asked = keys.select("appointment_id").distinct()
-    found = results.withColumn("found", F.lit(True)).withColumn("__v", parse_vitals("vitals"))
-    return asked.join(found, "appointment_id", "left").select(
+    joined = asked.join(results.withColumn("found", F.lit(True)), "appointment_id", "left")
+    joined = with_payload_values(joined, "shap_values", "__p")
+    return once(joined, __v=parse_vitals("vitals")).select(
         "appointment_id", F.coalesce("found", F.lit(False)).alias("found"), "esi_level", "ktas_level", "supervised_confidence",
-        "rl_action", "model_version", "shap_values", top_features(payload_values("shap_values"), 5).alias("top_features"),
+        "rl_action", "model_version", "shap_values", top_features("__p", 5).alias("top_features"),
         shock_index(hr, v["SBP"], 2).alias("shock_index"), "vitals", R.iso_text("created_at").alias("created_at"))
 
 

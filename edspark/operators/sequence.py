@@ -192,19 +192,3 @@ def clamped_sum(df: DataFrame, value: Column | str, low: Column | int, high: Col
     after = F.least("__high", F.greatest("__low", F.col(f"{name}_before") + F.col("__step")))
     joined = joined.withColumn(name, after).withColumn(f"{name}_held", F.col(name) != F.col(f"{name}_before") + F.col("__step"))
     return joined.drop(*own, "__group", "__pid", "__place", "__d", "__l", "__h", "__bgroup", "__bpid", "__start")
-
-
-def top_n_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], n: int,
-                    salt_col: Column | str, salt_buckets: int = 32, rank_name: str = "rank") -> DataFrame:
-    """Exact top ``n`` rows per group in ``order_cols`` order (which must be
-    total), safe for hot groups: first the top ``n`` inside each
-    (group, salt) bucket, then the top ``n`` among at most
-    ``salt_buckets * n`` candidates per group.  ``salt_col`` is a row key
-    that spreads a hot group over the buckets."""
-    orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    salt = F.pmod(F.xxhash64(F.col(salt_col) if isinstance(salt_col, str) else salt_col), F.lit(salt_buckets))
-    w1 = Window.partitionBy(*group_cols, "__salt").orderBy(*orders)
-    cand = (df.withColumn("__salt", salt).withColumn("__r1", F.row_number().over(w1))
-            .filter(F.col("__r1") <= n).drop("__r1", "__salt"))
-    w2 = Window.partitionBy(*group_cols).orderBy(*orders)
-    return cand.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= n)

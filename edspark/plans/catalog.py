@@ -163,7 +163,7 @@ def q_active_queue(spark, d):
 
 @query("handoff_patients")
 def q_handoff_patients(spark, d):
-    return _handoff(spark, d).select(*HANDOFF_COLUMNS)
+    return _handoff(spark, d).orderBy(*ho.queue_order()).select(*HANDOFF_COLUMNS, "priority_score")
 
 
 @query("handoff_alerts")
@@ -178,7 +178,8 @@ def q_handoff_summary(spark, d):
 
 @query("watch_list")
 def q_watch_list(spark, d):
-    return ho.watch_list(_handoff(spark, d)).select("appointment_id", "patient_name", "triage_level", "trend_status")
+    w = ho.watch_list(_handoff(spark, d)).orderBy(*ho.queue_order())
+    return w.select("appointment_id", "patient_name", "triage_level", "trend_status", "priority_score")
 
 
 @query("result_detail")
@@ -543,6 +544,7 @@ def q_tree_attribution(spark, d):
 
 from edspark import schemas as S  # noqa: E402
 from edspark.functions import rules as R  # noqa: E402
+from edspark.functions.once import once  # noqa: E402
 from edspark.functions import text as X  # noqa: E402
 from edspark.functions import vitals as V  # noqa: E402
 from edspark.operators.sequence import ordered_sequence  # noqa: E402
@@ -550,9 +552,11 @@ from edspark.operators.sequence import ordered_sequence  # noqa: E402
 
 @query("priority_tokens")
 def q_priority_tokens(spark, d):
-    """Deterministic tokens: sequence per colour by issue time."""
-    t = fx.priority_tokens(spark, d).select("appointment_id", "triage_level", "issued_at")
-    seq = ordered_sequence(t, [F.col("issued_at"), F.col("appointment_id")], ["triage_level"], name="sequence")
+    """Deterministic tokens: sequence per colour by issue time (levels
+    without a colour share one, and its numbers)."""
+    t = fx.priority_tokens(spark, d).select("appointment_id", F.when(F.col("appointment_id") % 10 != 0, F.col("triage_level")).otherwise(
+        F.col("triage_level") + 4).alias("triage_level"), "issued_at").withColumn("colour", R.token_colour("triage_level"))
+    seq = ordered_sequence(t, [F.col("issued_at"), F.col("appointment_id")], ["colour"], name="sequence")
     return seq.select("appointment_id", "triage_level", "sequence",
                       R.token_text("triage_level", "sequence").alias("token"))
 
@@ -589,6 +593,25 @@ def q_sanitize_vitals(spark, d):
     return r.select("reading_id", *[F.col(f"s.{k}").alias(k) for k in S.MEDIAN_VITALS])
 
 
+@query("canonical_vitals")
+def q_canonical_vitals(spark, d):
+    """U2 in map form: the sanitised canonical keys win, other keys of the raw
+    record are copied through."""
+    r = once(fx.vitals_readings(spark, d), __v=V.parse_vitals("vitals"), __m=F.from_json("vitals", "map<string,double>"))
+    raw = F.map_concat(F.coalesce("__m", F.create_map().cast("map<string,double>")),
+                       F.create_map(F.lit("patient_id"), F.col("patient_id").cast("double"), F.lit("note"), F.lit(1.0)))
+    m = once(r.select("reading_id", raw.alias("raw"), V.sanitize_vitals("__v").alias("s")), m=V.merge_vitals_map("raw", "s"))
+    return m.select("reading_id", F.size("m").alias("n_keys"), F.col("m")["patient_id"].alias("patient_id"), F.col("m")["note"].alias("note"),
+                    F.col("m")["SBP"].alias("SBP"), F.col("m")["HR"].alias("HR"), F.col("m")["PainScale"].alias("PainScale"))
+
+
+@query("level_labels")
+def q_level_labels(spark, d):
+    """Chart labels of the levels; one without a label shows its number."""
+    t = fx.triage_results(spark, d).select((F.col("esi_level") + F.col("id") % 3).alias("level"))
+    return t.groupBy("level").agg(F.count(F.lit(1)).alias("count")).select("level", X.level_label("level").alias("label"), "count")
+
+
 @query("structured_features")
 def q_structured_features(spark, d):
     r = fx.vitals_readings(spark, d).withColumn("__v", V.parse_vitals("vitals"))

@@ -253,7 +253,7 @@ def _on_hp(sql: str) -> str:
 
 ORACLE["handoff_patients"] = _on_hp("""
 SELECT appointment_id, patient_id, patient_name, token, triage_level, chief_complaint, vitals_summary, shock_index,
-       time_in_ed, action, trend_status, alerts FROM hp""")
+       time_in_ed, action, trend_status, alerts, priority_score FROM hp ORDER BY priority_score DESC NULLS LAST, appointment_id""")
 
 ORACLE["handoff_alerts"] = _on_hp("""
 SELECT appointment_id, rule_pos, alert FROM (
@@ -284,8 +284,8 @@ SELECT total_patients, critical_count, urgent_count, stable_count, avg_wait_minu
 FROM s""")
 
 ORACLE["watch_list"] = _on_hp("""
-SELECT appointment_id, patient_name, triage_level, trend_status FROM hp
-WHERE triage_level <= 2 OR trend_status = 'deteriorating'""")
+SELECT appointment_id, patient_name, triage_level, trend_status, priority_score FROM hp
+WHERE triage_level <= 2 OR trend_status = 'deteriorating' ORDER BY priority_score DESC NULLS LAST, appointment_id""")
 
 ORACLE["result_detail"] = with_views(f"""
 , asked AS (SELECT DISTINCT appointment_id FROM appointments WHERE status = 'IN_PROGRESS'),
@@ -628,8 +628,9 @@ FROM decisions_input""", "decisions_input")
 
 ORACLE["priority_tokens"] = with_views(f"""
 SELECT appointment_id, triage_level, seq AS sequence, printf('%s-%04d', {COLOUR}, seq) AS token
-FROM (SELECT *, row_number() OVER (PARTITION BY triage_level ORDER BY issued_at, appointment_id) AS seq
-      FROM priority_tokens)""", "priority_tokens")
+FROM (SELECT *, row_number() OVER (PARTITION BY {COLOUR} ORDER BY issued_at, appointment_id) AS seq
+      FROM (SELECT * REPLACE (CAST(CASE WHEN appointment_id % 10 <> 0 THEN triage_level ELSE triage_level + 4 END AS INTEGER) AS triage_level)
+            FROM priority_tokens))""", "priority_tokens")
 
 ORACLE["priority_score"] = with_views("""
 SELECT appointment_id, CAST(floor(epoch(created_at) / 60) AS BIGINT) AS epoch_minutes,
@@ -968,3 +969,12 @@ SELECT * FROM per""", "raw_lines")
 ORACLE["tree_attribution"] = with_views(f"""
 SELECT ESI, 9 AS n_contributions, true AS adds_up, true AS constant_has_none, true AS all_named
 FROM ({parse_sql(LAYOUT_A)}) WHERE ESI IS NOT NULL AND ESI BETWEEN 1 AND 5""", "raw_lines")
+
+ORACLE["canonical_vitals"] = with_views(f"""
+SELECT reading_id, CAST(12 AS INTEGER) AS n_keys, CAST(patient_id AS DOUBLE) AS patient_id, 1.0::DOUBLE AS note,
+       {_san('SBP')} AS SBP, {_san('HR')} AS HR, {_san('PainScale')} AS PainScale FROM vitals_readings""", "vitals_readings")
+
+ORACLE["level_labels"] = with_views("""
+SELECT level, CASE level WHEN 1 THEN 'RED (Resuscitation)' WHEN 2 THEN 'ORANGE (Emergent)' WHEN 3 THEN 'YELLOW (Urgent)'
+       WHEN 4 THEN 'GREEN (Less Urgent)' WHEN 5 THEN 'BLUE (Non-Urgent)' ELSE 'Level ' || level END AS label, count(*) AS count
+FROM (SELECT esi_level + id % 3 AS level FROM triage_results) GROUP BY 1, 2""", "triage_results")

@@ -53,6 +53,8 @@ SERVICE_FEATURES = ["Age", "Temp", "Pulse", "Resp", "SBP", "DBP", "O2Sat", "Pain
 # Token colours by level, service action codebook, env/batch action codebook.
 COLOR_MAP = {1: "RED", 2: "ORG", 3: "YEL", 4: "GRN", 5: "BLU"}
 COLOR_DEFAULT = "UNK"
+# Chart labels of the levels.
+LEVEL_LABELS = {1: "RED (Resuscitation)", 2: "ORANGE (Emergent)", 3: "YELLOW (Urgent)", 4: "GREEN (Less Urgent)", 5: "BLUE (Non-Urgent)"}
 SERVICE_ACTIONS = {0: "Assign to Bed", 1: "Move to Waiting Room", 2: "Direct to Fast Track"}
 SERVICE_ACTION_DEFAULT = "Move to Waiting Room"
 BATCH_ACTIONS = {0: "Wait", 1: "Fast Track", 2: "Acute", 3: "Critical", 4: "Diagnostics"}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edspark.functions import rules as R
+from edspark.functions.once import once
 from edspark.functions.vitals import first_truthy, parse_vitals
 from edspark.schemas import EVENT_SCHEMA
 from edspark.session import scratch_dir
@@ -41,7 +42,7 @@ def new_patient_events(visits: DataFrame) -> DataFrame:
     struct with key aliases (HR = Pulse or HR, RR = Resp or RR), complaint
     cut to 100 characters, queue token, attribution not yet ready, plus its
     JSON text, in which keys without a value are null."""
-    visits = visits.withColumn("__v", parse_vitals("vitals"))  # parsed once per row
+    visits = once(visits, __v=parse_vitals("vitals"))
     v = F.col("__v")
     vitals = F.struct(v["SBP"].alias("SBP"), first_truthy(v["Pulse"], v["HR"]).alias("HR"),
                       first_truthy(v["Resp"], v["RR"]).alias("RR"), v["O2Sat"].alias("O2Sat"))
@@ -52,8 +53,7 @@ def new_patient_events(visits: DataFrame) -> DataFrame:
         R.priority_score("triage_level", "ts").alias("priority_score"), "action",
         vitals.alias("vitals"), F.substring(complaint, 1, 100).alias("chief_complaint"),
         F.lit(False).alias("shap_ready"))
-    return ev.withColumn("payload", F.to_json(
-        F.struct(*[c for c in ev.columns if c != "ts"]), {"ignoreNullFields": "false"}))
+    return once(ev, payload=F.to_json(F.struct(*[c for c in ev.columns if c != "ts"]), {"ignoreNullFields": "false"}))
 
 
 def first_per_key(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:

@@ -61,3 +61,17 @@ def test_label_codes_are_not_numbered_in_one_task(spark):
 
     df = spark.range(100).select((F.col("id") % 7).alias("ESI"))
     assert "Window" not in _plan(label_encode(df, "ESI"))
+
+
+def test_json_is_parsed_once_a_row(spark):
+    """from_json stands once per parsed text in the optimised plan, and the
+    texts of events are written once."""
+    def optimised(name):
+        return QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+    for name in ("watch_list", "handoff_patients", "handoff_alerts", "canonical_vitals"):
+        assert optimised(name).count("from_json(") <= (2 if name == "canonical_vitals" else 1), name
+    plan = optimised("result_detail")
+    assert plan.count("from_json(") == 4  # vitals, and the payload as each of its forms
+    plan = optimised("arrival_events")
+    assert plan.count("StructsToJsonEvaluator(") == 1 and plan.count("from_json(") == 1

@@ -250,3 +250,19 @@ def test_vector_blobs(spark):
     got = df.select("i", vector_to_blob("v").alias("b"), "v").select("i", "b", blob_to_vector("b").alias("w")).orderBy("i").collect()
     assert [r.w for r in got] == vs
     assert [r.b for r in got] == [None if v is None else bytearray(struct.pack(f"<{len(v)}f", *v)) for v in vs]
+
+
+def test_level_labels_have_a_default(spark):
+    from edspark.functions.text import level_label
+
+    got = [r[0] for r in spark.createDataFrame([(1,), (5,), (7,), (None,)], "n int").select(level_label("n")).collect()]
+    assert got == ["RED (Resuscitation)", "BLUE (Non-Urgent)", "Level 7", None]
+
+
+def test_canonical_keys_win_and_others_are_copied(spark):
+    from edspark.functions import vitals as V
+
+    df = spark.createDataFrame([('{"SBP": 900, "patient_id": 7}',)], "t string")
+    raw = F.from_json("t", "map<string,double>")
+    m = df.select(V.merge_vitals_map(raw, V.sanitize_vitals(V.parse_vitals("t"))).alias("m")).first().m
+    assert (m["SBP"], m["patient_id"], m["HR"], len(m)) == (300.0, 7.0, 82.0, 11)

@@ -1,10 +1,10 @@
-"""The distributed sequence / running-sum / top-N helpers equal the plain
+"""The distributed sequence and running-sum helpers equal the plain
 window forms, including when one key holds most of the rows."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from edspark.operators.sequence import ordered_sequence, running_sum, top_n_per_group
+from edspark.operators.sequence import ordered_sequence, running_sum
 
 
 def _data(spark, n=5000):
@@ -33,13 +33,3 @@ def test_running_sum_matches_window(spark):
     w = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("run", F.sum("delta").over(w)).select("id", "run")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
-def test_top_n_per_group_with_hot_key(spark):
-    df = _data(spark)
-    order = [F.desc_nulls_last("score"), F.desc("id")]
-    got = top_n_per_group(df, ["g"], order, 20, salt_col="id").select("id", "rank")
-    want = (df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-            .filter("rank <= 20").select("id", "rank"))
-    assert got.count() == want.count() == 20 * df.select("g").distinct().count()
-    assert got.exceptAll(want).count() == 0
