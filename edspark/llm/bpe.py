@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import cache
 from itertools import chain, islice
 
@@ -41,6 +43,8 @@ BYTE_CHARS = _byte_chars()
 
 class Encoder:
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are built as little-endian 32-bit numbers")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,13 +54,17 @@ class Encoder:
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE_CHAR)]] = True
         self.line_break = vocabulary[BREAK_CHAR]
+        #: Marks, which stand behind very many words.
+        self._kept: dict[str, bytes] = {}
+        self._kept = {mark: self._merged(mark) for mark in MARKS}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # first on its line, after a space
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _merged(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+        ids = self._kept.get(piece)
+        return ids if ids is not None else array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     @staticmethod
     def _bytes(text: str) -> str:
@@ -93,7 +101,7 @@ class Encoder:
             out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(block, cut.tolist(), ends.tolist(), strict=True))
         return out
 
-    def encode(self, texts: list[str], step: int = 200) -> list[bytes]:
+    def encode(self, texts: list[str], step: int = 1000) -> list[bytes]:
         out = []
         for at in range(0, len(texts), step):
             out += self._block(texts[at : at + step])
