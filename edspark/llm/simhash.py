@@ -35,6 +35,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edspark.llm.common import fresh, session_partitions, stored, text_of
 from edspark.llm.components import connected_components
@@ -265,8 +266,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without near-duplicates: of each component the row with
     the smallest id stays (nulls last, then by a checksum of the row), with
     all its columns."""
-    row_hash, verdict = fresh(docs.columns, "row_hash", "verdict")
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row_hash, verdict, of_id, of_hash = fresh(docs.columns, "row_hash", "verdict", "of_id", "of_hash")
+    digest = F.xxhash64(*[_hashable(f.name, f.dataType) for f in docs.schema])
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), digest.alias("h"),
                               fingerprint_column(text_of(f"`{text_col}`"), shingle).alias("fp")), "documents")
     rows = stored(rows.join(groups(rows, max_bits, group_rows), "fp").groupBy("component", "id", "h").agg(
@@ -275,13 +276,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
     marked = rows.join(best, "component").select("id", "h", F.when(~same, "drop").when(F.col("n") > 1, "one").alias("verdict"))
     marked = stored(marked.filter("verdict is not null"), "verdicts").select(
-        F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("verdict").alias(verdict))
+        F.col("id").alias(of_id), F.col("h").alias(of_hash), F.col("verdict").alias(verdict))
     given = docs.withColumn(row_hash, digest)
     # One plan at every size: the verdicts grow with the corpus, so they are
     # shuffled and never broadcast.
-    kept = given.join(marked.hint("merge"), (given[row_hash] == marked["__h"]) & given[id_col].eqNullSafe(marked["__id"]), "left")
+    same_row = (F.col(row_hash) == F.col(of_hash)) & F.col(f"`{id_col}`").eqNullSafe(F.col(of_id))
+    kept = given.join(marked.hint("merge"), same_row, "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
     out = kept.filter(F.col(verdict).isNull()).select(*own)
     if not marked.filter(F.col(verdict) == "one").isEmpty():  # rows that repeat as a whole
-        out = out.unionByName(kept.filter(F.col(verdict) == "one").select(*own).dropDuplicates())
+        one = kept.filter(F.col(verdict) == "one").dropDuplicates([row_hash, of_id])
+        out = out.unionByName(one.select(*own))
     return out
+
+
+def _hashable(name: str, kind: T.DataType) -> Column:
+    """The column as something Spark hashes: maps, also inside of other
+    types, as their JSON text."""
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column.alias("v"))) if "map<" in kind.simpleString() else column

@@ -121,6 +121,18 @@ def test_one_of_each_keeps_one_row_of_a_group(spark):
     assert sorted(kept, key=str) == sorted(best.values(), key=str)
 
 
+def test_one_of_each_with_clashing_and_map_columns(spark):
+    """Columns named like the operator's own, maps (also inside of other
+    types), and rows that repeat as a whole."""
+    data = [(1, "a b c d", 5, 6, {"k": 1}, [{"x": 2}]), (1, "a b c d", 5, 6, {"k": 1}, [{"x": 2}]), (1, "a b c d", 5, 7, {"k": 2}, None),
+            (2, "a b c d", 5, 6, None, None), (None, "other words stand here now", None, None, {}, []), (3, None, 1, 1, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, __id int, __h int, m map<string,int>, of_id array<map<string,int>>")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns and got.schema == df.schema
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, "a b c d"), (None, "other words stand here now"), (3, None)], key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0
