@@ -928,6 +928,24 @@ def q_csv_roundtrip(spark, d):
     return io.read_csv(spark, path, S.DECISION_SCHEMA)
 
 
+@query("keyed_update")
+def q_keyed_update(spark, d):
+    """Results stored by key, then two updates that read and write only
+    the buckets of their keys; of two updates of a key the later one holds."""
+    from edspark.session import scratch_dir
+    from edspark.sources import keyed
+
+    path = scratch_dir(spark, "results-by-key")
+    r = fx.triage_results(spark, d).select("appointment_id", "esi_level", "rl_action", "created_at")
+    keyed.create(r, path, "appointment_id", buckets=32)
+    late = r.filter(F.col("appointment_id") % 2500 == 17)
+    first = late.withColumn("rl_action", F.lit("Assign to Bed"))
+    second = late.withColumns({"esi_level": F.lit(1), "created_at": F.col("created_at") + F.expr("INTERVAL 1 HOUR")})
+    keyed.update(spark, path, first.unionByName(second), order="created_at")
+    keyed.update(spark, path, r.filter("appointment_id = 3").withColumn("appointment_id", F.lit(-1).cast("bigint")))
+    return keyed.read(spark, path)
+
+
 @query("vector_roundtrip")
 def q_vector_roundtrip(spark, d):
     """Vectors encoded to float32 blobs (Arrow-batched), stored in

@@ -978,3 +978,9 @@ ORACLE["level_labels"] = with_views("""
 SELECT level, CASE level WHEN 1 THEN 'RED (Resuscitation)' WHEN 2 THEN 'ORANGE (Emergent)' WHEN 3 THEN 'YELLOW (Urgent)'
        WHEN 4 THEN 'GREEN (Less Urgent)' WHEN 5 THEN 'BLUE (Non-Urgent)' ELSE 'Level ' || level END AS label, count(*) AS count
 FROM (SELECT esi_level + id % 3 AS level FROM triage_results) GROUP BY 1, 2""", "triage_results")
+
+ORACLE["keyed_update"] = with_views("""
+SELECT appointment_id, CAST(CASE WHEN appointment_id % 2500 = 17 THEN 1 ELSE esi_level END AS INTEGER) AS esi_level, rl_action,
+       created_at + CASE WHEN appointment_id % 2500 = 17 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS created_at
+FROM triage_results
+UNION ALL SELECT -1, esi_level, rl_action, created_at FROM triage_results WHERE appointment_id = 3""", "triage_results")
