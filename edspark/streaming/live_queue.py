@@ -15,26 +15,25 @@ state (:func:`edspark.streaming.arrivals.late_rows` states the rule).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Event kinds of the feed.
 ARRIVAL, READY, DISCHARGE = "arrival", "ready", "discharge"
 STATE = ("arrived_us bigint, arrival_event bigint, patient_id bigint, triage_level int, ready_us bigint, ready_event bigint, "
-         "left_us bigint")
+         "left_us bigint, ends_ms bigint")
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
-CHANGE = (f"appointment_id bigint, {STATE}, status string")
+CHANGE = f"appointment_id bigint, {STATE}, status string"
 WAITING, LEFT, UNKNOWN = "waiting", "left", "unknown"
 
 
-def _merge(state: dict, rows: pd.DataFrame) -> dict:
+def _merge(state: dict, rows: Iterable[Row]) -> dict:
     """The state after some events; the order of events does not matter."""
     state = dict(state)
-    for r in rows.itertuples(index=False):
+    for r in rows:
         at = (r.ts_us, r.event_id)
         if r.kind == ARRIVAL:
             if state["arrived_us"] is None or at < (state["arrived_us"], state["arrival_event"]):
@@ -54,7 +53,9 @@ def _status(state: dict) -> str:
 
 
 class VisitState(StatefulProcessor):
-    """One visit: value state, and a timer for the end of its longest stay."""
+    """One visit: value state, and a timer for the end of its longest stay.
+    Where an earlier arrival moves the end, a further timer is set, and the
+    one that is not the state's end any more does nothing."""
 
     def __init__(self, stay_ms: int):
         self.stay_ms = stay_ms
@@ -63,54 +64,47 @@ class VisitState(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("visit", STATE)
 
-    def _load(self) -> dict:
-        if not self.state.exists():
-            return dict.fromkeys(FIELDS)
-        return dict(zip(FIELDS, self.state.get(), strict=True))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        before = self._load()
-        after = before
-        first = None
-        for part in rows:
-            part = part.astype(object).where(part.notna(), None)
-            after = _merge(after, part)
-            least = int(part["ts_us"].min())
-            first = least if first is None else min(first, least)
+    def _load(self) -> dict | None:
+        held = self.state.get()
+        return None if held is None else dict(zip(FIELDS, held, strict=True))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        before = self._load() or dict.fromkeys(FIELDS)
+        rows = list(rows)  # the events that a micro-batch has of one visit
+        after = _merge(before, rows)
         if after == before:
             return  # nothing but repeats
-        # The stay counts from the arrival, and for a visit without one from its earliest event.
-        start = after["arrived_us"] if after["arrived_us"] is not None else first
-        if before["arrived_us"] != after["arrived_us"] or not any(v is not None for v in before.values()):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(start // 1000 + self.stay_ms)
+        # The stay counts from the arrival, and for a visit without one from what is known of it first.
+        start = after["arrived_us"]
+        if start is not None:
+            after["ends_ms"] = start // 1000 + self.stay_ms
+        elif before["ends_ms"] is None:
+            after["ends_ms"] = min(r.ts_us for r in rows) // 1000 + self.stay_ms
+        if after["ends_ms"] != before["ends_ms"]:
+            self.handle.registerTimer(after["ends_ms"])
         self.state.update(tuple(after[f] for f in FIELDS))
-        yield _row(key[0], after, _status(after))
+        yield Row(appointment_id=key[0], **after, status=_status(after))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         state = self._load()
+        if state is None or state["ends_ms"] != expiredTimerInfo.getExpiryTimeInMs():
+            return
         self.state.clear()
         if _status(state) == WAITING:
-            state["left_us"] = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            yield _row(key[0], state, LEFT)
+            state["left_us"] = state["ends_ms"] * 1000
+            yield Row(appointment_id=key[0], **state, status=LEFT)
 
     def close(self) -> None:
         pass
 
 
-def _row(key: int, state: dict, status: str) -> pd.DataFrame:
-    out = pd.DataFrame({"appointment_id": [key], **{f: [state[f]] for f in FIELDS}, "status": [status]})
-    return out.astype({c: "Int64" for c in FIELDS if c != "triage_level"} | {"triage_level": "Int32"})
-
-
 def queue_changes(events: DataFrame, stay: str = "20 days", delay: str = "2 hours") -> DataFrame:
     """The stream of changes of a stream of events (appointment_id, event_id,
     ts, kind, patient_id, triage_level)."""
-    stay_ms = int(pd.Timedelta(stay) / pd.Timedelta("1ms"))
+    stay_ms = int(events.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {stay})").first()[0])
     keyed = events.withWatermark("ts", delay).select(
         "appointment_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "kind", "patient_id", "triage_level")
-    return keyed.groupBy("appointment_id").transformWithStateInPandas(
+    return keyed.groupBy("appointment_id").transformWithState(
         VisitState(stay_ms), CHANGE, outputMode="Update", timeMode="eventTime")
 
 

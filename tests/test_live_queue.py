@@ -4,7 +4,7 @@ import itertools
 import os
 import time
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from edspark.streaming import arrivals as st
@@ -33,9 +33,9 @@ def test_order_of_events_does_not_matter():
     for order in itertools.permutations(rows):
         state = dict.fromkeys(lq.FIELDS)
         for r in (*order, order[0]):  # the first event comes again
-            state = lq._merge(state, pd.DataFrame([r], columns=["ts_us", "event_id", "kind", "patient_id", "triage_level"]))
+            state = lq._merge(state, [Row(ts_us=r[0], event_id=r[1], kind=r[2], patient_id=r[3], triage_level=r[4])])
         seen.add(tuple(state.values()))
-    assert seen == {(20, 4, 1, 4, 10, 8, 50)}
+    assert seen == {(20, 4, 1, 4, 10, 8, 50, None)}
 
 
 def test_queue_over_micro_batches(spark, tmp_path):
