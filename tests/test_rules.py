@@ -1,4 +1,4 @@
-"""Value-level rule tests; cases follow the reference's own tests (FIXTURES.md)."""
+"""Value-level rule tests; the input cases and expected values are fixed values (FIXTURES.md)."""
 
 import json
 
