@@ -109,7 +109,7 @@ class Gru:
             back[order] += more
         return out, back
 
-    def score(self, texts: list[np.ndarray], window_rows: int = 32_768) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], window_rows: int = 2048) -> np.ndarray:
         """Natural logarithm of each text's probability; a text is its symbols
         with ``END`` last.  All texts take a step together, the long ones go
         on; after ``window_rows`` states the outputs are added up and only
@@ -143,27 +143,29 @@ class Gru:
 
     # ---- truncated backpropagation
 
-    def train(self, stream: np.ndarray, streams: int = 64, window: int = 20, rate: float = 0.15,
+    def train(self, stream: np.ndarray, streams: int = 256, window: int = 20, rate: float = 0.3,
               squares: dict[str, np.ndarray] | None = None) -> tuple[Gru, float]:
         """One pass over a stream of symbols (texts, each ended by ``END``),
-        cut into ``streams`` parallel ones.  Gradients run back ``window``
-        steps, states run on; a new text starts from the zero state.  Steps
-        are scaled per weight (Adagrad); a given ``squares`` keeps the scales
-        from one call to the next.  Returns the network and its mean loss on
-        the way."""
+        cut into ``streams`` parallel ones, fewer if they were shorter than
+        fifty windows.  Gradients run back ``window`` steps, states run on; a
+        new text starts from the zero state.  The symbols that don't fill all
+        streams come last, as one window of one stream.  Steps are scaled per
+        weight (Adagrad); a given ``squares`` keeps the scales from one call
+        to the next.  Returns the network and its mean loss on the way."""
         net = self.with_flat(self.flat())
-        streams = max(1, min(streams, len(stream) // (2 * window)))
+        streams = max(1, min(streams, len(stream) // (50 * window)))
         steps = len(stream) // streams
-        targets = stream[: steps * streams].reshape(streams, steps).T
-        inputs = np.concatenate([np.full((1, streams), END, targets.dtype), targets[:-1]])
-        inputs[0, 1:] = stream[np.arange(1, streams) * steps - 1]
+        before = np.concatenate(([END], stream[:-1])).astype(stream.dtype)
+        inputs, targets = (a[: steps * streams].reshape(streams, steps).T for a in (before, stream))
+        windows = [(inputs[at : at + window], targets[at : at + window]) for at in range(0, steps, window)]
+        if steps * streams < len(stream):
+            windows.append((before[steps * streams :, None], stream[steps * streams :, None]))
         squares = {} if squares is None else squares
         for f in fields(net):
             squares.setdefault(f.name, np.full_like(getattr(net, f.name), 1e-2))
         h, loss = np.zeros((streams, HIDDEN), np.float32), 0.0
-        for at in range(0, steps, window):
-            x, y = inputs[at : at + window], targets[at : at + window]
-            h, p, gradient = net._window(h, x, y)
+        for x, y in windows:
+            h, p, gradient = net._window(h[-x.shape[1] :], x, y)  # the last stream's state leads to what is left over
             loss -= p
             for name, g in gradient.items():
                 # Symbols that were not entered have no gradient, so that nothing changes for them.
@@ -172,7 +174,7 @@ class Gru:
                 total = squares[name][rows] + g * g
                 squares[name][rows] = total
                 getattr(net, name)[rows] -= rate * g / np.sqrt(total)
-        return net, loss / max(1, steps * streams)
+        return net, loss / max(1, len(stream))
 
     def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
         """(last state, log-probability, gradients of minus it)."""

@@ -13,8 +13,7 @@ truncated backpropagation from the current weights, and the weights are
 averaged by the shards' tokens, in two steps, so that no task reads those of
 all shards.  Both hashes are of the id and the text, and rows that repeat are
 told apart, so copies of a text spread like others.  A shard is read in pieces
-of at most twice ``PIECE`` symbols; of a last piece, the symbols that don't
-fill all parallel streams (63 at most) give no gradient.
+of at most twice ``PIECE`` symbols, and every symbol gives a gradient.
 
 The counts of the most frequent words, a table of at most ``frequent`` rows, go
 to all executors.  Rarer words of a text leave the scan as (text, word, times) rows
@@ -47,15 +46,15 @@ from edspark.llm.common import stored, text_of
 END_WORD = ""  # no word is empty: stands for the end in the table of counts
 FLUSH = 300_000
 CHUNK = 8192
-PIECE = 200 * 64 * 20  # symbols: whole windows of all the network's streams
+PIECE = 50 * 256 * 20  # symbols: whole windows of all the network's streams
+TOGETHER = 4_000_000  # symbols of the texts that are scored together
 
 
 @dataclass(frozen=True)
 class Settings:
     frequent: int = 131_072
     rounds: int = 3
-    least_tokens: int = 1_500_000  # without effect: no corpus is sampled
-    shard_tokens: int = 400_000
+    shard_tokens: int = 800_000
 
 
 def split(text: str) -> list[bytes]:
@@ -164,25 +163,53 @@ def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
     return Lexicon(frequent, total["tokens"] or 0, (total["kinds"] or 0) - (0 if ends else bool(total["kinds"])), ends, tails)
 
 
-def deal(docs: DataFrame, key: Column, text: Column, words: Lexicon, settings: Settings) -> DataFrame:
-    """(h, symbols, round): each training text in one round.  ``h`` follows the
-    key and the text; what repeats in a task also has its place in the hash."""
+def read(docs: DataFrame, key: Column, text: Column, training: Column, words: Lexicon) -> DataFrame:
+    """A row for each text: its ``uid``, ``id`` (as text, which keeps any id
+    exactly), ``held_out``, ``h`` and ``again`` (its hash, and its place if the
+    hash repeats in the task), ``symbols``, ``n`` tokens, the ``known`` ones of
+    the frequent words, ``base`` and ``static`` score; then a row for each of
+    its rare words: ``uid``, ``word`` and how often, as ``n``."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, seen = sent.value, set()
         for batch in batches:
-            again = []
-            for h, uid in zip(batch["h"].tolist(), batch["uid"].tolist(), strict=True):
-                again.append(uid + 1 if h in seen else 0)
+            rows, rare_of, rare_word, rare_n = [], [], [], []
+            for uid, h, t in zip(batch["uid"].tolist(), batch["h"].tolist(), batch["text"], strict=True):
+                s, number, rare = words.symbols(split(t))
+                known = number[number >= 0]
+                base = words.log_count[known].sum() + words.log_count[0]
+                in_tail = s >= gru.WORDS
+                # Within their class, tail words have their count's share.
+                static = words.log_count[known[known >= gru.WORDS]].sum() - words.log_tail[s[in_tail] - gru.WORDS].sum()
+                rows.append((uid + 1 if h in seen else 0, s.astype("<u2").tobytes(), len(s), len(known) + int(words.seen[0]),
+                             base - len(s) * words.log_all, static))
                 seen.add(h)
-            yield pd.DataFrame({"h": batch["h"], "again": again,
-                                "symbols": [words.symbols(split(t))[0].astype("<u2").tobytes() for t in batch["text"]]})
-
-    rows = docs.select(F.xxhash64(key, text).alias("h"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
-    rows = rows.mapInPandas(run, "h bigint, again bigint, symbols binary")
-    rows = rows.select(F.xxhash64("h", "again").alias("h"), "symbols")
-    return stored(rows.withColumn("round", F.pmod("h", F.lit(settings.rounds))), "dealt")
+                rare_of += [uid] * len(rare)
+                rare_word += [w.decode("utf-8") for w in rare]
+                rare_n += list(rare.values())
+            if not rows:
+                continue
+            again, symbols, n, known, base, static = zip(*rows, strict=True)
+            yield pd.DataFrame({"uid": batch["uid"], "id": _texts(batch["id"]), "held_out": batch["held_out"], "h": batch["h"],
+                                "again": again, "symbols": symbols, "word": _texts([None] * len(rows)), "n": n, "known": known,
+                                "base": base, "static": static})
+            if rare_of:
+                none = pd.Series([None] * len(rare_of), dtype=object)
+                yield pd.DataFrame({"uid": rare_of, "id": none, "held_out": False, "h": 0, "again": 0, "symbols": none,
+                                    "word": _texts(rare_word), "n": rare_n, "known": 0, "base": 0.0, "static": 0.0})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), key.cast("string").alias("id"), (~training).alias("held_out"),
+                       F.xxhash64(key, text).alias("h"), text.alias("text"))
+    return stored(rows.mapInPandas(run, "uid bigint, id string, held_out boolean, h bigint, again bigint, symbols binary, "
+                                        "word string, n bigint, known bigint, base double, static double"), "read")
+
+
+def deal(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(h, symbols, round) of each training text of :func:`read`: one round
+    each, by a hash of the key, the text and the place of what repeats."""
+    rows = texts.filter("word is null and not held_out").select(F.xxhash64("h", "again").alias("h"), "symbols")
+    return rows.withColumn("round", F.pmod("h", F.lit(settings.rounds)))
 
 
 def pieces(texts: Iterator[np.ndarray], size: int = PIECE) -> Iterator[np.ndarray]:
@@ -202,12 +229,12 @@ def pieces(texts: Iterator[np.ndarray], size: int = PIECE) -> Iterator[np.ndarra
         yield np.concatenate(kept)
 
 
-def train(docs: DataFrame, key: Column, text: Column, words: Lexicon, settings: Settings) -> gru.Gru:
+def train(read_texts: DataFrame, words: Lexicon, settings: Settings) -> gru.Gru:
     """The network after all rounds."""
-    net, spark = words.net, docs.sparkSession
+    net, spark = words.net, read_texts.sparkSession
     shards = max(1, round(words.tokens / settings.rounds / settings.shard_tokens))
     bunches = math.isqrt(shards)
-    texts = deal(docs, key, text, words, settings)
+    texts = deal(read_texts, settings)
     for i in range(settings.rounds):
         chosen = texts.filter(F.col("round") == i).repartition(shards, F.xxhash64("h")).sortWithinPartitions("h")
         sent = spark.sparkContext.broadcast(net)
@@ -245,48 +272,34 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     training = F.coalesce(training, F.lit(False))
     counts = count_words(docs.filter(training), text)
     words = lexicon(counts, settings)
-    net = train(docs.filter(training), F.col(f"`{id_col}`"), text, words, settings)
-    sent = spark.sparkContext.broadcast((words, net))
+    texts = read(docs, F.col(f"`{id_col}`"), text, training, words)
+    sent = spark.sparkContext.broadcast(train(texts, words, settings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each text, then one for each of its rare words."""
-        words, net = sent.value
+        net, kept, n = sent.value, [], 0
+
+        def together() -> pd.DataFrame:
+            rows = pd.concat(kept, ignore_index=True)
+            path = net.score([np.frombuffer(b, "<u2").astype(np.int32) for b in rows.pop("symbols")]) / math.log(10)
+            return rows.assign(id=_texts(rows["id"]), score=rows.pop("static") + path)
+
         for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.iloc[at : at + 4000]
-                rows, symbols, rare_of, rare_word, rare_n = [], [], [], [], []
-                for uid, t in zip(part["uid"], part["text"], strict=True):
-                    s, number, rare = words.symbols(split(t))
-                    symbols.append(s)
-                    known = number[number >= 0]
-                    base = words.log_count[known].sum() + words.log_count[0]
-                    in_tail = s >= gru.WORDS
-                    # Within their class, tail words have their count's share.
-                    static = words.log_count[known[known >= gru.WORDS]].sum() - words.log_tail[s[in_tail] - gru.WORDS].sum()
-                    rows.append((len(s), len(known) + int(words.seen[0]), base - len(s) * words.log_all, static))
-                    rare_of += [uid] * len(rare)
-                    rare_word += [w.decode("utf-8") for w in rare]
-                    rare_n += list(rare.values())
-                path = net.score(symbols) / math.log(10)
-                n, known, base, static = zip(*rows, strict=True)
-                yield pd.DataFrame({"uid": part["uid"].to_numpy(), "id": _texts(part["id"]), "held_out": part["held_out"].to_numpy(),
-                                    "word": _texts([None] * len(part)), "n": n, "known": known, "base": base, "score": np.array(static) + path})
-                if rare_of:
-                    yield pd.DataFrame({"uid": rare_of, "id": _texts([None] * len(rare_of)), "held_out": False,
-                                        "word": _texts(rare_word), "n": rare_n,
-                                        "known": 0, "base": 0.0, "score": 0.0})
-
-    # The id passes through Python as text, which keeps any id exactly.
-    key = docs.schema[id_col].dataType
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("string").alias("id"),
-                           (~training).alias("held_out"), text.alias("text"))
-    passed = stored(numbered.mapInPandas(run, "uid bigint, id string, held_out boolean, word string, n bigint, known bigint, "
-                                              "base double, score double"), "scores")
-    rare = passed.filter("word is not null").select("uid", "word", F.col("n").alias("times")).join(counts, "word", "left")
+            kept.append(batch)
+            n += int(batch["n"].sum())
+            if n >= TOGETHER:
+                yield together()
+                kept, n = [], 0
+        if kept:
+            yield together()
+
+    columns = {"uid": "bigint", "id": "string", "held_out": "boolean", "n": "bigint", "known": "bigint", "base": "double"}
+    out = texts.filter("word is null").select(*columns, "static", "symbols").mapInPandas(
+        run, ", ".join(f"{k} {v}" for k, v in columns.items()) + ", score double")
+    rare = texts.filter("word is not null").select("uid", "word", F.col("n").alias("times")).join(counts, "word", "left")
     rare = rare.groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"),
         F.sum(F.when(F.coalesce("n", F.lit(0)) > 0, F.col("times"))).alias("also"))
-    out = passed.filter("word is null").join(rare, "uid", "left")
+    out, key = out.join(rare, "uid", "left"), docs.schema[id_col].dataType
     more = F.coalesce("more", F.lit(0.0))
     return out.select(F.col("id").cast(key).alias(id_col), "held_out", F.col("n").alias("n_tokens"),
                       (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),

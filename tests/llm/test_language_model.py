@@ -13,7 +13,7 @@ from edspark.llm import language_model as lm
 from edspark.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, word string"
-SMALL = lm.Settings(frequent=40, least_tokens=5000, shard_tokens=2000)
+SMALL = lm.Settings(frequent=40, shard_tokens=2000)
 
 
 def network(seed=1, kind=np.float64):
@@ -132,13 +132,16 @@ def test_nothing_to_learn_and_empty_table(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA), F.lit(True), settings=SMALL).count() == 0
 
 
+def dealt_of(df, words, settings):
+    return lm.deal(lm.read(df, F.col("doc_id"), lm.text_of(), F.lit(True), words), settings)
+
+
 @pytest.mark.parametrize("copies", [1, 40])
 def test_every_text_is_dealt_to_one_round(spark, copies):
-    """Also on a corpus of more than three times ``least_tokens`` tokens."""
     docs = [(i, f"text{i % 300} " * copies) for i in range(600)]
-    settings = lm.Settings(least_tokens=100)
+    settings = lm.Settings()
     words = lm.Lexicon([], 0, 0, 0, {})
-    rows = lm.deal(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id"), lm.text_of(), words, settings).collect()
+    rows = dealt_of(spark.createDataFrame(docs, "doc_id long, text string"), words, settings).collect()
     by_round = Counter(r["round"] for r in rows)
     assert len(rows) == 600 and by_round.keys() == set(range(settings.rounds)) and min(by_round.values()) > 100
 
@@ -147,7 +150,7 @@ def test_every_text_is_dealt_to_one_round(spark, copies):
 def test_copies_spread_over_rounds_and_shards(spark, ids):
     words, settings = lm.Lexicon([], 0, 0, 0, {}), lm.Settings()
     df = spark.createDataFrame([(i, "the same text") for i in ids], "doc_id long, text string").repartition(3)
-    dealt = lm.deal(df, F.col("doc_id"), lm.text_of(), words, settings)
+    dealt = dealt_of(df, words, settings)
     rows = dealt.select("round", F.pmod(F.hash(F.xxhash64("h")), F.lit(4)).alias("shard"), F.length("symbols").alias("n")).collect()
     found = Counter((r["round"], r["shard"]) for r in rows)
     assert len(rows) == 600 and {r["n"] for r in rows} == {8} and len(found) == 12 and max(found.values()) < 100
@@ -156,7 +159,7 @@ def test_copies_spread_over_rounds_and_shards(spark, ids):
 def test_unrepeated_texts_are_dealt_alike_in_any_layout(spark):
     df = spark.createDataFrame([(i, f"text {i % 50}") for i in range(300)], "doc_id long, text string")
     words = lm.Lexicon([], 0, 0, 0, {})
-    a, b = (lm.deal(df.repartition(n), F.col("doc_id"), lm.text_of(), words, lm.Settings()).collect() for n in (1, 5))
+    a, b = (dealt_of(df.repartition(n), words, lm.Settings()).collect() for n in (1, 5))
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
@@ -178,6 +181,21 @@ def test_scales_go_on_from_piece_to_piece():
     assert all(squares[k].sum() > before[k] for k in before)
 
 
+@pytest.mark.parametrize("n", [1, 999, 2019, 5003])
+def test_every_symbol_gives_a_gradient(monkeypatch, n):
+    """Also those that don't fill all parallel streams; each comes after the
+    symbol before it."""
+    stream, found, window = np.random.default_rng(8).integers(0, 50, n).astype(np.int32), Counter(), gru.Gru._window
+
+    def seen(self, h, x, y):
+        found.update(zip(x.ravel().tolist(), y.ravel().tolist()))
+        return window(self, h, x, y)
+
+    monkeypatch.setattr(gru.Gru, "_window", seen)
+    network(kind=np.float32).train(stream)
+    assert found == Counter(zip([gru.END, *stream[:-1].tolist()], stream.tolist()))
+
+
 def test_query_beats_the_base(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
