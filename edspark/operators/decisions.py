@@ -7,6 +7,7 @@ only wide dependency is the key join of ``fairness_input``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from edspark import schemas as S
 from edspark.functions import rules as R
-from edspark.operators.sequence import clamped_sum
+from edspark.operators.sequence import BROADCAST_ROWS, clamped_sum, ordered_sequence
 from edspark.session import ensure_checkpoint_dir
 
 
@@ -194,6 +195,67 @@ def policy_table(costed: DataFrame) -> DataFrame:
                        F.col("b.mean_reward").alias("mean_reward"), F.col("b.n").alias("support"))
 
 
+def logged_transitions(costed: DataFrame, state: Sequence[str], order_col: str = "row_id", episode: int = 100) -> DataFrame:
+    """(state, action, reward, next_state) of each logged decision; a
+    state is a struct of the given columns.  Every ``episode`` decisions in
+    log order are an episode, whose last one has no next state.  The numbers
+    come from range partitions, and a window holds one episode."""
+    numbered = ordered_sequence(costed, [order_col], name="__n")
+    held = numbered.select("__n", F.struct(*state).alias("state"), F.col("Final_Action").alias("action"), "reward",
+                           F.floor((F.col("__n") - 1) / episode).alias("__episode"))
+    following = F.lead("state").over(Window.partitionBy("__episode").orderBy("__n"))
+    return held.select("state", "action", "reward", following.alias("next_state"))
+
+
+MODEL_ROWS = 200_000  # of a transition model, in each of its partitions
+
+
+def fitted_q(transitions: DataFrame, gamma: float = 0.99, sweeps: int = 100, tolerance: float = 1e-9, together: int = 5) -> DataFrame:
+    """Fitted Q iteration over logged transitions: (state, action, n,
+    value, best).  A sweep sets the value of a logged pair to the mean of
+    reward + gamma * (largest value of the next state); a missing next state,
+    or one without a logged action, is worth 0.  After k sweeps a value looks
+    k decisions ahead; it ends after ``sweeps``, or once no state's value moved
+    by more than ``tolerance`` over the sweeps of one plan.  ``best`` marks the largest value of a state
+    (ties: the lowest action).
+
+    The log is read once: a sweep needs only counts and reward sums by (state,
+    action, next state), which are combined before the shuffle.  They are
+    dealt by state for good, so both groupings of a sweep stay where the rows
+    are and only the values by state travel, broadcast if their counted number
+    allows.  ``together`` sweeps are one plan; then the values are written."""
+    spark = transitions.sparkSession
+    ensure_checkpoint_dir(spark)
+    model = transitions.groupBy("state", "action", "next_state").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("reward"))
+    model = model.checkpoint()
+    model = model.repartition(math.ceil(model.count() / MODEL_ROWS) or 1, "state").checkpoint()
+    few = model.select("state").distinct().count() <= BROADCAST_ROWS
+
+    def swept(values: DataFrame) -> DataFrame:
+        ahead = values.select(F.col("state").alias("next_state"), F.col("value").alias("__ahead"))
+        joined = model.join(F.broadcast(ahead) if few else ahead, "next_state", "left")
+        backed_up = F.sum(F.col("reward") + gamma * F.col("n") * F.coalesce("__ahead", F.lit(0.0))) / F.sum("n")
+        return joined.groupBy("state", "action").agg(F.sum("n").alias("n"), backed_up.alias("value"))
+
+    def largest(q: DataFrame) -> DataFrame:
+        return q.groupBy("state").agg(F.max("value").alias("value"))
+
+    values = model.select("state", F.lit(0.0).alias("value")).distinct().checkpoint()
+    done = 0
+    while done < sweeps - 1:
+        k = min(together, sweeps - 1 - done)
+        before = values.withColumnRenamed("value", "__before")
+        for _ in range(k):
+            values = largest(swept(values))
+        values, done = values.checkpoint(), done + k
+        moved = values.join(before, "state").agg(F.max(F.abs(F.col("value") - F.col("__before")))).first()[0]
+        if (moved or 0.0) <= tolerance:
+            break
+    q = swept(values).checkpoint()
+    top = q.groupBy("state").agg(F.max_by("action", F.struct(F.col("value"), -F.col("action"))).alias("__top"))
+    return q.join(top, "state").select("state", "action", "n", "value", (F.col("action") == F.col("__top")).alias("best"))
+
+
 def service_action_label(idx) -> F.Column:
     """Unknown index -> "Move to Waiting Room"."""
     return F.coalesce(R.code_map(S.SERVICE_ACTIONS)[idx], F.lit(S.SERVICE_ACTION_DEFAULT))

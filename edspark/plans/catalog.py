@@ -287,6 +287,15 @@ def q_policy_table_flow(spark, d):
     return dec.policy_table(dec.decision_cost(_decisions(spark, d), discharges=fx.discharges(spark, d)))
 
 
+@query("policy_fitted_q")
+def q_policy_fitted_q(spark, d):
+    """L7 by fitted Q iteration over episodes of a hundred decisions."""
+    costed = dec.decision_cost(_decisions(spark, d), discharges=fx.discharges(spark, d))
+    q = dec.fitted_q(dec.logged_transitions(costed, ["Sup_Pred", "area_full"]))
+    return q.select("state.Sup_Pred", "state.area_full", F.col("action").alias("Final_Action"), F.col("n").alias("support"),
+                    F.round("value", 5).alias("value"), "best")
+
+
 # ---- ingest --------------------------------------------------------------------
 
 from edspark.operators.codes import describe_codes  # noqa: E402
