@@ -3,21 +3,28 @@
 1. A document's fingerprint has one bit per position of its shingles' 64-bit
    hashes: the majority of that bit over all shingles, repeats included.
 2. Equal fingerprints are grouped first, so copies cost one row.
-3. Distinct fingerprints are routed by pieces: two that differ in at most
-   ``max_bits`` bits agree in one of ``max_bits + 1`` disjoint pieces.  A
-   (piece, value) pair is the top node of an index; Spark shuffles on it.
-4. Below a top node the fingerprints stand in Gray order, in which neighbours
-   share long bit patterns.  Every node of the tree holds the bits on which
-   all its members agree and its parent's members don't (their shared masked
-   pattern), so the differences of a query to a node add up on the way down,
-   and a whole group goes as soon as the sum exceeds the limit.
-5. Links become a spanning forest inside the task - never all pairs of a
-   group -, and the components are joined up by
+3. The distinct fingerprints are sorted by Gray rank over the whole corpus, in
+   which neighbours share long bit patterns, and cut into ranges.  A range's
+   shared masked pattern - the bits on which all its members agree - is an
+   upper node of the index; there are at most ``max_ranges`` of them, and they
+   are the only part that every task holds.
+4. Every node holds the bits on which its members agree and its parent's
+   members don't, so the differences of a fingerprint to a node add up on the
+   way down, and a whole group goes as soon as the sum exceeds the limit.  The
+   descent through the upper nodes decides to which ranges a fingerprint is
+   sent; there it goes on down the range's own tree.
+5. A fingerprint meets its own range and later ones, so that each pair meets
+   once.  Links become a spanning forest inside the task - never all pairs of
+   a group -, and the components are joined up by
    :mod:`edspark.llm.components`.
 
-A top node with more than ``group_rows`` fingerprints is cut into chunks by
-hash, and each pair of chunks is a task of its own, so a hot pattern is
-neither dropped nor held by one task.
+What a task holds is a range (the larger of ``group_rows`` and the number of
+fingerprints over ``max_ranges``) and a batch of what is sent to it; what
+comes to one range from each ``ORIGINS`` ranges is a group of its own, so a
+range with a wide pattern, which attracts very many, is shared by many tasks.
+How often a fingerprint is sent depends on the number of upper nodes alone:
+with evenly spread bits and 1,024 nodes, which agree on 9 bits, to 130 of them
+(measured at 2^14, 2^16 and 2^18 fingerprints: 123, 128, 130).
 
 Defined cases: a null text is empty; texts without a word have fingerprint
 zero and are linked like any other; texts of fewer words than a shingle hash
@@ -42,6 +49,10 @@ from edspark.llm.components import connected_components
 
 SEED = 42
 LEAF, FAN_OUT = 8, 8
+#: Ranges whose fingerprints come to another range in one group.
+ORIGINS = 64
+#: Nodes that a search looks at together.
+FRONTIER = 1 << 20
 
 
 # ---- fingerprints
@@ -80,7 +91,7 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# ---- the index of one group
+# ---- the index
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
     """Place of a bit pattern in the reflected Gray sequence."""
@@ -90,14 +101,24 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_rank_column(fp: Column) -> Column:
+    """The same as a column; its first bit is turned, so that the order of
+    signed numbers is that of the ranks."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
+
+
 class GrayIndex:
     """Tree over fingerprints in Gray order; see the module's text.  Level 0
     are the fingerprints themselves, each further level groups up to
-    ``FAN_OUT`` (the first ``LEAF``) nodes of the one below."""
+    ``FAN_OUT`` (the first ``LEAF``) nodes of the one below.  With ``masks``,
+    level 0 are nodes that stand in Gray order already: patterns that hold
+    where the mask has a bit."""
 
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        values, masks = [fps[self.order]], [np.full(len(fps), ~np.uint64(0))]
+    def __init__(self, fps: np.ndarray, masks: np.ndarray | None = None):
+        self.order = np.argsort(gray_rank(fps), kind="stable") if masks is None else np.arange(len(fps))
+        values, masks = [fps[self.order]], [np.full(len(fps), ~np.uint64(0)) if masks is None else masks]
         self.fan = [0]
         while len(values[-1]) > 1:
             n = LEAF if len(values) == 1 else FAN_OUT
@@ -117,25 +138,36 @@ class GrayIndex:
         self.values = values
 
     def search(self, queries: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, member number) of all pairs within ``limit`` bits,
-        a block of queries at a time."""
+        """(query number, member number) of all pairs within ``limit`` bits.
+        A frontier that grows beyond ``FRONTIER`` is halved, so dense groups
+        take more steps, not more memory."""
         top = len(self.values) - 1
-        for at in range(0, len(queries), 512):
-            block = queries[at : at + 512]
-            q = np.repeat(np.arange(len(block)), len(self.values[top]))
-            node = np.tile(np.arange(len(self.values[top])), len(block))
-            far = np.zeros(len(q), np.int64)
-            for level in range(top, -1, -1):
-                if level < top:
-                    n = self.fan[level + 1]
-                    node = (node[:, None] * n + np.arange(n)).ravel()
-                    q, far = np.repeat(q, n), np.repeat(far, n)
-                    real = node < len(self.values[level])
-                    q, node, far = q[real], node[real], far[real]
-                far = far + np.bitwise_count((block[q] ^ self.values[level][node]) & self.own[level][node])
-                near = far <= limit
-                q, node, far = q[near], node[near], far[near]
-            yield q + at, self.order[node]
+        todo = []
+        if len(self.values[0]):
+            for at in range(0, len(queries), 4096):
+                q = np.arange(at, min(at + 4096, len(queries)))
+                todo.append((top, q, np.zeros(len(q), np.int64), np.zeros(len(q), np.uint8)))
+        while todo:
+            level, q, node, far = todo.pop()
+            if len(q) > FRONTIER:
+                half = len(q) // 2
+                todo += [(level, q[half:], node[half:], far[half:]), (level, q[:half], node[:half], far[:half])]
+                continue
+            far = far + np.bitwise_count((queries[q] ^ self.values[level][node]) & self.own[level][node])
+            near = np.flatnonzero(far <= limit)
+            q, node, far = q[near], node[near], far[near]
+            if not len(q):
+                continue
+            if level == 0:
+                yield q, self.order[node]
+                continue
+            n = self.fan[level]
+            node = (node[:, None] * n + np.arange(n)).ravel()
+            q, far = np.repeat(q, n), np.repeat(far, n)
+            if node.max() >= len(self.values[level - 1]):
+                real = node < len(self.values[level - 1])
+                q, node, far = q[real], node[real], far[real]
+            todo.append((level - 1, q, node, far))
 
 
 def _join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,95 +184,116 @@ def _join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = short
 
 
-def forest(fps: np.ndarray, side: np.ndarray, limit: int) -> np.ndarray:
-    """Label of each of a group's fingerprints (the number of an earlier
-    member it hangs together with).  ``side`` is 0 and 1 where the group is
-    a pair of chunks; members of either side are searched for in side 0."""
-    label = np.arange(len(fps))
-    first = np.flatnonzero(side == 0)
-    second = np.flatnonzero(side == 1)
-    asked = second if len(second) else first
-    if len(first):
-        index = GrayIndex(fps[first])
-        for q, member in index.search(fps[asked], limit):
-            label = _join_up(label, asked[q], first[member])
-    return label
+class Members:
+    """The fingerprints of one range: what is sent here hangs on one member
+    it is near to, and members near to the same one hang together."""
+
+    def __init__(self, fps: np.ndarray, limit: int):
+        self.fps, self.limit, self.index, self.label = fps, limit, GrayIndex(fps), np.arange(len(fps))
+
+    def hang(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """An edge of each query that is near to a member."""
+        for q, member in self.index.search(queries, self.limit):
+            _, first, number = np.unique(q, return_index=True, return_inverse=True)
+            one = member[first][number]
+            apart = np.flatnonzero(self.label[member] != self.label[one])
+            if len(apart):
+                self.label = _join_up(self.label, member[apart], one[apart])
+            a, b = queries[q[first]], self.fps[member[first]]
+            yield a[a != b], b[a != b]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """The edges among the members themselves."""
+        hung = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.fps[hung], self.fps[self.label[hung]]
 
 
 # ---- links of all fingerprints
 
-def _pieces(max_bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of the max_bits + 1 disjoint pieces of 64 bits."""
-    n = max_bits + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def _runs(*keys: np.ndarray) -> Iterator[slice]:
+    """The runs of equal keys in sorted arrays."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), len(new)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+
 
+def route(fps: np.ndarray, own: np.ndarray, upper: GrayIndex, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number in ``fps``, upper node) of the ranges where a fingerprint may
+    have a near one: the nodes from its own one (``own``) on that the
+    descent does not prune."""
+    found = [(q[node >= own[q]], node[node >= own[q]]) for q, node in upper.search(fps, limit)]
+    if not found:
+        return np.array([], np.int64), np.array([], np.int64)
+    return np.concatenate([q for q, _ in found]), np.concatenate([node for _, node in found])
 
-def links(fps: DataFrame, max_bits: int = 3, group_rows: int = 1024) -> DataFrame:
+
+def links(fps: DataFrame, max_bits: int = 3, group_rows: int = 2048, max_ranges: int = 4096) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column ``fp``) whose
     components are those of "at most ``max_bits`` bits apart"."""
-    piece = lambda s, w: F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << w) - 1).cast("bigint"))
-    routed = fps.select("fp", F.posexplode(F.array(*[piece(s, w) for s, w in _pieces(max_bits)])).alias("piece", "value"))
-    n = F.count(F.lit(1)).alias("n")
-    sizes = routed.groupBy("piece", "value").agg(n).filter("n > 1")
-    routed = routed.join(sizes, ["piece", "value"])
-    chunks = F.ceil(F.col("n") / F.lit(group_rows)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    routed = routed.withColumn("chunks", chunks).withColumn("own", own).select(
-        "fp", "piece", "value", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    routed = routed.select("fp", "piece", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                           (F.col("own") > F.col("other")).cast("int").alias("side"))
-    keys = ["piece", "value", "i", "j"]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups come sorted; the last of a batch waits for the next."""
-        rest = None
+    n = max(1, min(max_ranges, -(-fps.count() // group_rows)))
+    ranged = stored(fps.select("fp").repartitionByRange(n, gray_rank_column(F.col("fp"))).withColumn(
+        "range", F.spark_partition_id()), "ranges")
+    # The upper nodes: a row a range, as many as the partitions above.
+    nodes = ranged.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).sort("range").collect()
+    number = np.array([x["range"] for x in nodes], np.int64)
+    ones, some = (np.array([x[k] for x in nodes], np.int64).view(np.uint64) for k in ("ones", "any"))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for all that goes from a batch to a range: side 0 are its
+        members, once for each group of origins, side 1 what meets them."""
+        upper = GrayIndex(ones, ~(ones ^ some))
+        for batch in batches:
+            x = batch["fp"].to_numpy(np.int64).view(np.uint64)
+            own = np.searchsorted(number, batch["range"].to_numpy(np.int64))
+            rows = []
+            order = np.argsort(own, kind="stable")
+            for at in _runs(own[order]):
+                node = int(own[order[at.start]])
+                rows += [(node, part, 0, x[order[at]].tobytes()) for part in range(node // ORIGINS + 1)]
+            q, node = route(x, own, upper, max_bits)
+            part = own[q] // ORIGINS
+            order = np.lexsort((part, node))
+            q, node, part = q[order], node[order], part[order]
+            rows += [(int(node[at.start]), int(part[at.start]), 1, x[q[at]].tobytes()) for at in _runs(node, part)]
+            yield pd.DataFrame(rows, columns=["node", "part", "side", "fps"])
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted: the members of a group, then what meets them."""
+        key, held, members, edges = None, [], None, []
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if len(rest):
-                cut = _last_start(rest, keys)
-                yield _edges(rest.iloc[:cut], keys, max_bits)
-                rest = rest.iloc[cut:]
-        if rest is not None and len(rest):
-            yield _edges(rest, keys, max_bits)
-
-    spread = routed.repartition(session_partitions(fps.sparkSession), *keys).sortWithinPartitions(*keys)
-    return spread.select(*keys, "side", "fp").mapInPandas(search, "a bigint, b bigint")
-
-
-def _last_start(rows: pd.DataFrame, keys: list[str]) -> int:
-    k = rows[keys].to_numpy()
-    other = np.flatnonzero((k != k[-1]).any(axis=1))
-    return int(other[-1]) + 1 if len(other) else 0
-
-
-def _edges(rows: pd.DataFrame, keys: list[str], limit: int) -> pd.DataFrame:
-    """Spanning edges of every group in ``rows``.  A group that fits one leaf
-    is compared along its leaf, all such groups at once."""
-    k, side = rows[keys].to_numpy(), rows["side"].to_numpy()
-    fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
-    new = np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1))) if len(k) else np.array([], bool)
-    group = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    size = np.diff(np.append(starts, len(k)))
-    a, b = [], []
-    for step in range(1, LEAF):
-        i = np.flatnonzero((group[step:] == group[:-step]) & (size[group[step:]] <= LEAF))
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= limit]
-        a.append(fps[i + step])
-        b.append(fps[i])
-    for at, n in zip(starts[size > LEAF], size[size > LEAF], strict=True):
-        own = fps[at : at + n]
-        label = forest(own, side[at : at + n], limit)
-        hung = np.flatnonzero(label != np.arange(n))
-        a.append(own[hung])
-        b.append(own[label[hung]])
-    return pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+            for node, part, side, raw in zip(*(batch[k] for k in ("node", "part", "side", "fps")), strict=True):
+                if key != (node, part):
+                    if members is not None:
+                        edges.append(members.edges())
+                    key, held, members = (node, part), [], None
+                x = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    held.append(x)
+                    continue
+                if members is None:
+                    members = Members(np.concatenate(held), max_bits)
+                edges += members.hang(x)
+            yield _edge_rows(edges)
+            edges = []
+        if members is not None:
+            yield _edge_rows([members.edges()])
+
+    keys = ["node", "part", "side"]
+    sent = ranged.mapInPandas(send, "node int, part int, side int, fps binary")
+    spread = sent.repartition(session_partitions(fps.sparkSession), "node", "part").sortWithinPartitions(*keys)
+    return spread.mapInPandas(meet, "a bigint, b bigint")
+
+
+def _edge_rows(edges: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate([np.array([], np.uint64), *[e[i] for e in edges]]).view(np.int64) for i in (0, 1))
+    return pd.DataFrame({"a": a, "b": b})
 
 
 # ---- documents
 
-def groups(fingerprinted: DataFrame, max_bits: int = 3, group_rows: int = 1024) -> DataFrame:
+def groups(fingerprinted: DataFrame, max_bits: int = 3, group_rows: int = 2048) -> DataFrame:
     """(fp, component) of every distinct value of column ``fp``; component
     is one fingerprint of the group of linked fingerprints."""
     distinct = stored(fingerprinted.select("fp").distinct(), "fingerprints")
@@ -250,7 +303,7 @@ def groups(fingerprinted: DataFrame, max_bits: int = 3, group_rows: int = 1024)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3,
-                    group_rows: int = 1024) -> DataFrame:
+                    group_rows: int = 2048) -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hexadecimal digits)
     and ``component_id``, the smallest id reachable over links."""
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(text_of(f"`{text_col}`"), shingle).alias("fp")),
@@ -262,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3,
-                group_rows: int = 1024) -> DataFrame:
+                group_rows: int = 2048) -> DataFrame:
     """The documents without near-duplicates: of each component the row with
     the smallest id stays (nulls last, then by a checksum of the row), with
     all its columns."""

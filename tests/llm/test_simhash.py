@@ -66,7 +66,72 @@ def test_index_finds_exactly_the_near_ones(n, limit):
                      if (x ^ y).bit_count() <= limit}
 
 
-@pytest.mark.parametrize("group_rows", [1024, 5])
+def test_a_halved_frontier_finds_the_same(monkeypatch):
+    fps = np.array(clustered(500, 7), np.uint64)
+    pairs = lambda: sorted((int(a), int(b)) for q, m in simhash.GrayIndex(fps).search(fps, 3) for a, b in zip(q, m))
+    whole = pairs()
+    monkeypatch.setattr(simhash, "FRONTIER", 50)
+    assert pairs() == whole
+
+
+def cut_into_ranges(fps, size):
+    """Ranges of the Gray order and the index over their shared patterns."""
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    cut = np.arange(0, len(fps), size)
+    ones, some = np.bitwise_and.reduceat(fps, cut), np.bitwise_or.reduceat(fps, cut)
+    return fps, np.arange(len(fps)) // size, simhash.GrayIndex(ones, ~(ones ^ some))
+
+
+def test_routing_loses_no_pair():
+    fps, own, upper = cut_into_ranges(np.array(sorted(set(clustered(900, 3))), np.uint64), 10)
+    q, node = simhash.route(fps, own, upper, 3)
+    sent = set(zip(q.tolist(), node.tolist()))
+    assert all((i, int(own[i])) in sent for i in range(len(fps)))
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
+    assert near and all((j, int(own[i])) in sent for i, j in near)
+
+
+def test_upper_nodes_prune_and_bound_the_copies():
+    """With evenly spread bits the copies follow the number of nodes, not
+    that of the fingerprints."""
+    r = np.random.default_rng(5)
+    copies = []
+    for n in (1 << 14, 1 << 16):
+        fps, own, upper = cut_into_ranges(r.integers(0, 1 << 64, n, np.uint64), n >> 10)
+        q, _ = simhash.route(fps, own, upper, 3)
+        copies.append(len(q) / n)
+    # A range seldom ends where a pattern does, so that 9 bits are alike in one
+    # of 1,024: 130 of 512 patterns are within 3 bits, and half the nodes come
+    # before the own one.
+    assert all(c < 1.05 * (1 + 9 + 36 + 84) for c in copies)
+    assert copies[1] < 1.1 * copies[0]
+
+
+def test_members_hang_together():
+    fps = np.array(list(dict.fromkeys(clustered(300, 11))), np.uint64)
+    members = simhash.Members(fps[:200], 3)
+    edges = [*members.hang(fps), members.edges()]
+    near = {(int(a), int(b)) for x, y in edges for a, b in zip(x, y)}
+    assert all(a != b for a, b in near)
+    place = {}
+    for i, x in enumerate(fps.tolist()):
+        place.setdefault(x, i)
+    label = list(range(len(fps)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in near:
+        label[root(place[a])] = root(place[b])
+    for i, x in enumerate(fps.tolist()):
+        for y in fps[:200].tolist():
+            if (x ^ y).bit_count() <= 3:
+                assert root(place[x]) == root(place[y])
+
+
+@pytest.mark.parametrize("group_rows", [2048, 5])
 def test_links_against_all_pairs(spark, group_rows):
     fps = sorted(set(clustered(400)))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
