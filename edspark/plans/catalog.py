@@ -451,6 +451,27 @@ def q_complaint_features(spark, d):
     return out.select("doc_id", "n_tokens", feat.vector_total(out, "term_counts").alias("corpus_terms"))
 
 
+@query("text_vectors")
+def q_text_vectors(spark, d):
+    """L5 in dense form, assembled as a model takes it (R5): 768 numbers a
+    text, of which the projection makes none longer than the text's unit
+    vector, and all of which hold the energy of the directions kept."""
+    from pyspark.ml.functions import vector_to_array
+    from edspark.operators import text_vectors as tv
+    from edspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    texts = fx.complaints(spark, d)
+    model = tv.fit(texts, "complaint")
+    made = feat.feature_matrix(tv.transform(texts, "complaint", model), [], ["text_vector"])
+    z = vector_to_array("features")
+    made = made.select("doc_id", F.size(z).alias("n_numbers"), F.aggregate(z, F.lit(0.0), lambda a, v: a + v * v).alias("square"))
+    made = made.checkpoint(eager=True)
+    kept = made.agg(F.sum("square")).scalar()
+    return made.select("doc_id", "n_numbers", (F.col("square") <= 1 + 1e-9).alias("no_longer"), (F.col("square") > 0).alias("has_terms"),
+                       (F.abs(kept - F.lit(float(model.energy.sum()))) <= 1e-6 * kept).alias("energy_kept"))
+
+
 def _training_frame(spark, d, code_features=1 << 18, exact_codes=False):
     """Scaled numeric + one-hot arrival + code text (sparse), keyed by a row id
     fixed once with a reliable checkpoint (the id is reused across jobs).

@@ -613,6 +613,10 @@ ORACLE["complaint_features"] = with_views("""
 , t AS (SELECT doc_id, len(list_filter(string_split_regex(lower(complaint), '[^a-zA-Z0-9_]+'), lambda x: x <> '')) AS n FROM complaints)
 SELECT doc_id, CAST(n AS INTEGER) AS n_tokens, CAST((SELECT sum(n) FROM t) AS DOUBLE) AS corpus_terms FROM t""", "complaints")
 
+ORACLE["text_vectors"] = with_views("""
+SELECT doc_id, CAST(768 AS INTEGER) AS n_numbers, true AS no_longer, regexp_matches(complaint, '[a-zA-Z0-9_]') AS has_terms,
+       true AS energy_kept FROM complaints""", "complaints")
+
 ORACLE["label_encode"] = with_views(f"""
 , {VISITS}
 SELECT ESI, CAST(dense_rank() OVER (ORDER BY ESI) - 1 AS INTEGER) AS label FROM visits""", "raw_lines")
