@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edspark.llm.common import SPACE, WORD, fresh, text_of
+from edspark.llm.common import SPACE, WORD, fresh, stored, text_of
 
 #: Measurements of a text, in the order of the ledger's fields.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper",
@@ -131,6 +131,14 @@ def with_ledger(docs: DataFrame, text_col: str = "text", limits: Limits = Limits
     return out.select(*own, F.struct(*[F.col(m)[k].alias(k) for k in MEASURES], bits.alias("failed_bits")).alias(name))
 
 
+def write_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """The ledger as a table in the shared folder, without the texts: the id
+    and the struct ``ledger``.  Policies and ablations read it from there."""
+    name, key = fresh([*docs.columns, "id", "ledger"], "judged", "key")
+    judged = with_ledger(docs.select(F.col(f"`{id_col}`").alias(key), F.col(f"`{text_col}`").alias("text")), "text", limits, name)
+    return stored(judged.select(F.col(key).alias(id_col), F.col(name).alias("ledger")), "quality-ledger")
+
+
 def passes(bits: Column, policy: str) -> Column:
     """Verdict of a policy over stored bits."""
     return bits.bitwiseAND(F.lit(mask_of(policy)).cast("bigint")) == 0

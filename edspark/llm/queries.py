@@ -48,7 +48,7 @@ def query(name: str, sql: str | None = None):
 _W = r"'[^\x20\x09-\x0D]+'"
 
 
-@query("op1_quality_rules", rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(t, {_W}) AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_W})) AS ls FROM d),
@@ -75,15 +75,19 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
         + (CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 128 ELSE 0 END)
         + (CASE WHEN 100 * n_ellipsis_lines > 30 * n_lines THEN 256 ELSE 0 END)
         + (CASE WHEN n_letter_runs = 0 THEN 512 ELSE 0 END) AS failed_bits FROM m)
+"""
+
+
+@query("op1_quality_rules", _LEDGER + r"""
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        (failed_bits & 639) = 0 AS kept, failed_bits::BIGINT AS failed_bits FROM b
 """)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger of every document, the verdict of the base rules and of the
-    current policy (which contains them)."""
-    led = quality.with_ledger(table(spark, sf_dir, "documents"))
+    """Stored ledger of every document, the verdict of the base rules and of
+    the current policy (which contains them)."""
+    led = quality.write_ledger(table(spark, sf_dir, "documents"))
     bits = F.col("ledger.failed_bits")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return led.select("doc_id", *[F.col(f"ledger.{k}").alias(k) for k in names],
@@ -91,6 +95,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       quality.passes(bits, quality.CURRENT).alias("kept"), bits.alias("failed_bits"))
 
 
+_RULES_OF = ", ".join(f"('{p}', '{r}', {quality.mask_of(p)}, {1 << quality.RULE_NAMES.index(r)})"
+                      for p, names in quality.POLICIES.items() for r in names)
+
+
+@query("quality_ablations", _LEDGER + f""", p(policy, rule, mask, bit) AS (VALUES {_RULES_OF})
+SELECT policy, rule, count(*)::BIGINT AS n_docs, (count(*) FILTER (WHERE (failed_bits & bit) <> 0))::BIGINT AS n_failed,
+       (count(*) FILTER (WHERE (failed_bits & mask) = bit))::BIGINT AS n_failed_only,
+       (count(*) FILTER (WHERE (failed_bits & mask) = 0))::BIGINT AS n_kept,
+       (count(*) FILTER (WHERE (failed_bits & (mask - bit)) = 0))::BIGINT AS n_kept_without
+FROM b, p GROUP BY policy, rule
+""")
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does in each versioned policy, from the stored bits."""
+    led = quality.write_ledger(table(spark, sf_dir, "documents"))
+    return quality.ablations(led.select("ledger.failed_bits"))
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels of those whose

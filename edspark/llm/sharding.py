@@ -9,7 +9,7 @@ Rows get gapless slots inside their shard, in the order of the key's hash and
 without one task per shard: a shard's range of hashes is cut into blocks, the
 (shard, block) pairs are sorted by themselves, and their row counts give each
 its first slot.  Equal rows are counted before they are shuffled and spread
-out again at the end.
+out again at the end, in chunks of ``COPIES`` that are dealt over all tasks.
 
 Defined cases: a null key is hashed as one key of its own; a null text is
 empty; rows with equal keys go to one shard, where ties are ordered by their
@@ -28,6 +28,8 @@ from edspark.llm.common import session_partitions, stored, text_of
 
 #: Multiplier of the linear congruential generator of the published method.
 JUMP_MULTIPLIER = 2862933555777941757
+#: Copies of one row that are spread out in one step.
+COPIES = 1 << 16
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -88,6 +90,10 @@ def shard(docs: DataFrame, shards: int, key_col: str = "doc_id", text_col: str =
     inside = Window.partitionBy("shard", "block").orderBy("h", "key", "size", "text_crc32").rowsBetween(
         Window.unboundedPreceding, 0)
     out = rows.withColumn("upto", F.sum("n").over(inside)).join(first, ["shard", "block"])
-    last = F.col("first") + F.col("upto") - 1
+    out = out.withColumn("end", F.col("first") + F.col("upto"))
+    # The copies of one row come back in chunks, dealt over all tasks.
+    chunks = F.sequence(F.col("end") - F.col("n"), F.col("end") - 1, F.lit(COPIES).cast("bigint"))
+    out = out.select("*", F.explode(chunks).alias("from")).repartition(session_partitions(docs.sparkSession), "shard", "from")
+    upto = F.least(F.col("from") + COPIES, F.col("end")) - 1
     return out.select(F.col("key").alias(key_col), "size", "text_crc32", "shard",
-                      F.explode(F.sequence(last - F.col("n") + 1, last)).alias("slot"), "grown_shard")
+                      F.explode(F.sequence("from", upto)).alias("slot"), "grown_shard")

@@ -64,7 +64,28 @@ def test_plan_has_no_shuffle_and_no_python(spark):
     assert not re.search("Exchange|Python|Pandas|Arrow", plan)
 
 
+def test_written_ledger_holds_every_row(spark):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, "one", 2)] * 2, "key long, ledger string, judged int")
+    led = quality.write_ledger(df, "key", "ledger")
+    assert led.columns == ["key", "ledger"] and led.count() == len(TEXTS) + 2
+    got = {r["key"]: r["ledger"]["failed_bits"] for r in led.collect()}
+    assert got[None] == got[3] and got[0] == got[1]
+
+
+def test_ablation_query_against_the_plain_rules(spark):
+    d = "/root/testdata/sf0.001"
+    bits = [r["failed_bits"] for r in QUERIES["op1_quality_rules"](spark, d).collect()]
+    got = QUERIES["quality_ablations"](spark, d).collect()
+    assert len(got) == sum(map(len, quality.POLICIES.values()))
+    for r in got:
+        mask, bit = quality.mask_of(r["policy"]), 1 << quality.RULE_NAMES.index(r["rule"])
+        assert (r["n_docs"], r["n_failed"], r["n_failed_only"], r["n_kept"], r["n_kept_without"]) == (
+            len(bits), sum(b & bit != 0 for b in bits), sum(b & mask == bit for b in bits),
+            sum(b & mask == 0 for b in bits), sum(b & (mask ^ bit) == 0 for b in bits))
+
+
 def test_empty_table(spark):
+    assert quality.write_ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert quality.with_ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -23,7 +23,8 @@ def test_jump(n):
 
 
 def rows():
-    return [(i, f"text {i % 7}", "x") for i in range(400)] + [(None, None, "x")] * 3 + [(5, "other", "x"), (5, "text 5", "x")]
+    return [(i, f"text {i % 7}", "x") for i in range(400)] + [(None, None, "x")] * 3 + [(5, "other", "x"), (5, "text 5", "x")] + [
+        (900, "", "x"), (901, "é long " * 40_000, "x"), (902, "x", "x")] + [(903, "hot", "x")] * 150
 
 
 @pytest.mark.parametrize("blocks", [1, 7, 400])
@@ -42,5 +43,12 @@ def test_slots_moves_and_sizes(spark, blocks):
     assert sorted(got, key=key) == sorted(again, key=key)
 
 
+def test_copies_come_back_in_chunks(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, shard string")
+    whole = sorted(sharding.shard(df, 8).collect(), key=str)
+    monkeypatch.setattr(sharding, "COPIES", 4)
+    assert sorted(sharding.shard(df, 8).collect(), key=str) == whole and len(whole) == len(rows())
+
+
 def test_empty(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
