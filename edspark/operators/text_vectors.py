@@ -3,8 +3,9 @@ weighted term matrix, by default 768 numbers a text.
 
 Texts become unit vectors of weighted term counts over ``slots`` hashed terms.
 The Gram matrix of all texts (slots x slots, 32 MB for 2,048) is added up by
-Spark's tree aggregation over sparse rows, so neither a task nor the driver
-holds more than one such matrix whatever the number of texts.  Its leading
+Spark's tree aggregation over sparse rows: a task holds one such matrix, and
+the driver adds up the last level's, about the square root of the number of
+partitions, half the size each.  Its leading
 eigenvectors are the right singular vectors; a text's dense vector is its
 product with them, worked out batch by batch.
 
