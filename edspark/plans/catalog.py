@@ -711,7 +711,8 @@ def q_fairness_by_line(spark, d):
 
     visits = fw.read_fixed(spark, fx.ordered_line_files(spark, d), LAYOUT_A, row_id="row_id")
     path = scratch_dir(spark, "audit-csv")
-    results = _decisions(spark, d).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    results = _decisions(spark, d)
+    results = results.repartitionByRange(fx.files_for(results, 3), "row_id").sortWithinPartitions("row_id")
     results.select("ESI", "Final_Action", "Is_Critical_Miss").write.option("header", True).csv(path)
     read = spark.read.option("header", True).schema("ESI int, Final_Action int, Is_Critical_Miss boolean").csv(path)
     return dec.fairness_rates(dec.fairness_input(visits, fw.number_rows(read, "row_id")))

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from edspark.sources import fixed_width as fw
 from edspark.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,13 @@ def test_visit_files_are_small_and_hold_every_line(spark, monkeypatch):
     plain = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0]
     assert sum(map(os.path.getsize, _files(path))) < plain / 3
     assert max(spark.read.text(f).count() for f in _files(path)) <= 500
+
+
+def test_more_lines_are_sorted_into_more_files(spark, monkeypatch):
+    monkeypatch.setattr(fx, "ROWS_A_FILE", 500)
+    monkeypatch.setattr(fx, "_ORDERED_FILES", {})
+    path = fx.ordered_line_files(spark, SF)
+    n = fx.raw_lines(spark, SF).count()
+    assert len(_files(path)) >= n / 500 > 4
+    got = [r.value for r in fw.number_rows(spark.read.text(path)).orderBy("row_id").collect()]
+    assert len(got) == n and got == sorted(got)
