@@ -1,5 +1,6 @@
-"""The live queue as keyed state (E3/E4): one state per visit, kept up to date
-while events arrive.
+"""The live queue as keyed state (E3/E4): a state per visit, kept up to date
+while events arrive.  The visits of a bucket share a row of the state store,
+so that a micro-batch loads and stores them together.
 
 Events come in any order, with repeats, in many micro-batches.  A visit's
 state is its earliest arrival, its latest attribution and its leaving; which
@@ -26,6 +27,10 @@ ARRIVAL, READY, DISCHARGE = "arrival", "ready", "discharge"
 STATE = ("arrived_us bigint, arrival_event bigint, patient_id bigint, triage_level int, ready_us bigint, ready_event bigint, "
          "left_us bigint, ends_ms bigint")
 FIELDS = [f.split()[0] for f in STATE.split(", ")]
+ENDS = FIELDS.index("ends_ms")
+#: Visits are held and changed by the bucket: a call of a task to its state store costs as much as many visits.
+BUCKETS = 4096
+BUCKET = f"next_ms bigint, visits array<struct<appointment_id bigint, {STATE}>>"
 CHANGE = f"appointment_id bigint, {STATE}, status string"
 WAITING, LEFT, UNKNOWN = "waiting", "left", "unknown"
 
@@ -53,59 +58,85 @@ def _status(state: dict) -> str:
 
 
 class VisitState(StatefulProcessor):
-    """One visit: value state, and a timer for the end of its longest stay.
-    Where an earlier arrival moves the end, a further timer is set, and the
-    one that is not the state's end any more does nothing."""
+    """The visits of one bucket: a value state that holds each of them, and a
+    timer for the soonest end of a longest stay.  Where an arrival moves that
+    end, a further timer is set, and the one that is not the state's next any
+    more does nothing."""
 
     def __init__(self, stay_ms: int):
         self.stay_ms = stay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("visit", STATE)
+        self.state = handle.getValueState("visits", BUCKET)
 
-    def _load(self) -> dict | None:
+    def _load(self) -> tuple[int | None, dict]:
         held = self.state.get()
-        return None if held is None else dict(zip(FIELDS, held, strict=True))
+        return (None, {}) if held is None else (held[0], {v[0]: tuple(v[1:]) for v in held[1]})
+
+    def _store(self, next_ms: int | None, visits: dict) -> None:
+        if visits:
+            self.state.update((next_ms, [(visit, *state) for visit, state in visits.items()]))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        before = self._load() or dict.fromkeys(FIELDS)
-        rows = list(rows)  # the events that a micro-batch has of one visit
-        after = _merge(before, rows)
-        if after == before:
-            return  # nothing but repeats
-        # The stay counts from the arrival, and for a visit without one from what is known of it first.
-        start = after["arrived_us"]
-        if start is not None:
-            after["ends_ms"] = start // 1000 + self.stay_ms
-        elif before["ends_ms"] is None:
-            after["ends_ms"] = min(r.ts_us for r in rows) // 1000 + self.stay_ms
-        if after["ends_ms"] != before["ends_ms"]:
-            self.handle.registerTimer(after["ends_ms"])
-        self.state.update(tuple(after[f] for f in FIELDS))
-        yield Row(appointment_id=key[0], **after, status=_status(after))
+        events: dict = {}  # the events that a micro-batch has of each visit
+        for r in rows:
+            events.setdefault(r.appointment_id, []).append(r)
+        next_ms, visits = self._load()
+        soonest, changes = next_ms, []
+        for visit, of_visit in events.items():
+            before = dict(zip(FIELDS, visits[visit], strict=True)) if visit in visits else dict.fromkeys(FIELDS)
+            after = _merge(before, of_visit)
+            if after == before:
+                continue  # nothing but repeats
+            # The stay counts from the arrival, and for a visit without one from what is known of it first.
+            start = after["arrived_us"]
+            if start is not None:
+                after["ends_ms"] = start // 1000 + self.stay_ms
+            elif before["ends_ms"] is None:
+                after["ends_ms"] = min(r.ts_us for r in of_visit) // 1000 + self.stay_ms
+            visits[visit] = tuple(after[f] for f in FIELDS)
+            soonest = after["ends_ms"] if soonest is None else min(soonest, after["ends_ms"])
+            changes.append(Row(appointment_id=visit, **after, status=_status(after)))
+        if changes:
+            if soonest != next_ms:
+                self.handle.registerTimer(soonest)
+            self._store(soonest, visits)
+        yield from changes
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        state = self._load()
-        if state is None or state["ends_ms"] != expiredTimerInfo.getExpiryTimeInMs():
+        next_ms, visits = self._load()
+        if next_ms != expiredTimerInfo.getExpiryTimeInMs():
             return
-        self.state.clear()
-        if _status(state) == WAITING:
-            state["left_us"] = state["ends_ms"] * 1000
-            yield Row(appointment_id=key[0], **state, status=LEFT)
+        watermark, stay, ended = timerValues.getCurrentWatermarkInMs(), {}, []
+        for visit, held in visits.items():
+            state = dict(zip(FIELDS, held, strict=True))
+            if state["ends_ms"] > watermark:
+                stay[visit] = held
+            elif _status(state) == WAITING:
+                state["left_us"] = state["ends_ms"] * 1000
+                ended.append(Row(appointment_id=visit, **state, status=LEFT))
+        after = min((s[ENDS] for s in stay.values()), default=None)
+        if after is not None:
+            self.handle.registerTimer(after)
+        self._store(after, stay)
+        yield from ended
 
     def close(self) -> None:
         pass
 
 
-def queue_changes(events: DataFrame, stay: str = "20 days", delay: str = "2 hours") -> DataFrame:
+def queue_changes(events: DataFrame, stay: str = "20 days", delay: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """The stream of changes of a stream of events (appointment_id, event_id,
-    ts, kind, patient_id, triage_level)."""
+    ts, kind, patient_id, triage_level).  The visits are dealt to ``buckets``
+    by a hash of their id; a stream that resumes keeps its number."""
     stay_ms = int(events.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {stay})").first()[0])
+    bucket = F.pmod(F.xxhash64("appointment_id"), F.lit(buckets)).cast("int")
     keyed = events.withWatermark("ts", delay).select(
-        "appointment_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "kind", "patient_id", "triage_level")
-    return keyed.groupBy("appointment_id").transformWithState(
-        VisitState(stay_ms), CHANGE, outputMode="Update", timeMode="eventTime")
+        bucket.alias("bucket"), "appointment_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "kind", "patient_id", "triage_level")
+    return keyed.groupBy("bucket").transformWithState(VisitState(stay_ms), CHANGE, outputMode="Update", timeMode="eventTime")
 
 
 def latest_state(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from edspark.sources import fixed_width as fw
 from edspark.sources import fixtures as fx
 from edspark.streaming import arrivals as st
+from edspark.streaming import live_queue as lq
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,24 @@ def test_small_deliveries_are_filled_up_with_empty_files(spark, monkeypatch):
     assert {len(_files(f"{path}/{b}")) for b in range(fx.FEED_BATCHES)} == {files}
     log = st.run_available_now(fx.feed_stream(spark, SF), "filled-up", keep_batch=True)
     assert log.filter("batch_id != batch").isEmpty() and log.count() == rows.count()
+
+
+def test_visits_of_one_bucket_keep_their_own_state_and_end(spark, tmp_path):
+    """Stays of three visits end at, before and after the watermark."""
+    rows = [[(1, 1, 0), (2, 2, 60), (3, 3, 120), (None, 4, 30)], [(4, 5, 86_400 + 60)], [(5, 6, 86_400 + 61)], [(2, 7, 86_400 + 62)]]
+    path = str(tmp_path / "feed")
+    for i, some in enumerate(rows):
+        df = spark.createDataFrame(some, "appointment_id bigint, event_id bigint, s int").select(
+            "appointment_id", "event_id", F.timestamp_seconds(F.col("s") + 1_704_067_200).alias("ts"), F.lit(lq.ARRIVAL).alias("kind"),
+            F.lit(1).cast("bigint").alias("patient_id"), F.lit(1).alias("triage_level"))
+        df.coalesce(1).write.parquet(f"{path}/{i}")
+        for f in _files(f"{path}/{i}"):
+            os.utime(f, (1_700_000_000 + i,) * 2)
+    stream = spark.readStream.schema("appointment_id bigint, event_id bigint, ts timestamp, kind string, patient_id bigint, triage_level int").option(
+        "maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    log = st.run_available_now(lq.queue_changes(stream, "1 day", "0 seconds", buckets=1), "bucket", mode="update", keep_batch=True).checkpoint()
+    left = {(r.appointment_id, r.batch_id) for r in log.filter("status = 'left'").collect()}
+    # The watermark of a micro-batch comes from those before it: 86,460 s in the third, when 1, the nameless and 2 leave.
+    assert left == {(1, 2), (None, 2), (2, 2)}
+    # Visit 2 came again after its stay.
+    assert {r.appointment_id for r in lq.latest_state(log).filter("status = 'waiting'").collect()} == {2, 3, 4, 5}
