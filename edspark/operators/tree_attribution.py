@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ from edspark.session import scratch_dir
 
 #: Bounds of what is sent to the tasks.
 MAX_NODES, MAX_TABLE = 200_000, 4_000_000
+#: Conditions whose rows of a batch are kept at a time.
+MAX_MASKS = 4096
 
 
 @dataclass
@@ -156,14 +158,26 @@ def _met(x: np.ndarray, tests: list[tuple]) -> np.ndarray:
 
 
 def contributions(model: TreeModel, x: np.ndarray) -> np.ndarray:
-    """Contributions of every feature for every row of ``x``."""
-    out = np.zeros((len(x), model.n_features))
+    """Contributions of every feature for every row of ``x``.  Leaves of a
+    tree share the upper parts of their paths: a feature's conditions are
+    tested once for all leaves that have them.  A slot's values lie together,
+    as the leaves add to one slot after the other."""
+    out = np.zeros((model.n_features, len(x)))
+    columns = np.ascontiguousarray(x.T)
+    met: dict[tuple, np.ndarray] = {}
     for leaf in model.leaves:
-        pattern = np.zeros(len(x), np.int64)
+        pattern = np.zeros(len(x), np.min_scalar_type(len(leaf.table) - 1))
         for bit, (f, tests) in enumerate(zip(leaf.features, leaf.tests, strict=True)):
-            pattern |= _met(x[:, f], tests).astype(np.int64) << bit
-        out[:, leaf.features] += leaf.table[pattern]
-    return out
+            key = (f, *tests)
+            if key not in met:
+                if len(met) >= MAX_MASKS:
+                    met.clear()
+                met[key] = _met(columns[f], tests)
+            pattern |= met[key].astype(pattern.dtype) << pattern.dtype.type(bit)
+        at = pattern.astype(np.intp)
+        for i, f in enumerate(leaf.features):
+            out[f] += np.ascontiguousarray(leaf.table[:, i])[at]
+    return out.T
 
 
 def tree_attribution(df: DataFrame, model, features: str | Column = "features", class_index: int | None = None,
@@ -176,11 +190,11 @@ def tree_attribution(df: DataFrame, model, features: str | Column = "features",
     spark = df.sparkSession
     held = spark.sparkContext.broadcast(tree_model(spark, model, class_index))
 
-    @F.pandas_udf("array<double>")
-    def explain(rows: pd.Series) -> pd.Series:
-        if not len(rows):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(contributions(held.value, np.stack(rows.to_list()).astype(float))))
+    @F.arrow_udf("array<double>")
+    def explain(rows: pa.Array) -> pa.Array:
+        x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1 if len(rows) else held.value.n_features)
+        at = np.arange(len(rows) + 1, dtype=np.int32) * held.value.n_features
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(contributions(held.value, x)).ravel()))
 
     column = F.col(features) if isinstance(features, str) else features
     return df.withColumn(name, explain(vector_to_array(column))).withColumn(f"{name}_base", F.lit(held.value.base))

@@ -2,8 +2,10 @@
 
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from edspark.operators import tree_attribution as ta
 from edspark.sources import fixed_width as fw
 from edspark.sources import fixtures as fx
 from edspark.streaming import arrivals as st
@@ -79,3 +81,15 @@ def test_visits_of_one_bucket_keep_their_own_state_and_end(spark, tmp_path):
     assert left == {(1, 2), (None, 2), (2, 2)}
     # Visit 2 came again after its stay.
     assert {r.appointment_id for r in lq.latest_state(log).filter("status = 'waiting'").collect()} == {2, 3, 4, 5}
+
+
+def test_a_condition_is_tested_once_for_all_leaves_below_it(monkeypatch):
+    node = lambda left, right, f, n, v: {"left": left, "right": right, "feature": f, "count": n, "value": v, "near": ("le", 0.5), "far": ("gt", 0.5)}
+    nodes = {0: node(1, 2, 0, 8, 0), 1: node(3, 4, 1, 4, 0), 2: node(5, 6, 1, 4, 0), **{i: node(-1, -1, None, 2, i) for i in (3, 4, 5, 6)}}
+    leaves = [leaf for leaf, _ in ta._leaves(nodes, 1.0)]
+    tested, met = [], ta._met
+    monkeypatch.setattr(ta, "_met", lambda x, tests: tested.append(tests) or met(x, tests))
+    x = np.array([[0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 1.0]])
+    got = ta.contributions(ta.TreeModel(leaves, 4.5, 2), x)
+    assert np.allclose(got.sum(axis=1), np.array([3, 4, 5, 6]) - 4.5)
+    assert len(tested) == 4 < sum(len(leaf.features) for leaf in leaves)
