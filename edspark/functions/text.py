@@ -20,9 +20,9 @@ def _c(x) -> Column:
 def clean_num(text, scale: float = 1.0) -> Column:
     """Whitespace-trimmed all-digit text -> double / scale; blank,
     signed or non-digit text -> null.  Guarded by ``rlike`` so ANSI casts
-    never raise."""
-    t = F.trim(_c(text), F.lit(WHITESPACE))
-    value = F.when(t.rlike("^[0-9]+$"), t.cast("double"))
+    never raise; the cast itself drops the white space around the digits."""
+    t, space = _c(text), f"[{WHITESPACE}]*"
+    value = F.when(t.rlike(f"^{space}[0-9]+{space}$"), t.cast("double"))
     return value / F.lit(scale) if scale != 1.0 else value
 
 

@@ -5,6 +5,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
+from edspark.functions.text import WHITESPACE, clean_num
 from edspark.operators import tree_attribution as ta
 from edspark.sources import fixed_width as fw
 from edspark.sources import fixtures as fx
@@ -93,3 +94,11 @@ def test_a_condition_is_tested_once_for_all_leaves_below_it(monkeypatch):
     got = ta.contributions(ta.TreeModel(leaves, 4.5, 2), x)
     assert np.allclose(got.sum(axis=1), np.array([3, 4, 5, 6]) - 4.5)
     assert len(tested) == 4 < sum(len(leaf.features) for leaf in leaves)
+
+
+def test_numbers_are_parsed_without_a_trim(spark):
+    texts = ["", " ", "12", " 12", "12\t", "\x1c7\x1f", "\x0b8\x0c\n", "-9", "+9", "1 2", "1.5", "12a", " 12", "٣", None, "000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", clean_num("t").alias("n"))
+    strip = lambda t: t.strip(WHITESPACE) if t is not None else ""
+    assert [r.n for r in df.collect()] == [float(s) if (s := strip(t)).isascii() and s.isdigit() else None for t in texts]
+    assert "trim" not in df._jdf.queryExecution().optimizedPlan().toString()
