@@ -196,46 +196,32 @@ def fit_stacked_classifier(train: DataFrame, label: str = "label", features: str
     and one-vs-rest gradient-boosted trees with five iterations per class),
     stacked on 2-fold out-of-fold class scores (probabilities for the forest
     and the tree, raw scores for one-vs-rest), with a class-balanced logistic
-    regression on top.
+    regression on top.  The trees of all folds grow together over the entries
+    other than zero (``sparse_trees``), so the width of the vectors, one slot
+    for each code, costs neither memory nor time a row.
     Returns ``(base_models, meta_model)``."""
-    from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                           OneVsRest, RandomForestClassifier)
-
-    def learners():
-        own = lambda i: {"predictionCol": f"__c{i}", "rawPredictionCol": f"__r{i}"}
-        return [
-            RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=5, seed=seed, probabilityCol="__p0", **own(0)),
-            DecisionTreeClassifier(labelCol=label, featuresCol=features, seed=seed, maxDepth=5, probabilityCol="__p1", **own(1)),
-            # Saved one-vs-rest models forget their column names: defaults here, renamed when used.
-            OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=seed), labelCol=label, featuresCol=features, parallelism=5),
-        ]
+    from pyspark.ml.classification import LogisticRegression
+
+    from edspark.operators.sparse_trees import fit_stack
 
     data = train.withColumn("__fold", F.pmod(F.xxhash64(F.col("row_id")), F.lit(folds)))
-    parts = []
-    for f in range(folds):
-        models = [est.fit(data.filter(F.col("__fold") != f)) for est in learners()]
-        parts.append(base_scores(data.filter(F.col("__fold") == f), models).select("row_id", label, "__meta"))
-    oof = reduce(DataFrame.unionByName, parts)
+    *held_out, base = fit_stack(data, label, features, "__fold", folds, seed)
+    oof = reduce(DataFrame.unionByName, [base_scores(data.filter(F.col("__fold") == f), models, features).select("row_id", label, "__meta")
+                                         for f, models in enumerate(held_out)])
+    ensure_checkpoint_dir(train.sparkSession)
     meta = LogisticRegression(labelCol=label, featuresCol="__meta", weightCol="weight", maxIter=50).fit(
-        _balanced_weights(oof, label))
-    return [est.fit(train) for est in learners()], meta
+        _balanced_weights(oof.checkpoint(), label))
+    return base, meta
 
 
-def base_scores(df: DataFrame, models) -> DataFrame:
+def base_scores(df: DataFrame, models, features: str = "features") -> DataFrame:
     """``df`` plus ``__meta``, the models' scores side by side (probabilities,
-    raw scores for one-vs-rest).  The models are chained over the same rows;
-    each has output columns of its own: no join, no shuffle."""
-    from pyspark.ml.feature import VectorAssembler
+    raw scores for one-vs-rest), in one pass over the rows: no join, no shuffle."""
+    from pyspark.ml.functions import array_to_vector
+
+    from edspark.operators.sparse_trees import scored
 
-    scores = []
-    for i, m in enumerate(models):
-        df = m.transform(df)
-        if m.hasParam("probabilityCol"):
-            scores.append(m.getProbabilityCol())
-        else:
-            df = df.withColumnRenamed("rawPrediction", f"__r{i}").drop("prediction")
-            scores.append(f"__r{i}")
-    return VectorAssembler(inputCols=scores, outputCol="__meta").transform(df)
+    return scored(df, models, features, "__meta").withColumn("__meta", array_to_vector("__meta"))
 
 
 def predict_stacked(df: DataFrame, base, meta) -> DataFrame:

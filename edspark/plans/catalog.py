@@ -515,14 +515,14 @@ def q_acuity_classifier(spark, d):
 
     from edspark.session import scratch_dir
 
-    # Tree learners bin every slot: one for each code that occurs, none shared.
+    # A slot for each code that occurs, none shared.
     train = _training_frame(spark, d, exact_codes=True)
     base, meta = feat.fit_stacked_classifier(train)
     root = scratch_dir(spark, "acuity-model")
     loaded = []
     for i, m in enumerate(base):
-        m.write().overwrite().save(f"{root}/base{i}")
-        loaded.append(type(m).load(f"{root}/base{i}"))
+        m.save(spark, f"{root}/base{i}")
+        loaded.append(type(m).load(spark, f"{root}/base{i}"))
     meta.write().overwrite().save(f"{root}/meta")
     out = feat.predict_stacked(train, loaded, LogisticRegressionModel.load(f"{root}/meta"))
     total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
