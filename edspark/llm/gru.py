@@ -17,6 +17,20 @@ SYMBOLS = WORDS + TAIL
 END = 0  # the symbol that ends a text, and that stands before its first
 
 
+def _small(weights: np.ndarray, offsets: np.ndarray, farthest: float) -> bool:
+    """Whether no state with components up to ``farthest`` brings exponentials
+    beyond a float, or a line of ``offsets`` without one well above zero.
+    ``weights`` has a line for each offset."""
+    reach = (np.abs(weights).sum(axis=1) * farthest).reshape(offsets.shape)
+    return bool((offsets + reach).max() < 60 and (offsets - reach).max(axis=1).min() > -60)
+
+
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Puts the exponentials in place; the sums of the lines."""
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
+
+
 @dataclass
 class Gru:
     """``enter``: what a symbol adds to the gates' and the candidate's input;
@@ -56,11 +70,21 @@ class Gru:
 
     def step(self, h: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(new state, update gate, reset gate, candidate)."""
-        x = self.enter[symbols]
-        g = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + h @ self.gates)))
+        x = np.take(self.enter, symbols, axis=0)
+        g = h @ self.gates
+        g += x[:, : 2 * HIDDEN]
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
         z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-        c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ self.turn)
-        return h + z * (c - h), z, r, c
+        c = (r * h) @ self.turn
+        c += x[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        out = c - h
+        out *= z
+        out += h
+        return out, z, r, c
 
     def log_probabilities(self, h: np.ndarray, symbols: np.ndarray, gradient: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithm of each symbol's probability after its state;
@@ -68,45 +92,52 @@ class Gru:
         and those by the output weights, added into ``gradient``."""
         word = symbols < WORDS
         kind = np.where(word, symbols // PER_CLASS, symbols - WORDS + CLASSES)
-        # States lie across, so that maxima and sums run along the memory.
-        logits = self.to_class.T @ h.T + self.class_offset[:, None]
-        logits -= logits.max(axis=0)
-        rows = np.arange(len(h))
-        out = logits[kind, rows]
-        e = np.exp(logits, out=logits)
-        total = e.sum(axis=0)
+        rows, farthest = np.arange(len(h)), float(np.abs(h).max(initial=0))
+        # A last component of one brings the offsets into the products.
+        states = np.ones((len(h), HIDDEN + 1), h.dtype)
+        states[:, :HIDDEN] = h
+        weights = np.vstack((self.to_class, self.class_offset))
+        e = states @ weights
+        if not _small(self.to_class.T, self.class_offset[None], farthest):
+            e -= e.max(axis=1, keepdims=True)
+        out = e[rows, kind]
+        total = _exponentials(e)
         out -= np.log(total)
         back = None
         if gradient is not None:
-            e /= total
-            e[kind, rows] -= 1
-            back = e.T @ self.to_class.T
-            gradient.to_class += (e @ h).T
-            gradient.class_offset += e.sum(axis=1)
+            # The shares less one for what came, times the total; divided by it after the products.
+            e[rows, kind] -= total
+            part = 1 / total[:, None]
+            back = (e @ self.to_class.T) * part
+            by_class = (states * part).T @ e
+            gradient.to_class += by_class[:HIDDEN]
+            gradient.class_offset += by_class[HIDDEN]
         # Words in the order of their classes: a product for each class, all else at once.
         order = np.flatnonzero(word)
         order = order[np.argsort(kind[order].astype(np.int8), kind="stable")]
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
         spans = [(slice(edges[c], edges[c + 1]), slice(c * PER_CLASS, (c + 1) * PER_CLASS)) for c in range(CLASSES) if edges[c] < edges[c + 1]]
-        ho, rows, at = h[order], np.arange(len(order)), symbols[order] % PER_CLASS
-        logits = np.empty((PER_CLASS, len(order)), h.dtype)
+        own_states, rows, at = states[order], np.arange(len(order)), symbols[order] % PER_CLASS
+        weights = np.column_stack((self.to_word, self.word_offset)).T
+        e = np.empty((len(order), PER_CLASS), h.dtype)
         for own, span in spans:
-            logits[:, own] = self.to_word[span] @ ho[own].T + self.word_offset[span, None]
-        logits -= logits.max(axis=0)
-        picked = logits[at, rows]
-        e = np.exp(logits, out=logits)
-        total = e.sum(axis=0)
+            np.matmul(own_states[own], weights[:, span], out=e[own])
+        if not _small(self.to_word, self.word_offset.reshape(CLASSES, PER_CLASS), farthest):
+            e -= e.max(axis=1, keepdims=True, initial=-np.inf)
+        picked = e[rows, at]
+        total = _exponentials(e)
         out[order] += picked - np.log(total)
         if gradient is not None:
-            e /= total
-            e[at, rows] -= 1
-            more = np.empty_like(ho)
+            e[rows, at] -= total
+            part = 1 / total[:, None]
+            scaled = own_states * part
+            more = np.empty((len(order), HIDDEN), h.dtype)
             for own, span in spans:
-                part = e[:, own]
-                more[own] = part.T @ self.to_word[span]
-                gradient.to_word[span] += part @ ho[own]
-                gradient.word_offset[span] += part.sum(axis=1)
-            back[order] += more
+                np.matmul(e[own], self.to_word[span], out=more[own])
+                by_word = e[own].T @ scaled[own]
+                gradient.to_word[span] += by_word[:, :HIDDEN]
+                gradient.word_offset[span] += by_word[:, HIDDEN]
+            back[order] += more * part
         return out, back
 
     def score(self, texts: list[np.ndarray], window_rows: int = 2048) -> np.ndarray:
@@ -179,14 +210,26 @@ class Gru:
     def _window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
         """(last state, log-probability, gradients of minus it)."""
         zero = Gru(*[np.zeros(a.shape, a.dtype) for a in (getattr(self, f.name) for f in fields(self))])
-        entering, fresh = self.enter[x], (x != END).astype(h.dtype)[:, :, None]
-        before, z, r, c, states = (np.empty((*x.shape, HIDDEN), h.dtype) for _ in range(5))
+        entering, fresh = np.take(self.enter, x, axis=0), (x != END).astype(h.dtype)[:, :, None]
+        before, c, states = (np.empty((*x.shape, HIDDEN), h.dtype) for _ in range(3))
+        both = np.empty((*x.shape, 2 * HIDDEN), h.dtype)
+        z, r = both[:, :, :HIDDEN], both[:, :, HIDDEN:]
+        away, against = -entering[:, :, : 2 * HIDDEN], -self.gates
         for t in range(len(x)):
-            before[t] = h * fresh[t]
-            g = 1 / (1 + np.exp(-(entering[t, :, : 2 * HIDDEN] + before[t] @ self.gates)))
-            z[t], r[t] = g[:, :HIDDEN], g[:, HIDDEN:]
-            c[t] = np.tanh(entering[t, :, 2 * HIDDEN :] + (r[t] * before[t]) @ self.turn)
-            h = states[t] = before[t] + z[t] * (c[t] - before[t])
+            b, g, candidate = before[t], both[t], c[t]
+            np.multiply(h, fresh[t], out=b)
+            np.matmul(b, against, out=g)
+            g += away[t]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.matmul(r[t] * b, self.turn, out=candidate)
+            candidate += entering[t, :, 2 * HIDDEN :]
+            np.tanh(candidate, out=candidate)
+            h = states[t]
+            np.subtract(candidate, b, out=h)
+            h *= z[t]
+            h += b
         p, back = self.log_probabilities(states.reshape(-1, HIDDEN), y.ravel(), zero)
         back = back.reshape(states.shape)
         by_turn, by_update, by_reset = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r)

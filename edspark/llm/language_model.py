@@ -16,8 +16,8 @@ told apart, so copies of a text spread like others.  A shard is read in pieces
 of at most twice ``PIECE`` symbols, and every symbol gives a gradient.
 
 The counts of the most frequent words, a table of at most ``frequent`` rows, go
-to all executors.  Rarer words of a text leave the scan as (text, word, times) rows
-and are joined to the counts by word; they are never collected.
+to all executors.  Rarer words stay with their text as they are read, and are
+joined to the counts by word as (text, word, times) rows; they are never collected.
 
 Defined cases: a null text is empty and consists of its end; a null id counts
 as the empty text in the hold-out rule; rows that repeat are counted and
@@ -29,13 +29,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ from edspark.llm import gru
 from edspark.llm.common import stored, text_of
 
 END_WORD = ""  # no word is empty: stands for the end in the table of counts
-FLUSH = 300_000
+READ = 16 << 20  # characters of the texts that are cut into words together
 CHUNK = 8192
 PIECE = 50 * 256 * 20  # symbols: whole windows of all the network's streams
 TOGETHER = 4_000_000  # symbols of the texts that are scored together
@@ -57,9 +58,22 @@ class Settings:
     shard_tokens: int = 800_000
 
 
-def split(text: str) -> list[bytes]:
-    """Words, with the ASCII letters in lower case."""
-    return text.encode("utf-8", "replace").lower().split()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, word) of all words, with the ASCII letters in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    row, words = pc.list_parent_indices(lists), lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # there is an empty one before a leading space
+    return row.filter(some).to_numpy(), words.filter(some)
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``READ`` bytes of text."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = [0, *(np.flatnonzero(np.diff(upto // READ)) + 1).tolist(), len(batch)]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if first < end:
+                yield batch.slice(first, end - first)
 
 
 def _texts(values) -> pd.Series:
@@ -69,7 +83,8 @@ def _texts(values) -> pd.Series:
 
 def tail_of(word: bytes) -> int:
     """Tail class of a word: its last two letters decide."""
-    return zlib.crc32(word.decode("utf-8")[-2:].encode()) % gru.TAIL
+    last = word[-2:]
+    return zlib.crc32(last if last.isascii() else word.decode("utf-8")[-2:].encode()) % gru.TAIL
 
 
 def tail_column(word: Column) -> Column:
@@ -78,22 +93,18 @@ def tail_column(word: Column) -> Column:
 
 def count_words(docs: DataFrame, text: Column) -> DataFrame:
     """(word, n) over all texts, the end counted once a text.  Each task adds
-    up what it reads before anything is shuffled."""
+    up what it reads together before anything is shuffled."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: Counter = Counter()
-        flush = lambda: pd.DataFrame({"word": _texts(w.decode("utf-8") for w in table), "n": list(table.values())})
-        for batch in batches:
-            for t in batch["text"]:
-                table.update(split(t))
-                if len(table) > FLUSH:
-                    yield flush()
-                    table.clear()
-            table[END_WORD.encode()] += len(batch)
-        yield flush()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = 0
+        for batch in portions(batches):
+            ends += len(batch)
+            found = pc.value_counts(words_of(batch.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END_WORD]), pa.array([ends], pa.int64())], ["word", "n"])
 
-    parts = docs.select(text.alias("text")).mapInPandas(count, "word string, n bigint")
-    return stored(parts.groupBy("word").agg(F.sum("n").cast("bigint").alias("n")), "counts")
+    parts = docs.select(text.alias("text")).mapInArrow(count, "word string, n bigint")
+    return stored(parts.groupBy("word").agg(F.sum("n").cast("bigint").alias("n")).filter("n > 0"), "counts")
 
 
 class Lexicon:
@@ -124,18 +135,43 @@ class Lexicon:
         within[by_class == 0] = 1
         self.net = gru.Gru.start(share / share.sum(), (within / within.sum(axis=1, keepdims=True)).ravel())
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """(symbols with the end, numbers of the words or -1, rare words)."""
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, numbers or -1) of the words."""
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        out = np.empty(len(words) + 1, np.int32)
-        out[-1] = gru.END
-        out[:-1] = self.symbol[number]
+        out = self.symbol[number]
         rare = np.flatnonzero(number < 0)
-        named = [words[i] for i in rare.tolist()]
-        times = Counter(named)
-        kinds = {w: gru.WORDS + tail_of(w) for w in times}
-        out[rare] = np.fromiter(map(kinds.__getitem__, named), np.int32, len(named))
-        return out, number, times
+        out[rare] = [gru.WORDS + tail_of(words[i]) for i in rare.tolist()]
+        return out, number
+
+    def read(self, texts: pa.Array) -> dict[str, pa.Array]:
+        """By text: ``symbols`` with the end, ``n`` tokens, the ``known`` ones
+        of the frequent words, ``base`` and ``static`` score, and the ``rare``
+        words with how often each occurs (``times``)."""
+        rows, (row, words) = len(texts), words_of(texts)
+        # Each word is looked up once, however often it occurs.
+        words = words.dictionary_encode()
+        code, kinds = words.indices.to_numpy(), words.dictionary
+        symbol, number = self.symbols(kinds.cast(pa.binary()).to_pylist())
+        base = np.where(number >= 0, self.log_count[number], 0.0)
+        # Within their class, tail words have their count's share.
+        in_tail = symbol >= gru.WORDS
+        static = np.where(in_tail, base - self.log_tail[np.where(in_tail, symbol - gru.WORDS, 0)], 0.0)
+        total = lambda of: np.bincount(row, weights=of[code], minlength=rows).astype(float)
+        n = np.bincount(row, minlength=rows) + 1
+        end = np.cumsum(n)
+        stream = np.full(int(end[-1]) if rows else 0, gru.END, "<u2")
+        stream[np.arange(len(code)) + row] = symbol[code]
+        is_rare = (number < 0)[code]
+        pair, times = np.unique(row[is_rare] * len(kinds) + code[is_rare], return_counts=True)
+        of, kind = np.divmod(pair, max(1, len(kinds)))
+        rare_end = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))), pa.int32())
+        places = pa.py_buffer(np.concatenate(([0], 2 * end)).astype(np.int32))
+        return {
+            "symbols": pa.Array.from_buffers(pa.binary(), rows, [None, places, pa.py_buffer(stream)]), "n": pa.array(n),
+            "known": pa.array(total((number >= 0).astype(float)).astype(np.int64) + int(self.seen[0])),
+            "base": pa.array(total(base) + self.log_count[0] - n * self.log_all), "static": pa.array(total(static)),
+            "rare": pa.ListArray.from_arrays(rare_end, kinds.take(pa.array(kind)).cast(pa.string())),
+            "times": pa.ListArray.from_arrays(rare_end, pa.array(times, pa.int64()))}
 
 
 def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
@@ -166,49 +202,30 @@ def lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
 def read(docs: DataFrame, key: Column, text: Column, training: Column, words: Lexicon) -> DataFrame:
     """A row for each text: its ``uid``, ``id`` (as text, which keeps any id
     exactly), ``held_out``, ``h`` and ``again`` (its hash, and its place if the
-    hash repeats in the task), ``symbols``, ``n`` tokens, the ``known`` ones of
-    the frequent words, ``base`` and ``static`` score; then a row for each of
-    its rare words: ``uid``, ``word`` and how often, as ``n``."""
+    hash repeats in the task), and what :meth:`Lexicon.read` finds in it."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = sent.value, set()
-        for batch in batches:
-            rows, rare_of, rare_word, rare_n = [], [], [], []
-            for uid, h, t in zip(batch["uid"].tolist(), batch["h"].tolist(), batch["text"], strict=True):
-                s, number, rare = words.symbols(split(t))
-                known = number[number >= 0]
-                base = words.log_count[known].sum() + words.log_count[0]
-                in_tail = s >= gru.WORDS
-                # Within their class, tail words have their count's share.
-                static = words.log_count[known[known >= gru.WORDS]].sum() - words.log_tail[s[in_tail] - gru.WORDS].sum()
-                rows.append((uid + 1 if h in seen else 0, s.astype("<u2").tobytes(), len(s), len(known) + int(words.seen[0]),
-                             base - len(s) * words.log_all, static))
+        for batch in portions(batches):
+            again = []
+            for uid, h in zip(batch.column("uid").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                again.append(uid + 1 if h in seen else 0)
                 seen.add(h)
-                rare_of += [uid] * len(rare)
-                rare_word += [w.decode("utf-8") for w in rare]
-                rare_n += list(rare.values())
-            if not rows:
-                continue
-            again, symbols, n, known, base, static = zip(*rows, strict=True)
-            yield pd.DataFrame({"uid": batch["uid"], "id": _texts(batch["id"]), "held_out": batch["held_out"], "h": batch["h"],
-                                "again": again, "symbols": symbols, "word": _texts([None] * len(rows)), "n": n, "known": known,
-                                "base": base, "static": static})
-            if rare_of:
-                none = pd.Series([None] * len(rare_of), dtype=object)
-                yield pd.DataFrame({"uid": rare_of, "id": none, "held_out": False, "h": 0, "again": 0, "symbols": none,
-                                    "word": _texts(rare_word), "n": rare_n, "known": 0, "base": 0.0, "static": 0.0})
+            columns = {c: batch.column(c) for c in ("uid", "id", "held_out", "h")} | {"again": pa.array(again, pa.int64())}
+            columns |= words.read(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), key.cast("string").alias("id"), (~training).alias("held_out"),
                        F.xxhash64(key, text).alias("h"), text.alias("text"))
-    return stored(rows.mapInPandas(run, "uid bigint, id string, held_out boolean, h bigint, again bigint, symbols binary, "
-                                        "word string, n bigint, known bigint, base double, static double"), "read")
+    return stored(rows.mapInArrow(run, "uid bigint, id string, held_out boolean, h bigint, again bigint, symbols binary, n bigint, "
+                                       "known bigint, base double, static double, rare array<string>, times array<bigint>"), "read")
 
 
 def deal(texts: DataFrame, settings: Settings) -> DataFrame:
     """(h, symbols, round) of each training text of :func:`read`: one round
     each, by a hash of the key, the text and the place of what repeats."""
-    rows = texts.filter("word is null and not held_out").select(F.xxhash64("h", "again").alias("h"), "symbols")
+    rows = texts.filter("not held_out").select(F.xxhash64("h", "again").alias("h"), "symbols")
     return rows.withColumn("round", F.pmod("h", F.lit(settings.rounds)))
 
 
@@ -293,9 +310,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             yield together()
 
     columns = {"uid": "bigint", "id": "string", "held_out": "boolean", "n": "bigint", "known": "bigint", "base": "double"}
-    out = texts.filter("word is null").select(*columns, "static", "symbols").mapInPandas(
+    out = texts.select(*columns, "static", "symbols").mapInPandas(
         run, ", ".join(f"{k} {v}" for k, v in columns.items()) + ", score double")
-    rare = texts.filter("word is not null").select("uid", "word", F.col("n").alias("times")).join(counts, "word", "left")
+    rare = texts.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("of")).select("uid", F.col("of.rare").alias("word"), "of.times")
+    rare = rare.join(counts, "word", "left")
     rare = rare.groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"),
         F.sum(F.when(F.coalesce("n", F.lit(0)) > 0, F.col("times"))).alias("also"))

@@ -205,3 +205,46 @@ def test_query_beats_the_base(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[1:5] and r["base_score"] == pytest.approx(w[5])
     out = [r for r in rows.values() if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_texts_are_read_together_as_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    letters = ["a", "B", "É", "ß", " ", "\t", "\x0b", "\n", "\x1c", "\xa0", "語"]
+    texts = ["", " ", "Ab  ab\x0c", "x" * 70_000, *("".join(r.choices(letters, k=r.randrange(60))) for _ in range(300))]
+    words = lm.Lexicon([("a", 9), ("ab", 4), ("é", 2)], 40, 20, 5, {})
+    got = words.read(pa.array(texts))
+    rare = got["rare"].to_pylist()
+    for i, t in enumerate(texts):
+        own = t.encode().lower().split()
+        symbols = [words.number.get(w, gru.WORDS + zlib.crc32(w.decode()[-2:].encode()) % gru.TAIL) for w in own]
+        assert np.frombuffer(got["symbols"][i].as_py(), "<u2").tolist() == [*symbols, gru.END]
+        assert Counter(dict(zip(rare[i], got["times"][i].as_py()))) == Counter(w.decode() for w in own if w not in words.number)
+        assert (got["n"][i].as_py(), got["known"][i].as_py()) == (len(own) + 1, sum(w in words.number for w in own) + 1)
+        base = sum(words.log_count[words.number[w]] for w in [b"", *own] if w in words.number) - (len(own) + 1) * words.log_all
+        assert got["base"][i].as_py() == pytest.approx(base)
+    monkeypatch.setattr(lm, "READ", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(lm.portions(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 5 and sum((p.column("text").to_pylist() for p in parts), []) == texts
+    assert all(sum(len(t.encode()) for t in p.column("text").to_pylist()[1:]) < 500 for p in parts)
+
+
+@pytest.mark.parametrize("far", [1.0, 900.0])
+def test_large_weights_keep_exact_probabilities(far):
+    """The exponentials' shift is left out only where nothing can overflow."""
+    net, r = network(kind=np.float32), np.random.default_rng(2)
+    net.to_class *= far
+    net.to_word *= far
+    h = r.uniform(-1, 1, (200, gru.HIDDEN)).astype(np.float32)
+    y = r.integers(0, gru.SYMBOLS, 200)
+    wide = network()
+    wide.to_class, wide.to_word = net.to_class.astype(float), net.to_word.astype(float)
+    p = net.log_probabilities(h, y)[0]
+    exact = h.astype(float) @ wide.to_class + wide.class_offset
+    kind = np.where(y < gru.WORDS, y // gru.PER_CLASS, y - gru.WORDS + gru.CLASSES)
+    top = exact.max(axis=1)
+    want = exact[np.arange(200), kind] - top - np.log(np.exp(exact - top[:, None]).sum(axis=1))
+    tail = y >= gru.WORDS
+    assert np.isfinite(p).all() and np.allclose(p[tail], want[tail], rtol=1e-3, atol=1e-3)
