@@ -1,8 +1,10 @@
 """Repeated strings against brute force over all windows."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,6 +97,38 @@ def test_windows_of_short_texts(texts, length):
     assert [x.tolist() for x in got] == [[count[r[i:i + length]] > 1 for i in range(len(r) - length + 1)] for r in raws]
 
 
+@pytest.mark.parametrize("rows", [1, 7, 400])
+def test_parts_are_bounded_by_bytes(rows):
+    """Whole anchors, however many rows a batch has; one larger anchor comes alone."""
+    r = np.random.default_rng(3)
+    anchor = np.sort(np.concatenate((r.integers(0, 60, 300), np.full(100, 30))))
+    all_rows = pd.DataFrame({"anchor": anchor, "bytes": [b"x" * int(n) for n in r.integers(400, 900, len(anchor))]})
+    batches = [all_rows.iloc[i:i + rows] for i in range(0, len(all_rows), rows)]
+    most = 20_000
+    parts = list(repeats.whole_anchors(iter([all_rows.iloc[:0], *batches, all_rows.iloc[:0]]), most))
+    assert pd.concat(parts, ignore_index=True).equals(all_rows)
+    homes = [set(p["anchor"]) for p in parts]
+    assert sum(map(len, homes)) == len(set(anchor))
+    sizes = [sum(map(len, p["bytes"])) for p in parts]
+    assert all(n <= most or h == {30} for n, h in zip(sizes, homes, strict=True)) and {30} in homes
+    assert len(parts) < 25
+    assert list(repeats.whole_anchors(iter([]), most)) == list(repeats.whole_anchors(iter([all_rows.iloc[:0]]), most)) == []
+
+
+@pytest.mark.parametrize("shared", [0, 700])
+def test_memory_of_the_order(shared):
+    """Different texts, and near copies, take no more than 64 bytes a byte."""
+    r = np.random.default_rng(4)
+    copy = r.integers(97, 123, shared).astype(np.uint8).tobytes()
+    texts = [copy[:350] + r.integers(97, 123, 750 - shared).astype(np.uint8).tobytes() + copy[350:] for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        repeats.repeated_places(texts, 400)
+        assert tracemalloc.get_traced_memory()[1] < 64 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+
+
 def test_anchors_depend_on_the_window_alone():
     text = words(5, 300).encode()
     one = repeats.segments(b"q" * 37 + text, np.zeros(0, np.int64), 400)
