@@ -10,7 +10,6 @@ as a one-row broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -182,12 +181,13 @@ def feature_matrix(df: DataFrame, numeric: Sequence[str], vector_cols: Sequence[
     return VectorAssembler(inputCols=[*numeric, *vector_cols], outputCol=out).transform(df)
 
 
-def _balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+def _balanced_weights(df: DataFrame, label: str, rows: str) -> DataFrame:
+    """``weight``: that of a label's row, times the ``rows`` of a line."""
+    counts = df.groupBy(label).agg(F.sum(rows).alias("__nc"))
     n = counts.agg(F.sum("__nc")).scalar()
     k = counts.agg(F.count(F.lit(1))).scalar()
     w = counts.select(label, (n / (k * F.col("__nc"))).alias("weight"))
-    return df.join(w, label, "left")
+    return df.join(w, label, "left").withColumn("weight", F.col("weight") * F.col(rows))
 
 
 def fit_stacked_classifier(train: DataFrame, label: str = "label", features: str = "features",
@@ -198,19 +198,20 @@ def fit_stacked_classifier(train: DataFrame, label: str = "label", features: str
     and the tree, raw scores for one-vs-rest), with a class-balanced logistic
     regression on top.  The trees of all folds grow together over the entries
     other than zero (``sparse_trees``), so the width of the vectors, one slot
-    for each code, costs neither memory nor time a row.
+    for each code, costs neither memory nor time a row.  The rows are packed
+    once; the passes and the out-of-fold scores read the packed rows.
     Returns ``(base_models, meta_model)``."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
 
-    from edspark.operators.sparse_trees import fit_stack
+    from edspark.operators.sparse_trees import held_out_scores, packed, stack_of
 
     data = train.withColumn("__fold", F.pmod(F.xxhash64(F.col("row_id")), F.lit(folds)))
-    *held_out, base = fit_stack(data, label, features, "__fold", folds, seed)
-    oof = reduce(DataFrame.unionByName, [base_scores(data.filter(F.col("__fold") == f), models, features).select("row_id", label, "__meta")
-                                         for f, models in enumerate(held_out)])
-    ensure_checkpoint_dir(train.sparkSession)
+    rows = packed(data, label, features, "__fold", seed)
+    *held_out, base = stack_of(rows, folds, seed)
+    oof = held_out_scores(rows, held_out).select(F.col("label").alias(label), array_to_vector("scores").alias("__meta"), "rows")
     meta = LogisticRegression(labelCol=label, featuresCol="__meta", weightCol="weight", maxIter=50).fit(
-        _balanced_weights(oof.checkpoint(), label))
+        _balanced_weights(oof.checkpoint(), label, "rows"))
     return base, meta
 
 

@@ -71,3 +71,42 @@ def test_table_of_many_values(spark):
     bins = t.bins(np.zeros(1000, np.int64), value)
     assert np.bincount(bins).min() >= 31 and np.bincount(bins).max() <= 32
     assert (bins == np.searchsorted(t.upper[:31], value)).all()
+
+
+def blocks_of(packed):
+    names = [c.split()[0] for c in st.Block.SCHEMA.split(", ")]
+    return [st.Block(packed.table, *(r[n] for n in names)) for r in packed.blocks.collect()]
+
+
+def test_rows_are_packed_once_into_blocks_of_a_fold(rows, monkeypatch):
+    monkeypatch.setattr(st, "BLOCK", 64)
+    packed = st.packed(rows, "label", "features", "fold", 42)
+    blocks = blocks_of(packed)
+    assert len(blocks) < 400 / 16 and max(b.rows for b in blocks) <= 64
+    held = rows.orderBy("row_id").collect()
+    for fold in (0, 1):
+        own, mine = [r for r in held if r["fold"] == fold], [b for b in blocks if b.fold == fold]
+        assert sorted(np.concatenate([b.label for b in mine])) == sorted(int(r["label"]) for r in own)
+        feature = np.concatenate([r["features"].indices for r in own]).astype(np.int64)
+        bins = packed.table.bins(feature, np.concatenate([r["features"].values for r in own]))
+        want = np.bincount(bins[bins != packed.table.zero[feature]], minlength=len(packed.table.upper))
+        got = np.zeros(len(want))
+        for b in mine:
+            got[b.bin] += b.count
+            assert b.weight.shape == (5, b.rows) and len(b.row) == b.count.sum()
+            assert all(len(set(b.row[i:j])) == j - i for i, j in zip(b.begin[:-1], b.begin[1:], strict=True))
+        assert np.array_equal(got, want)
+
+
+def test_blocks_of_any_size_give_the_same_scores(rows, monkeypatch):
+    whole = meta(rows, st.fit_stack(rows, "label", "features", "fold", 2, 42, forest=3, rounds=2)[0])
+    monkeypatch.setattr(st, "BLOCK", 50)
+    assert np.allclose(meta(rows, st.fit_stack(rows, "label", "features", "fold", 2, 42, forest=3, rounds=2)[0]), whole)
+
+
+def test_out_of_fold_scores_are_those_of_each_row(rows):
+    packed = st.packed(rows, "label", "features", "fold", 42, forest=3)
+    *held_out, _ = st.stack_of(packed, 2, 42, forest=3, rounds=2)
+    got = [(r["label"], *r["scores"]) for r in st.held_out_scores(packed, held_out).collect() for _ in range(r["rows"])]
+    want = [(r["label"], *r["s"]) for f in (0, 1) for r in st.scored(rows.filter(F.col("fold") == f), held_out[f], "features", "s").collect()]
+    assert np.allclose(sorted(got), sorted(want))
