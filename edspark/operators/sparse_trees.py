@@ -85,31 +85,31 @@ class Table:
 
 def fit_table(df: DataFrame, features: str) -> Table:
     size, index, value = entries(features)
-    return table_of(df.select(size.alias("size"), index.alias("features"), value.alias("values")))
+    shape = df.agg(F.max(size).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    return table_of(df.select(index.alias("features"), value.alias("values")), shape["size"], shape["n"])
 
 
-def table_of(df: DataFrame) -> Table:
-    """The table of rows given as (size, features, values)."""
-    shape = df.agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).first()
-    if not shape["n"]:
+def table_of(df: DataFrame, size: int | None, n: int) -> Table:
+    """The table of ``n`` rows (features, values) with so many features."""
+    if not n:
         return Table.of([])
     ensure_checkpoint_dir(df.sparkSession)
     zipped = F.arrays_zip(F.col("features").alias("f"), F.col("values").alias("v"))
     found = df.select(F.explode(zipped).alias("e")).select("e.f", "e.v").filter("v != 0")
     found = found.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
-    zeros = found.groupBy("f").agg((F.lit(shape["n"]) - F.sum("n")).alias("n")).select("f", F.lit(0.0).alias("v"), "n").filter("n > 0")
+    zeros = found.groupBy("f").agg((F.lit(n) - F.sum("n")).alias("n")).select("f", F.lit(0.0).alias("v"), "n").filter("n > 0")
     counts = found.unionByName(zeros).checkpoint()
     kinds = counts.groupBy("f").agg(F.count(F.lit(1)).alias("kinds"))
     known = counts.join(kinds, "f")
     few = known.filter(F.col("kinds") <= BINS).select("f", F.col("v").alias("low"), F.col("v").alias("high"))
     many = known.filter(F.col("kinds") > BINS)
     if not many.isEmpty():
-        part = F.floor((F.col("upto") - F.col("n")) * BINS / shape["n"])
+        part = F.floor((F.col("upto") - F.col("n")) * BINS / n)
         many = running_sum(many, "n", [F.col("v")], ["f"], name="upto").groupBy("f", part.alias("part")).agg(
             F.min("v").alias("low"), F.max("v").alias("high"))
         few = few.unionByName(many.select("f", "low", "high"))
     shares = few.toPandas().sort_values(["f", "low"])  # at most BINS rows a feature
-    cuts = [np.zeros(0)] * shape["size"]
+    cuts = [np.zeros(0)] * size
     for f, s in shares.groupby("f"):
         cuts[f] = (s["high"].to_numpy()[:-1] + s["low"].to_numpy()[1:]) / 2
     return Table.of(cuts)
@@ -612,9 +612,9 @@ def packed(df: DataFrame, label: str, features: str, fold: str, seed: int, fores
     size, index, value = entries(features)
     data = df.select(F.monotonically_increasing_id().alias("uid"), F.col(fold).cast("int").alias("fold"),
                      F.col(label).cast("int").alias("label"), size.alias("size"), index.alias("features"), value.alias("values")).checkpoint()
-    table = table_of(data)
-    classes = data.agg(F.max("label")).first()[0] + 1
-    return Packed(pack(data, table, [seed + i for i in range(forest)]), table, classes)
+    shape = data.agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("label").alias("label")).first()
+    table = table_of(data, shape["size"], shape["n"])
+    return Packed(pack(data, table, [seed + i for i in range(forest)]), table, shape["label"] + 1)
 
 
 def fit_stack(df: DataFrame, label: str, features: str, fold: str, folds: int, seed: int, forest: int = 5, rounds: int = 5,
